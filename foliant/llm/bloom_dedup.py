@@ -107,3 +107,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
     decided = again.withColumn("__nth", F.row_number().over(same_id)).join(groups, "text_sha256")
     decided = decided.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")) & (F.col("__nth") == 1)).drop("__nth")
     return single.unionByName(decided)
+
+
+ORACLE = """
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)"""

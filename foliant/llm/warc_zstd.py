@@ -24,9 +24,8 @@ DICT_MAGIC, SKIPPABLE = 0x184D2A5D, 0x184D2A50
 #: An empty skippable frame: all of its bytes are ASCII, so that it can be a line separator.
 EMPTY_FRAME = "P*M\x18\0\0\0\0"
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
-#: Smallest payload that is written once, records that a dictionary is trained from, its size, and
-#: payload bytes of an archive (it is read whole).
-LEAST_SHARED, SAMPLES, DICT_BYTES, ARCHIVE_BYTES = 1000, 200, 16 << 10, 32 << 20
+#: Smallest payload that is written once, records that a dictionary is trained from, and its size.
+LEAST_SHARED, SAMPLES, DICT_BYTES = 1000, 200, 16 << 10
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string"
 
 
@@ -150,8 +149,8 @@ def _records(batches):
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", archives: int | None = None) -> None:
     """Writes a record for each row of pages. Of equal payloads of LEAST_SHARED bytes or more the row
     with the largest id is a response and the others revisit it; smaller ones are all responses. A
-    null html is an empty payload; null ids come first, and rows that repeat an id and payload are
-    revisits but for one."""
+    null html is an empty payload; null ids come first, and rows that repeat the largest id are all
+    responses. A partition becomes an archive."""
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "large": F.octet_length("payload") >= LEAST_SHARED})
@@ -163,10 +162,10 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     main = F.col("page_id").eqNullSafe(F.col("main"))
     told = told.withColumn("kind", F.when(F.col("main").isNull() | main, "response").otherwise("revisit"))
     told = told.withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("main")))
-    told = told.select("page_id", "url", "kind", F.when(F.col("kind") == "response", F.col("payload")).alias("block"), "payload", "digest", "refers_to")
+    told = told.select("page_id", "url", "kind", "payload", "digest", "refers_to")
     if archives:
         told = told.repartition(archives)
-    told.drop("block").mapInArrow(_frames, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).text(path)
+    told.mapInArrow(_frames, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", EMPTY_FRAME).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
