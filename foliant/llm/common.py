@@ -27,8 +27,13 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """df written and read again: its lineage ends here and survives lost executors."""
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        path, key = f"{self.root}/{name}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(key, None)
+        try:
+            self.spark.conf.set(key, "true")  # shuffles of this step go as soon as the table stands
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(key) if before is None else self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

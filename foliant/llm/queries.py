@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from foliant.llm import bloom_dedup, lexical_packing, piece_codec, toxicity_pu, url_reputation, warc_zstd
+from foliant.llm import bloom_dedup, lexical_packing, piece_codec, simhash_links, suffix_dedup, toxicity_pu, url_reputation, warc_zstd
 
 
 def tokenizer(name: str) -> str:
@@ -25,6 +26,10 @@ def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_codec(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_links.simhash_components(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -38,11 +43,16 @@ def op7_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(spark, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_piece_codec, op4_lexical_packing, op5_toxicity_pu, op7_bloom_dedup, op10_warc_zstd)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_piece_codec, op3_simhash_links, op4_lexical_packing, op5_toxicity_pu, op7_bloom_dedup, op8_suffix_dedup, op10_warc_zstd)}
 
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.oracle(),
