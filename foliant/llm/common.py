@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,35 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def words_of(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of a batch, lower-cased in A-Z and split at ASCII white space; the number of each
+    word of each text in turn; and each text's number of words. Null counts as empty."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")))
+    coded = split.flatten().dictionary_encode()
+    words, index = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    counts = split.value_lengths().to_numpy().astype(np.int64)
+    if b"" in words:  # at white space before or behind a text
+        hole = words.index(b"")
+        there = index != hole
+        text = np.repeat(np.arange(len(counts)), counts)
+        counts = np.bincount(text[there], minlength=len(counts))
+        index = index[there]
+        index -= index > hole
+        words = words[:hole] + words[hole + 1 :]
+    return words, index, counts
+
+
+def slices(batch: pa.RecordBatch, text: int, size: int):
+    """Parts of a batch with about size bytes of text each."""
+    ends = np.cumsum(np.frombuffer(pc.binary_length(batch.column(text)).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64)) if len(batch) else np.zeros(0, np.int64)
+    at = 0
+    while at < len(batch):
+        base = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays in one compressed blob."""
     head = [len(arrays)]

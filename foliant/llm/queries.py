@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bloom_dedup, lexical_packing, piece_codec, simhash_links, suffix_dedup, toxicity_pu, url_reputation, warc_zstd
+from foliant.llm import bloom_dedup, lattice_links, lexical_packing, piece_codec, simhash_links, suffix_dedup, toxicity_pu, url_reputation, warc_zstd
 
 
 def tokenizer(name: str) -> str:
@@ -48,11 +48,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_lattice_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_links.lattice_links(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_piece_codec, op3_simhash_links, op4_lexical_packing, op5_toxicity_pu, op7_bloom_dedup, op8_suffix_dedup, op10_warc_zstd)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_piece_codec, op3_simhash_links, op4_lexical_packing, op5_toxicity_pu, op7_bloom_dedup, op8_suffix_dedup, op9_lattice_links, op10_warc_zstd)}
 
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.oracle(),
