@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bloom_dedup, lattice_links, lexical_packing, piece_codec, simhash_links, suffix_dedup, toxicity_pu, url_reputation, warc_zstd
+from foliant.llm import bloom_dedup, lattice_links, lexical_packing, piece_codec, pitman_yor, simhash_links, suffix_dedup, toxicity_pu, url_reputation, warc_zstd
 
 
 def tokenizer(name: str) -> str:
@@ -39,6 +39,10 @@ def op5_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_texts(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_dedup.exact_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -56,7 +60,7 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_piece_codec, op3_simhash_links, op4_lexical_packing, op5_toxicity_pu, op7_bloom_dedup, op8_suffix_dedup, op9_lattice_links, op10_warc_zstd)}
+QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_piece_codec, op3_simhash_links, op4_lexical_packing, op5_toxicity_pu, op6_pitman_yor, op7_bloom_dedup, op8_suffix_dedup, op9_lattice_links, op10_warc_zstd)}
 
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.oracle(),
