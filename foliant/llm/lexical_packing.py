@@ -10,19 +10,21 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm.common import Numbered, Scratch, ranges
+from foliant.llm.common import Numbered, Scratch, ranges, slices, unsliced
 
 WINDOW, END = 2048, 1
 #: Tokens of a shard, terms of a query, BM25's constants, words that a worker's table holds, slices
-#: in which the counts of terms are summed, and characters that are encoded at once.
-SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, CHARACTERS = 3_000_000, 12, 1.2, 0.75, 1_000_000, 16, 4 << 20
+#: in which the counts of terms are summed, and bytes of text that are encoded at once.
+SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES = 3_000_000, 12, 1.2, 0.75, 400_000, 16, 8 << 20
+WORD_END, SPACER = "</w>", "\0"
 TAIL = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -35,56 +37,75 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.terms = self.tokenizer.get_vocab_size()
+        vocabulary = self.tokenizer.get_vocab()
+        self.terms = max(vocabulary.values()) + 1
         if self.terms > 1 << 16:
             raise ValueError("ids of more than 16 bits")
+        self.last = np.zeros(self.terms, bool)  # ids that end a run of letters
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = os.path.commonprefix(self.special)
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {"": 0}
-        self.parts = np.zeros((1, 2), np.int64)  # of each word: its body and its tail
         self.core = Numbered({"": 0})
-        self.starts, self.lengths, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
-
-    def _learn(self, new: list[str]) -> None:
-        """Adds words. A word's lower-case body and the punctuation behind it are tokens of their own,
-        so that each body and each tail is encoded once."""
-        core, known, parts = self.core, len(self.core), []
-        for w in new:
-            if max(w) < "\u0180":
-                low = w.lower()
-                body = low.rstrip(TAIL)
-                if body and body[-1].isalnum() and not (self.mark in low and any(x in low for x in self.special)):
-                    parts += core[body], core[low[len(body) :]]
-                    continue
-            parts += core[w], 0
-        fresh = list(core)[known:]
-        coded = [x.ids for x in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, coded), np.int64, len(coded))
-        self.at.update(zip(new, range(len(self.parts), len(self.parts) + len(new)), strict=True))
-        self.parts = np.concatenate([self.parts, np.array(parts, np.int64).reshape(-1, 2)])
-        self.starts = np.append(self.starts, len(self.flat) + np.cumsum(lengths) - lengths)
-        self.lengths = np.append(self.lengths, lengths)
-        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(coded), np.uint16, int(lengths.sum())))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, with END behind them."""
-        if len(self.at) > TABLE_WORDS:
+        self.starts, self.lengths, self.flat = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint16)
+
+    def _add(self, coded: np.ndarray, lengths: np.ndarray) -> None:
+        self.starts = np.append(self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32))
+        self.lengths = np.append(self.lengths, lengths.astype(np.int32))
+        self.flat = np.append(self.flat, coded.astype(np.uint16))
+
+    def _parts(self, words: list[str]) -> np.ndarray:
+        """Numbers of each word's body and tail. The body, in lower case, and the punctuation behind it
+        are tokens of their own, so that each is encoded once, bodies of letters alone many at a time."""
+        if len(self.core) > TABLE_WORDS:
             self._clear()
-        words = [x.replace("\n", " ").replace("\t", " ").split(" ") for x in texts]
-        if new := [w for w in set().union(*words) if w not in self.at]:
-            self._learn(new)
-        get, out = self.at.__getitem__, []
-        for w in words:
-            k = self.parts[np.fromiter(map(get, w), np.int64, len(w))].ravel()
-            lengths = self.lengths[k]
-            ids = np.empty(int(lengths.sum()) + 1, np.uint16)
-            ids[:-1] = self.flat[ranges(self.starts[k], lengths)]
-            ids[-1] = END
-            out.append(ids)
-        return out
+        line = SPACER.join(words)
+        low = line.lower().split(SPACER) if max(line, default="") < "\u0180" else []
+        if len(low) != len(words):  # rare letters: word by word
+            low = [w.lower() if max(w, default="") < "\u0180" else w for w in words]
+        body = [w.rstrip(TAIL) for w in low]
+        tail = [w[len(b) :] for w, b in zip(low, body, strict=True)]
+        for k, (b, w) in enumerate(zip(body, low, strict=True)):
+            if not b.isalpha() and ((self.mark in w and any(x in w for x in self.special)) or not b or not b[-1].isalnum()) or max(w, default="") >= "\u0180":
+                body[k], tail[k] = words[k], ""
+        core, known = self.core, len(self.core)
+        parts = np.stack([np.fromiter(map(core.__getitem__, x), np.int32, len(x)) for x in (body, tail)], axis=1)
+        fresh = list(islice(core, known, None))
+        # U+0130 is a letter and a mark once it is lower case
+        letters = np.fromiter((w.isalpha() and max(w) < "\u0180" and "\u0130" not in w for w in fresh), bool, len(fresh))
+        plain, others = [w for w, is_ in zip(fresh, letters, strict=True) if is_], [w for w, is_ in zip(fresh, letters, strict=True) if not is_]
+        lines = [" ".join(plain[k : k + 5000]) for k in range(0, len(plain), 5000)]
+        ids = np.concatenate([np.zeros(0, np.int64), *[np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]])
+        sizes = np.diff(np.r_[0, np.flatnonzero(self.last[ids]) + 1])
+        if len(sizes) != len(plain):
+            raise ValueError("this tokenizer doesn't mark the ends of words")
+        coded = [x.ids for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        number = np.empty(len(fresh), np.int64)  # of each new core among plain and others
+        number[letters], number[~letters] = np.arange(len(plain)), len(plain) + np.arange(len(others))
+        all_sizes = np.r_[sizes, np.fromiter(map(len, coded), np.int64, len(coded))]
+        all_ids = np.r_[ids, np.fromiter(chain.from_iterable(coded), np.int64)]
+        begin = np.cumsum(all_sizes) - all_sizes
+        self._add(all_ids[ranges(begin[number], all_sizes[number])], all_sizes[number])
+        return parts
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, END behind each, and each text's number of ids."""
+        line = unsliced(texts).cast(pa.large_string()).fill_null("")
+        for space in "\n\t":
+            line = pc.replace_substring(line, space, " ")
+        split = pc.split_pattern(line, " ")
+        coded = split.flatten().dictionary_encode()
+        parts = self._parts(coded.dictionary.to_pylist())
+        k = parts[coded.indices.to_numpy()].ravel()
+        lengths = self.lengths[k]
+        upto = np.r_[0, np.cumsum(lengths)]
+        cut = 2 * np.r_[0, np.cumsum(split.value_lengths().to_numpy())]
+        sizes = np.diff(upto[cut])
+        ids = np.full(int(upto[-1]) + len(sizes), END, np.uint16)
+        ids[np.arange(int(upto[-1])) + np.repeat(np.arange(len(sizes)), sizes)] = self.flat[ranges(self.starts[k], lengths)]
+        return ids, sizes + 1
 
 
 _tables: dict[str, WordIds] = {}
@@ -101,15 +122,11 @@ def _encoded(tokenizer_file: str, doc_id: str):
     def run(batches):
         table = _table(tokenizer_file)
         for batch in batches:
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                to, held = at, 0
-                while to < len(texts) and held < CHARACTERS:
-                    held, to = held + len(texts[to]), to + 1
-                ids = table.encode(texts[at:to])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array([x.tobytes() for x in ids], pa.binary())], [doc_id, "ids"])
-                at = to
+            for part in slices(batch, 1, BYTES):
+                ids, sizes = table.encode(part.column(1))
+                cut = np.r_[0, np.cumsum(2 * sizes)].astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cut), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([part.column(0), blobs], [doc_id, "ids"])
 
     return run
 
