@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# a worker gives freed buffers back to the system; Arrow's own pools would keep them beside the JVM's heap
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: A-Z, the only letters that the text contracts lower-case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -70,10 +73,15 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def unsliced(column: pa.Array) -> pa.Array:
+    """A copy that begins with its buffers: string functions misread one that doesn't."""
+    return column.take(pa.array(np.arange(len(column)))) if column.offset else column
+
+
 def words_of(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words of a batch, lower-cased in A-Z and split at ASCII white space; the number of each
     word of each text in turn; and each text's number of words. Null counts as empty."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")))
+    split = pc.ascii_split_whitespace(pc.ascii_lower(unsliced(column).cast(pa.large_string()).fill_null("")))
     coded = split.flatten().dictionary_encode()
     words, index = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy().astype(np.int64)
     counts = split.value_lengths().to_numpy().astype(np.int64)
@@ -88,6 +96,12 @@ def words_of(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return words, index, counts
 
 
+def whole(batches) -> pa.Table | None:
+    """A task's batches as one table; None if there are no rows."""
+    held = [b for b in batches if len(b)]
+    return pa.Table.from_batches(held) if held else None
+
+
 def slices(batch: pa.RecordBatch, text: int, size: int):
     """Parts of a batch with about size bytes of text each."""
     ends = np.cumsum(np.frombuffer(pc.binary_length(batch.column(text)).fill_null(0).cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64)) if len(batch) else np.zeros(0, np.int64)
@@ -95,7 +109,8 @@ def slices(batch: pa.RecordBatch, text: int, size: int):
     while at < len(batch):
         base = ends[at - 1] if at else 0
         to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
-        yield batch.slice(at, to - at)
+        # copied: string functions misread an array that begins within its buffers
+        yield batch.take(pa.array(np.arange(at, to)))
         at = to
 
 
