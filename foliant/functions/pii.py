@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.spans import spans
+from foliant.functions.spans import bound, spans
 from foliant.functions.text import is_blank
 
 CONTEXT = 60
@@ -43,11 +43,10 @@ def pii(text: Column) -> Column:
             _tag(kind, country),
         )
         found.append(tagged)
-    every = F.concat(*found)
     same = lambda x: lambda y: (y["pii_type"] == x["pii_type"]) & (y["start"] == x["start"]) & (y["end"] == x["end"])
-    first = F.filter(every, lambda x, i: ~F.exists(F.slice(every, 1, i), same(x)))
+    first = bound(F.concat(*found), lambda every: F.filter(every, lambda x, i: ~F.exists(F.slice(every, 1, i), same(x))))
     ordered = F.array_sort(F.transform(first, lambda x: F.struct(x["start"], x["pii_type"], x["end"], x["country"], x["value"], x["context"])))
-    return F.when(~is_blank(text), ordered).otherwise(F.slice(ordered, 1, 0))
+    return F.when(~is_blank(text), ordered).otherwise(F.array())
 
 
 def _tag(kind: str, country: str | None):

@@ -12,6 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def groups_of(pattern: str) -> str:
     """The pattern as one group."""
     return f"({pattern})"
@@ -20,19 +25,22 @@ def groups_of(pattern: str) -> str:
 def spans(text: Column, pattern: str, context: int = 80) -> Column:
     """Array of structs (match, start, end, context); offsets in code points from 0, the end exclusive."""
     found = F.regexp_extract_all(text, F.lit(groups_of(pattern)), F.lit(1))
-    gaps = F.split(text, pattern, -1)
-    size = F.transform(found, lambda m: F.length(m))
-    step = F.transform(gaps, lambda g: F.length(g))
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     add = lambda acc, x: acc + x
 
-    def place(match, i):
-        start = F.aggregate(F.slice(step, 1, i + 1), F.lit(0), add) + F.aggregate(F.slice(size, 1, i), F.lit(0), add)
-        end = start + F.length(match)
-        low = F.greatest(start - context, F.lit(0))
-        around = F.substring(text, low + 1, end + context - low)
-        return F.struct(match.alias("match"), start.alias("start"), end.alias("end"), around.alias("context"))
+    def places(parts):
+        def place(match, i):
+            before = F.aggregate(F.slice(parts["found"], 1, i), F.lit(0), lambda acc, m: acc + F.length(m))
+            start = F.aggregate(F.slice(parts["gaps"], 1, i + 1), F.lit(0), add) + before
+            end = start + F.length(match)
+            low = F.greatest(start - context, F.lit(0))
+            around = F.substring(text, low + 1, end + context - low)
+            return F.struct(match.alias("match"), start.alias("start"), end.alias("end"), around.alias("context"))
+
+        return F.transform(parts["found"], place)
 
-    return F.when(text.rlike(pattern), F.transform(found, place)).otherwise(F.array())
+    every = bound(F.struct(found.alias("found"), gaps.alias("gaps")), places)
+    return F.when(text.rlike(pattern), every).otherwise(F.array())
 
 
 def literal(query: str) -> str:
