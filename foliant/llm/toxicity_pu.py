@@ -8,19 +8,20 @@ pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1)), the risk corrected by the class p
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import column_bytes, fold_of, replaced
+from foliant.llm.common import column_bytes, fold_of, replaced, slices, words_of
 
 #: Rows that the classifiers are fitted on, at most. Everything else covers all data.
 MOST_POSITIVES, MOST_UNLABELLED = 6_000, 18_000
 #: Buckets that features are hashed into, features kept, rows a feature must be in, lengths of word
-#: beginnings, steps, classifiers, and words whose weight a task remembers.
-BUCKETS, KEPT, LEAST_ROWS, BEGINNINGS, STEPS, MODELS, WORDS = 1 << 18, 3_000, 4, (4, 5, 6), 150, 3, 500_000
+#: beginnings, steps, classifiers, and bytes of text scored at once.
+BUCKETS, KEPT, LEAST_ROWS, BEGINNINGS, STEPS, MODELS, BYTES = 1 << 18, 3_000, 4, (4, 5, 6), 150, 3, 8 << 20
 EDGES = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 
 
@@ -31,18 +32,12 @@ def word_features(word: bytes) -> list[int]:
     return [zlib.crc32(x) % BUCKETS for x in parts]
 
 
-class Weights(dict):
-    """The sum of the weights of a word's features, remembered for up to WORDS words."""
-
-    def __init__(self, of_bucket: np.ndarray) -> None:
-        super().__init__()
-        self.of_bucket = of_bucket
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= WORDS:
-            self.clear()
-        self[word] = x = float(self.of_bucket[word_features(word)].sum()) if word.strip(EDGES) else 0.0
-        return x
+def word_weights(words: list[bytes], of_bucket: np.ndarray) -> np.ndarray:
+    """The sum of the weights of each word's features."""
+    found = [word_features(w) for w in words]
+    sizes = np.fromiter(map(len, found), np.int64, len(found))
+    flat = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+    return np.bincount(np.repeat(np.arange(len(words)), sizes), of_bucket[flat], len(words))
 
 
 def fit_pu(features: np.ndarray, row: np.ndarray, positive: np.ndarray, width: int, prior: float, seed: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
@@ -142,21 +137,19 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     weights, bias = fit(spark, docs, labels)
     shared = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
         held, b = shared.value
-        global _weights
-        if _weights is None or _weights[0] is not held:
-            _weights = (held, Weights(held))
-        of = _weights[1].__getitem__
-        g = np.array([b + sum(map(of, sorted(set(x.lower().split())))) for x in texts], float)
-        return pd.Series(1 / (1 + np.exp(-np.clip(g, -30, 30))))
+        out = []
+        for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0, BYTES):
+            words, index, counts = words_of(part.column(0))
+            text = np.repeat(np.arange(len(counts)), counts)
+            once = np.unique(text * max(len(words), 1) + index)
+            g = b + np.bincount(once // max(len(words), 1), word_weights(words, held)[once % max(len(words), 1)], len(counts))
+            out.append(1 / (1 + np.exp(-np.clip(g, -30, 30))))
+        return pa.array(np.concatenate(out) if out else np.zeros(0))
 
     rows = replaced(docs, "held_out", "score", "predicted")
-    rows = rows.withColumn("score", score(F.coalesce("text", F.lit("")).cast("binary")))
+    rows = rows.withColumn("score", score(F.coalesce("text", F.lit(""))))
     return rows.withColumns({"held_out": fold_of() == 0, "predicted": (F.col("score") >= 0.5).cast("int")})
 
-
-_weights = None
