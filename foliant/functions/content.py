@@ -31,6 +31,23 @@ def composite_hash(name: Column, content: Column) -> Column:
     return F.sha2(F.concat(head, content), 256)
 
 
+def media_type(content: Column) -> Column:
+    """Of an image, by its leading bytes."""
+    return (
+        F.when(_starts(content, 0x89, 0x50, 0x4E, 0x47), "image/png")
+        .when(_starts(content, 0xFF, 0xD8, 0xFF), "image/jpeg")
+        .when(_starts(content, 0x47, 0x49, 0x46, 0x38), "image/gif")
+        .when(_starts(content, 0x42, 0x4D), "image/bmp")
+        .when(_starts(content, 0x49, 0x49, 0x2A, 0) | _starts(content, 0x4D, 0x4D, 0, 0x2A), "image/tiff")
+        .when(_starts(content, 0x52, 0x49, 0x46, 0x46) & (F.substring(content, 9, 4).cast("string") == "WEBP"), "image/webp")
+        .otherwise("application/octet-stream")
+    )
+
+
+def data_uri(content: Column) -> Column:
+    return F.concat(F.lit("data:"), media_type(content), F.lit(";base64,"), F.base64(content))
+
+
 def _starts(content: Column, *raw: int) -> Column:
     return F.hex(F.substring(content, 1, len(raw))) == "".join(f"{x:02X}" for x in raw)
 

@@ -54,6 +54,29 @@ def reorder(pages: Column, order: Column) -> Column:
     return F.when(F.size(pages) > 0, F.when(whole, F.transform(order, lambda i: F.element_at(pages, i))))
 
 
+def split(pages: Column, specs: Column) -> Column:
+    """An array of parts, one for each range of the specification ("1-2;4"); null where a range is wrong."""
+    named = F.filter(F.transform(F.split(specs, ";"), lambda s: F.trim(s)), lambda s: s != "")
+    chosen = F.transform(named, lambda s: ranges(s, F.size(pages)))
+    whole = (F.size(named) > 0) & ~F.exists(chosen, lambda c: c.isNull())
+    return F.when(whole, F.transform(chosen, lambda c: select(pages, c)))
+
+
+def merge(*parts: Column) -> Column:
+    """Pages of two to ten files, one file after the other."""
+    if not 2 <= len(parts) <= 10:
+        raise ValueError("from two to ten files are merged")
+    return F.concat(*parts)
+
+
+def insert_blank(pages: Column, at: Column, count: int = 1) -> Column:
+    """count blank pages (1 to 20) before page number at, from 1; one past the last adds them at the end."""
+    if not 1 <= count <= 20:
+        raise ValueError("from one to twenty blank pages are inserted")
+    inside = at.between(1, F.size(pages) + 1)
+    return F.when(inside, F.concat(F.slice(pages, F.lit(1), at - 1), F.array(*[F.lit("")] * count), F.slice(pages, at, F.size(pages))))
+
+
 def column_letters(index: Column) -> Column:
     """A spreadsheet's column name of a number from 1."""
     steps = F.sequence(F.lit(1), F.lit(7))

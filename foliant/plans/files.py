@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import profile
+from foliant.functions import content, pages
+from foliant.operators import office, profile
 from foliant.sources import files
 from foliant.sources.tables import table
 
@@ -81,4 +82,97 @@ def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 CHUNK_STREAM = "SELECT doc_id, sha256(text) AS sha256 FROM documents"
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (chunk_stream, CHUNK_STREAM))}
+def _workbooks(batches):
+    """(n_nationkey, content): a workbook for each nation, with its customers and a hidden sheet of formulas."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    row = lambda cells: "<row>" + "".join(cells) + "</row>"
+    for batch in batches:
+        out = []
+        for key, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
+                z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="customers" r:id="a"/><sheet name="links" state="hidden" r:id="b"/></sheets></workbook>')
+                z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="a" Target="worksheets/1.xml"/><Relationship Id="b" Target="worksheets/2.xml"/></R>')
+                z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>name</t></si></sst>')
+                body = [row(['<c t="s"><v>0</v></c>'])] + [row([f'<c t="inlineStr"><is><t>{n}</t></is></c>', "<c><v>1</v></c>"]) for n in names]
+                z.writestr("xl/worksheets/1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(body)}</sheetData></worksheet>')
+                formula = 'webservice("x")' if key % 2 else "SUM(A1:A2)"
+                z.writestr("xl/worksheets/2.xml", f'<worksheet xmlns="{main}"><sheetData>{row([f"<c><f>{formula}</f><v>0</v></c>"])}</sheetData></worksheet>')
+            out.append(raw.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["nation", "content"])
+
+
+def _workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
+    names = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_name")).alias("names"))
+    return files.contents(names.mapInArrow(_workbooks, "nation int, content binary"), "xlsx", "nation")
+
+
+def workbook_sheets(spark: SparkSession, sf: str) -> DataFrame:
+    return office.sheets(_workbook_rows(spark, sf), "nation")
+
+
+WORKBOOK_SHEETS = """
+WITH c AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1)
+SELECT nation, 'customers' AS sheet, 'visible' AS visibility, n + 1 AS row_count, 2 * n + 1 AS cell_count, 0::BIGINT AS formula_count, 2::INT AS column_count FROM c
+UNION ALL SELECT nation, 'links', 'hidden', 1, 1, 1, 1 FROM c"""
+
+
+def workbook_health(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _workbook_rows(spark, sf)
+    risks = office.risky_formulas(rows, "nation").select("nation", "function")
+    return office.workbook_health(rows, "nation").join(risks, "nation", "left")
+
+
+WORKBOOK_HEALTH = """SELECT DISTINCT c_nationkey AS nation, 0::INT AS errors, (c_nationkey % 2)::INT AS warnings, 1::INT AS infos, true AS healthy, CASE WHEN c_nationkey % 2 = 1 THEN 'WEBSERVICE' END AS function FROM customer"""
+
+
+def _books(batches):
+    """(conv_id, content): a book for each conversation, a chapter for each turn."""
+    for batch in batches:
+        out = []
+        for turns in batch.column(1).to_pylist():
+            raw = io.BytesIO()
+            with zipfile.ZipFile(raw, "w") as z:
+                z.writestr("META-INF/container.xml", '<c><rootfile full-path="b.opf"/></c>')
+                item = "".join(f'<item id="i{k}" href="{k}.xhtml"/>' for k in range(len(turns)))
+                spine = "".join(f'<itemref idref="i{k}"/>' for k in range(len(turns)))
+                z.writestr("b.opf", f"<package><manifest>{item}</manifest><spine>{spine}</spine></package>")
+                for k, t in enumerate(turns):
+                    z.writestr(f"{k}.xhtml", f"<html><head><title>x</title></head><body><h2>{t['role']}</h2><p>turn <b>{t['turn']}</b></p></body></html>")
+            out.append(raw.getvalue())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["conv_id", "content"])
+
+
+def book_text(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
+    chapters = files.contents(turns.mapInArrow(_books, "conv_id long, content binary"), "epub", "conv_id")
+    return office.book_text(chapters, "conv_id").select("conv_id", "chapters", "text", "markdown", "words")
+
+
+BOOK_TEXT = """SELECT conv_id, count(*)::INT AS chapters, string_agg(role || chr(10) || chr(10) || 'turn ' || turn, chr(10) || chr(10) ORDER BY turn) AS text,
+string_agg('## ' || role || chr(10) || chr(10) || 'turn **' || turn || '**', chr(10) || chr(10) ORDER BY turn) AS markdown, (3 * count(*))::INT AS words FROM conversations GROUP BY 1"""
+
+
+def data_uris(spark: SparkSession, sf: str) -> DataFrame:
+    png = F.concat(F.unhex(F.lit("89504E47")), F.col("c_name").cast("binary"))
+    raw = F.when(F.col("c_custkey") % 2 == 0, png).otherwise(F.col("c_name").cast("binary"))
+    return table(spark, sf, "customer").select("c_custkey", content.data_uri(raw).alias("uri"))
+
+
+DATA_URIS = """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'data:image/png;base64,' || base64(from_hex('89504E47' || hex(c_name))) ELSE 'data:application/octet-stream;base64,' || base64(encode(c_name)) END AS uri FROM customer"""
+
+
+def page_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations split into parts, joined again with a blank one between."""
+    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("p"))
+    p = F.transform("p", lambda x: x["role"])
+    parts = pages.split(p, F.lit("1; 1-2"))
+    flat = lambda a: F.array_join(a, ",")
+    return turns.select("conv_id", F.array_join(F.transform(parts, flat), ";").alias("parts"), flat(pages.merge(p, p)).alias("merged"), flat(pages.insert_blank(p, F.lit(1), 2)).alias("blanks"))
+
+
+PAGE_SPLITS = """
+WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS p FROM conversations GROUP BY 1)
+SELECT conv_id, CASE WHEN len(p) >= 2 THEN p[1] || ';' || p[1] || ',' || p[2] END AS parts, array_to_string(list_concat(p, p), ',') AS merged, ',,' || array_to_string(p, ',') AS blanks FROM t"""
+
+QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (chunk_stream, CHUNK_STREAM), (workbook_sheets, WORKBOOK_SHEETS), (workbook_health, WORKBOOK_HEALTH), (book_text, BOOK_TEXT), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}
