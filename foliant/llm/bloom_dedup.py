@@ -87,7 +87,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
     one of them is kept. Columns of docs named like the results are replaced; an empty table gives
     an empty result."""
     rows = replaced(docs, "keep_id", "group_size", "kept", "text_sha256").withColumn("text_sha256", F.sha2(normalised(text), 256))
-    hashed = Scratch(spark).save(rows.select(F.xxhash64("text_sha256").alias("key")), "hashes")
+    scratch = Scratch(spark)
+    hashed = scratch.save(rows.select(F.xxhash64("text_sha256").alias("key")), "hashes")
     plane, bits = repeated_plane(hashed, hashed.count())
     shared = spark.sparkContext.broadcast(plane.tobytes())
 
@@ -101,12 +102,15 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
 
     tested = rows.withColumn("__maybe", maybe_repeated(F.xxhash64("text_sha256")))
     single = tested.where("NOT __maybe").drop("__maybe").withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    again = tested.where("__maybe").drop("__maybe")
-    groups = again.groupBy("text_sha256").agg(F.min(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    again = scratch.save(tested.where("__maybe").drop("__maybe"), "again")
+    # written first: a join of two plain shuffles is one that Spark splits where a text is hot
+    groups = scratch.save(again.groupBy("text_sha256").agg(F.min(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     same_id = Window.partitionBy("text_sha256", doc_id).orderBy(doc_id)
-    decided = again.withColumn("__nth", F.row_number().over(same_id)).join(groups, "text_sha256")
-    decided = decided.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")) & (F.col("__nth") == 1)).drop("__nth")
-    return single.unionByName(decided)
+    decided = again.join(groups, "text_sha256").withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
+    # rows that repeat the id that stays are few: one of them is kept
+    kept = decided.where("kept").withColumn("__nth", F.row_number().over(same_id))
+    kept = kept.withColumn("kept", F.col("__nth") == 1).drop("__nth")
+    return single.unionByName(decided.where("NOT kept")).unionByName(kept)
 
 
 ORACLE = """
