@@ -15,12 +15,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, column_bytes, mix64, ranges, replaced, shards_for
+from foliant.llm.common import Scratch, column_bytes, mix64, ranges, replaced, shards_for, slices, whole
 
 WINDOW, GRAM = 200, 40
-#: Bytes whose anchors are found at once, bytes of a shard's suffix array, and bytes of segments that
-#: a task of shards gets.
-BLOCK, SHARD_BYTES, TASK_BYTES = 1 << 19, 1 << 19, 4 << 20
+#: Bytes whose anchors are found at once, bytes of a shard's suffix array, bytes of segments that a
+#: task of shards gets, and bytes of text that a task has in hand.
+BLOCK, SHARD_BYTES, TASK_BYTES, BATCH_BYTES = 1 << 19, 1 << 19, 4 << 20, 4 << 20
+#: Distinct segments of one anchor's hash that a task sorts. The windows of more are counted one by one
+#: over all tasks, which comes to the same.
+MOST_SEGMENTS = 50_000
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -207,7 +210,7 @@ def repeated_windows(segments: list[bytes], least: int = WINDOW) -> list[np.ndar
 
 
 def _anchor_rows(batches):
-    for batch in batches:
+    for batch in (part for full in batches for part in slices(full, 1, BATCH_BYTES)):
         texts, keys = column_bytes(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
         which, h, first, last = anchors(texts)
         digest = xxhash.xxh3_64_intdigest
@@ -216,12 +219,29 @@ def _anchor_rows(batches):
 
 
 def _cut_rows(batches):
-    """(h, seg, copies, bytes) of the segments that each text is asked for."""
-    for batch in batches:
-        out = [(p["h"], p["seg"], p["copies"], x[p["first"] : p["first"] + p["windows"] + WINDOW - 1]) for x, asked in zip(column_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True) for p in asked]
+    """(h, seg, copies, many, bytes) of the segments that each text is asked for."""
+    for batch in (part for full in batches for part in slices(full, 0, BATCH_BYTES)):
+        out = [(p["h"], p["seg"], p["copies"], p["many"], x[p["first"] : p["first"] + p["windows"] + WINDOW - 1]) for x, asked in zip(column_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True) for p in asked]
         for at in range(0, len(out), 20_000):
-            h, seg, copies, raw = zip(*out[at : at + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(seg, pa.int64()), pa.array(copies, pa.int64()), pa.array(raw, pa.binary())], ["h", "seg", "copies", "bytes"])
+            h, seg, copies, many, raw = zip(*out[at : at + 20_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(seg, pa.int64()), pa.array(copies, pa.int64()), pa.array(many, pa.bool_()), pa.array(raw, pa.binary())], ["h", "seg", "copies", "many", "bytes"])
+
+
+def _window_rows(batches):
+    """(h, seg, copies, at, window): a 128-bit hash of every window of the segments."""
+    digest = xxhash.xxh3_128_digest
+    for batch in batches:
+        for h, seg, copies, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = len(raw) - WINDOW + 1
+            yield pa.RecordBatch.from_arrays([pa.array([h] * n), pa.array([seg] * n), pa.array([copies] * n), pa.array(range(n), pa.int32()), pa.array([digest(raw[i : i + WINDOW]) for i in range(n)], pa.binary())], ["h", "seg", "copies", "at", "window"])
+
+
+def counted_windows(scratch: Scratch, cut: DataFrame) -> DataFrame:
+    """(h, seg, runs) of segments of hashes that have too many of them for a task."""
+    windows = cut.select("h", "seg", "copies", "bytes").mapInArrow(_window_rows, "h long, seg long, copies long, at int, window binary")
+    again = scratch.save(windows.groupBy("h", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "window"), "windows")
+    hits = windows.where("copies = 1").join(again, ["h", "window"]).groupBy("h", "seg").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    return hits.select("h", "seg", F.flatten(F.transform("at", lambda a: F.array(a, a + 1))).alias("runs"))
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -276,11 +296,11 @@ def shard_repeats(group: np.ndarray, segments: list[bytes]) -> list[np.ndarray]:
 
 
 def _shard_rows(batches):
-    table = pa.Table.from_batches(list(batches))  # TASK_BYTES or so
-    if not len(table):
+    table = whole(batches)  # TASK_BYTES or so
+    if table is None:
         return
     h, seg, copies = (table.column(k).to_numpy() for k in (0, 1, 2))
-    raw = table.column(3).to_pylist()
+    raw = table.column("bytes").to_pylist()
     order = np.lexsort((seg, h))
     at = 0
     while at < len(order):  # whole groups of about TASK_BYTES
@@ -296,7 +316,7 @@ def _shard_rows(batches):
 
 
 def _remove(batches):
-    for batch in batches:
+    for batch in (part for full in batches for part in slices(full, 1, BATCH_BYTES)):
         sizes, removed, spans, kept = [], [], [], []
         for x, parts in zip(column_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             sizes.append(len(x))
@@ -326,21 +346,26 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = replaced(docs, "n_bytes", "n_removed", "n_spans", "kept").withColumn("__row", F.xxhash64("doc_id", "text"))
     found = rows.select("__row", "text").mapInArrow(_anchor_rows, "h long, seg long, row long, first int, windows int")
     found = scratch.save(found, "anchors")
-    again = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    # written first: a join of two plain shuffles is one that Spark splits where a passage is hot
+    again = scratch.save(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
     found = scratch.save(found.join(again, "h"), "repeated")
     scratch.drop("anchors")
 
     # one place for each distinct segment; a hot passage is counted before the shuffle
     place = F.min(F.struct("row", "first", "windows")).alias("place")
     distinct = scratch.save(found.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("copies"), place), "segments")
-    mixed = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1").select("h")
-    asked = distinct.join(mixed, "h").select(F.col("place.row").alias("__row"), F.struct("h", "seg", "copies", "place.first", "place.windows").alias("p"))
+    mixed = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1").select("h", (F.col("n") > MOST_SEGMENTS).alias("many"))
+    mixed = scratch.save(mixed, "mixed")
+    asked = distinct.join(mixed, "h").select(F.col("place.row").alias("__row"), F.struct("h", "seg", "copies", "many", "place.first", "place.windows").alias("p"))
     size = asked.agg(F.sum(F.col("p.windows") + (WINDOW - 1))).first()[0] or 0
     # repeated rows have one key: their texts are equal, so that one of them is enough
     asked = asked.groupBy("__row").agg(F.collect_list("p").alias("asked"))
-    cut = rows.select("__row", "text").join(asked, "__row").select("text", "asked").mapInArrow(_cut_rows, "h long, seg long, copies long, bytes binary")
-    shards = cut.repartition(shards_for(size, TASK_BYTES), "h").mapInArrow(_shard_rows, "h long, seg long, runs array<int>")
-    settled = scratch.save(shards, "settled")
+    cut = rows.select("__row", "text").join(asked, "__row").select("text", "asked").mapInArrow(_cut_rows, "h long, seg long, copies long, many boolean, bytes binary")
+    too_many = not mixed.where("many").isEmpty()
+    if too_many:
+        cut = scratch.save(cut, "cut")
+    shards = cut.where("NOT many").repartition(shards_for(size, TASK_BYTES), "h").mapInArrow(_shard_rows, "h long, seg long, runs array<int>")
+    settled = scratch.save(shards.union(counted_windows(scratch, cut.where("many"))) if too_many else shards, "settled")
 
     whole = distinct.where("copies > 1").select("h", "seg", F.array(F.lit(0), F.col("place.windows")).alias("runs"))
     hits = found.select("h", "seg", "row", "first").join(whole.union(settled), ["h", "seg"])
@@ -360,3 +385,15 @@ def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
+
+
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substring(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(n - 199)) AS p FROM d WHERE n >= 200)),
+t AS (SELECT doc_id, p FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1),
+b AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM t),
+i AS (SELECT doc_id, p, sum(CASE WHEN q IS NULL OR p > q + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM b),
+r AS (SELECT doc_id, g, min(p) AS a, max(p) + 200 AS z FROM i GROUP BY ALL),
+s AS (SELECT doc_id, h, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS y FROM r JOIN d USING (doc_id)),
+k AS (SELECT doc_id, string_agg(substring(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) || substring(any_value(h), 2 * max(z) + 1) AS rest, sum(z - a)::BIGINT AS gone, count(*) AS runs FROM s GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
