@@ -142,3 +142,25 @@ def test_scan_and_reassemble(spark, tmp_path):
     assert files.scan(spark, str(tmp_path), most_bytes=4).count() == 0
     chunks = spark.createDataFrame([("f", 2, bytearray(b"lo")), ("f", 1, bytearray(b"hel"))], "file_name string, seq int, data binary")
     assert bytes(files.reassemble(chunks).first().content) == b"hello"
+
+
+def test_office_aggregates(spark):
+    from foliant.operators import office
+
+    def held(kind, raw):
+        return files.contents(spark.createDataFrame([("f", bytearray(raw)), ("bad", bytearray(b"PK"))], "path string, content binary"), kind)
+
+    assert [(r.sheet, r.row_count, r.cell_count, r.formula_count, r.column_count) for r in office.sheets(held("xlsx", xlsx())).collect()] == [("One", 2, 4, 1, 2)]
+    assert {(r.path, r.errors, r.healthy) for r in office.workbook_health(held("xlsx", xlsx())).collect()} == {("f", 0, True), ("bad", 1, False)}
+    assert office.outline(held("pptx", pptx())).first().markdown == "## 1. First\n\n- Body\n\n> **Notes:** said\n\n## 2. Last"
+    book = office.book_text(held("epub", epub())).first()
+    assert (book.chapters, book.text, book.words) == (2, "B\n\nA", 2)
+
+
+def test_risky_names_are_parts_of_formulas(spark):
+    from pyspark.sql import functions as F
+
+    from foliant.operators import office
+
+    df = spark.createDataFrame([("RECALL(1)",), ("ddeauto",), ("SUM(A1)",), (None,)], "f string")
+    assert [r.x for r in df.select(office.risky(F.col("f")).alias("x")).collect()] == ["CALL", "DDE", None, None]
