@@ -146,7 +146,7 @@ def _records(batches):
                 yield give(rows)
 
 
-def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", archives: int | None = None) -> None:
+def write_archives(spark: SparkSession, pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", archives: int | None = None) -> None:
     """Writes a record for each row of pages. Of equal payloads of LEAST_SHARED bytes or more the row
     with the largest id is a response and the others revisit it; smaller ones are all responses. A
     null html is an empty payload; null ids come first, and rows that repeat the largest id are all
@@ -157,7 +157,8 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     # small payloads get keys of their own: they match nothing and don't meet in one task
     rows = rows.withColumn("key", F.when(F.col("large"), F.col("digest")).otherwise(F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.lit("")))))
     shared = rows.where("large").groupBy("key").agg(F.max("page_id").alias("main"), F.count(F.lit(1)).alias("copies"), F.count("page_id").alias("named"))
-    shared = shared.where("copies > 1 AND named > 0").select("key", "main")
+    # written first: a join of two plain shuffles is one that Spark splits where a payload is hot
+    shared = Scratch(spark).save(shared.where("copies > 1 AND named > 0").select("key", "main"), "shared")
     told = rows.join(shared, "key", "left")
     main = F.col("page_id").eqNullSafe(F.col("main"))
     told = told.withColumn("kind", F.when(F.col("main").isNull() | main, "response").otherwise("revisit"))
@@ -179,7 +180,7 @@ def warc_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     An empty table gives no record. Rows that could not be read back whole raise when the result is
     used. Other columns of pages are left out."""
     path = f"{Scratch(spark).root}/warc"
-    write_archives(pages, path)
+    write_archives(spark, pages, path)
     back = read_archives(spark, path)
     sound = F.when(F.col("problem").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat(F.lit("archive: "), F.col("problem"))).cast("long"))
     return back.select(sound.alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
