@@ -8,10 +8,10 @@ fits is blocked if the posterior lower bound of its host's share of blocked page
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import LOWER, UPPER, replaced
+from foliant.llm.common import LOWER, UPPER, Scratch, replaced
 
 #: (verdict, host, path), fixed by the contract.
 RULES = (
@@ -65,7 +65,7 @@ def _weights(groups: DataFrame, above: list[str]) -> float:
     return min(max(1 / rho - 1, LEAST_WEIGHT), MOST_WEIGHT) if rho > 0 else MOST_WEIGHT
 
 
-def url_verdicts(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
+def url_verdicts(spark: SparkSession, pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     """pages with host, path, rule, verdict and bound (null where a rule decides), a row for each row.
 
     Null urls and those without :// have an empty host and path, and are judged together as one
@@ -82,6 +82,8 @@ def url_verdicts(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
 
     hosts = rows.groupBy("host").agg(F.count("__said").alias("n"), F.count(F.when(F.col("__said") == "block", 1)).alias("bad"))
     hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    scratch = Scratch(spark)
+    hosts = scratch.save(hosts, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -95,9 +97,10 @@ def url_verdicts(pages: DataFrame, rules=RULES, url: str = "url") -> DataFrame:
     by_domain = domains.join(by_suffix, "suffix").select("suffix", "domain", shrunk(F.col("suffix_rate"), weight["domain"]).alias("domain_rate"))
     by_host = hosts.join(by_domain, ["suffix", "domain"]).withColumn("rate", shrunk(F.col("domain_rate"), weight["host"]))
     spread = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.lit(weight["host"]) + 1))
-    by_host = by_host.select("host", (F.col("rate") - F.lit(DEVIATIONS) * spread).alias("__bound"))
+    by_host = scratch.save(by_host.select("host", (F.col("rate") - F.lit(DEVIATIONS) * spread).alias("__bound")), "bounds")
 
-    # hosts are as many as the input has; Spark joins a hot host in parts, or broadcasts a small side by its size
+    # hosts are as many as the input has; Spark splits the join of two plain shuffles where a host is hot,
+    # or broadcasts the small side by its size
     judged = rows.join(by_host, "host", "left")
     by_method = F.when(F.col("__bound") >= BLOCK_FROM, "block").otherwise("allow")
     judged = judged.withColumns({"verdict": F.coalesce("__said", by_method), "bound": F.when(F.col("__said").isNull(), F.col("__bound"))})
