@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.spans import bound, spans
-from foliant.functions.text import is_blank
+from foliant.functions.spans import spans
+from foliant.functions.text import bound
 
 CONTEXT = 60
+#: What every pattern needs: texts without it are spared the patterns.
+NEEDED = r"(?U)[\d@]"
 #: Pattern, type and country, in the order in which equal spans of a type are settled.
 PATTERNS = (
     (r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "email", None),
@@ -46,7 +48,7 @@ def pii(text: Column) -> Column:
     same = lambda x: lambda y: (y["pii_type"] == x["pii_type"]) & (y["start"] == x["start"]) & (y["end"] == x["end"])
     first = bound(F.concat(*found), lambda every: F.filter(every, lambda x, i: ~F.exists(F.slice(every, 1, i), same(x))))
     ordered = F.array_sort(F.transform(first, lambda x: F.struct(x["start"], x["pii_type"], x["end"], x["country"], x["value"], x["context"])))
-    return F.when(~is_blank(text), ordered).otherwise(F.array())
+    return F.when(text.rlike(NEEDED), ordered).otherwise(F.array())
 
 
 def _tag(kind: str, country: str | None):

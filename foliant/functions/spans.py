@@ -11,10 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def bound(value: Column, use) -> Column:
-    """use(value) with the value worked out once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+from foliant.functions.text import bound
 
 
 def groups_of(pattern: str) -> str:

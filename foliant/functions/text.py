@@ -41,6 +41,11 @@ BANDS = {
 NO_TEXT = {"en": "Document contains no analysable text", "es": "Documento sin texto analizable"}
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def is_blank(text: Column) -> Column:
     return text.rlike(BLANK)
 
@@ -79,14 +84,18 @@ def line_ending(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """The language with most function words; null for short texts and those without any."""
-    tokens = F.split(F.lower(text), TOKEN_BREAK)
-    score = {k: F.size(F.filter(tokens, _among(words))) for k, words in MARKERS.items()}
-    best = F.greatest(*score.values())
-    guess = F.lit(None).cast("string")
-    for k in reversed(MARKERS):
-        guess = F.when(score[k] == best, k).otherwise(guess)
-    trimmed = F.length(F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", ""))
-    return F.when((trimmed >= LEAST_LENGTH) & (best > 0), guess)
+    every = sorted({w for words in MARKERS.values() for w in words})
+    marks = F.filter(F.split(F.lower(text), TOKEN_BREAK), _among(every))
+
+    def most(score: Column) -> Column:
+        best, guess = F.greatest(*[score[k] for k in MARKERS]), F.lit(None).cast("string")
+        for k in reversed(MARKERS):
+            guess = F.when(score[k] == best, k).otherwise(guess)
+        return F.when(best > 0, guess)
+
+    scores = bound(marks, lambda found: F.struct(*[F.size(F.filter(found, _among(words))).alias(k) for k, words in MARKERS.items()]))
+    long_enough = text.rlike(f"(?s)[^{SPACE}].{{{LEAST_LENGTH - 2},}}[^{SPACE}]")
+    return F.when(long_enough, bound(scores, most))
 
 
 def _among(words):
@@ -113,36 +122,41 @@ def readability(text: Column, lang: str = "en") -> Column:
     """A struct of counts, the four indices and the interpretation; zeros for a text without letters."""
     if lang not in BANDS:
         lang = "en"
-    per_word = F.transform(letters(text), syllables)
-    totals = F.aggregate(
-        per_word,
-        F.struct(F.lit(0).alias("s"), F.lit(0).alias("c")),
-        lambda acc, n: F.struct((acc["s"] + n).alias("s"), (acc["c"] + (n >= 3).cast("int")).alias("c")),
-    )
-    words, syllable, complex_ = F.size(per_word), totals["s"], totals["c"]
     sentences = F.greatest(F.size(F.filter(F.split(text, "[.!?]+"), lambda s: ~is_blank(s))), F.lit(1))
-    w, s, c = words.cast("double"), sentences.cast("double"), complex_.cast("double")
-    length, per = w / s, syllable / w
-    ease = 206.835 - 1.015 * length - 84.6 * per
-    grade = 0.39 * length + 11.8 * per - 15.59
-    fog = 0.4 * (length + 100.0 * c / w)
-    smog = 1.0430 * F.sqrt(c * (30.0 / s)) + 3.1291
-    band = F.lit(BANDS[lang][-1][1])
-    for least, said in reversed(BANDS[lang][:-1]):
-        band = F.when(ease >= least, said).otherwise(band)
-    some = words > 0
-    zero = lambda x: F.when(some, x).otherwise(F.lit(0.0))
-    return F.struct(
-        words.alias("word_count"),
-        F.when(some, sentences).otherwise(0).alias("sentence_count"),
-        syllable.alias("syllable_count"),
-        complex_.alias("complex_word_count"),
-        zero(_cents(ease)).alias("flesch_reading_ease"),
-        zero(_cents(grade)).alias("flesch_kincaid_grade"),
-        zero(_cents(fog)).alias("gunning_fog_index"),
-        zero(_cents(smog)).alias("smog_index"),
-        F.when(some, band).otherwise(NO_TEXT[lang]).alias("interpretation"),
-    )
+
+    def counts(per_word: Column) -> Column:
+        return F.struct(
+            F.size(per_word).alias("words"),
+            sentences.alias("sentences"),
+            F.aggregate(per_word, F.lit(0), lambda acc, n: acc + n).alias("syllables"),
+            F.size(F.filter(per_word, lambda n: n >= 3)).alias("complex"),
+        )
+
+    def indices(n: Column) -> Column:
+        w, s, c = n["words"].cast("double"), n["sentences"].cast("double"), n["complex"].cast("double")
+        length, per = w / s, n["syllables"] / w
+        ease = 206.835 - 1.015 * length - 84.6 * per
+        grade = 0.39 * length + 11.8 * per - 15.59
+        fog = 0.4 * (length + 100.0 * c / w)
+        smog = 1.0430 * F.sqrt(c * (30.0 / s)) + 3.1291
+        band = F.lit(BANDS[lang][-1][1])
+        for least, said in reversed(BANDS[lang][:-1]):
+            band = F.when(ease >= least, said).otherwise(band)
+        some = n["words"] > 0
+        zero = lambda x: F.when(some, x).otherwise(F.lit(0.0))
+        return F.struct(
+            n["words"].alias("word_count"),
+            F.when(some, n["sentences"]).otherwise(0).alias("sentence_count"),
+            n["syllables"].alias("syllable_count"),
+            n["complex"].alias("complex_word_count"),
+            zero(_cents(ease)).alias("flesch_reading_ease"),
+            zero(_cents(grade)).alias("flesch_kincaid_grade"),
+            zero(_cents(fog)).alias("gunning_fog_index"),
+            zero(_cents(smog)).alias("smog_index"),
+            F.when(some, band).otherwise(NO_TEXT[lang]).alias("interpretation"),
+        )
+
+    return bound(bound(F.transform(letters(text), syllables), counts), indices)
 
 
 def is_heading(line: Column) -> Column:
