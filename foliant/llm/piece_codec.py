@@ -2,8 +2,8 @@
 
 No piece of the model has anything but white-space markers before a marker, so that no merge
 crosses from a word into the marker after it. A text therefore falls into chunks, each a run of
-markers and the word behind it; a task segments every distinct chunk once and joins ids and
-decoded bytes back by position.
+markers and the word behind it; a task segments every distinct chunk of its texts once and joins
+ids and decoded text back by position.
 """
 
 from __future__ import annotations
@@ -11,19 +11,21 @@ from __future__ import annotations
 import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from foliant.llm.common import replaced
+from foliant.llm.common import Numbered, slices, unsliced
 
 CHUNK = re.compile("[ ▁]*[^ ▁]+|[ ▁]+")
-#: Chunks that a task's table holds before it starts anew.
-TABLE_CHUNKS, LONG_CHUNK = 400_000, 2_000
+#: Bytes of text whose distinct chunks are segmented at once.
+BYTES = 8 << 20
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class ChunkTable:
-    """Ids, as decimal text, and decoded text of each distinct chunk."""
+class Codec:
+    """Encodes and decodes texts by their distinct chunks."""
 
     def __init__(self, model_file: str) -> None:
         import sentencepiece
@@ -32,42 +34,48 @@ class ChunkTable:
         size = self.sp.get_piece_size()
         if any(re.search("[^▁]▁", self.sp.id_to_piece(i)) for i in range(size)):
             raise ValueError("pieces of this model cross white-space markers")
-        self.marker = self.sp.piece_to_id("▁")
+        self.marker, self.end = self.sp.piece_to_id("▁"), str(self.sp.eos_id())
         if self.marker == self.sp.unk_id():
             raise ValueError("this model has no piece for a lone marker")
-        self.ids: dict[str, str] = {}
-        self.back: dict[str, str] = {}
-
-    def _learn(self, new: list[str], ids: dict[str, str], back: dict[str, str]) -> None:
-        # the library puts a marker before each text it encodes: it stands for the chunk's own first one
-        coded = self.sp.encode([c[1:] for c in new], num_threads=1)
-        coded = [x or [self.marker] for x in coded]  # a lone marker at a text's end
-        for chunk, raw, x in zip(new, self.sp.decode(coded), coded, strict=True):
-            ids[chunk] = " ".join(map(str, x))
-            back[chunk] = " " + raw  # decoding leaves out a text's first marker
-
-    def encode(self, text: str) -> tuple[list[str], str, str]:
-        """The text's chunks, its ids in decimal with the end id, and the decoded text."""
-        chunks = CHUNK.findall(text)
-        if chunks:
-            chunks[0] = " " + chunks[0]  # the marker that the library puts before every text
-        if len(self.ids) > TABLE_CHUNKS:
-            self.ids.clear()
-            self.back.clear()
-        once_ids, once_back = {}, {}
-        new = [c for c in dict.fromkeys(chunks) if c not in self.ids]
-        if new:
-            short = [c for c in new if len(c) <= LONG_CHUNK]
-            self._learn(short, self.ids, self.back)
-            if len(short) < len(new):
-                self._learn([c for c in new if len(c) > LONG_CHUNK], once_ids, once_back)
-        if once_ids:
-            parts = [self.ids.get(c) or once_ids[c] for c in chunks]
-            back = [self.back.get(c) or once_back[c] for c in chunks]
-        else:
-            parts, back = list(map(self.ids.__getitem__, chunks)), list(map(self.back.__getitem__, chunks))
-        parts.append(str(self.sp.eos_id()))
-        return chunks, " ".join(parts), "".join(back)[1:]
+        self.decimal = list(map(str, range(size)))
+
+    def table(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of ids, ids as decimal text, and decoded text of chunks without their first marker, which the
+        library puts before every text that it encodes and leaves out when it decodes."""
+        coded = [x or [self.marker] for x in self.sp.encode(chunks, num_threads=1)]  # a lone marker at a text's end
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids, back = np.empty(len(coded), object), np.empty(len(coded), object)
+        decimal = self.decimal.__getitem__
+        ids[:] = [" ".join(map(decimal, x)) for x in coded]
+        back[:] = [" " + x for x in self.sp.decode(coded)] if coded else []
+        return sizes, ids, back
+
+    def run(self, texts: pa.Array) -> list[tuple[int, str, str]]:
+        """Number of ids with the end id, ids as decimal text, and decoded text, of each text."""
+        line = unsliced(texts).cast(pa.large_string()).fill_null("")
+        plain = pc.invert(pc.match_substring_regex(line, "^$|^ | $|  |▁"))
+        out: list = [None] * len(line)
+        # most texts have single spaces between words and nowhere else: Arrow splits them
+        at = np.flatnonzero(plain.to_numpy(zero_copy_only=False))
+        split = pc.split_pattern(line.filter(plain), " ")
+        words = split.flatten().dictionary_encode()
+        self._join(out, at.tolist(), words.dictionary.to_pylist(), words.indices.to_numpy(), split.value_lengths().to_numpy())
+        rest = np.flatnonzero(~plain.to_numpy(zero_copy_only=False)).tolist()
+        number, index, counts = Numbered(), [], []
+        for i in rest:
+            x = line[i].as_py()
+            chunks = CHUNK.findall(" " + x if x else "")
+            index += [number[c[1:]] for c in chunks]
+            counts.append(len(chunks))
+        self._join(out, rest, list(number), np.array(index, np.int64), np.array(counts, np.int64))
+        return out
+
+    def _join(self, out: list, places: list[int], chunks: list[str], index: np.ndarray, counts: np.ndarray) -> None:
+        sizes, ids, back = self.table(chunks)
+        cut = np.r_[0, np.cumsum(counts)].tolist()
+        for i, a, b in zip(places, cut, cut[1:], strict=False):
+            k = index[a:b]
+            out[i] = (int(sizes[k].sum()) + 1, " ".join([*ids[k].tolist(), self.end]), "".join(back[k].tolist())[1:])
 
 
 def piece_codec(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,18 +83,16 @@ def piece_codec(docs: DataFrame, model_file: str, doc_id: str = "doc_id", text:
 
     Equal to encoding the whole text with the library, an end id only and no sampling, and decoding
     the ids. A null text counts as empty (its only id is the end id). Repeated rows, null ids and
-    ties each give their own row; other columns are left out. A table holds TABLE_CHUNKS chunks at
-    most; chunks of over LONG_CHUNK characters are segmented anew each time."""
+    ties each give their own row; other columns are left out. A task holds the distinct chunks of
+    BYTES of text, or of one text that is longer."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        table = ChunkTable(model_file)
+        codec = Codec(model_file)
         for batch in batches:
-            out = []
-            for x in batch.column(1).to_pylist():
-                _, ids, back = table.encode(x or "")
-                out.append((ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
-            n, a, b = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return replaced(docs.select(doc_id, text)).mapInArrow(run, f"`{doc_id}` {kind}, {SCHEMA}")
+            for part in slices(batch, 1, BYTES):
+                rows = codec.run(part.column(1))
+                sums = [[hashlib.sha256(r[k].encode()).hexdigest() for r in rows] for k in (1, 2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), *(pa.array(x, pa.string()) for x in sums)], [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, {SCHEMA}")
