@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, components, mix64, ranges, roots, shards_for
+from foliant.llm.common import Scratch, components, mix64, ranges, roots, shards_for, whole
 
 #: Least cosine of a link.
 COSINE = 0.9
@@ -139,8 +139,8 @@ def _sorted_units(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 def _likely(batches):
     """Rows that have a likely partner in their unit."""
-    table = pa.Table.from_batches(list(batches))  # TASK_ROWS or so
-    if not len(table):
+    table = whole(batches)  # TASK_ROWS or so
+    if table is None:
         return
     order, begin = _sorted_units(table)
     sign = np.frombuffer(b"".join(table.column("signs").to_pylist()), np.uint64).reshape(-1, SIGN_WORDS)[order]
@@ -177,8 +177,8 @@ def _first_meeting(cell: int, a: np.ndarray, b: np.ndarray, codes: np.ndarray) -
 
 def _compared(batches):
     """(node, links, root): links that are counted in a unit, and the unit's first member that the node is linked to."""
-    table = pa.Table.from_batches(list(batches))
-    if not len(table):
+    table = whole(batches)
+    if table is None:
         return
     order, begin = _sorted_units(table)
     table = table.take(pa.array(order))
@@ -238,7 +238,17 @@ def lattice_links(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_id
     told = nodes.select("node", "copies", "least").join(links, "node", "left").join(joined, "node", "left")
     told = scratch.save(told.withColumns({"root": F.coalesce("root", "node"), "links": F.coalesce("links", F.lit(0)) + F.col("copies") - 1}), "told")
     groups = told.groupBy("root").agg(F.min("least").alias("component"))
-    told = told.join(groups, "root").select("node", "links", "component")
+    # written: a join of two plain shuffles is one that Spark splits where a vector is hot
+    told = scratch.save(told.join(groups, "root").select("node", "links", "component"), "by_node")
     valid = rows.where("unit IS NOT NULL").join(told, "node").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("unit IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return valid.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x),
+n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON vec_id = c.x LEFT JOIN n ON vec_id = n.x"""

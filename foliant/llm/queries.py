@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_reputation.url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+    return url_reputation.url_verdicts(spark, table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +65,7 @@ QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_piece_codec, op3_simh
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.oracle(),
     "op7_bloom_dedup": bloom_dedup.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
+    "op9_lattice_links": lattice_links.ORACLE,
     "op10_warc_zstd": warc_zstd.ORACLE,
 }
