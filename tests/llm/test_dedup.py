@@ -62,8 +62,9 @@ def brute_components(ids, fps):
     return [least[k] for k in label.tolist()]
 
 
-@pytest.mark.parametrize("which", ["odd", "table"])
-def test_simhash_equals_brute_force(spark, odd, sf, which):
+@pytest.mark.parametrize(("which", "block"), [("odd", 250_000), ("table", 250_000), ("table", 20), ("table", 3)])
+def test_simhash_equals_brute_force(spark, odd, sf, which, block, monkeypatch):
+    monkeypatch.setattr(simhash_links, "BLOCK", block)
     df = odd if which == "odd" else spark.read.parquet(f"{sf}/documents.parquet")
     docs = texts(df)
     fps = [reference_fingerprint(t) for _, t in docs]
@@ -132,7 +133,9 @@ def brute_removed(docs):
         yield len(x), int(flags.sum()), starts, np.frombuffer(x, np.uint8)[~flags].tobytes()
 
 
-def test_suffix_dedup_equals_brute_force(spark, odd, sf):
+@pytest.mark.parametrize("most", [suffix_dedup.MOST_SEGMENTS, 2])
+def test_suffix_dedup_equals_brute_force(spark, odd, sf, most, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", most)
     draw = np.random.default_rng(1)
     passage = bytes(draw.integers(97, 123, 700)).decode()
     extra = [(100, "x" * 450, None, None), (101, "ab" * 300, None, None), (102, passage, None, None), (103, "left " + passage[100:600] + " right", None, None), (104, passage[:199], None, None), (105, "é" * 130, None, None)]
