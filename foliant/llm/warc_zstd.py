@@ -26,6 +26,7 @@ EMPTY_FRAME = "P*M\x18\0\0\0\0"
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 #: Smallest payload that is written once, records that a dictionary is trained from, and its size.
 LEAST_SHARED, SAMPLES, DICT_BYTES = 1000, 200, 16 << 10
+LEAST_STEP = 4 << 10
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, problem string"
 
 
@@ -93,12 +94,14 @@ def frames_of(archive: bytes):
         if magic != FRAME_MAGIC:
             raise ValueError(f"no frame begins at byte {at}")
         unpacker, first = unpacker or zstandard.ZstdDecompressor(), False
-        one = unpacker.decompressobj()
-        data = one.decompress(view[at:])
+        one, parts, to, step = unpacker.decompressobj(), [], at, LEAST_STEP
+        while not one.eof and to < len(view):  # in steps: what is handed over beyond a frame is copied back
+            parts.append(one.decompress(view[to : to + step]))
+            to, step = min(to + step, len(view)), 2 * step
         if not one.eof:
             raise ValueError(f"the frame at byte {at} is cut short")
-        at = len(view) - len(one.unused_data)
-        yield data
+        at = to - len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parse_record(data: bytes) -> tuple:
