@@ -258,21 +258,16 @@ LINES = "line int, delimiter string, cells array<string>"
 def split_rows(text: str, delimiter: str, most: int = MOST_ROWS) -> Iterator[list[str]]:
     """Rows of cells: a quote may open within a cell, doubled quotes are one, quoted line ends stay, and rows
     of one empty cell are left out."""
-    token = re.compile(f'[^"\r\n{re.escape(delimiter)}]+|""|"|\r\n|[\r\n]|{re.escape(delimiter)}')
-    row, cell, quoted, given = [], [], False, 0
-    for m in token.finditer(text):
-        t = m[0]
-        if quoted:
-            if t == '""':
-                cell.append('"')
-            elif t == '"':
-                quoted = False
-            else:
-                cell.append(t)
-        elif t == '""':
-            continue
-        elif t == '"':
-            quoted = True
+    outside = re.compile(f'[^"\r\n{re.escape(delimiter)}]+|"|\r\n|[\r\n]|{re.escape(delimiter)}')
+    inside = re.compile('[^"]+|""|"')
+    row, cell, quoted, given, at = [], [], False, 0, 0
+    while at < len(text):
+        t = (inside if quoted else outside).match(text, at)[0]
+        at += len(t)
+        if t == '"':
+            quoted = not quoted
+        elif quoted:
+            cell.append('"' if t == '""' else t)
         elif t == delimiter:
             row.append("".join(cell))
             cell = []
