@@ -23,7 +23,7 @@ from foliant.llm.common import Numbered, Scratch, ranges, slices, unsliced
 WINDOW, END = 2048, 1
 #: Tokens of a shard, terms of a query, BM25's constants, words that a worker's table holds, slices
 #: in which the counts of terms are summed, and bytes of text that are encoded at once.
-SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES = 3_000_000, 12, 1.2, 0.75, 400_000, 16, 8 << 20
+SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES = 3_000_000, 12, 1.2, 0.75, 300_000, 16, 8 << 20
 WORD_END, SPACER = "</w>", "\0"
 TAIL = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -62,19 +62,22 @@ class WordIds:
         if len(self.core) > TABLE_WORDS:
             self._clear()
         line = SPACER.join(words)
-        low = line.lower().split(SPACER) if max(line, default="") < "\u0180" else []
-        if len(low) != len(words):  # rare letters: word by word
-            low = [w.lower() if max(w, default="") < "\u0180" else w for w in words]
+        common = max(line, default="") < "\u0180"
+        rare = lambda w: not common and max(w, default="") >= "\u0180"
+        low = line.lower().split(SPACER) if common else []
+        if len(low) != len(words):  # word by word
+            common = False
+            low = [w if rare(w) else w.lower() for w in words]
         body = [w.rstrip(TAIL) for w in low]
         tail = [w[len(b) :] for w, b in zip(low, body, strict=True)]
         for k, (b, w) in enumerate(zip(body, low, strict=True)):
-            if not b.isalpha() and ((self.mark in w and any(x in w for x in self.special)) or not b or not b[-1].isalnum()) or max(w, default="") >= "\u0180":
+            if not b.isalpha() and ((self.mark in w and any(x in w for x in self.special)) or not b or not b[-1].isalnum()) or rare(w):
                 body[k], tail[k] = words[k], ""
         core, known = self.core, len(self.core)
         parts = np.stack([np.fromiter(map(core.__getitem__, x), np.int32, len(x)) for x in (body, tail)], axis=1)
         fresh = list(islice(core, known, None))
         # U+0130 is a letter and a mark once it is lower case
-        letters = np.fromiter((w.isalpha() and max(w) < "\u0180" and "\u0130" not in w for w in fresh), bool, len(fresh))
+        letters = np.fromiter((w.isalpha() and not rare(w) and "\u0130" not in w for w in fresh), bool, len(fresh))
         plain, others = [w for w, is_ in zip(fresh, letters, strict=True) if is_], [w for w, is_ in zip(fresh, letters, strict=True) if not is_]
         lines = [" ".join(plain[k : k + 5000]) for k in range(0, len(plain), 5000)]
         ids = np.concatenate([np.zeros(0, np.int64), *[np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]])
