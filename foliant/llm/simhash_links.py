@@ -20,12 +20,15 @@ SEED = 42
 #: The contract's fingerprint and links: 64 bits of three-word shingles, 3 differing bits. Two such
 #: fingerprints agree in at least one of four bands, so that the shards lose no link.
 SHINGLE, RADIUS, BAND_BITS = 3, 3, 16
-#: Near copies: shingles of five words, 512 bits. Sets with a Jaccard similarity of 0.8 differ in 77
-#: bits, with a deviation of 8; 39 bands of 13 bits meet 99.3 % of such pairs and 99.9 % at 0.85.
-COPY_SHINGLE, COPY_WORDS, COPY_RADIUS, COPY_BAND_BITS = 5, 8, 88, 13
+#: Near copies: sets of shingles of five words, 512 bits. Sets with a Jaccard similarity of 0.8 differ in
+#: 77 bits, with a deviation of 8, so that 4 deviations more are candidates; 39 bands of 13 bits meet
+#: 99.3 % of such pairs and 99.9 % at 0.85. The sets themselves decide: COPY_SHARE is their similarity.
+COPY_SHINGLE, COPY_WORDS, COPY_RADIUS, COPY_BAND_BITS, COPY_SHARE = 5, 8, 109, 13, (4, 5)
 #: Rows of bands a task handles, distances computed at once, and fingerprints of a tree: a larger shard
 #: is dealt out as pairs of blocks.
 SHARD_ROWS, AT_ONCE, BLOCK = 300_000, 2_000_000, 250_000
+#: Shingles of a block of candidates; a larger group of candidates is dealt out as pairs of blocks.
+SET_BLOCK = 1_000_000
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -165,6 +168,26 @@ def _links(words: int, radius: int):
     return run
 
 
+def _candidates(spark: SparkSession, scratch: Scratch, nodes: DataFrame, words: int, radius: int, band_bits: int) -> DataFrame:
+    """(node, root) of the nodes(node, fp) that links within the radius join to a smaller one."""
+    count, schema, blocks = nodes.count(), "shard long, low int, high int, node long, fp binary", {}
+    if count > BLOCK:  # else no shard can be larger; at most count * bands / BLOCK shards are
+        sizes = nodes.select("node", "fp").mapInArrow(_bands(words, band_bits, {}), schema).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+        blocks = {r.shard: -(-r.n // BLOCK) for r in sizes.where(F.col("n") > BLOCK).collect()}
+    shards = shards_for(count * (words * 64 // band_bits), SHARD_ROWS)
+    dealt = nodes.select("node", "fp").mapInArrow(_bands(words, band_bits, blocks), schema).repartition(shards, "shard", "low", "high")
+    return components(spark, scratch, dealt.mapInArrow(_links(words, radius), "a long, b long"))
+
+
+def _by_node(scratch: Scratch, nodes: DataFrame, roots_of: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest id of each node's component; nodes without a link are their own."""
+    linked = nodes.join(roots_of, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    linked = scratch.save(linked, "linked")
+    groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written: a join of two plain shuffles is one that Spark splits where a node is hot
+    return scratch.save(linked.join(groups, "root").select("node", "component_id"), "by_node")
+
+
 def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, words: int = 1, radius: int = RADIUS, band_bits: int = BAND_BITS) -> DataFrame:
     """doc_id, fingerprint (hexadecimal) and component_id of every row of docs(doc_id, text).
 
@@ -176,29 +199,122 @@ def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = SHIN
     scratch = Scratch(spark)
     rows = scratch.save(fingerprints(docs, shingle, words).withColumn("node", F.xxhash64("fp")), "fingerprints")
     nodes = scratch.save(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
-    count, schema, blocks = nodes.count(), "shard long, low int, high int, node long, fp binary", {}
-    if count > BLOCK:  # else no shard can be larger; at most count * bands / BLOCK shards are
-        sizes = nodes.select("node", "fp").mapInArrow(_bands(words, band_bits, {}), schema).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-        blocks = {r.shard: -(-r.n // BLOCK) for r in sizes.where(F.col("n") > BLOCK).collect()}
-    shards = shards_for(count * (words * 64 // band_bits), SHARD_ROWS)
-    dealt = nodes.select("node", "fp").mapInArrow(_bands(words, band_bits, blocks), schema).repartition(shards, "shard", "low", "high")
-    roots_of = components(spark, scratch, dealt.mapInArrow(_links(words, radius), "a long, b long"))
-    # nodes without a link are their own component
-    linked = nodes.join(roots_of, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    linked = scratch.save(linked, "linked")
-    groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    # written: a join of two plain shuffles is one that Spark splits where a fingerprint is hot
-    by_node = scratch.save(linked.join(groups, "root").select("node", "component_id"), "by_node")
+    by_node = _by_node(scratch, nodes, _candidates(spark, scratch, nodes, words, radius, band_bits))
     return rows.join(by_node, "node").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def shingle_sets(docs: DataFrame) -> DataFrame:
+    """Of every row's set of five-word shingles: doc_id, node (its hash), fp and n (its size)."""
+
+    def run(batches):
+        for batch in batches:
+            nodes, fps, sizes = [], [], []
+            for x in column_bytes(batch.column(1)):
+                own = np.unique(shingle_hashes(x, COPY_SHINGLE))
+                nodes.append(node_of(own))
+                fps.append(fingerprint(own, COPY_WORDS))
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "node", "fp", "n"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp binary, n long")
+
+
+def node_of(own: np.ndarray) -> int:
+    h = xxhash.xxh64_intdigest(own.tobytes(), SEED)
+    return h - (h >> 63 << 64)
+
+
+def copies(sets: list[np.ndarray]) -> np.ndarray:
+    """The first member of each set's group, of links between sets whose similarity is COPY_SHARE or more.
+
+    One set is compared with all at a time. That is needed only for sets outside the largest group, as a
+    link between two groups is found from either end, so that a dense group costs a few comparisons."""
+    count, label, led = len(sets), np.arange(len(sets)), np.zeros(len(sets), bool)
+    size = np.array([len(x) for x in sets], np.int64)
+    code, owner = np.unique(np.concatenate(sets), return_inverse=True)[1], np.repeat(np.arange(count), size)
+    ends, held = np.cumsum(size), np.zeros(len(code), bool)
+    over, under = COPY_SHARE
+    while True:
+        waiting = np.flatnonzero(~led)
+        largest = np.bincount(label[waiting]).argmax() if len(waiting) else 0
+        waiting = waiting[label[waiting] != largest]
+        if not len(waiting):
+            return label
+        i = waiting[0]
+        own = code[ends[i] - size[i] : ends[i]]
+        held[own] = True
+        both = np.bincount(owner[held[code]], minlength=count)
+        held[own] = False
+        near = np.unique(label[(under * both >= over * (size + size[i] - both)) & (both > 0) | (np.arange(count) == i)])
+        label[np.isin(label, near)] = near[0]
+        led[i] = True
+
+
+def _blocks(blocks: dict[int, int]):
+    """(root, low, high, node, shingles) of candidates (root, node, text): a row for each, and in a group of several
+    blocks for each pair with the own one. Ids may repeat: texts of another node are left out."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for root, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2)), strict=True):
+                own = np.unique(shingle_hashes(text, COPY_SHINGLE))
+                if node_of(own) != node:
+                    continue
+                parts, raw = blocks.get(root, 1), own.tobytes()
+                out += [(root, min(node % parts, k), max(node % parts, k), node, raw) for k in range(parts)]
+                if len(out) >= 500:  # sets are long
+                    yield _dealt(out)
+                    out = []
+            if out:
+                yield _dealt(out)
+
+    return run
+
+
+def _dealt(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["root", "low", "high", "node", "shingles"])
+
+
+def _checked(batches):
+    """(a, b): links between candidates whose sets are similar."""
+    table = whole(batches)  # SET_BLOCK * 2 shingles or so
+    if table is None:
+        return
+    root, low, high, node = (table.column(k).to_numpy() for k in range(4))
+    order = np.lexsort((node, high, low, root))
+    key = np.stack([root[order], low[order], high[order]])
+    starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        members = order[at:end]
+        members = members[np.r_[True, node[members[1:]] != node[members[:-1]]]]
+        first = copies([np.frombuffer(x, np.uint64) for x in table.column(4).take(pa.array(members)).to_pylist()])
+        moved = np.flatnonzero(first != np.arange(len(first)))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(node[members[moved]]), pa.array(node[members[first[moved]]])], ["a", "b"])
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the near copies of a document with a smaller id.
 
-    Near copies are linked at a similarity of 0.8 or more of their five-word shingles, as their
-    512-bit fingerprints tell it. Rows without an id stay and link nothing; rows that share the id
-    that stays all stay."""
-    named = docs.where("doc_id IS NOT NULL")
-    found = simhash_components(spark, named, COPY_SHINGLE, COPY_WORDS, COPY_RADIUS, COPY_BAND_BITS)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    Near copies are linked at a Jaccard similarity of 0.8 or more of their sets of five-word shingles.
+    512-bit fingerprints of the sets bring candidates together, the sets themselves decide. Equal sets
+    are one node. Rows without an id stay and link nothing; rows that share the id that stays all stay."""
+    named, scratch = docs.where("doc_id IS NOT NULL"), Scratch(spark)
+    rows = scratch.save(shingle_sets(named), "sets")
+    nodes = scratch.save(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "nodes")
+    found = _candidates(spark, scratch, nodes, COPY_WORDS, COPY_RADIUS, COPY_BAND_BITS)
+    members = found.union(found.select("root", "root").distinct()).join(nodes.select("node", "least", "n"), "node")
+    members = scratch.save(members, "members")
+    groups = members.groupBy("root").agg(F.sum("n").alias("n"))
+    large = {r.root: r.n for r in groups.where(F.col("n") > SET_BLOCK).collect()}  # few: each has a block and more
+    blocks = {root: -(-n // SET_BLOCK) for root, n in large.items()}
+    total = (groups.agg(F.sum("n")).first()[0] or 0) + sum((blocks[root] - 1) * n for root, n in large.items())
+    texts = named.select("doc_id", "text").join(members.selectExpr("least AS doc_id", "root", "node"), "doc_id").select("root", "node", "text")
+    dealt = texts.mapInArrow(_blocks(blocks), "root long, low int, high int, node long, shingles binary")
+    dealt = dealt.repartition(shards_for(total, SET_BLOCK), "root", "low", "high")
+    roots_of = components(spark, Scratch(spark), dealt.mapInArrow(_checked, "a long, b long"))
+    by_node = _by_node(scratch, nodes, roots_of)
+    gone = rows.join(by_node, "node").where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -107,6 +107,47 @@ def test_near_dedup_catches_copies_and_keeps_the_rest(spark):
     assert sorted(r.doc_id for r in simhash_links.near_dedup(spark, df).collect()) == [2 * k for k in range(60)]
 
 
+def test_near_dedup_compares_sets(spark):
+    """A line that a document repeats counts once; a copy that repeats it otherwise is still a copy."""
+    draw = np.random.default_rng(4)
+    words = lambda n: " ".join("".join(chr(97 + c) for c in draw.integers(0, 26, 7)) for _ in range(n))
+    line, other, own = words(17), words(17), words(300)
+    rows = [(k, f"{words(300)} " + f"{line} " * 20) for k in range(8)] + [(8, f"{own} {other}"), (9, f"{own} " + f"{other} " * 40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_links.near_dedup(spark, df).collect()) == list(range(9))
+
+
+def test_copy_fingerprints_find_pairs_at_the_limit():
+    draw, found = np.random.default_rng(6), 0
+    for _ in range(500):  # 300 and 300 shingles, 267 shared: a similarity of 0.802
+        h = draw.integers(0, 1 << 63, 333).astype(np.uint64) << np.uint64(1)
+        a, b = (np.frombuffer(simhash_links.fingerprint(x, simhash_links.COPY_WORDS), np.uint8) for x in (h[:300], h[33:]))
+        apart = np.unpackbits(a ^ b)
+        bands = apart[: len(apart) // simhash_links.COPY_BAND_BITS * simhash_links.COPY_BAND_BITS].reshape(-1, simhash_links.COPY_BAND_BITS)
+        found += apart.sum() <= simhash_links.COPY_RADIUS and not bands.any(axis=1).all()
+    assert found >= 485
+
+
+@pytest.mark.parametrize("block", [2_000_000, 300])
+def test_near_dedup_equals_brute_force(spark, block, monkeypatch):
+    """Groups whose members aren't all similar, in one block and in several."""
+    monkeypatch.setattr(simhash_links, "SET_BLOCK", block)
+    draw, rows = np.random.default_rng(8), []
+    word = lambda: "".join(chr(97 + c) for c in draw.integers(0, 26, 7))
+    for _ in range(8):
+        base = [word() for _ in range(200)]
+        for changes in (0, 1, 2, 3, 4, 6, 8, 10):
+            text = list(base)
+            for at in draw.integers(0, 200, changes):
+                text[at] = word()
+            rows.append((len(rows), " ".join(text)))
+    sets = [{" ".join(t.split()[i : i + 5]) for i in range(196)} for _, t in rows]
+    pairs = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    label = common.roots(len(sets), *np.array(pairs).T)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash_links.near_dedup(spark, df).collect()) == sorted(set(label.tolist()))
+
+
 def test_components(spark):
     draw = np.random.default_rng(5)
     a, b = draw.integers(0, 400, 300), draw.integers(0, 400, 300)
