@@ -137,3 +137,18 @@ def test_normalise(spark):
 def test_control_census(spark):
     found = one(spark, "ab\x07\nc\x1bd\x07", content.control_census)
     assert [(c.code, c.name, c.offset, c.line, c.col, c.occurrences) for c in found] == [(7, "BEL", 2, 1, 3, 2), (27, "ESC", 5, 2, 2, 1)]
+
+
+def test_control_bytes_reads_whole_texts(spark, tmp_path):
+    from foliant.plans import texts
+
+    docs = [(1, "x" * 70 + "\x07y\n\x0c" + "z" * 30 + "\x0c"), (2, "short"), (3, "a" * 45 + "\x01")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = set()
+    for i, text in docs:
+        t = text[:40] + "\x07\n\x1b\x07" + text[40:60] + "\x7f" + text[60:]
+        for c in {c for c in t if (ord(c) < 32 and c not in "\t\n\r") or c == "\x7f"}:
+            at = t.index(c)
+            want.add((i, ord(c), at, t.count("\n", 0, at) + 1, at - t.rfind("\n", 0, at), t.count(c)))
+    got = {(r.doc_id, r.code, r.offset, r.line, r.col, r.occurrences) for r in texts.control_bytes(spark, str(tmp_path)).collect()}
+    assert got == want
