@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 #: Limits of an archive: entries, inflated bytes of one, and how far it may inflate.
 MOST_ENTRIES, MOST_INFLATED, MOST_RATIO = 8192, 64 << 20, 500
-MOST_SHEET_ROWS = 100_000
 
 
 def scan(spark: SparkSession, path: str, most_bytes: int | None = None, glob: str | None = None) -> DataFrame:
@@ -147,9 +146,12 @@ def sheet_rows(raw: bytes) -> Iterator[tuple]:
     with _open(raw) as archive:
         texts = ["".join(t.text or "" for t in _all(si, "t")) for si in _all(_xml(archive, "xl/sharedStrings.xml"), "si")]
         parts = _related(archive, "xl/workbook.xml")
-        for sheet in _all(_xml(archive, "xl/workbook.xml"), "sheet"):
+        sheets = _all(_xml(archive, "xl/workbook.xml"), "sheet")
+        if not sheets:
+            raise ValueError("no sheets")
+        for sheet in sheets:
             tree = _xml(archive, parts.get(_attribute(sheet, "id") or "", ""))
-            for n, row in enumerate(_all(tree, "row")[:MOST_SHEET_ROWS]):
+            for n, row in enumerate(_all(tree, "row")):
                 cells, formulas = [], []
                 for c in (x for x in row if _local(x) == "c"):
                     kind, v, f = c.get("t"), next(iter(_all(c, "v")), None), next(iter(_all(c, "f")), None)
@@ -251,11 +253,11 @@ def mail(raw: bytes) -> Iterator[tuple]:
     yield m["subject"], m["from"], to, sent, body, markup, attached
 
 
-DELIMITERS, SNIFFED_ROWS, MOST_ROWS = ",;\t|", 50, 1_000_000
+DELIMITERS, SNIFFED_ROWS = ",;\t|", 50
 LINES = "line int, delimiter string, cells array<string>"
 
 
-def split_rows(text: str, delimiter: str, most: int = MOST_ROWS) -> Iterator[list[str]]:
+def split_rows(text: str, delimiter: str, most: int | None = None) -> Iterator[list[str]]:
     """Rows of cells: a quote may open within a cell, doubled quotes are one, quoted line ends stay, and rows
     of one empty cell are left out."""
     outside = re.compile(f'[^"\r\n{re.escape(delimiter)}]+|"|\r\n|[\r\n]|{re.escape(delimiter)}')
@@ -276,7 +278,7 @@ def split_rows(text: str, delimiter: str, most: int = MOST_ROWS) -> Iterator[lis
             if row != [""]:
                 yield row
                 given += 1
-                if given >= most:
+                if given == most:
                     return
             row, cell = [], []
         else:

@@ -164,3 +164,17 @@ def test_risky_names_are_parts_of_formulas(spark):
 
     df = spark.createDataFrame([("RECALL(1)",), ("ddeauto",), ("SUM(A1)",), (None,)], "f string")
     assert [r.x for r in df.select(office.risky(F.col("f")).alias("x")).collect()] == ["CALL", "DDE", None, None]
+
+
+def test_no_row_is_cut():
+    sheet = f'<worksheet xmlns="{M}"><sheetData>{"<row><c><v>1</v></c></row>" * 100_003}</sheetData></worksheet>'
+    raw = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(xlsx())) as old, zipfile.ZipFile(raw, "w") as new:
+        for name in old.namelist():
+            new.writestr(name, sheet if name == "xl/worksheets/a.xml" else old.read(name))
+    assert sum(1 for _ in files.sheet_rows(raw.getvalue())) == 100_003
+    assert sum(1 for _ in files.delimited(b"a,b\n" * 1_000_003)) == 1_000_003
+
+
+def test_workbook_without_sheets_is_a_problem(spark):
+    assert "no sheets" in rows(spark, "xlsx", zipped(**{"xl__workbook_x_xml": f'<workbook xmlns="{M}"><sheets/></workbook>'}))[0].problem
