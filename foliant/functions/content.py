@@ -1,9 +1,13 @@
-"""Bytes: hashes, encodings, control characters, file formats."""
+"""Bytes and what they stand for: hashes, encodings, control characters, transliteration, file formats."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Most bytes that encoding checks take.
 MOST_BYTES = 256 << 20
@@ -131,3 +135,67 @@ def is_mismatch(detected: Column, declared: Column) -> Column:
     palm = ("mobi", "palmdoc")
     known = (detected != "unknown") & (declared != "unknown")
     return known & (detected != declared) & ~(detected.isin(*palm) & declared.isin(*palm))
+
+
+#: What each format is called, which ones are converted, and where others belong.
+NAMES = {"epub": "EPUB", "mobi": "MOBI", "palmdoc": "PalmDOC", "djvu": "DjVu", "doc": "Word 97-2003", "docx": "Word", "pdf": "PDF", "rtf": "RTF", "zip": "a ZIP archive", "ole2": "an OLE2 file", "unknown": "of an unknown format"}
+CONVERTED = ("epub", "mobi", "palmdoc", "djvu", "ole2")
+ELSEWHERE = {"pdf": "Use the PDF operations.", "docx": "Use the Word operations.", "zip": "Use the archive inspection."}
+
+
+def detection(name: Column, content: Column) -> Column:
+    """struct(detected, declared, mismatch, supported, problem): what a file is, and why it isn't converted if so."""
+    names = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    hints = F.create_map(*[F.lit(x) for pair in ELSEWHERE.items() for x in pair])
+
+    def told(kinds: Column) -> Column:
+        wrong = is_mismatch(kinds["detected"], kinds["declared"])
+        detail = F.concat_ws(
+            " ",
+            F.concat(F.lit("The file is "), F.element_at(names, kinds["detected"]), F.lit(".")),
+            F.when(wrong, F.concat(F.lit("Its name says "), F.element_at(names, kinds["declared"]), F.lit("."))),
+            F.try_element_at(hints, kinds["detected"]),
+        )
+        fits = kinds["detected"].isin(*CONVERTED)
+        refused = F.when(~fits, F.struct(F.lit(415).alias("status"), F.lit("Unsupported Media Type").alias("title"), detail.alias("detail")))
+        return F.struct(kinds["detected"].alias("detected"), kinds["declared"].alias("declared"), wrong.alias("mismatch"), fits.alias("supported"), refused.alias("problem"))
+
+    return F.element_at(F.transform(F.array(F.struct(sniff(content).alias("detected"), declared_format(name).alias("declared"))), told), 1)
+
+
+#: Spellings of characters that code page 1252 hasn't got.
+SPELLINGS = {
+    "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2015": "--", "\u2032": "'", "\u2033": '"', "\u2035": "'", "\u2044": "/", "\u2212": "-",
+    "\u2248": "~", "\u2260": "!=", "\u2264": "<=", "\u2265": ">=", "\u2190": "<-", "\u2192": "->", "\u2194": "<->",
+    "\u2007": " ", "\u2008": " ", "\u2009": " ", "\u202f": " ", "\u200b": "", "\u200c": "", "\u200d": "", "\ufeff": "",
+    "\u25aa": "-", "\u25cb": "-", "\u25cf": "-",
+}
+
+
+def _in_1252(c: str) -> bool:
+    if c in "\n\t" or " " <= c <= "~" or "\xa0" <= c <= "\xff":
+        return True
+    try:
+        return ord(c) > 255 and len(c.encode("cp1252")) == 1
+    except UnicodeEncodeError:
+        return False
+
+
+def spelled(text: str) -> str:
+    """A text in the characters of code page 1252: other characters by their spelling, without their accents, or as "?"."""
+    changed = {}
+    for c in set(text):
+        if not _in_1252(c):
+            bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn" and _in_1252(x))
+            changed[ord(c)] = SPELLINGS.get(c, bare or "?" * (1 + (ord(c) > 0xFFFF)))
+    return text.translate(changed) if changed else text
+
+
+def transliterate(text: Column) -> Column:
+    """spelled in Arrow batches, since normal forms aren't a function of Spark; texts of those characters alone stay in the JVM."""
+
+    @F.arrow_udf(StringType())
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else spelled(x) for x in texts.to_pylist()], pa.string())
+
+    return F.coalesce(run(text), F.lit(""))

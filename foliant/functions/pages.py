@@ -77,6 +77,14 @@ def insert_blank(pages: Column, at: Column, count: int = 1) -> Column:
     return F.when(inside, F.concat(F.slice(pages, F.lit(1), at - 1), F.array(*[F.lit("")] * count), F.slice(pages, at, F.size(pages))))
 
 
+def rotate(angles: Column, chosen: Column, degrees: int) -> Column:
+    """Angles of pages (0 to 270) after those chosen (numbers from 0; null: all) were turned by a multiple of 90 degrees."""
+    if degrees % 90:
+        raise ValueError("pages turn by multiples of 90 degrees")
+    turned = lambda a: F.pmod(F.coalesce(a, F.lit(0)) + degrees, F.lit(360)).cast("int")
+    return F.transform(angles, lambda a, i: F.when(chosen.isNull() | F.array_contains(chosen, i), turned(a)).otherwise(F.coalesce(a, F.lit(0))))
+
+
 def column_letters(index: Column) -> Column:
     """A spreadsheet's column name of a number from 1."""
     steps = F.sequence(F.lit(1), F.lit(7))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions.spans import spans
+from foliant.functions.spans import matches, places
 from foliant.functions.text import bound
 
 CONTEXT = 60
@@ -35,24 +35,29 @@ PATTERNS = (
 )
 
 
+#: What a text must hold for some patterns to match at all.
+HINTS = {"email": "@", ("phone", "ES"): "+34", ("phone", "FR"): "+33", ("phone", "DE"): "+49", ("phone", "UK"): "+44", ("phone", "PT"): "+351"}
+
+
 def pii(text: Column) -> Column:
-    """Array of structs (pii_type, country, value, start, end, context). Of equal spans of a type the one of
+    """Array of structs (start, pii_type, end, country, value, context). Of equal spans of a type the one of
     the first pattern stays; a blank text has none. The array is in order of start, type and end."""
-    found = []
-    for pattern, kind, country in PATTERNS:
-        tagged = F.transform(
-            spans(text, f"(?U){pattern}", CONTEXT),
-            _tag(kind, country),
-        )
-        found.append(tagged)
-    same = lambda x: lambda y: (y["pii_type"] == x["pii_type"]) & (y["start"] == x["start"]) & (y["end"] == x["end"])
-    first = bound(F.concat(*found), lambda every: F.filter(every, lambda x, i: ~F.exists(F.slice(every, 1, i), same(x))))
-    ordered = F.array_sort(F.transform(first, lambda x: F.struct(x["start"], x["pii_type"], x["end"], x["country"], x["value"], x["context"])))
-    return F.when(text.rlike(NEEDED), ordered).otherwise(F.array())
-
-
-def _tag(kind: str, country: str | None):
-    return lambda s: F.struct(F.lit(kind).alias("pii_type"), F.lit(country).cast("string").alias("country"), s["match"].alias("value"), s["start"].alias("start"), s["end"].alias("end"), s["context"].alias("context"))
+    each = []
+    for rank, (pattern, kind, country) in enumerate(PATTERNS):
+        hint = HINTS.get(kind) or HINTS.get((kind, country))
+        m = matches(text, f"(?U){pattern}")
+        found = F.when(text.contains(hint), m["found"]).otherwise(F.array().cast("array<string>")) if hint else m["found"]
+        each.append(F.struct(F.lit(rank).alias("rank"), F.lit(kind).alias("pii_type"), F.lit(country).cast("string").alias("country"), m["pattern"].alias("pattern"), found.alias("found")))
+
+    def tagged(m):
+        return F.transform(places(text, m, CONTEXT), lambda s: F.struct(s["start"].alias("start"), m["pii_type"].alias("pii_type"), s["end"].alias("end"), m["rank"].alias("rank"), m["country"].alias("country"), s["match"].alias("value"), s["context"].alias("context")))
+
+    some = F.filter(F.array(*each), lambda m: F.size(m["found"]) > 0)
+    same = lambda x, y: (y["pii_type"] == x["pii_type"]) & (y["start"] == x["start"]) & (y["end"] == x["end"])
+    # in order, equal spans are neighbours
+    first = lambda every: F.filter(every, lambda x, i: (i == 0) | ~same(x, F.element_at(every, F.greatest(i, F.lit(1)))))
+    told = F.transform(bound(F.array_sort(F.flatten(F.transform(some, tagged))), first), lambda x: x.dropFields("rank"))
+    return F.when(text.rlike(NEEDED), told).otherwise(F.array())
 
 
 def pii_matches(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:

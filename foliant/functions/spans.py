@@ -1,43 +1,69 @@
 """Where a pattern matches: spans with context, by expressions alone.
 
-The matches and the gaps between them tell all offsets, so that no Python runs: match i starts at the
-lengths of the gaps up to it and of the matches before it. Patterns must not match the empty text.
+The matches and the gaps between them tell all offsets, so that no Python runs. Offsets are sums over
+the gaps and matches before; they are taken in blocks of about the square root of their number, and
+contexts are cut from pieces of the text, so that a text with very many matches costs little more than
+each of them. Patterns must not match the empty text.
 """
 
 from __future__ import annotations
 
 import re
+from re import _constants as op
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions.text import bound
 
+#: Characters of the pieces that contexts are cut from.
+PIECE = 1024
 
-def groups_of(pattern: str) -> str:
-    """The pattern as one group."""
-    return f"({pattern})"
+
+def matches(text: Column, pattern: str) -> Column:
+    """struct(pattern, found): what places reads. Only the matches; most texts have none, and need no more."""
+    return F.struct(F.lit(pattern).alias("pattern"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
 
 
 def spans(text: Column, pattern: str, context: int = 80) -> Column:
     """Array of structs (match, start, end, context); offsets in code points from 0, the end exclusive."""
-    found = F.regexp_extract_all(text, F.lit(groups_of(pattern)), F.lit(1))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    add = lambda acc, x: acc + x
+    return bound(matches(text, pattern), lambda m: places(text, m, context))
+
+
+def places(text: Column, m: Column, context: int) -> Column:
+    """The spans of matches m in the text."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+    gaps = F.transform(F.split(text, m["pattern"], -1), lambda g: F.length(g))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    width = F.ceil(F.sqrt(F.size(m["found"]))).cast("int")
+
+    def with_steps(p):
+        steps = F.zip_with(p["gaps"], F.transform(m["found"], lambda x: F.length(x)), lambda g, n: g + F.coalesce(n, F.lit(0)))
+        return F.struct(p["gaps"].alias("gaps"), p["pieces"].alias("pieces"), p["width"].alias("width"), steps.alias("steps"))
 
-    def places(parts):
+    def with_sums(p):
+        each = F.transform(F.sequence(F.lit(0), p["width"]), lambda b: total(F.slice(p["steps"], b * p["width"] + 1, p["width"])))
+        upto = bound(each, lambda sums: F.transform(sums, lambda _, b: total(F.slice(sums, 1, b))))
+        return F.struct(*[p[k].alias(k) for k in ("gaps", "pieces", "steps", "width")], upto.alias("upto"))
+
+    def every(p):
         def place(match, i):
-            before = F.aggregate(F.slice(parts["found"], 1, i), F.lit(0), lambda acc, m: acc + F.length(m))
-            start = F.aggregate(F.slice(parts["gaps"], 1, i + 1), F.lit(0), add) + before
-            end = start + F.length(match)
-            low = F.greatest(start - context, F.lit(0))
-            around = F.substring(text, low + 1, end + context - low)
-            return F.struct(match.alias("match"), start.alias("start"), end.alias("end"), around.alias("context"))
+            block = F.floor(i / p["width"]).cast("int")
+            inside = total(F.slice(p["steps"], block * p["width"] + 1, i % p["width"]))
+            start = F.element_at(p["upto"], block + 1) + inside + F.element_at(p["gaps"], i + 1)
+            return bound(F.struct(match.alias("match"), start.alias("start"), (start + F.length(match)).alias("end")), lambda s: told(p["pieces"], s))
+
+        return F.transform(m["found"], place)
 
-        return F.transform(parts["found"], place)
+    def told(pieces, s):
+        low = F.greatest(s["start"] - context, F.lit(0))
+        first = F.floor(low / PIECE).cast("int")
+        near = F.array_join(F.slice(pieces, first + 1, F.floor((s["end"] + context) / PIECE).cast("int") - first + 1), "")
+        return F.struct(s["match"].alias("match"), s["start"].alias("start"), s["end"].alias("end"), F.substring(near, low - first * PIECE + 1, s["end"] + context - low).alias("context"))
 
-    every = bound(F.struct(found.alias("found"), gaps.alias("gaps")), places)
-    return F.when(text.rlike(pattern), every).otherwise(F.array())
+    parts = F.struct(gaps.alias("gaps"), pieces.alias("pieces"), width.alias("width"))
+    return F.when(F.size(m["found"]) > 0, bound(bound(bound(parts, with_steps), with_sums), every)).otherwise(F.array())
 
 
 def literal(query: str) -> str:
@@ -60,7 +86,8 @@ def search(text: Column, query: str | None = None, pattern: str | None = None, c
 
 
 def check_pattern(pattern: str) -> None:
-    """Refuses patterns that don't compile, match the empty text, or repeat what is itself repeated without a limit."""
+    """Refuses patterns that don't compile, match the empty text, or may take exponential time: an endless
+    repetition whose turns a text can be dealt to in more than one way."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
@@ -73,5 +100,115 @@ def check_pattern(pattern: str) -> None:
         raise ValueError(f"{pattern!r} is not a valid pattern: {broken}") from None
     if empty:
         raise ValueError(f"{pattern!r} matches the empty text")
-    if re.search(r"\([^()]*[+*][^()]*\)[+*{]", pattern):
-        raise ValueError(f"{pattern!r} repeats a repetition and may never end")
+    try:
+        endless = _ambiguous(list(_parser.parse(pattern)))
+    except re.error:  # what only Java reads: any repetition of a repetition counts
+        endless = re.search(r"\([^()]*[+*][^()]*\)[+*{]", pattern) is not None
+    if endless:
+        raise ValueError(f"{pattern!r} repeats what can match in several ways and may never end")
+
+
+# ---- whether a repetition is ambiguous, by the characters that may come first and next
+
+_ANY = frozenset(range(257))  # 256 stands for all characters beyond
+_REPEATS = (op.MAX_REPEAT, op.MIN_REPEAT, op.POSSESSIVE_REPEAT)
+_CLASSES = {op.CATEGORY_DIGIT: r"\d", op.CATEGORY_SPACE: r"\s", op.CATEGORY_WORD: r"\w"}
+
+
+def _category(what) -> frozenset:
+    for name, shorthand in _CLASSES.items():
+        inside = frozenset(c for c in range(256) if re.match(shorthand, chr(c), re.ASCII))
+        if what == name:
+            return inside
+        if str(what) == str(name).replace("CATEGORY_", "CATEGORY_NOT_"):
+            return _ANY - inside
+    return _ANY
+
+
+def _char(code: int) -> frozenset:
+    both = {ord(x) for x in (chr(code).lower(), chr(code).upper()) if len(x) == 1}
+    return frozenset(min(c, 256) for c in both | {code})
+
+
+def _set(items) -> frozenset:
+    found: set[int] = set()
+    for kind, value in items:
+        if kind is op.LITERAL:
+            found |= _char(value)
+        elif kind is op.RANGE:
+            found |= {min(c, 256) for c in range(value[0], min(value[1], 256) + 1)} | ({256} if value[1] > 255 else set())
+        elif kind is op.CATEGORY:
+            found |= _category(value)
+    return _ANY - (found - {256}) if items and items[0][0] is op.NEGATE else frozenset(found)
+
+
+def _first(items: list, after: frozenset) -> frozenset:
+    """The characters that a sequence may begin with, if those of after follow it."""
+    found: frozenset = frozenset()
+    for kind, value in items:
+        own, skipped = _begins(kind, value)
+        found |= own
+        if not skipped:
+            return found
+    return found | after
+
+
+def _begins(kind, value) -> tuple[frozenset, bool]:
+    """The characters that an item begins with, and whether it may match the empty text."""
+    if kind is op.LITERAL:
+        return _char(value), False
+    if kind is op.NOT_LITERAL:
+        return _ANY, False
+    if kind is op.ANY:
+        return _ANY, False
+    if kind is op.IN:
+        return _set(value), False
+    if kind is op.BRANCH:
+        parts = [_whole(list(b)) for b in value[1]]
+        return frozenset().union(*(p[0] for p in parts)), any(p[1] for p in parts)
+    if kind is op.SUBPATTERN:
+        return _whole(list(value[3]))
+    if kind is op.ATOMIC_GROUP:
+        return _whole(list(value))
+    if kind in _REPEATS:
+        own, empty = _whole(list(value[2]))
+        return own, empty or value[0] == 0
+    if kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
+        return frozenset(), True
+    return _ANY, True
+
+
+def _whole(items: list) -> tuple[frozenset, bool]:
+    mark = frozenset({-1})
+    found = _first(items, mark)
+    return found - mark, bool(found & mark)
+
+
+def _ambiguous(items: list) -> bool:
+    """Whether some endless repetition in the sequence has turns that overlap."""
+    for kind, value in items:
+        inner = {op.SUBPATTERN: lambda v: [list(v[3])], op.ATOMIC_GROUP: lambda v: [list(v)], op.BRANCH: lambda v: [list(b) for b in v[1]]}.get(kind, lambda v: [list(v[2])] if kind in _REPEATS else [])(value)
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[1] > 64:
+            body = list(value[2])
+            if _overlaps(body, _whole(body)[0]):
+                return True
+        if any(_ambiguous(x) for x in inner):
+            return True
+    return False
+
+
+def _overlaps(items: list, again: frozenset) -> bool:
+    """Whether a sequence whose end may be followed by again can be read in two ways."""
+    for k, (kind, value) in enumerate(items):
+        after = _first(items[k + 1 :], again)
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[1] > value[0]:
+            body = list(value[2])
+            if _whole(body)[0] & after or (value[1] > 64 and _overlaps(body, _whole(body)[0] | after)):
+                return True
+        elif kind is op.BRANCH:
+            starts = [_first(list(b), after) for b in value[1]]
+            if any(a & b for i, a in enumerate(starts) for b in starts[:i]) or any(_overlaps(list(b), after) for b in value[1]):
+                return True
+        elif kind is op.SUBPATTERN and _overlaps(list(value[3]), after):
+            return True
+    return False

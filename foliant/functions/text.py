@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+from functools import cache
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 #: Unicode white space, in a form that Java and RE2 read alike.
 SPACE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -159,6 +164,33 @@ def readability(text: Column, lang: str = "en") -> Column:
     return bound(bound(F.transform(letters(text), syllables), counts), indices)
 
 
+def base_metrics(text: Column, tokens: Column | None = None) -> Column:
+    """A struct of words, characters, tokens (null unless a count is given), lines and language."""
+    tokens = F.lit(None).cast("int") if tokens is None else tokens
+    return F.struct(word_count(text).alias("word_count"), char_count(text).alias("char_count"), tokens.alias("token_count"), line_count(text).alias("line_count"), language(text).alias("language"))
+
+
+def token_count(text: Column, ranks: str, pattern: str) -> Column:
+    """Tokens of a byte-pair encoding whose ranks are in a file (a line of base64 and rank each) that every node can read."""
+
+    @F.arrow_udf(IntegerType())
+    def count(texts: pa.Array) -> pa.Array:
+        encoding = _encoding(ranks, pattern)
+        return pa.array([None if x is None else len(encoding.encode_ordinary(x)) for x in texts.to_pylist()], pa.int32())
+
+    return count(text)
+
+
+@cache
+def _encoding(ranks: str, pattern: str):
+    """Kept in the worker from batch to batch."""
+    import tiktoken
+
+    with open(ranks, "rb") as lines:
+        known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
+    return tiktoken.Encoding(ranks, pat_str=pattern, mergeable_ranks=known, special_tokens={})
+
+
 def is_heading(line: Column) -> Column:
     """Short lines of capitals with a letter and no tab."""
     return F.length(line).between(3, 79) & ~line.rlike(r"\p{Ll}") & line.rlike(r"\p{L}") & ~line.contains("\t")

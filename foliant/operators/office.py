@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.functions import html, text
+from foliant.functions import html, spans, text
+from foliant.sources import files
 
 #: Functions that reach outside a workbook, the first that a formula holds counts.
 RISKY = ("WEBSERVICE", "FILTERXML", "RTD", "DDE", "DDEAUTO", "CALL", "REGISTER.ID", "EXEC")
@@ -13,17 +14,64 @@ SHOWN = 500
 
 
 def sheets(rows: DataFrame, key: str = "path") -> DataFrame:
-    """Of each sheet with rows: visibility, row, cell and formula counts, and the most cells of a row."""
+    """Of each sheet, those without rows too: position, visibility, row, cell and formula counts, and the most cells of a row."""
     formulas = F.size(F.filter("formulas", lambda f: f.isNotNull()))
     return rows.where("problem IS NULL").groupBy(key, "sheet").agg(
+        F.min("position").alias("position"),
         F.first("visibility").alias("visibility"),
-        F.count(F.lit(1)).alias("row_count"),
+        F.count("row_index").alias("row_count"),
         F.sum(F.size("cells")).alias("cell_count"),
         F.sum(formulas).alias("formula_count"),
         F.max(F.size("cells")).alias("column_count"),
     )
 
 
+def workbook_metrics(rows: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
+    """Of each workbook: sheets, visible and hidden ones, rows, cells, formulas, defined names, and the words and
+    characters of all cells. Sums over rows and facts, so that no workbook's text is put together."""
+    some = sheets(rows, key).groupBy(key).agg(
+        F.count(F.lit(1)).alias("sheets"), F.count(F.when(F.col("visibility") != "visible", 1)).alias("hidden_sheets"),
+        F.sum("row_count").alias("rows"), F.sum("cell_count").alias("cells"), F.sum("formula_count").alias("formulas"),
+    )
+    said = F.array_join("cells", " ")
+    words = rows.where("problem IS NULL").groupBy(key).agg(F.sum(text.word_count(said)).alias("words"), F.sum(F.length(F.array_join("cells", ""))).alias("chars"))
+    names = facts.groupBy(key).agg(F.count(F.when(F.col("kind") == "defined_name", 1)).alias("defined_names"))
+    return some.join(words, key).join(names, key, "left").withColumns({"defined_names": F.coalesce("defined_names", F.lit(0)), "visible_sheets": F.col("sheets") - F.col("hidden_sheets")})
+
+
+def read_sheet(rows: DataFrame, sheet: str | int | None = None, limit: int = 10_000, key: str = "path") -> DataFrame:
+    """Rows of one sheet of each workbook, by its name in any case, its number from 0, or the first one: key,
+    sheet, row_index, cells padded to the widest row read, and problem where the workbook hasn't got it, which
+    names the sheets it has. limit is held to 1..100,000."""
+    limit = min(max(limit, 1), 100_000)
+    good = rows.where("problem IS NULL")
+    wanted = F.col("position") == (sheet or 0) if not isinstance(sheet, str) else F.lower("sheet") == sheet.lower()
+    some = good.where(wanted & (F.col("row_index") < limit))
+    width = some.groupBy(key).agg(F.max(F.size("cells")).alias("width"))
+    padded = F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))
+    none = F.lit(None).cast(files.PROBLEM)
+    read = some.join(width, key).select(key, "sheet", "row_index", padded.alias("cells"), none.alias("problem"))
+    has = good.groupBy(key).agg(F.max(wanted).alias("found"), F.array_sort(F.collect_set("sheet")).alias("names")).where("NOT found")
+    missing = has.select(key, F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("array<string>"), files.problem(404, F.concat(F.lit("the sheets are: "), F.array_join("names", ", "))))
+    broken = rows.where("problem IS NOT NULL").select(key, F.lit(None).cast("string"), F.lit(None).cast("int"), F.lit(None).cast("array<string>"), "problem")
+    return read.union(missing).union(broken)
+
+
+def sheet_markdown(rows: DataFrame, key: str = "path") -> DataFrame:
+    """Markdown of each sheet: its name as a heading, then a table whose first row is the header, or _(empty)_.
+    Rows are padded to the widest one. A sheet is one cell of text."""
+    cell = lambda c: F.regexp_replace(F.replace(c, F.lit("|"), F.lit("\\|")), "[\r\n]+", " ")
+    good = rows.where("problem IS NULL")
+    parts = F.array_sort(F.collect_list(F.when(F.col("row_index").isNotNull(), F.struct("row_index", "cells"))))
+    got = good.groupBy(key, "position", "sheet").agg(parts.alias("parts"), F.max(F.size("cells")).alias("width"))
+    line = lambda p: F.concat(F.lit("| "), F.array_join(F.concat(F.transform(p["cells"], cell), F.array_repeat(F.lit(""), F.col("width") - F.size(p["cells"]))), " | "), F.lit(" |"))
+    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit(" --- |"), F.col("width")), ""))
+    lines = F.transform("parts", line)
+    table = F.array_join(F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n")
+    body = F.when(F.size("parts") > 0, table).otherwise("_(empty)_")
+    return got.select(key, "position", "sheet", F.concat(F.lit("## "), "sheet", F.lit("\n\n"), body).alias("markdown"))
+
+
 def risky(formula: Column) -> Column:
     """The first risky function whose name the formula holds, in any case."""
     found = F.lit(None).cast("string")
@@ -38,14 +86,146 @@ def risky_formulas(rows: DataFrame, key: str = "path") -> DataFrame:
     return each.withColumn("function", risky(F.col("formula"))).where("function IS NOT NULL").withColumn("formula", F.substring("formula", 1, SHOWN))
 
 
-def workbook_health(rows: DataFrame, key: str = "path") -> DataFrame:
-    """Of each workbook: errors, warnings, infos and healthy, which only errors spoil."""
-    per = rows.groupBy(key).agg(
-        F.max(F.col("problem").isNotNull().cast("int")).alias("errors"),
-        F.max(F.coalesce(F.exists("formulas", lambda f: risky(f).isNotNull()), F.lit(False)).cast("int")).alias("warnings"),
-        F.max(F.coalesce(F.col("visibility") != "visible", F.lit(False)).cast("int")).alias("infos"),
+def hidden(rows: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
+    """A row for each hidden sheet, row and range of columns: kind, sheet, place (visibility, row number or
+    letters) and count."""
+    sheet = facts.where("kind = 'sheet' AND name <> 'visible'").select(key, F.lit("sheet").alias("kind"), "sheet", F.col("name").alias("place"), "count")
+    row = rows.where("hidden").select(key, F.lit("row").alias("kind"), "sheet", F.col("row_number").cast("string").alias("place"), F.lit(1).alias("count"))
+    column = facts.where("kind = 'hidden_column'").select(key, F.lit("column").alias("kind"), "sheet", F.col("name").alias("place"), "count")
+    return sheet.union(row).union(column)
+
+
+def link_audit(rows: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
+    """What reaches outside each workbook: kind (external, hyperlink, risky_formula or macros), sheet, place and target."""
+    linked = facts.where("kind IN ('external', 'hyperlink', 'macros')").select(key, "kind", "sheet", F.col("name").alias("place"), F.col("value").alias("target"))
+    formula = F.posexplode(F.arrays_zip("formulas", "places")).alias("cell", "f")
+    each = rows.where("problem IS NULL").select(key, "sheet", formula).select(key, "sheet", "f.places", "f.formulas").where(risky(F.col("formulas")).isNotNull())
+    return linked.union(each.select(key, F.lit("risky_formula").alias("kind"), "sheet", F.col("places").alias("place"), F.concat(risky(F.col("formulas")), F.lit(": "), F.substring("formulas", 1, SHOWN)).alias("target")))
+
+
+def _issue(check: str, severity: str, when: Column, message: Column) -> Column:
+    return F.when(when, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), message.alias("message")))
+
+
+def _judged(df: DataFrame, *key: str, by: tuple[str, ...]) -> DataFrame:
+    """df(key, issues) with the counts of each severity, and healthy where none of by is among them."""
+    count = lambda s: F.size(F.filter("issues", lambda i: i["severity"] == s))
+    told = df.select(*key, F.array_compact("issues").alias("issues")).withColumns({"errors": count("error"), "warnings": count("warning"), "infos": count("info")})
+    return told.withColumn("healthy", sum((F.col(c) for c in by), F.lit(0)) == 0)
+
+
+def workbook_health(rows: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
+    """Of each workbook: issues, errors, warnings, infos and healthy, which only errors spoil. Macros, external
+    workbooks and risky formulas are warnings, what is hidden is an info, a broken workbook is an error."""
+    outside = link_audit(rows, facts, key).groupBy(key).agg(*[F.count(F.when(F.col("kind") == k, 1)).alias(k) for k in ("external", "risky_formula", "macros")])
+    unseen = hidden(rows, facts, key).groupBy(key).agg(*[F.sum(F.when(F.col("kind") == k, F.col("count")).otherwise(0)).alias(f"hidden_{k}s") for k in ("sheet", "row", "column")])
+    books = rows.groupBy(key).agg(F.max("problem.detail").alias("broken"))
+    all_ = books.join(outside, key, "left").join(unseen, key, "left").fillna(0)
+    n = F.col
+    issues = F.array(
+        _issue("macros", "warning", n("macros") > 0, F.lit("carries macros")),
+        _issue("external_links", "warning", n("external") > 0, F.format_string("%d external workbooks", "external")),
+        _issue("risky_formulas", "warning", n("risky_formula") > 0, F.format_string("%d formulas reach outside", "risky_formula")),
+        _issue("hidden_content", "info", n("hidden_sheets") + n("hidden_rows") + n("hidden_columns") > 0, F.format_string("%d sheets, %d rows, %d columns are hidden", "hidden_sheets", "hidden_rows", "hidden_columns")),
+        _issue("structure", "error", n("broken").isNotNull(), n("broken")),
+    )
+    return _judged(all_.select(key, issues.alias("issues")), key, by=("errors",))
+
+
+def document_metrics(paragraphs: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
+    """Of each document: paragraphs with text, headings, table rows, words, characters, pages (as the file tells)."""
+    said = F.col("text")
+    some = paragraphs.where("problem IS NULL").groupBy(key).agg(
+        F.count(F.when(~text.is_blank(said), 1)).alias("paragraphs"), F.count(F.when(F.col("style").rlike("^Heading[1-6]$"), 1)).alias("headings"),
+        F.count(F.when(F.col("style") == "Table", 1)).alias("table_rows"), F.sum(text.word_count(said)).alias("words"), F.sum(F.length(said)).alias("chars"),
+    )
+    pages = facts.where("kind = 'property' AND name = 'Pages'").groupBy(key).agg(F.max(F.col("value").try_cast("int")).alias("pages"))
+    return some.join(pages, key, "left")
+
+
+def document_markdown(paragraphs: DataFrame, key: str = "path") -> DataFrame:
+    """Markdown of each document: blocks parted by a blank line, rows of a table by a line end."""
+    parts = F.array_sort(F.collect_list(F.when(F.trim("markdown") != "", F.struct("paragraph", (F.col("style") == "Table").alias("row"), "markdown"))))
+    joined = F.array_join(F.transform("parts", lambda p, i: F.concat(F.when(i == 0, "").when(F.coalesce(p["row"] & F.element_at("parts", F.greatest(i, F.lit(1)))["row"], F.lit(False)) & ~p["markdown"].contains("\n| --- "), "\n").otherwise("\n\n"), p["markdown"])), "")
+    return paragraphs.where("problem IS NULL").groupBy(key).agg(parts.alias("parts")).select(key, joined.alias("markdown"))
+
+
+def document_health(paragraphs: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
+    """Of each document: issues, their counts and healthy, which errors and warnings spoil."""
+    said = paragraphs.groupBy(key).agg(F.max("problem.detail").alias("broken"), F.max("tracked").alias("tracked"), F.sum("drawings").alias("drawings"))
+    about = facts.groupBy(key).agg(F.count(F.when(F.col("kind") == "package", 1)).alias("packages"), F.count(F.when(F.col("kind") == "image", 1)).alias("images"), F.count(F.when(F.col("name") == "created", 1)).alias("created"))
+    all_ = said.join(about, key, "left").fillna(0)
+    n = F.col
+    fine = n("broken").isNull()
+    issues = F.array(
+        _issue("tracked_changes", "warning", n("tracked"), F.lit("holds tracked changes")),
+        _issue("macros", "warning", n("packages") > 0, F.lit("holds macros or packages")),
+        _issue("missing_properties", "info", fine & (n("created") == 0), F.lit("has no creation date")),
+        _issue("broken_images", "warning", (n("drawings") > 0) & (n("images") == 0), F.format_string("%d drawings but no image", "drawings")),
+        _issue("corruption", "error", ~fine, n("broken")),
     )
-    return per.withColumn("healthy", F.col("errors") == 0)
+    return _judged(all_.select(key, issues.alias("issues")), key, by=("errors", "warnings"))
+
+
+def slide_metrics(slides: DataFrame, key: str = "path") -> DataFrame:
+    """Of each presentation: slides, hidden ones, those with notes, title (of the first slide that has one), words and characters."""
+    said = F.concat_ws("\n", "text", "notes")
+    return slides.where("problem IS NULL").groupBy(key).agg(
+        F.count(F.lit(1)).alias("slides"), F.count(F.when(F.col("hidden"), 1)).alias("hidden_slides"), F.count("notes").alias("slides_with_notes"),
+        F.min_by("title", F.when(F.col("title").isNotNull(), F.col("slide"))).alias("title"), F.sum(text.word_count(said)).alias("words"), F.sum(F.length(said)).alias("chars"),
+    )
+
+
+def slide_notes(slides: DataFrame, key: str = "path") -> DataFrame:
+    """Slides with notes: slide, title, notes, and the number of all slides."""
+    good = slides.where("problem IS NULL")
+    return good.where("notes IS NOT NULL").join(good.groupBy(key).agg(F.count(F.lit(1)).alias("slides")), key).select(key, "slide", "title", "notes", "slides")
+
+
+def searchable(kind: str, rows: DataFrame, key: str = "path") -> DataFrame:
+    """(key, place, text) of what a search over files reads: a paragraph, a slide with its notes, or a sheet's row."""
+    good = rows.where("problem IS NULL")
+    if kind == "docx":
+        return good.select(key, F.col("paragraph").alias("place"), "text")
+    if kind == "pptx":
+        return good.select(key, F.col("slide").alias("place"), F.concat_ws("\n", "text", "notes").alias("text"))
+    if kind == "xlsx":
+        return good.where("row_index IS NOT NULL").select(key, (F.col("row_index") + 1).alias("place"), F.array_join("cells", "\n").alias("text"))
+    raise ValueError(f"{kind!r} files aren't searched")
+
+
+def search_office(kind: str, rows: DataFrame, key: str = "path", **how) -> DataFrame:
+    """A row for each match in office files: key, place, match, start, end and context; how is as in spans.search."""
+    hits = searchable(kind, rows, key).select(key, "place", F.explode(spans.search(F.col("text"), **how)).alias("m"))
+    return hits.select(key, "place", "m.match", "m.start", "m.end", "m.context")
+
+
+def book_health(facts: DataFrame, key: str = "path") -> DataFrame:
+    """Of each book's facts: issues (in order of check), their counts, and valid, which errors and problems spoil."""
+    broken = F.when(F.col("problem").isNotNull(), F.struct(F.lit("corruption").alias("check"), F.lit("error").alias("severity"), F.col("problem.detail").alias("message")))
+    own = F.when(F.col("kind").isin("error", "warning"), F.struct(F.col("name").alias("check"), F.col("kind").alias("severity"), F.col("value").alias("message")))
+    per = facts.groupBy(key).agg(F.array_sort(F.collect_list(F.coalesce(broken, own))).alias("issues"))
+    return _judged(per, key, by=("errors",)).withColumnRenamed("healthy", "valid")
+
+
+def book_metadata(facts: DataFrame, key: str = "path") -> DataFrame:
+    """Of each book: title, authors, language, and every other element as a map of lists, all distinct values in order."""
+    meta = facts.where("kind = 'metadata'").groupBy(key, "name").agg(F.array_sort(F.collect_set("value")).alias("values"))
+    one = lambda n: F.max(F.when(F.col("name") == n, F.col("values")[0]))
+    known = ("title", "creator", "language")
+    extra = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("name").isin(*known), F.struct("name", "values")))))
+    return meta.groupBy(key).agg(one("title").alias("title"), F.max(F.when(F.col("name") == "creator", F.col("values"))).alias("authors"), one("language").alias("language"), extra.alias("extra"))
+
+
+def with_front_matter(books: DataFrame, metadata: DataFrame, key: str = "path") -> DataFrame:
+    """books(key, markdown, language) with the title as a heading and the authors in front, unless the text begins
+    with that heading; the language that the metadata tells goes before the guess."""
+    both = books.join(metadata.select(key, "title", "authors", F.col("language").alias("told")), key, "left")
+    head = F.concat(F.lit("# "), "title")
+    title = F.when(F.col("title").isNotNull() & ~F.startswith("markdown", head), head)
+    authors = F.when(F.col("title").isNotNull() & (F.size("authors") > 0), F.concat(F.lit("*"), F.array_join("authors", ", "), F.lit("*")))
+    front = F.concat_ws("\n\n", title, authors, F.when(F.col("markdown") != "", F.col("markdown")))
+    return both.withColumns({"markdown": front, "language": F.coalesce("told", "language")}).drop("told", "title", "authors")
 
 
 def outline(slides: DataFrame, key: str = "path") -> DataFrame:

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import text
+
 #: Distinct values that a profile counts at most, and samples it keeps by default.
-MOST_DISTINCT, SAMPLES = 10_000, 5
+MOST_DISTINCT, SAMPLES, MOST_SAMPLES = 10_000, 5, 20
+#: Lines among which samples are looked for.
+MOST_LINES = 1_000
 #: Supported numbers (thousands, brackets, exponent, sign before or behind, currency) and integers.
 NUMBER = r"^\s*[-+(]?\s*[$¤]?(\d{1,3}(,\d{3})+|\d+)?(\.\d*)?([eE][-+]?\d+)?\s*[-+)]?\s*$"
 INTEGER = r"^\s*[-+]?\d{1,18}\s*$"
-#: Supported dates: ISO days with or without a time.
-DATE = r"^\s*\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])([ T]([01]\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,7})?)?)?\s*$"
+#: Supported dates, each with a time or without: year first, day and month name, month first with slashes.
+_TIME = r"([ T]([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d(\.\d{1,7})?)?)?"
+_MONTH = "(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+DATES = (
+    (rf"^\d{{4}}[-/](0?[1-9]|1[0-2])[-/](0?[1-9]|[12]\d|3[01]){_TIME}$", "yyyy-M-d"),
+    (rf"^(0?[1-9]|[12]\d|3[01]) {_MONTH} \d{{4}}{_TIME}$", "d MMM yyyy"),
+    (rf"^(0?[1-9]|1[0-2])/(0?[1-9]|[12]\d|3[01])/\d{{4}}{_TIME}$", "M/d/yyyy"),
+)
 BOOLEAN = r"^\s*([tT][rR][uU][eE]|[fF][aA][lL][sS][eE]|0|1|yes|no|Y|N)\s*$"
 
 
@@ -25,6 +35,18 @@ def to_number(v: Column) -> Column:
     return F.when(v.contains("(") | bare.rlike("^-|-$"), -digits).otherwise(digits)
 
 
+def to_date(v: Column) -> Column:
+    """The date and time of a value in ISO form; null if it isn't one."""
+    v = F.trim(v)
+    time = F.regexp_extract(v, r"[ T](\d{1,2}:\d\d(?::\d\d)?(?:\.\d+)?)$", 1)
+    said = F.lit(None).cast("string")
+    for pattern, form in reversed(DATES):
+        day = F.try_to_timestamp(F.replace(F.regexp_replace(v, r"[ T]\d{1,2}:.*$", ""), F.lit("/"), F.lit("-" if form.startswith("y") else "/")), F.lit(form))
+        said = F.when(v.rlike(pattern), F.date_format(day, "yyyy-MM-dd")).otherwise(said)
+    clock = F.when(F.length(time) > 5, F.lpad(time, 8, "0")).otherwise(F.concat(F.lpad(time, 5, "0"), F.lit(":00")))
+    return F.concat(said, F.when(time == "", "T00:00:00").otherwise(F.concat(F.lit("T"), F.when(time.contains("."), time).otherwise(clock))))
+
+
 def cells(df: DataFrame, *names: str) -> DataFrame:
     """A row (position, name, value) for each cell of the named columns as text; one pass over df."""
     pairs = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(n).alias("name"), F.col(f"`{n}`").cast("string").alias("value")) for i, n in enumerate(names)])
@@ -35,14 +57,14 @@ def profile(rows: DataFrame) -> DataFrame:
     """For rows (position, name, value): non_empty, empty, distinct_count, inferred_type, min and max.
 
     Values are counted first, so that a value that fills a column is one row before the shuffle of the
-    second step. Numbers are compared as numbers, dates as text in ISO order, and of other text the
+    second step. Numbers are compared as numbers, dates in ISO form, and of other text the
     lengths count; booleans and empty columns have no range."""
     value = F.coalesce("value", F.lit(""))
     each = rows.select("position", "name", value.alias("value")).groupBy("position", "name", "value").agg(F.count(F.lit(1)).alias("n"))
     v = F.col("value")
     full = F.trim(v) != ""
-    each = each.withColumns({"full": full, "number": F.when(full & is_number(v), to_number(v)), "int": full & v.rlike(INTEGER), "bool": full & v.rlike(BOOLEAN), "date": full & v.rlike(DATE)})
-    every = lambda c: F.coalesce(F.every(F.when(F.col("full"), F.col(c) if c != "number" else F.col(c).isNotNull())), F.lit(False))
+    each = each.withColumns({"full": full, "number": F.when(full & is_number(v), to_number(v)), "int": full & v.rlike(INTEGER), "bool": full & v.rlike(BOOLEAN), "date": F.when(full, to_date(v))})
+    every = lambda c: F.coalesce(F.every(F.when(F.col("full"), F.col(c).isNotNull() if c in ("number", "date") else F.col(c))), F.lit(False))
     of = lambda x: F.when(F.col("full"), x)
     got = each.groupBy("position", "name").agg(
         F.coalesce(F.sum(F.when(F.col("full"), F.col("n"))), F.lit(0)).alias("non_empty"),
@@ -50,7 +72,7 @@ def profile(rows: DataFrame) -> DataFrame:
         F.least(F.count(of(v)), F.lit(MOST_DISTINCT)).alias("distinct_count"),
         every("number").alias("numbers"), every("int").alias("ints"), every("bool").alias("bools"), every("date").alias("dates"),
         F.min("number").alias("low"), F.max("number").alias("high"),
-        F.min(of(F.trim(v))).alias("first"), F.max(of(F.trim(v))).alias("last"),
+        F.min("date").alias("first"), F.max("date").alias("last"),
         F.min(of(F.length(v))).alias("short"), F.max(of(F.length(v))).alias("long"),
     )
     kind = (
@@ -83,15 +105,69 @@ def duplicate_headers(headers: Column) -> Column:
 
 
 def inspect(rows: DataFrame, *file: str) -> DataFrame:
-    """Per file of rows (file..., line, cells): row_count, column_count (of the first row), has_header,
-    data_row_count, ragged_rows and first_ragged. Only sums and the first row are kept for a file."""
-    first = rows.groupBy(*file).agg(F.min_by("cells", "line").alias("first"))
-    width = first.withColumn("column_count", F.size("first"))
-    counted = rows.join(width, list(file)).groupBy(*file).agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.first("column_count").alias("column_count"),
-        F.first(header_like(F.col("first"))).alias("has_header"),
-        F.count(F.when(F.size("cells") != F.col("column_count"), 1)).alias("ragged_rows"),
-        F.min(F.when(F.size("cells") != F.col("column_count"), F.col("line") + 1)).alias("first_ragged"),
+    """Per file of rows (file..., line, cells): row_count, column_count (of the first row), headers (columnN
+    without a header), has_header, data_row_count, ragged_rows and first_ragged. Rows are summed up by
+    their width first, so that a file of any length is a few rows after the first step."""
+    by_width = rows.groupBy(*file, F.size("cells").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"), F.min_by("cells", "line").alias("cells"))
+    per = by_width.groupBy(*file).agg(F.sum("n").alias("row_count"), F.min_by("cells", "line").alias("first"), F.collect_list(F.struct("width", "n", "line")).alias("widths"))
+    ragged = F.filter("widths", lambda w: w["width"] != F.size("first"))
+    header = header_like(F.col("first"))
+    numbered = F.transform(F.sequence(F.lit(1), F.size("first")), lambda i: F.concat(F.lit("column"), i.cast("string")))
+    return per.select(
+        *file, "row_count", F.size("first").alias("column_count"), F.when(header, F.col("first")).otherwise(numbered).alias("headers"), header.alias("has_header"),
+        F.aggregate(ragged, F.lit(0).cast("long"), lambda acc, w: acc + w["n"]).alias("ragged_rows"), (F.array_min(F.transform(ragged, lambda w: w["line"])) + 1).alias("first_ragged"),
+    ).withColumn("data_row_count", F.col("row_count") - F.col("has_header").cast("int"))
+
+
+def inspection(files: DataFrame, lines: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """Per file: what inspect tells, delimiter, line_ending, has_bom, and issues (check, severity, message): empty
+    files, ragged rows, blank or repeated headers, no header, mixed line ends."""
+    raw = F.col(content)
+    bytes_ = files.select(key, text.line_ending(raw.cast("string")).alias("line_ending"), (F.hex(F.substring(raw, 1, 3)) == "EFBBBF").alias("has_bom"))
+    good = lines.where("problem IS NULL")
+    told = bytes_.join(inspect(good, key), key, "left").join(good.groupBy(key).agg(F.max("delimiter").alias("delimiter")), key, "left")
+    told = told.withColumns({"row_count": F.coalesce("row_count", F.lit(0)), "data_row_count": F.coalesce("data_row_count", F.lit(0))})
+    twice = duplicate_headers(F.col("headers"))
+
+    def issue(check: str, severity: str, when: Column, message: Column) -> Column:
+        return F.when(when, F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), message.alias("message")))
+
+    issues = F.array(
+        issue("empty", "error", F.col("row_count") == 0, F.lit("no rows")),
+        issue("ragged_rows", "error", F.col("ragged_rows") > 0, F.format_string("%d rows haven't %d cells; the first is row %d", "ragged_rows", "column_count", "first_ragged")),
+        issue("header", "warning", F.col("has_header") & (F.size(twice) > 0), F.concat(F.lit("repeated: "), F.array_join(twice, ", "))),
+        issue("header", "info", ~F.col("has_header"), F.lit("no header; columns are numbered")),
+        issue("line_endings", "warning", F.col("line_ending") == "mixed", F.lit("line ends differ")),
     )
-    return counted.withColumn("data_row_count", F.col("row_count") - F.col("has_header").cast("int"))
+    return told.withColumn("issues", F.array_compact(issues))
+
+
+def profile_files(lines: DataFrame, key: str = "path", samples: int = SAMPLES) -> DataFrame:
+    """The columns of every file of lines (key, line, cells): what profile tells, and samples, the first values in
+    the order of lines (20 at most). Columns are as many as the widest row has; the first row names them if
+    it looks like a header and is as wide, else they are column1 and so on. Files without rows are left out."""
+    good = lines.where("problem IS NULL")
+    samples = min(max(samples, 0), MOST_SAMPLES)
+    about = good.groupBy(key).agg(F.max(F.size("cells")).alias("width"), F.min_by("cells", "line").alias("first"))
+    about = about.withColumn("named", header_like(F.col("first")) & (F.size("first") == F.col("width"))).withColumn("first", F.when(F.col("named"), F.col("first")))
+    rows = good.join(about, key).where("line > 0 OR NOT named")
+    at = F.posexplode(F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))).alias("position", "value")
+    cells_ = rows.select(key, "line", "first", at)
+    name = F.coalesce(F.try_element_at("first", F.col("position") + 1), F.concat(F.lit("column"), (F.col("position") + 1).cast("string")))
+    cells_ = cells_.select(key, "line", "position", name.alias("name"), "value")
+    told = profile(cells_.select(F.struct(key, "position").alias("position"), "name", "value"))
+    # the first lines of each partition's values are enough for the first of all
+    shown = cells_.where((F.trim("value") != "")).groupBy(key, "position").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("line") <= MOST_LINES, F.struct("line", "value")))), 1, max(samples, 1)).alias("s"))
+    out = told.select(f"position.{key}", "position.position", *told.columns[1:]).join(shown, [key, "position"], "left")
+    return out.withColumn("samples", F.slice(F.transform("s", lambda x: x["value"]), F.lit(1), F.lit(samples)) if samples else F.array().cast("array<string>")).drop("s")
+
+
+def data_rows(lines: DataFrame, limit: int | None = None, key: str = "path") -> DataFrame:
+    """Rows of every file below its header, at most limit of each (none or less: all), as (key, row, cells); a file
+    without rows is one row with a problem, and so is a broken one."""
+    good = lines.where("problem IS NULL")
+    head = good.where("line = 0").select(key, header_like(F.col("cells")).alias("named"))
+    rows = good.join(head, key).withColumn("row", F.col("line") - F.col("named").cast("int")).where("row >= 0")
+    rows = rows if limit is None or limit <= 0 else rows.where(F.col("row") < limit)
+    broken = lines.where("problem IS NOT NULL").select(key, F.lit(None).cast("int"), F.lit(None).cast("array<string>"), "problem")
+    return rows.select(key, "row", "cells", "problem").union(broken)

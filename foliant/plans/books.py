@@ -179,6 +179,83 @@ def share_counts(spark: SparkSession, sf: str) -> DataFrame:
 SHARE_COUNTS = f"SELECT user_id AS token, count(*) AS access_count FROM ({SHARE_ACCESS}) JOIN events USING (event_id) WHERE code = 200 GROUP BY 1"
 
 
+def _share_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a log of shares: a third creates the user's share, a tenth deletes it, the others open it."""
+    action = F.expr("CASE WHEN event_id % 3 = 0 THEN 'create' WHEN event_id % 10 = 1 THEN 'delete' ELSE 'open' END")
+    offset = F.when(F.col("event_id") % 2 == 0, "+02:00").otherwise("Z")
+    expires = F.when(F.col("event_id") % 6 == 0, F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), offset))
+    return _events(spark, sf).select(F.col("user_id").alias("token"), action.alias("action"), "ts", "event_id", (F.col("user_id") % 7).alias("job_id"), F.lit("body").alias("report"), expires.alias("expires_at"))
+
+
+def shares_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares of one job that its log leaves, without those that expired by noon of 2024-01-15."""
+    shares = books.shares_now(_share_log(spark, sf), "token", "ts", "event_id")
+    left = books.purge(shares, F.lit("2024-01-15 12:00:00").cast("timestamp"))
+    return books.shares_of(left.withColumn("job_id", F.col("job_id").cast("string")), "3", created="ts").select("token", "event_id", "expires_at", "access_count")
+
+
+SHARES_LIST = """
+WITH l AS (SELECT user_id AS token, ts, event_id, CASE WHEN event_id % 3 = 0 THEN 'create' WHEN event_id % 10 = 1 THEN 'delete' ELSE 'open' END AS action,
+  CASE WHEN event_id % 6 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 2 = 0 THEN '+02:00' ELSE 'Z' END END AS expires_at,
+  CASE WHEN event_id % 6 = 0 THEN date_trunc('second', ts) - CASE WHEN event_id % 2 = 0 THEN INTERVAL 2 HOUR ELSE INTERVAL 0 HOUR END END AS expires FROM events WHERE user_id % 7 = 3),
+m AS (SELECT token, max((ts, event_id)) FILTER (action = 'create') AS made, max((ts, event_id)) FILTER (action = 'delete') AS gone FROM l GROUP BY token)
+SELECT l.token, l.event_id, l.expires_at, (SELECT count(*) FROM l o WHERE o.token = l.token AND o.action = 'open' AND (o.ts, o.event_id) > m.made) AS access_count
+FROM m JOIN l ON l.token = m.token AND (l.ts, l.event_id) = m.made WHERE made IS NOT NULL AND (gone IS NULL OR gone < made) AND (l.expires IS NULL OR l.expires > TIMESTAMP '2024-01-15 12:00:00')"""
+
+
+def audit_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as requests: their records by method, and what failed."""
+    e = _events(spark, sf)
+    k = F.col("event_id")
+    requests = e.select(
+        F.element_at(F.array(*[F.lit(x) for x in ("GET", "POST", "PUT", "PATCH")]), (k % 4 + 1).cast("int")).alias("method"), F.lit("/x").alias("path"), F.lit(None).cast("string").alias("file_name"),
+        F.when(k % 2 == 0, k).alias("size"), F.lit(5).cast("long").alias("content_length"), F.when(k % 5 == 0, 422).otherwise(200).alias("status"),
+        F.col("ts").alias("started"), (F.col("ts") + F.expr("make_dt_interval(0, 0, 0, 0.25)")).alias("ended"), F.when(k % 25 == 0, "Refused: x").alias("error"),
+    )
+    return books.audit(requests).groupBy("method", "status", "failure").agg(F.count(F.lit(1)).alias("requests"), F.sum("size").alias("bytes"), F.max("elapsed_ms").alias("slowest_ms"))
+
+
+AUDIT_LOG = """
+WITH e AS (SELECT event_id AS k, ['GET', 'POST', 'PUT', 'PATCH'][event_id % 4 + 1] AS method, CASE WHEN event_id % 5 = 0 THEN 422 ELSE 200 END::INT AS status FROM events)
+SELECT method, status, CASE WHEN k % 25 = 0 THEN 'Refused: x' WHEN status >= 400 THEN 'HTTP 422' END AS failure, count(*) AS requests, sum(CASE WHEN k % 2 = 0 THEN k ELSE 5 END)::BIGINT AS bytes, 250.0::DOUBLE AS slowest_ms
+FROM e WHERE method <> 'GET' GROUP BY ALL"""
+
+
+def batch_pending(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers' names as the files of a batch."""
+    files = table(spark, sf, "customer").select(F.col("c_name").alias("file_name"))
+    return books.batch(files, "hash").select("operation", "file", "status", F.length("batch_id").alias("id_length"))
+
+
+BATCH_PENDING = "SELECT 'hash' AS operation, c_name AS file, 'pending' AS status, 16::INT AS id_length FROM customer"
+
+
+def batch_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of texts, hashed."""
+    files = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_name"), F.col("text").cast("binary").alias("content"))
+    return books.run_batch(files, "hash")
+
+
+BATCH_HASHES = """SELECT doc_id::VARCHAR AS file, '{"sha256":"' || sha256(text) || '","md5":"' || md5(text) || '","sha1":"' || sha1(text) || '"}' AS result FROM documents"""
+
+
+def quota_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of requests, counted with state and written to the shared folder."""
+    from foliant.sources.tables import shared_folder
+    from foliant.streaming import flows
+
+    kinds = table(spark, sf, "events").select("event_id", "user_id", "ts").schema
+    stream = spark.readStream.schema(kinds).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events*.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    where = shared_folder(spark)
+    counted = flows.quota_stream(stream, 2)
+    counted.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(counted.schema).parquet(f"{where}/rows").select("event_id", "day", "nth", "allowed")
+
+
+QUOTA_STREAM = """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS nth,
+row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 2 AS allowed FROM events"""
+
+
 # ---- spreadsheets and formats
 
 
@@ -214,6 +291,6 @@ QUERIES = {f"column_profile_{n}": (_profile_query(n), _profile_sql(n)) for n in
     f.__name__: (f, sql)
     for f, sql in (
         (header_checks, HEADER_CHECKS), (ragged_rows, RAGGED_ROWS), (markdown_table, MARKDOWN_TABLE), (csv_escape, CSV_ESCAPE), (json_rows, JSON_ROWS), (quota_daily, QUOTA_DAILY),
-        (quota_rejections, QUOTA_REJECTIONS), (job_latest, JOB_LATEST), (job_eviction, JOB_EVICTION), (share_access, SHARE_ACCESS), (share_counts, SHARE_COUNTS), (a1_columns, A1_COLUMNS), (format_sniff, FORMAT_SNIFF),
+        (quota_rejections, QUOTA_REJECTIONS), (job_latest, JOB_LATEST), (job_eviction, JOB_EVICTION), (share_access, SHARE_ACCESS), (share_counts, SHARE_COUNTS), (shares_list, SHARES_LIST), (audit_log, AUDIT_LOG), (batch_pending, BATCH_PENDING), (batch_hashes, BATCH_HASHES), (quota_stream, QUOTA_STREAM), (a1_columns, A1_COLUMNS), (format_sniff, FORMAT_SNIFF),
     )
 }

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from foliant.plans import books, files, texts
+from foliant.plans import books, files, office, texts
 
-ALL = texts.QUERIES | books.QUERIES | files.QUERIES
+ALL = texts.QUERIES | books.QUERIES | files.QUERIES | office.QUERIES
 QUERIES = {name: run for name, (run, _) in ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in ALL.items() if sql}

@@ -1,4 +1,5 @@
-"""Queries over the contents of files. The files are made from table rows, so that SQL can say what is in them."""
+"""Queries over archives and delimited files. The files are made from table rows, so that SQL can say what is in
+them, and are of a bounded size, so that no group of rows grows with a table."""
 
 from __future__ import annotations
 
@@ -10,13 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import content, pages
-from foliant.operators import office, profile
+from foliant.operators import profile
 from foliant.sources import files
 from foliant.sources.tables import table
 
 
+#: Rows that a file is made from, at most.
+CUSTOMERS, TURNS = 10_000, 200
+#: The files' names in SQL.
+NATION_FILE = f"(c_nationkey || '-' || (c_custkey // {CUSTOMERS}))"
+TURN_FILE = f"(conv_id || '-' || (turn // {TURNS}))"
+
+
+def by_turns(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """(file, turns): the turns of conversations, at most TURNS in a file."""
+    name = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / TURNS).cast("string")).alias("file")
+    return table(spark, sf, "conversations").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("turn", *columns))).alias("turns"))
+
+
 def _packed(batches):
-    """(conv_id, content): each conversation as an archive of its turns."""
+    """(file, content): an archive of turns."""
     for batch in batches:
         out = []
         for turns in batch.column(1).to_pylist():
@@ -25,51 +39,79 @@ def _packed(batches):
                 for t in turns:
                     archive.writestr(zipfile.ZipInfo(f"turn-{t['turn']}.txt", (2024, 1, 2, 3, 4, 6)), t["text"].encode())
             out.append(raw.getvalue())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["conv_id", "content"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["file", "content"])
 
 
 def zip_inspect(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("turns"))
-    archives = turns.mapInArrow(_packed, "conv_id long, content binary")
-    rows = files.contents(archives, "zip", "conv_id").where("problem IS NULL")
-    return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("size"), F.min("modified").alias("modified"), F.max("entry").alias("last_entry"))
+    archives = by_turns(spark, sf, "text").mapInArrow(_packed, "file string, content binary")
+    rows = files.contents(archives, "zip", "file").where("problem IS NULL")
+    return rows.groupBy("file").agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("size"), F.min("modified").alias("modified"), F.max("entry").alias("last_entry"))
 
 
-ZIP_INSPECT = """SELECT conv_id, count(*) AS entries, sum(octet_length(encode(text)))::BIGINT AS size, '2024-01-02T03:04:06' AS modified, max('turn-' || turn || '.txt') AS last_entry FROM conversations GROUP BY 1"""
+ZIP_INSPECT = f"""SELECT {TURN_FILE} AS file, count(*) AS entries, sum(octet_length(encode(text)))::BIGINT AS size, '2024-01-02T03:04:06' AS modified, max('turn-' || turn || '.txt') AS last_entry FROM conversations GROUP BY 1"""
 
 
 def _csv_files(spark: SparkSession, sf: str) -> DataFrame:
-    """A file for each nation: its customers, with quotes, delimiters and line ends in cells."""
+    """(file, content): customers of a nation, with quotes, delimiters and line ends in cells. Nations differ in their
+    head: two columns of one name, none at all, a short row, other line ends, or nothing in particular."""
     note = F.expr("CASE c_custkey % 3 WHEN 0 THEN concat('\"a;', char(10), '\"\"b\"') WHEN 1 THEN 'plain' ELSE '' END")
     line = F.concat_ws(";", F.col("c_custkey").cast("string"), "c_mktsegment", note)
-    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", line.alias("l"))
-    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "l"))), lambda x: x["l"]), "\r\n")
-    return c.groupBy("c_nationkey").agg(F.concat(F.lit("id;segment;note\n"), rows).cast("binary").alias("content"))
+    name = F.concat_ws("-", "c_nationkey", F.floor(F.col("c_custkey") / CUSTOMERS).cast("string")).alias("file")
+    c = table(spark, sf, "customer").select(name, (F.col("c_nationkey") % 5).alias("kind"), "c_custkey", line.alias("l"))
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "l"))), lambda x: x["l"]), "\n")
+    head = F.expr("CASE kind WHEN 0 THEN 'id;segment;Segment\n' WHEN 1 THEN '' WHEN 2 THEN 'id;segment;note\n7;x\n' WHEN 3 THEN 'id;segment;note\r\n' ELSE 'id;segment;note\n' END")
+    mark = F.when(F.col("kind") == 4, F.unhex(F.lit("EFBBBF"))).otherwise(F.unhex(F.lit("")))
+    return c.groupBy("file", "kind").agg(rows.alias("body")).select("file", F.concat(mark, F.concat(head, "body").cast("binary")).alias("content"))
 
 
 def csv_inspect(spark: SparkSession, sf: str) -> DataFrame:
-    lines = files.contents(_csv_files(spark, sf), "csv", "c_nationkey")
-    shape = profile.inspect(lines.select("c_nationkey", "line", "cells"), "c_nationkey")
-    told = lines.groupBy("c_nationkey").agg(F.max("delimiter").alias("delimiter"), F.count(F.when(F.element_at("cells", 3).contains("\n"), 1)).alias("broken_cells"))
-    return shape.join(told, "c_nationkey").select("c_nationkey", "row_count", "data_row_count", "column_count", "ragged_rows", "delimiter", "broken_cells")
+    made = _csv_files(spark, sf)
+    told = profile.inspection(made, files.contents(made, "csv", "file"), "file")
+    found = F.array_join(F.transform("issues", lambda i: F.concat(i["check"], F.lit(":"), i["severity"])), " ")
+    return told.select("file", "row_count", "data_row_count", "column_count", "ragged_rows", "first_ragged", "delimiter", "has_header", "has_bom", "line_ending", F.array_join("headers", ",").alias("headers"), found.alias("issues"))
 
 
-CSV_INSPECT = """SELECT c_nationkey, count(*) + 1 AS row_count, count(*) AS data_row_count, 3::INT AS column_count, 0::BIGINT AS ragged_rows, ';' AS delimiter,
-count(*) FILTER (c_custkey % 3 = 0) AS broken_cells FROM customer GROUP BY 1"""
+CSV_INSPECT = f"""
+WITH c AS (SELECT {NATION_FILE} AS file, c_nationkey % 5 AS kind, c_custkey, c_mktsegment, count(*) OVER (PARTITION BY c_nationkey, c_custkey // {CUSTOMERS}) AS n FROM customer),
+f AS (SELECT file, kind, n, arg_min(c_custkey, c_custkey) AS first_key, max((c_custkey % 3 = 0)::INT) AS broken FROM c GROUP BY ALL)
+SELECT file, n + (CASE kind WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END) AS row_count, n + (kind = 2)::INT AS data_row_count, 3::INT AS column_count, (kind = 2)::BIGINT AS ragged_rows,
+  CASE WHEN kind = 2 THEN 2::INT END AS first_ragged, ';' AS delimiter, kind <> 1 AS has_header, kind = 4 AS has_bom,
+  CASE WHEN kind = 3 AND (n > 1 OR broken = 1) THEN 'mixed' WHEN kind = 3 THEN 'crlf' WHEN kind = 1 AND n = 1 AND broken = 0 THEN 'none' ELSE 'lf' END AS line_ending,
+  CASE kind WHEN 0 THEN 'id,segment,Segment' WHEN 1 THEN 'column1,column2,column3' ELSE 'id,segment,note' END AS headers,
+  CASE WHEN kind = 0 THEN 'header:warning' WHEN kind = 1 THEN 'header:info' WHEN kind = 2 THEN 'ragged_rows:error' WHEN kind = 3 AND (n > 1 OR broken = 1) THEN 'line_endings:warning' ELSE '' END AS issues FROM f"""
 
 
 def csv_profile(spark: SparkSession, sf: str) -> DataFrame:
-    """The columns of all the files together; the first rows are headers."""
-    lines = files.contents(_csv_files(spark, sf), "csv", "c_nationkey").where("line > 0")
-    cells = lines.select(F.posexplode("cells").alias("position", "value"))
-    named = cells.select("position", F.element_at(F.array(*[F.lit(x) for x in ("id", "segment", "note")]), F.col("position") + 1).alias("name"), "value")
-    return profile.profile(named).select("name", "non_empty", "empty", "distinct_count", "inferred_type", "min_value", "max_value")
+    """The columns of every file."""
+    told = profile.profile_files(files.contents(_csv_files(spark, sf), "csv", "file"), "file", 3)
+    return told.select("file", "position", "name", "non_empty", "empty", "distinct_count", "inferred_type", "min_value", "max_value", F.array_join("samples", ",").alias("samples"))
+
 
+CSV_PROFILE = f"""
+WITH c AS (SELECT {NATION_FILE} AS file, c_nationkey % 5 AS kind, c_custkey AS k, c_mktsegment AS s, CASE c_custkey % 3 WHEN 0 THEN 'a;' || chr(10) || '"b' WHEN 1 THEN 'plain' ELSE '' END AS note FROM customer),
+r AS (SELECT file, kind, k, s, note FROM c UNION ALL SELECT DISTINCT file, kind, -7, 'x', '' FROM c WHERE kind = 2),
+v AS (SELECT file, kind, k, 0 AS position, abs(k)::VARCHAR AS value FROM r UNION ALL SELECT file, kind, k, 1, s FROM r UNION ALL SELECT file, kind, k, 2, note FROM r)
+SELECT file, position::INT AS position, CASE WHEN kind = 1 THEN 'column' || (position + 1) WHEN position = 0 THEN 'id' WHEN position = 1 THEN 'segment' WHEN kind = 0 THEN 'Segment' ELSE 'note' END AS name,
+  count(*) FILTER (value <> '') AS non_empty, count(*) FILTER (value = '') AS empty, least(count(DISTINCT value) FILTER (value <> ''), 10000) AS distinct_count,
+  CASE WHEN max(value) = '' THEN 'empty' WHEN position = 0 THEN 'integer' ELSE 'string' END AS inferred_type,
+  CASE WHEN position = 0 THEN min(try_cast(value AS BIGINT))::VARCHAR ELSE (min(length(value)) FILTER (value <> ''))::VARCHAR END AS min_value,
+  CASE WHEN position = 0 THEN max(try_cast(value AS BIGINT))::VARCHAR ELSE (max(length(value)) FILTER (value <> ''))::VARCHAR END AS max_value,
+  coalesce(array_to_string(list(value ORDER BY k) FILTER (value <> '')[1:3], ','), '') AS samples
+FROM v GROUP BY file, kind, position"""
 
-CSV_PROFILE = """
-SELECT 'id' AS name, count(*) AS non_empty, 0::BIGINT AS empty, least(count(DISTINCT c_custkey), 10000) AS distinct_count, 'integer' AS inferred_type, min(c_custkey)::VARCHAR AS min_value, max(c_custkey)::VARCHAR AS max_value FROM customer
-UNION ALL SELECT 'segment', count(*), 0, count(DISTINCT c_mktsegment), 'string', min(length(c_mktsegment))::VARCHAR, max(length(c_mktsegment))::VARCHAR FROM customer
-UNION ALL SELECT 'note', count(*) FILTER (c_custkey % 3 <> 2), count(*) FILTER (c_custkey % 3 = 2), 2, 'string', '5', '5' FROM customer"""
+
+def csv_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The first three rows of every file, and what stands for an empty one."""
+    made = _csv_files(spark, sf).union(spark.createDataFrame([("none", bytearray())], "file string, content binary"))
+    rows = profile.data_rows(files.contents(made, "csv", "file"), 3, "file")
+    return rows.select("file", "row", F.size("cells").alias("width"), F.element_at("cells", 1).alias("first"), F.col("problem.status").alias("status"))
+
+
+CSV_ROWS = f"""
+WITH c AS (SELECT {NATION_FILE} AS file, c_nationkey % 5 AS kind, c_custkey AS k FROM customer),
+r AS (SELECT file, kind, k, 3 AS width FROM c UNION ALL SELECT DISTINCT file, kind, -7, 2 FROM c WHERE kind = 2),
+n AS (SELECT file, (row_number() OVER (PARTITION BY file ORDER BY k) - 1)::INT AS row, width, abs(k)::VARCHAR AS first FROM r)
+SELECT file, row, width::INT AS width, first, NULL::INT AS status FROM n WHERE row < 3 UNION ALL SELECT 'none', NULL, NULL, NULL, 422"""
 
 
 def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,77 +124,6 @@ def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 CHUNK_STREAM = "SELECT doc_id, sha256(text) AS sha256 FROM documents"
 
-def _workbooks(batches):
-    """(n_nationkey, content): a workbook for each nation, with its customers and a hidden sheet of formulas."""
-    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-    row = lambda cells: "<row>" + "".join(cells) + "</row>"
-    for batch in batches:
-        out = []
-        for key, names in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = io.BytesIO()
-            with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="customers" r:id="a"/><sheet name="links" state="hidden" r:id="b"/></sheets></workbook>')
-                z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="a" Target="worksheets/1.xml"/><Relationship Id="b" Target="worksheets/2.xml"/></R>')
-                z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>name</t></si></sst>')
-                body = [row(['<c t="s"><v>0</v></c>'])] + [row([f'<c t="inlineStr"><is><t>{n}</t></is></c>', "<c><v>1</v></c>"]) for n in names]
-                z.writestr("xl/worksheets/1.xml", f'<worksheet xmlns="{main}"><sheetData>{"".join(body)}</sheetData></worksheet>')
-                formula = 'webservice("x")' if key % 2 else "SUM(A1:A2)"
-                z.writestr("xl/worksheets/2.xml", f'<worksheet xmlns="{main}"><sheetData>{row([f"<c><f>{formula}</f><v>0</v></c>"])}</sheetData></worksheet>')
-            out.append(raw.getvalue())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["nation", "content"])
-
-
-def _workbook_rows(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.sort_array(F.collect_list("c_name")).alias("names"))
-    return files.contents(names.mapInArrow(_workbooks, "nation int, content binary"), "xlsx", "nation")
-
-
-def workbook_sheets(spark: SparkSession, sf: str) -> DataFrame:
-    return office.sheets(_workbook_rows(spark, sf), "nation")
-
-
-WORKBOOK_SHEETS = """
-WITH c AS (SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1)
-SELECT nation, 'customers' AS sheet, 'visible' AS visibility, n + 1 AS row_count, 2 * n + 1 AS cell_count, 0::BIGINT AS formula_count, 2::INT AS column_count FROM c
-UNION ALL SELECT nation, 'links', 'hidden', 1, 1, 1, 1 FROM c"""
-
-
-def workbook_health(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _workbook_rows(spark, sf)
-    risks = office.risky_formulas(rows, "nation").select("nation", "function")
-    return office.workbook_health(rows, "nation").join(risks, "nation", "left")
-
-
-WORKBOOK_HEALTH = """SELECT DISTINCT c_nationkey AS nation, 0::INT AS errors, (c_nationkey % 2)::INT AS warnings, 1::INT AS infos, true AS healthy, CASE WHEN c_nationkey % 2 = 1 THEN 'WEBSERVICE' END AS function FROM customer"""
-
-
-def _books(batches):
-    """(conv_id, content): a book for each conversation, a chapter for each turn."""
-    for batch in batches:
-        out = []
-        for turns in batch.column(1).to_pylist():
-            raw = io.BytesIO()
-            with zipfile.ZipFile(raw, "w") as z:
-                z.writestr("META-INF/container.xml", '<c><rootfile full-path="b.opf"/></c>')
-                item = "".join(f'<item id="i{k}" href="{k}.xhtml"/>' for k in range(len(turns)))
-                spine = "".join(f'<itemref idref="i{k}"/>' for k in range(len(turns)))
-                z.writestr("b.opf", f"<package><manifest>{item}</manifest><spine>{spine}</spine></package>")
-                for k, t in enumerate(turns):
-                    z.writestr(f"{k}.xhtml", f"<html><head><title>x</title></head><body><h2>{t['role']}</h2><p>turn <b>{t['turn']}</b></p></body></html>")
-            out.append(raw.getvalue())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["conv_id", "content"])
-
-
-def book_text(spark: SparkSession, sf: str) -> DataFrame:
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("turns"))
-    chapters = files.contents(turns.mapInArrow(_books, "conv_id long, content binary"), "epub", "conv_id")
-    return office.book_text(chapters, "conv_id").select("conv_id", "chapters", "text", "markdown", "words")
-
-
-BOOK_TEXT = """SELECT conv_id, count(*)::INT AS chapters, string_agg(role || chr(10) || chr(10) || 'turn ' || turn, chr(10) || chr(10) ORDER BY turn) AS text,
-string_agg('## ' || role || chr(10) || chr(10) || 'turn **' || turn || '**', chr(10) || chr(10) ORDER BY turn) AS markdown, (3 * count(*))::INT AS words FROM conversations GROUP BY 1"""
-
-
 def data_uris(spark: SparkSession, sf: str) -> DataFrame:
     png = F.concat(F.unhex(F.lit("89504E47")), F.col("c_name").cast("binary"))
     raw = F.when(F.col("c_custkey") % 2 == 0, png).otherwise(F.col("c_name").cast("binary"))
@@ -164,15 +135,15 @@ DATA_URIS = """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'data:image/pn
 
 def page_splits(spark: SparkSession, sf: str) -> DataFrame:
     """Turns of conversations split into parts, joined again with a blank one between."""
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("p"))
-    p = F.transform("p", lambda x: x["role"])
+    turns = by_turns(spark, sf, "role")
+    p = F.transform("turns", lambda x: x["role"])
     parts = pages.split(p, F.lit("1; 1-2"))
     flat = lambda a: F.array_join(a, ",")
-    return turns.select("conv_id", F.array_join(F.transform(parts, flat), ";").alias("parts"), flat(pages.merge(p, p)).alias("merged"), flat(pages.insert_blank(p, F.lit(1), 2)).alias("blanks"))
+    return turns.select("file", F.array_join(F.transform(parts, flat), ";").alias("parts"), flat(pages.merge(p, p)).alias("merged"), flat(pages.insert_blank(p, F.lit(1), 2)).alias("blanks"))
 
 
-PAGE_SPLITS = """
-WITH t AS (SELECT conv_id, list(role ORDER BY turn) AS p FROM conversations GROUP BY 1)
-SELECT conv_id, CASE WHEN len(p) >= 2 THEN p[1] || ';' || p[1] || ',' || p[2] END AS parts, array_to_string(list_concat(p, p), ',') AS merged, ',,' || array_to_string(p, ',') AS blanks FROM t"""
+PAGE_SPLITS = f"""
+WITH t AS (SELECT {TURN_FILE} AS file, list(role ORDER BY turn) AS p FROM conversations GROUP BY 1)
+SELECT file, CASE WHEN len(p) >= 2 THEN p[1] || ';' || p[1] || ',' || p[2] END AS parts, array_to_string(list_concat(p, p), ',') AS merged, ',,' || array_to_string(p, ',') AS blanks FROM t"""
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (chunk_stream, CHUNK_STREAM), (workbook_sheets, WORKBOOK_SHEETS), (workbook_health, WORKBOOK_HEALTH), (book_text, BOOK_TEXT), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (csv_rows, CSV_ROWS), (chunk_stream, CHUNK_STREAM), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}

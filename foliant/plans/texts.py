@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import content, html, pages, pii, spans, text
+from foliant.sources.files import decode
 from foliant.sources.tables import table
 
 _q = lambda x: "'" + x.replace("'", "''") + "'"
@@ -34,6 +35,17 @@ _WORDS = f"len(regexp_extract_all(text, {_q(text.WORD)}))"
 TEXT_METRICS = f"SELECT doc_id, {_WORDS}::INT AS word_count, length(text)::INT AS char_count, ({_LINES})::INT AS line_count, {_language()} AS language FROM documents"
 
 
+def base_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of texts after they were decoded from bytes, two of which are no UTF-8."""
+    raw = F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF61")))
+    return table(spark, sf, "documents").select("doc_id", text.base_metrics(decode(raw)).alias("m")).select("doc_id", "m.*")
+
+
+BASE_METRICS = f"""
+WITH d AS (SELECT doc_id, text || chr(65533) || 'a' AS text FROM documents)
+SELECT doc_id, {_WORDS}::INT AS word_count, length(text)::INT AS char_count, NULL::INT AS token_count, ({_LINES})::INT AS line_count, {_language()} AS language FROM d"""
+
+
 def line_census(spark: SparkSession, sf: str) -> DataFrame:
     """Over pages with other line ends written in: CRLF in even ids, CR in every seventh."""
     mixed = F.when(F.col("page_id") % 7 == 0, F.concat(F.replace("html", F.lit("><"), F.lit(">\r<")), F.lit("\r"))).when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("><"), F.lit(">\r\n<"))).otherwise(F.concat("html", F.lit("\n")))
@@ -288,6 +300,15 @@ UNION ALL SELECT 'documents', CASE WHEN length(text) = octet_length(encode(text)
 FROM documents GROUP BY 2, 3"""
 
 
+def transliterated(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts in the characters of code page 1252, after some were put in that it hasn't got."""
+    dirty = F.concat(F.lit("\u2192\u0151\u4e2d\u2019 "), "text", F.lit("\u2264\u200b"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(content.transliterate(dirty)).alias("md5"))
+
+
+TRANSLITERATED = "SELECT doc_id, md5('->o?\u2019 ' || text || '<=') AS md5 FROM documents"
+
+
 def normalised(spark: SparkSession, sf: str) -> DataFrame:
     dirty = F.concat(F.lit("﻿\x07"), F.replace("text", F.lit(". "), F.lit(".\r")), F.lit("\x1b"))
     rows = table(spark, sf, "documents").select("doc_id", dirty.alias("t"))
@@ -321,10 +342,14 @@ def html_title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-_TITLE = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)"
-for _name, _char in html.ENTITIES:
-    _TITLE = f"replace({_TITLE}, {_q(_name)}, {_q(_char)})"
-HTML_TITLE = f"SELECT page_id, nullif(trim({_TITLE}), '') AS title FROM pages"
+def _decoded(x: str) -> str:
+    """The entities that the pages hold, decoded."""
+    for name, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    return x
+
+
+HTML_TITLE = f"""SELECT page_id, nullif(trim({_decoded("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1)")}), '') AS title FROM pages"""
 
 
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -335,8 +360,28 @@ def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", html.to_markdown(F.col("html")).alias("markdown"))
 
 
-HTML_TO_TEXT = f"SELECT page_id, {html.oracle('html')} AS text FROM pages"
-HTML_TO_MARKDOWN = f"SELECT page_id, {html.oracle('html', True)} AS markdown FROM pages"
+def _pages(markdown: bool) -> str:
+    """The pages' body cut at tags of blocks; each piece keeps its first tag, which tells what it is. Enough for these
+    pages, which hold no pre, tables, ordered lists or quotes, and built otherwise than the scan that it checks."""
+    cut = "(?i)<(/?)(p|div|article|footer|section|header|h1|h2|h3|ul|li|body)(\\s[^>]*)?>"
+    piece = "regexp_replace(b, '^\\x01([^\\x02]*)\\x02', '')"
+    if markdown:
+        piece = f"regexp_replace({piece}, '(?i)</?(b|strong)>', '**', 'g')"
+        piece = f"regexp_replace({piece}, '(?i)</?(i|em)>', '*', 'g')"
+        piece = f"""regexp_replace({piece}, '(?i)<a\\s[^>]*href="([^"#][^"]*)"[^>]*>(.*?)</a>', '[\\2](\\1)', 'g')"""
+    piece = f"regexp_replace(regexp_replace({piece}, '(?i)<br\\s*/?>', chr(3), 'g'), '<[^>]*>', '', 'g')"
+    said = f"replace(regexp_replace(regexp_replace({_decoded(piece)}, '[\\s]+', ' ', 'g'), '\\x03 ', chr(3), 'g'), chr(3), chr(10))"
+    said = f"regexp_replace({said}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+    mark = "CASE regexp_extract(b, '^\\x01([a-z0-9/]*)', 1) WHEN 'h1' THEN '# ' WHEN 'h2' THEN '## ' WHEN 'h3' THEN '### ' WHEN 'li' THEN '- ' ELSE '' END ||" if markdown else ""
+    return f"""
+WITH body AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<head.*?</head>', ''), '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+cut AS (SELECT page_id, string_split(regexp_replace(h, '{cut}', chr(4) || chr(1) || '\\1\\2' || chr(2), 'g'), chr(4)) AS bs FROM body),
+b AS (SELECT page_id, unnest(bs) AS b, unnest(range(len(bs))) AS i FROM cut),
+s AS (SELECT page_id, i, {mark} {said} AS s, {said} AS bare FROM b)
+SELECT page_id, coalesce(string_agg(s, chr(10) || chr(10) ORDER BY i) FILTER (bare <> ''), '') AS {"markdown" if markdown else "text"} FROM s GROUP BY page_id"""
+
+
+HTML_TO_TEXT, HTML_TO_MARKDOWN = _pages(False), _pages(True)
 
 
 # ---- pages of conversations
@@ -356,24 +401,25 @@ SELECT conv_id, CASE conv_id % 6 WHEN 0 THEN '1' WHEN 1 THEN ' 1 , 2-2,1' WHEN 2
 
 
 def page_edits(spark: SparkSession, sf: str) -> DataFrame:
-    """Every conversation's turns without the first, and turned around."""
-    turns = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.md5("text").alias("m")))).alias("p"))
+    """Turns of conversations, 200 at most, without the first, turned around, and the first one turned."""
+    name = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / 200).cast("string")).alias("file")
+    turns = table(spark, sf, "conversations").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("turn", F.md5("text").alias("m")))).alias("p"))
     p = F.transform("p", lambda x: x["m"])
     back = F.sequence(F.size("p"), F.lit(1), F.lit(-1))
-    return turns.select("conv_id", F.array_join(pages.delete(p, F.array(F.lit(0))), ",").alias("deleted"), F.array_join(pages.reorder(p, back), ",").alias("reordered"), F.array_join(pages.select(p, F.array(F.lit(0))), ",").alias("selected"))
+    return turns.select("file", F.array_join(pages.rotate(F.transform("p", lambda _: F.lit(270)), F.array(F.lit(0)), 180), ",").alias("angles"), F.array_join(pages.delete(p, F.array(F.lit(0))), ",").alias("deleted"), F.array_join(pages.reorder(p, back), ",").alias("reordered"), F.array_join(pages.select(p, F.array(F.lit(0))), ",").alias("selected"))
 
 
 PAGE_EDITS = """
-WITH t AS (SELECT conv_id, list(md5(text) ORDER BY turn) AS p FROM conversations GROUP BY 1)
-SELECT conv_id, CASE WHEN len(p) > 1 THEN array_to_string(p[2:], ',') END AS deleted, array_to_string(list_reverse(p), ',') AS reordered, p[1] AS selected FROM t"""
+WITH t AS (SELECT conv_id || '-' || (turn // 200) AS file, list(md5(text) ORDER BY turn) AS p FROM conversations GROUP BY 1)
+SELECT file, '90' || repeat(',270', len(p)::INT - 1) AS angles, CASE WHEN len(p) > 1 THEN array_to_string(p[2:], ',') END AS deleted, array_to_string(list_reverse(p), ',') AS reordered, p[1] AS selected FROM t"""
 
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (text_metrics, TEXT_METRICS), (line_census, LINE_CENSUS), (language_confusion, LANGUAGE_CONFUSION), (readability, READABILITY), (readability_bands, READABILITY_BANDS),
+        (text_metrics, TEXT_METRICS), (base_metrics, BASE_METRICS), (line_census, LINE_CENSUS), (language_confusion, LANGUAGE_CONFUSION), (readability, READABILITY), (readability_bands, READABILITY_BANDS),
         (readability_by_source, READABILITY_BY_SOURCE), (syllable_histogram, SYLLABLE_HISTOGRAM), (heading_lines, HEADING_LINES), (table_runs, TABLE_RUNS), (search_literal, SEARCH_LITERAL),
         (search_regex, SEARCH_REGEX), (search_sections, SEARCH_SECTIONS), (search_counts, SEARCH_COUNTS), (pii_matches, PII_MATCHES), (pii_pages, PII_PAGES), (pii_conversations, PII_CONVERSATIONS),
-        (pii_by_type, PII_BY_TYPE), (pii_by_document, PII_BY_DOCUMENT), (content_hash, CONTENT_HASH), (exact_duplicates, EXACT_DUPLICATES), (encoding_detect, ENCODING_DETECT), (normalised, NORMALISED),
+        (pii_by_type, PII_BY_TYPE), (pii_by_document, PII_BY_DOCUMENT), (content_hash, CONTENT_HASH), (exact_duplicates, EXACT_DUPLICATES), (encoding_detect, ENCODING_DETECT), (normalised, NORMALISED), (transliterated, TRANSLITERATED),
         (control_bytes, CONTROL_BYTES), (html_title, HTML_TITLE), (html_to_text, HTML_TO_TEXT), (html_to_markdown, HTML_TO_MARKDOWN), (page_ranges, PAGE_RANGES), (page_edits, PAGE_EDITS),
     )
 }

@@ -75,7 +75,7 @@ def rows(spark, kind, raw):
 
 def test_xlsx(spark):
     got = rows(spark, "xlsx", xlsx())
-    assert [(r.sheet, r.visibility, r.row_index, r.cells, r.formulas) for r in got] == [("One", "visible", 0, ["shared", "inline"], [None, None]), ("One", "visible", 1, ["TRUE", "3"], [None, "SUM(A1)"])]
+    assert [(r.sheet, r.visibility, r.row_index, r.cells, r.formulas) for r in got] == [("One", "visible", 0, ["shared", "inline"], [None, None]), ("One", "visible", 1, ["TRUE", "3"], [None, "SUM(A1)"]), ("Two", "hidden", None, [], [])]
 
 
 def test_pptx(spark):
@@ -88,8 +88,8 @@ def test_docx(spark):
 
 def test_epub(spark):
     assert [(r.chapter, r.markup) for r in rows(spark, "epub", epub())] == [(1, "<p>B</p>"), (2, "<p>A</p>")]
-    assert "encrypted" in rows(spark, "epub", epub(**{"META-INF__encryption_x_xml": "x"}))[0].problem
-    assert "document type" in rows(spark, "epub", epub(**{"META-INF__container_x_xml": "<!DOCTYPE x><c/>"}))[0].problem
+    assert "encrypted" in rows(spark, "epub", epub(**{"META-INF__encryption_x_xml": "x"}))[0].problem.detail
+    assert "document type" in rows(spark, "epub", epub(**{"META-INF__container_x_xml": "<!DOCTYPE x><c/>"}))[0].problem.detail
 
 
 def test_eml(spark):
@@ -117,6 +117,10 @@ def test_zip_and_broken_files(spark):
     ],
 )
 def test_delimited(raw, want, delimiter):
+    if not want:
+        with pytest.raises(files.Refused):
+            list(files.delimited(raw))
+        return
     got = list(files.delimited(raw))
     assert [r[2] for r in got] == want
     assert {r[1] for r in got} <= {delimiter}
@@ -132,14 +136,14 @@ def test_profile_types(spark):
     lines = [("age", "12"), ("age", "-3"), ("joined", "2024-01-02"), ("active", "true"), ("active", "no"), ("score", "1.5"), ("score", "1,234"), ("city", "Rome"), ("city", " ")]
     df = spark.createDataFrame([(0, *x) for x in lines], "position int, name string, value string")
     got = {r.name: (r.inferred_type, r.min_value, r.max_value, r.empty) for r in profile.profile(df).collect()}
-    assert got == {"age": ("integer", "-3", "12", 0), "joined": ("date", "2024-01-02", "2024-01-02", 0), "active": ("boolean", None, None, 0), "score": ("decimal", "1.5", "1234.0", 0), "city": ("string", "4", "4", 1)}
+    assert got == {"age": ("integer", "-3", "12", 0), "joined": ("date", "2024-01-02T00:00:00", "2024-01-02T00:00:00", 0), "active": ("boolean", None, None, 0), "score": ("decimal", "1.5", "1234.0", 0), "city": ("string", "4", "4", 1)}
 
 
 def test_scan_and_reassemble(spark, tmp_path):
     (tmp_path / "a.TXT").write_bytes(b"hello")
     r = files.scan(spark, str(tmp_path), most_bytes=10).first()
     assert (r.file_name, r.ext, r.length) == ("a.TXT", "txt", 5)
-    assert files.scan(spark, str(tmp_path), most_bytes=4).count() == 0
+    assert files.scan(spark, str(tmp_path), most_bytes=4).first().problem.status == 413
     chunks = spark.createDataFrame([("f", 2, bytearray(b"lo")), ("f", 1, bytearray(b"hel"))], "file_name string, seq int, data binary")
     assert bytes(files.reassemble(chunks).first().content) == b"hello"
 
@@ -150,8 +154,8 @@ def test_office_aggregates(spark):
     def held(kind, raw):
         return files.contents(spark.createDataFrame([("f", bytearray(raw)), ("bad", bytearray(b"PK"))], "path string, content binary"), kind)
 
-    assert [(r.sheet, r.row_count, r.cell_count, r.formula_count, r.column_count) for r in office.sheets(held("xlsx", xlsx())).collect()] == [("One", 2, 4, 1, 2)]
-    assert {(r.path, r.errors, r.healthy) for r in office.workbook_health(held("xlsx", xlsx())).collect()} == {("f", 0, True), ("bad", 1, False)}
+    assert [(r.sheet, r.row_count, r.cell_count, r.formula_count, r.column_count) for r in office.sheets(held("xlsx", xlsx())).collect()] == [("One", 2, 4, 1, 2), ("Two", 0, 0, 0, 0)]
+    assert {(r.path, r.errors, r.healthy) for r in office.workbook_health(held("xlsx", xlsx()), held("xlsx facts", xlsx())).collect()} == {("f", 0, True), ("bad", 1, False)}
     assert office.outline(held("pptx", pptx())).first().markdown == "## 1. First\n\n- Body\n\n> **Notes:** said\n\n## 2. Last"
     book = office.book_text(held("epub", epub())).first()
     assert (book.chapters, book.text, book.words) == (2, "B\n\nA", 2)
@@ -172,9 +176,60 @@ def test_no_row_is_cut():
     with zipfile.ZipFile(io.BytesIO(xlsx())) as old, zipfile.ZipFile(raw, "w") as new:
         for name in old.namelist():
             new.writestr(name, sheet if name == "xl/worksheets/a.xml" else old.read(name))
-    assert sum(1 for _ in files.sheet_rows(raw.getvalue())) == 100_003
+    assert sum(r[3] is not None for r in files.sheet_rows(raw.getvalue())) == 100_003
     assert sum(1 for _ in files.delimited(b"a,b\n" * 1_000_003)) == 1_000_003
 
 
 def test_workbook_without_sheets_is_a_problem(spark):
-    assert "no sheets" in rows(spark, "xlsx", zipped(**{"xl__workbook_x_xml": f'<workbook xmlns="{M}"><sheets/></workbook>'}))[0].problem
+    assert "no sheets" in rows(spark, "xlsx", zipped(**{"xl__workbook_x_xml": f'<workbook xmlns="{M}"><sheets/></workbook>'}))[0].problem.detail
+
+
+def test_large_files_are_problems(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"x" * 10)
+    (tmp_path / "b.txt").write_bytes(b"x" * 1000)
+    got = {r.file_name: r for r in files.scan(spark, str(tmp_path), most_bytes=100).collect()}
+    assert bytes(got["a.txt"].content) == b"x" * 10 and got["a.txt"].problem is None
+    assert got["b.txt"].content is None and got["b.txt"].problem.status == 413
+    assert files.scan(spark, str(tmp_path), most_bytes=0).where("problem IS NOT NULL").count() == 0
+
+
+@pytest.mark.parametrize(("text", "issues", "more"), [
+    ("a,b,c\n1,2,3\n4,5\n6,7,8\n", ["ragged_rows:error"], {"ragged_rows": 1, "first_ragged": 3}),
+    ("id,name,name\n1,a,b\n", ["header:warning"], {"has_header": True}),
+    ("1,2,3\n4,5,6\n", ["header:info"], {"has_header": False, "headers": ["column1", "column2", "column3"], "data_row_count": 2}),
+    ("a,b\r\n1,2\n3,4\r\n", ["line_endings:warning"], {"line_ending": "mixed"}),
+    ("", ["empty:error"], {"row_count": 0}),
+    ("\ufeffa,b\n1,2\n", [], {"has_bom": True, "headers": ["a", "b"]}),
+])
+def test_inspection_of_delimited_files(spark, text, issues, more):
+    made = spark.createDataFrame([("x", bytearray(text.encode()))], "path string, content binary")
+    got = profile.inspection(made, files.contents(made, "csv")).collect()[0]
+    assert [f"{i.check}:{i.severity}" for i in got.issues] == issues
+    assert {k: got[k] for k in more} == more
+
+
+def test_profiles_of_files(spark):
+    texts = {"a": "city,country,when\nRome,IT,2024-01-02\nParis,,2/3/2024\nBonn,DE,4 Mar 2024 10:30\nRome,IT,2024-01-02\n", "b": "n\n5\n-3\n12,1\n"}
+    made = spark.createDataFrame([(k, bytearray(t.encode())) for k, t in texts.items()], "path string, content binary")
+    got = {(r.path, r.position): r for r in profile.profile_files(files.contents(made, "csv"), samples=2).collect()}
+    assert [got["a", k].name for k in range(3)] == ["city", "country", "when"] and got["a", 0].samples == ["Rome", "Paris"]
+    assert (got["a", 1].non_empty, got["a", 1].empty, got["a", 1].distinct_count) == (3, 1, 2)
+    assert (got["a", 2].inferred_type, got["a", 2].min_value, got["a", 2].max_value) == ("date", "2024-01-02T00:00:00", "2024-03-04T10:30:00")
+    # the widest row has two cells, so that the first one names nothing and is data
+    assert [got["b", k].name for k in range(2)] == ["column1", "column2"] and got["b", 0].inferred_type == "string"
+
+
+def test_rows_of_delimited_files(spark):
+    made = spark.createDataFrame([("x", bytearray(b"a\n1\n2\n3\n")), ("none", bytearray())], "path string, content binary")
+    lines = files.contents(made, "csv")
+    assert [r.cells for r in profile.data_rows(lines, 2).where("path = 'x'").orderBy("row").collect()] == [["1"], ["2"]]
+    assert profile.data_rows(lines, 0).where("path = 'x'").count() == 3
+    assert profile.data_rows(lines).where("path = 'none'").collect()[0].problem.status == 422
+
+
+def test_books_that_are_not_valid(spark):
+    facts = lambda raw: {(r.kind, r.name) for r in rows(spark, "epub facts", raw)}
+    assert ("error", "container") in facts(b"nothing") and ("error", "mimetype") in facts(epub())
+    bad = facts(epub(mimetype="text/plain", **{"META-INF__encryption_x_xml": "x"}))
+    assert {("error", "mimetype"), ("error", "drm"), ("error", "spine"), ("warning", "metadata")} <= bad
+    assert ("error", "limits") in facts(zipped(mimetype="application/epub+zip", big="0" * 3_000_000))

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import content, html, pages, pii, spans, text
+from foliant.operators import books
 
 
 def one(spark, value, make, kind="string"):
@@ -152,3 +153,94 @@ def test_control_bytes_reads_whole_texts(spark, tmp_path):
             want.add((i, ord(c), at, t.count("\n", 0, at) + 1, at - t.rfind("\n", 0, at), t.count(c)))
     got = {(r.doc_id, r.code, r.offset, r.line, r.col, r.occurrences) for r in texts.control_bytes(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+# ---- HTML
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<h1>Title</h1>", "# Title"), ("<h3>Sub</h3>", "### Sub"), ("<p>a <strong>bold</strong> word</p>", "a **bold** word"), ("<p>an <em>italic</em> word</p>", "an *italic* word"),
+    ("<p>some <code>code</code></p>", "some `code`"), ("<hr/>", "---"), ("<ul><li>one</li><li>two</li></ul>", "- one\n\n- two"), ("", ""),
+    ("<ol><li>a<ul><li>in</li></ul></li><li>b</li><li>c</li></ol>", "1. a\n\n  - in\n\n2. b\n\n3. c"), ('<p>See <a href="https://example.org">the site</a>.</p>', "See [the site](https://example.org)."),
+    ("<p>See <a href='#note1'>note</a>.</p>", "See note."), ('<p><img src=x.png alt="a]b"></p>', "![a\\]b](x.png)"),
+    ("<p>t</p><table><tr><th>Name</th><th>Value</th></tr><tr><td>al|pha</td><td>1</td></tr></table>", "t\n\n| Name | Value |\n| --- | --- |\n| al\\|pha | 1 |"),
+    ("<pre>line one\n    indented</pre>", "```\nline one\n    indented\n```"), ("<blockquote><p>quoted</p><blockquote>deeper</blockquote></blockquote>", "> quoted\n\n> > deeper"),
+])
+def test_html_to_markdown(page, want):
+    assert html.convert(page, True) == want
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<style>p{color:red}</style><script>alert('</p>')</script><p>real</p>", "real"), ("<p>Caf&eacute; &amp; cr&egrave;me &#8212; 5&nbsp;euros</p>", "Café & crème — 5 euros"),
+    ("<p>compare &lt;p&gt; with &lt;div&gt;</p>", "compare <p> with <div>"), ('<p title="a > b">content</p>', "content"), ("<p>before</p><p>after", "before\n\nafter"),
+    ("<p>x</p>1 < 2", "x\n\n1 < 2"), ("<p>Mobipocket <mbp:nobreak>keeps</mbp:nobreak> going</p>", "Mobipocket keeps going"), ("<p>a sentence\n    wrapped\n across</p>", "a sentence wrapped across"),
+    ("<p>first<br/>second</p>", "first\nsecond"), ("<h1>Title</h1><p>and <strong>bold</strong></p>", "Title\n\nand bold"), ("<nav>n</nav><footer>f</footer>", "n\n\nf"),
+    ("<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>", "a\tb\nc\td"), ("<xhtml:p>a</xhtml:p>b<!-- <p>no</p> -->", "a\n\nb"), ("<ul>" * 40 + "<li>x" + "</ul>" * 40, "x"),
+])
+def test_html_to_text(page, want):
+    assert html.convert(page, False) == want
+
+
+def test_attributes():
+    assert html.attributes("a HREF='x&amp;y' title=\"q\" n=3 xlink:to=z") == {"href": "x&y", "title": "q", "n": "3", "to": "z"}
+
+
+# ---- spans
+
+
+def test_groups_and_back_references(spark):
+    df = spark.createDataFrame([("xx aa yy ab",)], "text string")
+    got = df.select(spans.search(F.col("text"), pattern=r"([a-z])\1").alias("m")).first().m
+    assert [(m.match, m.start, m.end) for m in got] == [("xx", 0, 2), ("aa", 3, 5), ("yy", 6, 8)]
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "".join(f"no. {k}; " for k in range(100_000))
+    df = spark.createDataFrame([(text,)], "text string")
+    got = df.select(F.explode(spans.search(F.col("text"), pattern="[0-9]+;", context=5)).alias("m")).select("m.*").collect()
+    assert len(got) == 100_000
+    for m in (got[0], got[777], got[-1]):
+        assert text[m.start : m.end] == m.match and m.context == text[max(m.start - 5, 0) : m.end + 5]
+
+
+@pytest.mark.parametrize(("pattern", "fine"), [
+    (r"([a-z]+,)+", True), (r"(?:ab|cd)+e", True), (r"(\w+\s)+x", True), (r"[A-Z][a-z]+tion[,.]", True), (r"(a|a)*b", False), (r"x((a+))+", False), (r"(a+)+b", False), (r"(a*)*b", False),
+    (r"(\d+\s?)+x", False), (r"(a|ab)+c", True), (r"(a|a?b)+c", False), (r"(ab?|b)+c", False), ("(a", False), ("a*", False),
+])
+def test_patterns_that_may_never_end(spark, pattern, fine):
+    if fine:
+        spans.check_pattern(pattern)
+    else:
+        with pytest.raises(ValueError):
+            spans.check_pattern(pattern)
+
+
+# ---- transliteration, tokens, shares
+
+
+def test_spelled():
+    assert content.spelled("→ ő 中 😀 ’ é\u200b") == "-> o ? ?? ’ é" and content.spelled("plain") == "plain"
+
+
+def test_token_count(spark, tmp_path):
+    import base64
+
+    ranks = {bytes([k]): k for k in range(256)} | {b"ab": 256, b"abc": 257}
+    (tmp_path / "ranks").write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+    df = spark.createDataFrame([("abc abd",), ("",), (None,)], "text string")
+    assert [r[0] for r in df.select(text.token_count(F.col("text"), str(tmp_path / "ranks"), r"\S+|\s")).collect()] == [4, 0, None]
+
+
+def test_purge_compares_instants(spark):
+    shares = spark.createDataFrame([("a", "2024-01-01T12:00:00+02:00"), ("b", "2024-01-01T12:00:00Z"), ("c", None)], "token string, expires_at string")
+    now = F.lit("2024-01-01 11:00:00").cast("timestamp")
+    assert [r.token for r in books.purge(shares, now).orderBy("token").collect()] == ["b", "c"]
+
+
+def test_batches(spark):
+    df = spark.createDataFrame([("f.txt", bytearray(b"mail a@b.org"))], "file_name string, content binary")
+    assert [tuple(r)[1:] for r in books.batch(df, "pii").collect()] == [("pii", "f.txt", "pending")]
+    assert "a@b.org" in books.run_batch(df, "pii").first().result and '"word_count":2' in books.run_batch(df, "text").first().result
+    for bad in (lambda: books.batch(df, "dance"), lambda: books.batch(df.where("false"), "pii"), lambda: books.run_batch(df, "qa")):
+        with pytest.raises(ValueError):
+            bad()
