@@ -2,11 +2,14 @@
 
 Pass one sets bits for every text hash and keeps the bits that two rows may share; pass two tests
 each row against that plane. Rows that fail the test are surely single and pass straight through;
-only the rest shuffle, by hash, with sums before the shuffle.
+only the rest shuffle, by hash, with sums before the shuffle. Beyond the rows of one plane the
+hashes are cut into ranges, each with a plane of its own, so that a row has as many bits at any size.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +19,7 @@ from pyspark.sql.window import Window
 
 from foliant.llm.common import Scratch, mix64, replaced
 
-#: Bits of the plane for each row, number of probes, and the most bits (64 MB) that are broadcast.
-#: Beyond that many rows more single rows shuffle; results stay the same.
+#: Bits of a plane for each row, number of probes, and the bits of a plane (64 MB), which is broadcast.
 BITS_PER_ROW, PROBES, MOST_BITS = 16, 4, 1 << 29
 SEGMENT_BITS = 1 << 19
 
@@ -59,38 +61,28 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"segment": table.column("segment").slice(0, 1), "plane": pa.array([plane.tobytes()], pa.binary())})
 
 
-def repeated_plane(keyed: DataFrame, rows: int) -> tuple[np.ndarray, int]:
-    """The bits that at least two rows of keyed(key) may share, and their number.
+def repeated_plane(keyed: DataFrame, bits: int) -> np.ndarray:
+    """The plane of the bits that at least two rows of keyed(key) may share.
 
-    A task sends the positions it sets, not a plane, so that what is sent follows the rows. The
-    plane holds BITS_PER_ROW bits a row and at most MOST_BITS, which bounds what the driver holds."""
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (BITS_PER_ROW * max(rows, 1) - 1).bit_length()))
+    A task sends the positions it sets, not a plane, so that what is sent follows the rows."""
     segments = max(1, bits // SEGMENT_BITS)
     sent = keyed.select("key").mapInArrow(_positions(bits), "segment int, bits binary")
-    merged = sent.repartition(min(segments, 200), "segment").groupBy("segment").applyInArrow(_merge, "segment int, plane binary").collect()
+    merged = sent.repartition(-(-segments // 4), "segment").groupBy("segment").applyInArrow(_merge, "segment int, plane binary").collect()
     plane = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
     for row in merged:
         plane[row.segment * SEGMENT_BITS // 8 :][: SEGMENT_BITS // 8] = np.frombuffer(row.plane, np.uint8)
-    return plane, bits
-
+    return plane
 
-def normalised(text: str = "text"):
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
+def planes_for(rows: int) -> tuple[int, int]:
+    """Number of ranges of hashes, and bits of the plane of each: a power of two, MOST_BITS at most."""
+    ranges = max(1, -(-BITS_PER_ROW * rows // MOST_BITS))
+    return ranges, 1 << max(16, (BITS_PER_ROW * max(-(-rows // ranges), 1) - 1).bit_length())
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with keep_id, group_size, kept and text_sha256, a row for each row.
 
-    Texts are equal when they are identical after each run of ASCII white space becomes one space.
-    A null text counts as empty, so null and empty texts are copies of each other. Of equal texts
-    the row with the smallest id stays; null ids come after all others. Where rows repeat that id
-    one of them is kept. Columns of docs named like the results are replaced; an empty table gives
-    an empty result."""
-    rows = replaced(docs, "keep_id", "group_size", "kept", "text_sha256").withColumn("text_sha256", F.sha2(normalised(text), 256))
-    scratch = Scratch(spark)
-    hashed = scratch.save(rows.select(F.xxhash64("text_sha256").alias("key")), "hashes")
-    plane, bits = repeated_plane(hashed, hashed.count())
-    shared = spark.sparkContext.broadcast(plane.tobytes())
+def _tested(spark: SparkSession, scratch: Scratch, rows: DataFrame, bits: int, name: str) -> DataFrame:
+    """rows with __maybe, whether another row may have the same key; written, so that the plane can go."""
+    shared = spark.sparkContext.broadcast(repeated_plane(rows, bits).tobytes())
 
     @F.pandas_udf(T.BooleanType())
     def maybe_repeated(key):
@@ -100,14 +92,41 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
         at = probes(key.to_numpy(), bits)
         return pd.Series(((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1))
 
-    tested = rows.withColumn("__maybe", maybe_repeated(F.xxhash64("text_sha256")))
+    tested = scratch.save(rows.withColumn("__maybe", maybe_repeated("key")).drop("key"), name)
+    shared.destroy()
+    return tested
+
+
+def normalised(text: str = "text"):
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+    """docs with keep_id, group_size, kept and text_sha256, a row for each row; without the text if it isn't wanted.
+
+    Texts are equal when they are identical after each run of ASCII white space becomes one space.
+    A null text counts as empty, so null and empty texts are copies of each other; a text of any
+    length is hashed whole, once. Of equal texts the row with the smallest id stays; null ids come
+    after all others. Where rows repeat that id one of them is kept. Columns of docs named like the
+    results are replaced; an empty table gives an empty result."""
+    scratch, (count, bits) = Scratch(spark), planes_for(docs.count())
+    rows = replaced(docs, "keep_id", "group_size", "kept", "text_sha256", "key", "__maybe").withColumn("text_sha256", F.sha2(normalised(text), 256))
+    rows = (rows if with_text else rows.drop(text)).withColumn("key", F.xxhash64("text_sha256"))
+    # in order within each file, so that a range reads its own part of every file
+    rows = scratch.save(rows.sortWithinPartitions("key") if count > 1 else rows, "hashed")
+    edges = [-(1 << 63) + (k << 64) // count for k in range(count + 1)]
+    parts = [rows.where(F.col("key").between(low, high - 1)) for low, high in zip(edges, edges[1:], strict=False)] if count > 1 else [rows]
+    tested = reduce(DataFrame.union, [_tested(spark, scratch, part, bits, f"tested{k}") for k, part in enumerate(parts)])
+    scratch.drop("hashed")
+
     single = tested.where("NOT __maybe").drop("__maybe").withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    again = scratch.save(tested.where("__maybe").drop("__maybe"), "again")
+    again = tested.where("__maybe").drop("__maybe")
     # written first: a join of two plain shuffles is one that Spark splits where a text is hot
     groups = scratch.save(again.groupBy("text_sha256").agg(F.min(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    same_id = Window.partitionBy("text_sha256", doc_id).orderBy(doc_id)
     decided = again.join(groups, "text_sha256").withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
+    decided = scratch.save(decided, "decided")
     # rows that repeat the id that stays are few: one of them is kept
+    same_id = Window.partitionBy("text_sha256", doc_id).orderBy(doc_id)
     kept = decided.where("kept").withColumn("__nth", F.row_number().over(same_id))
     kept = kept.withColumn("kept", F.col("__nth") == 1).drop("__nth")
     return single.unionByName(decided.where("NOT kept")).unionByName(kept)

@@ -24,6 +24,8 @@ class Scratch:
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
         if not root:  # tests and single machines only
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             root = "/tmp/checkpoints/foliant"
             spark.sparkContext.setCheckpointDir(root)
         self.root = f"{root.rstrip('/')}/foliant-{uuid.uuid4().hex}"
@@ -178,24 +180,31 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of edges(a, b): root is the smallest node that is reachable.
 
-    Alternates large and small stars. Each is an aggregate with partial sums and a join, both of
-    which Spark splits when a node is hot, so that no node's neighbours meet in one task. Each
-    round is written to the shared folder."""
+    Alternates large and small stars. Each is an aggregate with partial sums and a join of two written
+    tables, which Spark splits when a node is hot, so that no node's neighbours meet in one task."""
     e = scratch.save(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges0")
     for k in range(1, rounds + 1):
+        if e.isEmpty():
+            break
         # large star: every larger neighbour of a node points to the least of its neighbourhood
         both = e.union(e.selectExpr("b AS a", "a AS b"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b").distinct()
+        least = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"least{k}")
+        large = scratch.save(both.join(least, "a").where("b > a").selectExpr("b AS a", "m AS b").distinct(), f"large{k}")
         # small star: a node and its smaller neighbours point to the least of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")), f"low{k}")
         small = large.join(low, "a").where("b <> m").selectExpr("b AS a", "m AS b").union(low.selectExpr("a", "m AS b"))
         new = scratch.save(small.distinct(), f"edges{k}")
         same = new.count() == e.count() and new.exceptAll(e).isEmpty()
-        scratch.drop(f"edges{k - 1}")
+        for name in (f"edges{k - 1}", f"least{k}", f"large{k}", f"low{k}"):
+            scratch.drop(name)
         e = new
         if same:
             break
     else:
         raise RuntimeError("components did not settle")
     return e.selectExpr("a AS node", "b AS root")
+
+
+def numbered(scratch: Scratch, groups: DataFrame, name: str) -> DataFrame:
+    """groups with node, a number of its own for each row, which stays as it is since the table is written."""
+    return scratch.save(groups.withColumn("node", F.monotonically_increasing_id()), name)

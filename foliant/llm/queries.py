@@ -44,7 +44,7 @@ def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bloom_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloom_dedup.exact_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return bloom_dedup.exact_dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
