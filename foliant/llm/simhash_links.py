@@ -8,22 +8,27 @@ brings them to the tasks that search them; a broadcast of all of them would have
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, column_bytes, components, mix64, ranges, roots, shards_for, whole
+from foliant.llm.common import Scratch, column_bytes, components, mix64, numbered, ranges, roots, shards_for, whole
 
 SEED = 42
-#: The contract's fingerprint and links: 64 bits of three-word shingles, 3 differing bits. Two such
-#: fingerprints agree in at least one of four bands, so that the shards lose no link.
-SHINGLE, RADIUS, BAND_BITS = 3, 3, 16
-#: Near copies: sets of shingles of five words, 512 bits. Sets with a Jaccard similarity of 0.8 differ in
-#: 77 bits, with a deviation of 8, so that 4 deviations more are candidates; 39 bands of 13 bits meet
-#: 99.3 % of such pairs and 99.9 % at 0.85. The sets themselves decide: COPY_SHARE is their similarity.
-COPY_SHINGLE, COPY_WORDS, COPY_RADIUS, COPY_BAND_BITS, COPY_SHARE = 5, 8, 109, 13, (4, 5)
+#: The contract's fingerprint and links: 64 bits of three-word shingles, 3 differing bits.
+SHINGLE, RADIUS = 3, 3
+#: Near copies: sets of shingles of five words, 256 bits. Sets with a Jaccard similarity of 0.8 agree in
+#: 84.9 % of the bits and differ in 39 with a deviation of 5.7, so that 4 deviations more are candidates.
+#: The sets themselves decide: COPY_SHARE is their similarity.
+COPY_SHINGLE, COPY_WORDS, COPY_RADIUS, COPY_SHARE = 5, 4, 62, (4, 5)
+COPY_AGREE, COPY_RECALL, LEAST_BANDS = 0.849, 0.998, 40
+#: Strangers that a shard holds whatever the number of rows; of links by pigeonhole, where trees prune, more.
+STRANGERS, PRUNED_STRANGERS = 64, 2048
 #: Rows of bands a task handles, distances computed at once, and fingerprints of a tree: a larger shard
 #: is dealt out as pairs of blocks.
 SHARD_ROWS, AT_ONCE, BLOCK = 300_000, 2_000_000, 250_000
@@ -31,6 +36,27 @@ SHARD_ROWS, AT_ONCE, BLOCK = 300_000, 2_000_000, 250_000
 SET_BLOCK = 1_000_000
 
 
+def exact_bands(rows: int) -> list[np.ndarray]:
+    """Bits of each band, so that fingerprints at RADIUS differing bits agree in one band at least: of m
+    blocks of bits RADIUS are hit at most, and every choice of m - RADIUS blocks is a band. More rows
+    have more blocks and so wider bands."""
+    for m in range(RADIUS + 1, RADIUS + 5):
+        blocks = np.array_split(np.arange(64), m)
+        bands = [np.concatenate(x) for x in combinations(blocks, m - RADIUS)]
+        if rows >> min(map(len, bands)) <= PRUNED_STRANGERS:
+            break
+    return bands
+
+
+def copy_bands(rows: int) -> list[np.ndarray]:
+    """Bits of each band of fingerprints of sets: so many that a shard has STRANGERS, and as many bands,
+    drawn from all bits, as find COPY_RECALL of the pairs at the limit."""
+    width = max(8, math.ceil(math.log2(max(rows, 1) / STRANGERS)))
+    count = max(LEAST_BANDS, math.ceil(math.log(1 - COPY_RECALL) / math.log1p(-(COPY_AGREE**width))))
+    draw = np.random.default_rng([3, width])
+    return [np.sort(draw.choice(64 * COPY_WORDS, width, replace=False)) for _ in range(count)]
+
+
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """XXH64 of each shingle, repeats included; none for a text without words."""
     words = text.lower().split()  # bytes: A-Z and ASCII white space only
@@ -127,32 +153,39 @@ class Forest:
         return roots(n, a, b)
 
 
-def _bands(words: int, width: int, blocks: dict[int, int]):
-    """(shard, low, high, node, fp): a row for each band, and in a shard of several blocks for each pair with the own one."""
-    place = 1 << np.arange(width)[::-1]
+def _bands(words: int, bands: list[np.ndarray]):
+    """(shard, node, fp): a row for each band."""
 
     def run(batches):
         for batch in batches:
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8)).reshape(-1, 64 * words)
-            node = batch.column(0).to_numpy().view(np.uint64)
-            for k in range(64 * words // width):
-                shard = bits[:, k * width : (k + 1) * width] @ place | k << width
-                parts = np.array([blocks.get(s, 1) for s in shard.tolist()]) if blocks else np.ones(len(shard), np.int64)
-                row = np.repeat(np.arange(len(shard)), parts)
-                own, other = (node[row] % parts[row].astype(np.uint64)).astype(np.int32), ranges(np.zeros(len(parts)), parts).astype(np.int32)
-                at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(shard[row]), pa.array(np.minimum(own, other)), pa.array(np.maximum(own, other)), batch.column(0).take(at), batch.column(1).take(at)], ["shard", "low", "high", "node", "fp"])
+            for k, at in enumerate(bands):
+                shard = bits[:, at] @ (1 << np.arange(len(at))[::-1]) | k << 40
+                yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0), batch.column(1)], ["shard", "node", "fp"])
 
     return run
 
 
+def _in_blocks(scratch: Scratch, rows: DataFrame, key: str, size: str, most: int, name: str) -> DataFrame:
+    """rows with low and high: a key whose rows sum up to more than most is dealt out as pairs of blocks, of
+    which each row is in those with its own block."""
+    large = rows.groupBy(key).agg(F.sum(F.expr(size)).alias("total")).where(F.col("total") > most)
+    large = scratch.save(large.selectExpr(key, f"CAST(ceil(total / {most}) AS int) AS blocks"), name)
+    if large.isEmpty():
+        return rows.withColumns({"low": F.lit(0), "high": F.lit(0)})
+    # Spark broadcasts the keys by their size, or splits the join of two plain shuffles
+    dealt = rows.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumns({"own": F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"), "other": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "own", "other")
+
+
 def _links(words: int, radius: int):
     def run(batches):
         table = whole(batches)  # SHARD_ROWS rows or so
         if table is None:
             return
-        shard, low, high, node = (table.column(k).to_numpy() for k in range(4))
-        fps = np.frombuffer(b"".join(table.column(4).to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+        shard, low, high, node = (table.column(k).to_numpy() for k in ("shard", "low", "high", "node"))
+        fps = np.frombuffer(b"".join(table.column("fp").to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
         order = np.lexsort((node, high, low, shard))
         key = np.stack([shard[order], low[order], high[order]])
         same = (key[:, 1:] == key[:, :-1]).all(axis=0)
@@ -168,60 +201,66 @@ def _links(words: int, radius: int):
     return run
 
 
-def _candidates(spark: SparkSession, scratch: Scratch, nodes: DataFrame, words: int, radius: int, band_bits: int) -> DataFrame:
+def _candidates(spark: SparkSession, scratch: Scratch, nodes: DataFrame, words: int, radius: int, bands_for) -> DataFrame:
     """(node, root) of the nodes(node, fp) that links within the radius join to a smaller one."""
-    count, schema, blocks = nodes.count(), "shard long, low int, high int, node long, fp binary", {}
-    if count > BLOCK:  # else no shard can be larger; at most count * bands / BLOCK shards are
-        sizes = nodes.select("node", "fp").mapInArrow(_bands(words, band_bits, {}), schema).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
-        blocks = {r.shard: -(-r.n // BLOCK) for r in sizes.where(F.col("n") > BLOCK).collect()}
-    shards = shards_for(count * (words * 64 // band_bits), SHARD_ROWS)
-    dealt = nodes.select("node", "fp").mapInArrow(_bands(words, band_bits, blocks), schema).repartition(shards, "shard", "low", "high")
+    count = nodes.count()
+    bands = bands_for(count)
+    met = nodes.select("node", "fp").mapInArrow(_bands(words, bands), "shard long, node long, fp binary")
+    if count > BLOCK:  # else no shard can be larger
+        met = _in_blocks(scratch, met, "shard", "1L", BLOCK, "large_shards")
+    else:
+        met = met.withColumns({"low": F.lit(0), "high": F.lit(0)})
+    dealt = met.repartition(shards_for(count * len(bands), SHARD_ROWS), "shard", "low", "high")
     return components(spark, scratch, dealt.mapInArrow(_links(words, radius), "a long, b long"))
 
 
 def _by_node(scratch: Scratch, nodes: DataFrame, roots_of: DataFrame) -> DataFrame:
-    """(node, component_id): the smallest id of each node's component; nodes without a link are their own."""
-    linked = nodes.join(roots_of, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    linked = scratch.save(linked, "linked")
-    groups = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    # written: a join of two plain shuffles is one that Spark splits where a node is hot
-    return scratch.save(linked.join(groups, "root").select("node", "component_id"), "by_node")
+    """The nodes that are linked, with component_id, the smallest id of the component."""
+    both = roots_of.union(roots_of.select("root", "root").distinct())
+    linked = scratch.save(nodes.drop("fp", "n").join(both, "node"), "linked")
+    # all written: a join of two plain shuffles is one that Spark splits where a component is hot
+    groups = scratch.save(linked.groupBy("root").agg(F.min("least").alias("component_id")), "roots")
+    return scratch.save(linked.join(groups, "root").drop("root", "least"), "by_node")
 
 
-def simhash_components(spark: SparkSession, docs: DataFrame, shingle: int = SHINGLE, words: int = 1, radius: int = RADIUS, band_bits: int = BAND_BITS) -> DataFrame:
+def simhash_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hexadecimal) and component_id of every row of docs(doc_id, text).
 
     Texts are lower-cased in A-Z and split at ASCII white space; fewer words than a shingle are one
-    shingle; null texts and texts without words have fingerprint zero and are linked like any other.
-    Rows of one fingerprint, repeated rows among them, are one node, so that no group of copies is
-    compared with itself. component_id is the smallest id that links reach, null ids left out (null
-    where all are). An empty table gives an empty result; other columns are left out."""
+    shingle; null texts and texts without words have fingerprint zero and are linked like any other;
+    a text of any length counts whole. Rows of one fingerprint, repeated rows among them, are one node,
+    so that no group of copies is compared with itself. component_id is the smallest id that links
+    reach, null ids left out (null where all are). An empty table gives an empty result; other columns
+    are left out."""
     scratch = Scratch(spark)
-    rows = scratch.save(fingerprints(docs, shingle, words).withColumn("node", F.xxhash64("fp")), "fingerprints")
+    # XXH64 of eight bytes is one to one: no two fingerprints share a node
+    rows = scratch.save(fingerprints(docs, SHINGLE, 1).withColumn("node", F.xxhash64("fp")), "fingerprints")
     nodes = scratch.save(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least")), "nodes")
-    by_node = _by_node(scratch, nodes, _candidates(spark, scratch, nodes, words, radius, band_bits))
+    linked = _by_node(scratch, nodes, _candidates(spark, scratch, nodes, 1, RADIUS, exact_bands))
+    alone = nodes.join(linked.select("node"), "node", "left_anti").select("node", F.col("least").alias("component_id"))
+    by_node = scratch.save(linked.select("node", "component_id").union(alone), "components")
     return rows.join(by_node, "node").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """Of every row's set of five-word shingles: doc_id, node (its hash), fp and n (its size)."""
+    """Of every row's set of five-word shingles: doc_id, h and g (its hash of 128 bits), fp and n (its size)."""
 
     def run(batches):
         for batch in batches:
-            nodes, fps, sizes = [], [], []
+            hashes, fps, sizes = [], [], []
             for x in column_bytes(batch.column(1)):
                 own = np.unique(shingle_hashes(x, COPY_SHINGLE))
-                nodes.append(node_of(own))
+                hashes.append(node_of(own))
                 fps.append(fingerprint(own, COPY_WORDS))
                 sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "node", "fp", "n"])
+            h, g = np.array(hashes, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h), pa.array(g), pa.array(fps, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "h", "g", "fp", "n"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, node long, fp binary, n long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h long, g long, fp binary, n long")
 
 
-def node_of(own: np.ndarray) -> int:
-    h = xxhash.xxh64_intdigest(own.tobytes(), SEED)
-    return h - (h >> 63 << 64)
+def node_of(own: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(own.tobytes(), SEED), np.int64).tolist())
 
 
 def copies(sets: list[np.ndarray]) -> np.ndarray:
@@ -250,31 +289,24 @@ def copies(sets: list[np.ndarray]) -> np.ndarray:
         led[i] = True
 
 
-def _blocks(blocks: dict[int, int]):
-    """(root, low, high, node, shingles) of candidates (root, node, text): a row for each, and in a group of several
-    blocks for each pair with the own one. Ids may repeat: texts of another node are left out."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for root, node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2)), strict=True):
-                own = np.unique(shingle_hashes(text, COPY_SHINGLE))
-                if node_of(own) != node:
-                    continue
-                parts, raw = blocks.get(root, 1), own.tobytes()
-                out += [(root, min(node % parts, k), max(node % parts, k), node, raw) for k in range(parts)]
-                if len(out) >= 500:  # sets are long
-                    yield _dealt(out)
-                    out = []
-            if out:
+def _sets(batches):
+    """(root, node, n, shingles) of candidates (root, node, h, g, text). Ids may repeat: texts of another node are left out."""
+    for batch in batches:
+        out = []
+        for root, node, h, g, text in zip(*(batch.column(k).to_pylist() for k in range(4)), column_bytes(batch.column(4)), strict=True):
+            own = np.unique(shingle_hashes(text, COPY_SHINGLE))
+            if node_of(own) == (h, g):
+                out.append((root, node, len(own), own.tobytes()))
+            if len(out) >= 500:  # sets are long
                 yield _dealt(out)
-
-    return run
+                out = []
+        if out:
+            yield _dealt(out)
 
 
 def _dealt(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["root", "low", "high", "node", "shingles"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["root", "node", "n", "shingles"])
 
 
 def _checked(batches):
@@ -282,14 +314,14 @@ def _checked(batches):
     table = whole(batches)  # SET_BLOCK * 2 shingles or so
     if table is None:
         return
-    root, low, high, node = (table.column(k).to_numpy() for k in range(4))
+    root, low, high, node = (table.column(k).to_numpy() for k in ("root", "low", "high", "node"))
     order = np.lexsort((node, high, low, root))
     key = np.stack([root[order], low[order], high[order]])
     starts = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
     for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
         members = order[at:end]
         members = members[np.r_[True, node[members[1:]] != node[members[:-1]]]]
-        first = copies([np.frombuffer(x, np.uint64) for x in table.column(4).take(pa.array(members)).to_pylist()])
+        first = copies([np.frombuffer(x, np.uint64) for x in table.column("shingles").take(pa.array(members)).to_pylist()])
         moved = np.flatnonzero(first != np.arange(len(first)))
         if len(moved):
             yield pa.RecordBatch.from_arrays([pa.array(node[members[moved]]), pa.array(node[members[first[moved]]])], ["a", "b"])
@@ -299,22 +331,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the near copies of a document with a smaller id.
 
     Near copies are linked at a Jaccard similarity of 0.8 or more of their sets of five-word shingles.
-    512-bit fingerprints of the sets bring candidates together, the sets themselves decide. Equal sets
-    are one node. Rows without an id stay and link nothing; rows that share the id that stays all stay."""
+    256-bit fingerprints of the sets bring candidates together, the sets themselves decide. Equal sets
+    are one node; so are null texts and texts without words, whose set is empty: the one with the
+    smallest id stays. Rows without an id stay and link nothing; rows that share the id that stays all
+    stay. A text of any length counts whole; an empty table gives an empty result; columns stay as they are."""
     named, scratch = docs.where("doc_id IS NOT NULL"), Scratch(spark)
     rows = scratch.save(shingle_sets(named), "sets")
-    nodes = scratch.save(rows.groupBy("node").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.max("n").alias("n")), "nodes")
-    found = _candidates(spark, scratch, nodes, COPY_WORDS, COPY_RADIUS, COPY_BAND_BITS)
-    members = found.union(found.select("root", "root").distinct()).join(nodes.select("node", "least", "n"), "node")
+    nodes = rows.groupBy("h", "g").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
+    nodes = numbered(scratch, nodes, "nodes")
+    found = _candidates(spark, scratch, nodes, COPY_WORDS, COPY_RADIUS, copy_bands)
+    members = found.union(found.select("root", "root").distinct()).join(nodes.select("node", "h", "g", "least"), "node")
     members = scratch.save(members, "members")
-    groups = members.groupBy("root").agg(F.sum("n").alias("n"))
-    large = {r.root: r.n for r in groups.where(F.col("n") > SET_BLOCK).collect()}  # few: each has a block and more
-    blocks = {root: -(-n // SET_BLOCK) for root, n in large.items()}
-    total = (groups.agg(F.sum("n")).first()[0] or 0) + sum((blocks[root] - 1) * n for root, n in large.items())
-    texts = named.select("doc_id", "text").join(members.selectExpr("least AS doc_id", "root", "node"), "doc_id").select("root", "node", "text")
-    dealt = texts.mapInArrow(_blocks(blocks), "root long, low int, high int, node long, shingles binary")
+    texts = named.select("doc_id", "text").join(members.withColumnRenamed("least", "doc_id"), "doc_id").select("root", "node", "h", "g", "text")
+    sets = scratch.save(texts.mapInArrow(_sets, "root long, node long, n long, shingles binary"), "shingles")
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    dealt = _in_blocks(scratch, sets, "root", "n", SET_BLOCK, "large_groups") if total > SET_BLOCK else sets.withColumns({"low": F.lit(0), "high": F.lit(0)})
     dealt = dealt.repartition(shards_for(total, SET_BLOCK), "root", "low", "high")
-    roots_of = components(spark, Scratch(spark), dealt.mapInArrow(_checked, "a long, b long"))
-    by_node = _by_node(scratch, nodes, roots_of)
-    gone = rows.join(by_node, "node").where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    linked = _by_node(scratch, nodes, components(spark, Scratch(spark), dealt.mapInArrow(_checked, "a long, b long")))
+    scratch.drop("shingles")
+    alone = nodes.where("copies > 1").join(linked.select("node"), "node", "left_anti").withColumn("component_id", F.col("least"))
+    told = scratch.save(linked.select("h", "g", "component_id").union(alone.select("h", "g", "component_id")), "told")
+    gone = rows.join(told, ["h", "g"]).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(scratch.save(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
