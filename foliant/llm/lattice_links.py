@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, components, mix64, ranges, roots, shards_for, whole
+from foliant.llm.common import Scratch, components, mix64, numbered, ranges, roots, shards_for, whole
 
 #: Least cosine of a link.
 COSINE = 0.9
@@ -110,11 +110,10 @@ def _unit_rows(batches):
 
 def _node_rows(batches):
     for batch in batches:
-        for at, unit in _by_dimension(batch.column(1).to_pylist()):
-            code, sign = cells(unit), signs(unit)
-            take = pa.array(at)
+        for at, unit in _by_dimension(batch.column("unit").to_pylist()):
+            code, sign, held = cells(unit), signs(unit), batch.take(pa.array(at))
             blob = lambda a: pa.array([x.tobytes() for x in a], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), batch.column(3).take(take), blob(code), blob(sign)], ["node", "unit", "copies", "least", "cells", "signs"])
+            yield pa.RecordBatch.from_arrays([*held.columns, blob(code), blob(sign)], [*held.schema.names, "cells", "signs"])
 
 
 def _cell_rows(batches):
@@ -211,18 +210,23 @@ def lattice_links(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_id
     count once each in n_links and are one node. Vectors that are null, empty or zero, or hold null,
     NaN or infinite components, link with nothing and are their own component; so do vectors of
     different dimensions with each other. Null ids are left out of component_id (null where all are).
-    Cells of any size are compared whole, in blocks of BLOCK members; other columns are left out."""
+    Cells of any size are compared whole, in blocks of BLOCK members; an empty table gives an empty
+    result; other columns are left out."""
     scratch = Scratch(spark)
     kind = vectors.schema[vec_id].dataType.simpleString()
     rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding)).mapInArrow(_unit_rows, f"vec_id {kind}, unit binary")
-    rows = scratch.save(rows.withColumn("node", F.xxhash64("unit")), "rows")
-    nodes = rows.where("unit IS NOT NULL").groupBy("node").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
-    nodes = scratch.save(nodes.mapInArrow(_node_rows, f"node long, unit binary, copies long, least {kind}, cells binary, signs binary"), "nodes")
-
-    met = nodes.select("node", "cells", "signs").mapInArrow(_cell_rows, "cell long, node long, signs binary")
+    # 128 bits tell vectors apart; a number stands for them from then on
+    rows = scratch.save(rows.withColumns({"h": F.xxhash64("unit"), "g": F.xxhash64(F.lit(1), "unit")}), "rows")
+    nodes = rows.where("unit IS NOT NULL").groupBy("h", "g").agg(F.first("unit").alias("unit"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least"))
+    nodes = nodes.mapInArrow(_node_rows, f"h long, g long, unit binary, copies long, least {kind}, cells binary, signs binary")
+    nodes = numbered(scratch, nodes, "nodes")
+
+    # both sides written: a join of two plain shuffles is one that Spark splits where a cell is hot
+    met = scratch.save(nodes.select("node", "cells", "signs").mapInArrow(_cell_rows, "cell long, node long, signs binary"), "met")
     sizes = met.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").selectExpr("cell", f"CAST(ceil(n / {BLOCK}) AS int) AS blocks")
+    sizes = scratch.save(sizes, "sizes")
     # a cell of many members becomes pairs of blocks, each a unit of its own
-    met = met.join(sizes, "cell").withColumn("block", F.expr("CAST(pmod(node, blocks) AS int)"))
+    met = met.join(sizes, "cell").withColumn("block", F.expr("CAST(pmod(xxhash64(node), blocks) AS int)"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("cell", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "signs")
     shards = shards_for(nodes.count() * TABLES * CELLS, TASK_ROWS)
@@ -235,12 +239,11 @@ def lattice_links(spark: SparkSession, vectors: DataFrame, vec_id: str = "vec_id
 
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(spark, scratch, found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    told = nodes.select("node", "copies", "least").join(links, "node", "left").join(joined, "node", "left")
+    told = nodes.select("node", "h", "g", "copies", "least").join(links, "node", "left").join(joined, "node", "left")
     told = scratch.save(told.withColumns({"root": F.coalesce("root", "node"), "links": F.coalesce("links", F.lit(0)) + F.col("copies") - 1}), "told")
-    groups = told.groupBy("root").agg(F.min("least").alias("component"))
-    # written: a join of two plain shuffles is one that Spark splits where a vector is hot
-    told = scratch.save(told.join(groups, "root").select("node", "links", "component"), "by_node")
-    valid = rows.where("unit IS NOT NULL").join(told, "node").select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    groups = scratch.save(told.groupBy("root").agg(F.min("least").alias("component")), "roots")
+    told = scratch.save(told.join(groups, "root").select("h", "g", "links", "component"), "by_node")
+    valid = rows.where("unit IS NOT NULL").join(told, ["h", "g"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where("unit IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return valid.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
