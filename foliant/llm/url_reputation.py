@@ -48,11 +48,11 @@ def _weights(groups: DataFrame, above: list[str]) -> float:
     reaches the driver."""
     seen = groups.where("n > 0")
     parts = seen.groupBy(*above) if above else seen.groupBy()
-    parts = parts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.expr("bad * bad / n")).alias("sq"), F.sum(F.expr("n * n")).alias("nn"))
+    parts = parts.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum(F.expr("double(bad) * bad / n")).alias("sq"), F.sum(F.expr("double(n) * n")).alias("nn"))
     row = parts.agg(
         F.sum(F.expr("k - 1")).alias("between"),
         F.sum(F.expr("n - k")).alias("within"),
-        F.sum(F.expr("sq - bad * bad / n")).alias("ss_between"),
+        F.sum(F.expr("sq - double(bad) * bad / n")).alias("ss_between"),
         F.sum(F.expr("bad - sq")).alias("ss_within"),
         F.sum(F.expr("n - nn / n")).alias("size"),
     ).first()
@@ -112,7 +112,7 @@ def oracle(rules=RULES) -> str:
     fits = [(v, h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for v, h, p in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[1] + r[2]))]
     case = lambda i: "CASE " + " ".join(f"WHEN {f[2]} THEN '{f[i]}'" for f in fits) + " END"
     weight = lambda name, table, above: f"""
-{name}_parts AS (SELECT count(*) k, sum(n)::DOUBLE n, sum(bad)::DOUBLE bad, sum(bad::DOUBLE * bad / n) sq, sum(n * n)::DOUBLE nn FROM {table} WHERE n > 0 {above}),
+{name}_parts AS (SELECT count(*) k, sum(n)::DOUBLE n, sum(bad)::DOUBLE bad, sum(bad::DOUBLE * bad / n) sq, sum(n::DOUBLE * n) nn FROM {table} WHERE n > 0 {above}),
 {name}_sums AS (SELECT sum(k - 1) b, sum(n - k) w, sum(sq - bad * bad / n) ssb, sum(bad - sq) ssw, sum(n - nn / n) size FROM {name}_parts),
 {name}_rho AS (SELECT b, w, ssb / nullif(b, 0) msb, ssw / nullif(w, 0) msw, size / nullif(b, 0) n0 FROM {name}_sums),
 {name} AS (SELECT CASE WHEN coalesce(b, 0) = 0 OR coalesce(w, 0) = 0 THEN {LEAST_WEIGHT} WHEN msb + (n0 - 1) * msw <= 0 OR msb <= msw THEN {MOST_WEIGHT}
