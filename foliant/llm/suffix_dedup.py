@@ -3,8 +3,9 @@
 Every window has an anchor: the gram with the smallest hash among those inside it. Equal windows have
 equal anchors at equal places, so that windows whose anchor's hash occurs once can't repeat. The
 windows around the anchors that do repeat are cut out as segments, equal segments become one, and the
-segments of an anchor's hash meet in a shard. A shard's suffix array is built by induced sorting, and
-the permuted common prefixes of neighbouring suffixes tell which windows repeat.
+segments of an anchor's hash meet in a block, or in several where they are many. A block's suffix array
+is built by induced sorting, and the permuted common prefixes of neighbouring suffixes tell which
+windows repeat in it; blocks of one hash then compare the windows that each of them has.
 """
 
 from __future__ import annotations
@@ -15,24 +16,24 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, column_bytes, mix64, ranges, replaced, shards_for, slices, whole
+from foliant.llm.common import Scratch, column_bytes, mix64, ranges, shards_for, slices, whole
 
 WINDOW, GRAM = 200, 40
 #: Bytes whose anchors are found at once, bytes of a shard's suffix array, bytes of segments that a
 #: task of shards gets, and bytes of text that a task has in hand.
 BLOCK, SHARD_BYTES, TASK_BYTES, BATCH_BYTES = 1 << 19, 1 << 19, 4 << 20, 4 << 20
-#: Distinct segments of one anchor's hash that a task sorts. The windows of more are counted one by one
-#: over all tasks, which comes to the same.
-MOST_SEGMENTS = 50_000
+#: Bytes of the segments of one anchor's hash that meet in a block.
+GROUP_BYTES = 4 << 20
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_OTHER_BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
 # ---- anchors
 
 
-def _hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the length bytes at each place, put together from powers of two."""
-    a, h, w, whole, at = np.uint64(0x9FB21C651E98DF25), _BYTES[data], 1, None, 0
+def _hashes(data: np.ndarray, length: int, other: bool = False) -> np.ndarray:
+    """A 64-bit hash of the length bytes at each place, put together from powers of two; other gives a second one."""
+    a, h, w, whole, at = np.uint64(0xAEF17502108EF2D9 if other else 0x9FB21C651E98DF25), (_OTHER_BYTES if other else _BYTES)[data], 1, None, 0
     n = len(data) - length + 1
     while True:
         if length & w:
@@ -210,38 +211,21 @@ def repeated_windows(segments: list[bytes], least: int = WINDOW) -> list[np.ndar
 
 
 def _anchor_rows(batches):
-    for batch in (part for full in batches for part in slices(full, 1, BATCH_BYTES)):
-        texts, keys = column_bytes(batch.column(1)), batch.column(0).to_numpy(zero_copy_only=False)
+    for batch in (part for full in batches for part in slices(full, 2, BATCH_BYTES)):
+        texts, r, q = column_bytes(batch.column(2)), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         which, h, first, last = anchors(texts)
         digest = xxhash.xxh3_64_intdigest
         seg = [digest(texts[i][a : b + WINDOW]) for i, a, b in zip(which.tolist(), first.tolist(), last.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(seg, np.uint64).view(np.int64)), pa.array(keys[which]), pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["h", "seg", "row", "first", "windows"])
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.array(seg, np.uint64).view(np.int64)), pa.array(r[which]), pa.array(q[which]), pa.array(first.astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], ["h", "seg", "r", "q", "first", "windows"])
 
 
 def _cut_rows(batches):
-    """(h, seg, copies, many, bytes) of the segments that each text is asked for."""
+    """(h, seg, block, copies, many, bytes) of the segments that each text is asked for."""
     for batch in (part for full in batches for part in slices(full, 0, BATCH_BYTES)):
-        out = [(p["h"], p["seg"], p["copies"], p["many"], x[p["first"] : p["first"] + p["windows"] + WINDOW - 1]) for x, asked in zip(column_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True) for p in asked]
+        out = [(p["h"], p["seg"], p["block"], p["copies"], p["many"], x[p["first"] : p["first"] + p["windows"] + WINDOW - 1]) for x, asked in zip(column_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True) for p in asked]
         for at in range(0, len(out), 20_000):
-            h, seg, copies, many, raw = zip(*out[at : at + 20_000], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(seg, pa.int64()), pa.array(copies, pa.int64()), pa.array(many, pa.bool_()), pa.array(raw, pa.binary())], ["h", "seg", "copies", "many", "bytes"])
-
-
-def _window_rows(batches):
-    """(h, seg, copies, at, window): a 128-bit hash of every window of the segments."""
-    digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        for h, seg, copies, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = len(raw) - WINDOW + 1
-            yield pa.RecordBatch.from_arrays([pa.array([h] * n), pa.array([seg] * n), pa.array([copies] * n), pa.array(range(n), pa.int32()), pa.array([digest(raw[i : i + WINDOW]) for i in range(n)], pa.binary())], ["h", "seg", "copies", "at", "window"])
-
-
-def counted_windows(scratch: Scratch, cut: DataFrame) -> DataFrame:
-    """(h, seg, runs) of segments of hashes that have too many of them for a task."""
-    windows = cut.select("h", "seg", "copies", "bytes").mapInArrow(_window_rows, "h long, seg long, copies long, at int, window binary")
-    again = scratch.save(windows.groupBy("h", "window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "window"), "windows")
-    hits = windows.where("copies = 1").join(again, ["h", "window"]).groupBy("h", "seg").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    return hits.select("h", "seg", F.flatten(F.transform("at", lambda a: F.array(a, a + 1))).alias("runs"))
+            h, seg, block, copies, many, raw = zip(*out[at : at + 20_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(seg, pa.int64()), pa.array(block, pa.int32()), pa.array(copies, pa.int64()), pa.array(many, pa.bool_()), pa.array(raw, pa.binary())], ["h", "seg", "block", "copies", "many", "bytes"])
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -295,26 +279,59 @@ def shard_repeats(group: np.ndarray, segments: list[bytes]) -> list[np.ndarray]:
     return hits
 
 
+def own_windows(segments: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Segment, place and 128-bit hash (two numbers) of every distinct window of the segments, at its first place."""
+    sizes = np.array([len(x) for x in segments], np.int64)
+    first, windows = np.cumsum(sizes) - sizes, np.maximum(sizes - WINDOW + 1, 0)
+    data, at = np.frombuffer(b"".join(segments), np.uint8), ranges(first, windows)
+    w, v = _hashes(data, WINDOW)[at], _hashes(data, WINDOW, other=True)[at]
+    order = np.lexsort((v, w))
+    new = np.r_[True, (w[order[1:]] != w[order[:-1]]) | (v[order[1:]] != v[order[:-1]])] if len(order) else np.zeros(0, bool)
+    kept = np.sort(order[new])
+    segment = np.repeat(np.arange(len(segments)), windows)[kept]
+    return segment, at[kept] - first[segment], w[kept].view(np.int64), v[kept].view(np.int64)
+
+
 def _shard_rows(batches):
+    """(h, seg, copies, runs) tells which windows of a segment repeat in its block; where a hash has several blocks,
+    (h, seg, copies, at, w, v) tells place and hash of each window that the block has."""
     table = whole(batches)  # TASK_BYTES or so
     if table is None:
         return
-    h, seg, copies = (table.column(k).to_numpy() for k in (0, 1, 2))
+    h, seg, block, copies, many = (table.column(k).to_numpy(zero_copy_only=False) for k in ("h", "seg", "block", "copies", "many"))
     raw = table.column("bytes").to_pylist()
-    order = np.lexsort((seg, h))
+    order = np.lexsort((seg, block, h))
+    group = np.cumsum(np.r_[False, (h[order[1:]] != h[order[:-1]]) | (block[order[1:]] != block[order[:-1]])])
+    names = ["h", "seg", "copies", "runs", "at", "w", "v"]
+    no = lambda kind, n: pa.nulls(n, kind)
     at = 0
     while at < len(order):  # whole groups of about TASK_BYTES
         to, held = at, 0
-        while to < len(order) and (held < TASK_BYTES or h[order[to]] == h[order[to - 1]]):
+        while to < len(order) and (held < TASK_BYTES or group[to] == group[to - 1]):
             held, to = held + len(raw[order[to]]), to + 1
-        part = order[at:to]
-        hits = shard_repeats(h[part], [raw[i] for i in part.tolist()])
+        part, of = order[at:to], group[at:to]
+        hits = shard_repeats(of, [raw[i] for i in part.tolist()])
         found = [[x for run in _runs(flags) for x in run] for flags in hits]
         some = [k for k, x in enumerate(found) if x and copies[part[k]] == 1]
-        yield pa.RecordBatch.from_arrays([pa.array(h[part[some]]), pa.array(seg[part[some]]), pa.array([found[k] for k in some], pa.list_(pa.int32()))], ["h", "seg", "runs"])
+        mine, n = part[some], len(some)
+        runs = pa.array([found[k] for k in some], pa.list_(pa.int32()))
+        yield pa.RecordBatch.from_arrays([pa.array(h[mine]), pa.array(seg[mine]), pa.array(copies[mine]), runs, no(pa.int32(), n), no(pa.int64(), n), no(pa.int64(), n)], names)
+        for g in np.unique(of[many[part]]).tolist():
+            mine = part[of == g]
+            which, places, w, v = own_windows([raw[i] for i in mine.tolist()])
+            mine, n = mine[which], len(which)
+            yield pa.RecordBatch.from_arrays([pa.array(h[mine]), pa.array(seg[mine]), pa.array(copies[mine]), no(runs.type, n), pa.array(places, pa.int32()), pa.array(w), pa.array(v)], names)
         at = to
 
 
+def _across_blocks(scratch: Scratch, settled: DataFrame) -> DataFrame:
+    """(h, seg, runs) of windows that several blocks of a hash have."""
+    windows = settled.where("at IS NOT NULL").select("h", "seg", "copies", "at", "w", "v")
+    again = scratch.save(windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "v"), "shared_windows")
+    hits = windows.where("copies = 1").join(again, ["w", "v"]).groupBy("h", "seg").agg(F.collect_list("at").alias("at"))
+    return hits.select("h", "seg", F.flatten(F.transform("at", lambda a: F.array(a, a + 1))).alias("runs"))
+
+
 def _remove(batches):
     for batch in (part for full in batches for part in slices(full, 1, BATCH_BYTES)):
         sizes, removed, spans, kept = [], [], [], []
@@ -340,40 +357,43 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (the remaining bytes), a row for each row.
 
     A null text counts as empty. Texts shorter than WINDOW bytes lose nothing; texts that come twice,
-    repeated rows among them, lose all of their bytes. Null and repeated ids change nothing, since
-    rows go by id and text together. Columns of docs named like the results are replaced."""
+    repeated rows among them, lose all of their bytes; long texts are read whole, in pieces. Null and
+    repeated ids change nothing, since rows go by 128-bit hashes of id and text together. An empty table
+    gives an empty result. Columns of docs named like the results are replaced, all others stay."""
     scratch = Scratch(spark)
-    rows = replaced(docs, "n_bytes", "n_removed", "n_spans", "kept").withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = rows.select("__row", "text").mapInArrow(_anchor_rows, "h long, seg long, row long, first int, windows int")
+    names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept_row"), "text", F.xxhash64("doc_id", "text").alias("r"), F.xxhash64(F.lit(1), "text", "doc_id").alias("q"))
+    found = rows.select("r", "q", "text").mapInArrow(_anchor_rows, "h long, seg long, r long, q long, first int, windows int")
     found = scratch.save(found, "anchors")
-    # written first: a join of two plain shuffles is one that Spark splits where a passage is hot
+    # written first, here and below: a join of two plain shuffles is one that Spark splits where a passage is hot
     again = scratch.save(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
     found = scratch.save(found.join(again, "h"), "repeated")
     scratch.drop("anchors")
 
     # one place for each distinct segment; a hot passage is counted before the shuffle
-    place = F.min(F.struct("row", "first", "windows")).alias("place")
+    place = F.min(F.struct("r", "q", "first", "windows")).alias("place")
     distinct = scratch.save(found.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("copies"), place), "segments")
-    mixed = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least")).where("n > 1 AND least = 1").select("h", (F.col("n") > MOST_SEGMENTS).alias("many"))
-    mixed = scratch.save(mixed, "mixed")
-    asked = distinct.join(mixed, "h").select(F.col("place.row").alias("__row"), F.struct("h", "seg", "copies", "many", "place.first", "place.windows").alias("p"))
-    size = asked.agg(F.sum(F.col("p.windows") + (WINDOW - 1))).first()[0] or 0
+    size = F.col("place.windows").cast("long") + (WINDOW - 1)
+    mixed = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("least"), F.sum(size).alias("size")).where("n > 1 AND least = 1")
+    mixed = scratch.save(mixed.selectExpr("h", "size", f"CAST(ceil(size / {GROUP_BYTES}) AS int) AS blocks"), "mixed")
+    block = F.expr("CAST(pmod(seg, blocks) AS int)").alias("block")
+    asked = distinct.join(mixed, "h").select("place.r", "place.q", F.struct("h", "seg", block, "copies", (F.col("blocks") > 1).alias("many"), "place.first", "place.windows").alias("p"))
     # repeated rows have one key: their texts are equal, so that one of them is enough
-    asked = asked.groupBy("__row").agg(F.collect_list("p").alias("asked"))
-    cut = rows.select("__row", "text").join(asked, "__row").select("text", "asked").mapInArrow(_cut_rows, "h long, seg long, copies long, many boolean, bytes binary")
-    too_many = not mixed.where("many").isEmpty()
-    if too_many:
-        cut = scratch.save(cut, "cut")
-    shards = cut.where("NOT many").repartition(shards_for(size, TASK_BYTES), "h").mapInArrow(_shard_rows, "h long, seg long, runs array<int>")
-    settled = scratch.save(shards.union(counted_windows(scratch, cut.where("many"))) if too_many else shards, "settled")
-
-    whole = distinct.where("copies > 1").select("h", "seg", F.array(F.lit(0), F.col("place.windows")).alias("runs"))
-    hits = found.select("h", "seg", "row", "first").join(whole.union(settled), ["h", "seg"])
-    spans = hits.groupBy(F.col("row").alias("__row")).agg(F.collect_set(F.struct("first", "runs")).alias("__spans"))
-    joined = rows.join(scratch.save(spans, "spans"), "__row", "left").drop("__row")
-    kinds = F.struct(*[F.col(f"`{c}`") for c in joined.columns if not c.startswith("__")])
-    schema = "kept_row " + joined.select(kinds.alias("r")).schema["r"].dataType.simpleString() + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    out = joined.select(kinds.alias("kept_row"), "text", "__spans").mapInArrow(_remove, schema)
+    asked = scratch.save(asked.groupBy("r", "q").agg(F.collect_list("p").alias("asked")), "asked")
+    cut = rows.select("r", "q", "text").join(asked, ["r", "q"]).select("text", "asked").mapInArrow(_cut_rows, "h long, seg long, block int, copies long, many boolean, bytes binary")
+    shards = shards_for(mixed.agg(F.sum("size")).first()[0] or 0, TASK_BYTES)
+    settled = cut.repartition(shards, "h", "block").mapInArrow(_shard_rows, "h long, seg long, copies long, runs array<int>, at int, w long, v long")
+    settled = scratch.save(settled, "settled")
+    runs = settled.where("runs IS NOT NULL").select("h", "seg", "runs")
+    if not mixed.where("blocks > 1").isEmpty():
+        runs = runs.union(scratch.save(_across_blocks(scratch, settled), "across"))
+
+    copied = distinct.where("copies > 1").select("h", "seg", F.array(F.lit(0), F.col("place.windows")).alias("runs"))
+    hits = found.select("h", "seg", "r", "q", "first").join(copied.union(runs), ["h", "seg"])
+    spans = hits.groupBy("r", "q").agg(F.collect_set(F.struct("first", "runs")).alias("spans"))
+    joined = rows.join(scratch.save(spans, "spans"), ["r", "q"], "left")
+    schema = "kept_row " + rows.schema["kept_row"].dataType.simpleString() + ", n_bytes long, n_removed long, n_spans long, kept binary"
+    out = joined.select("kept_row", "text", "spans").mapInArrow(_remove, schema)
     return out.select("kept_row.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 

@@ -36,7 +36,9 @@ def test_exact_odd(spark, odd, none):
 def test_bloom_has_no_false_negatives(spark):
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
     df = spark.createDataFrame([(int(k),) for k in np.r_[keys, keys[:300]]], "key long").repartition(7)
-    plane, bits = bloom_dedup.repeated_plane(df, df.count())
+    ranges, bits = bloom_dedup.planes_for(df.count())
+    plane = bloom_dedup.repeated_plane(df, bits)
+    assert ranges == 1
     at = bloom_dedup.probes(keys, bits)
     hit = ((plane[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
     assert hit[:300].all() and hit[300:].mean() < 0.05
@@ -117,15 +119,49 @@ def test_near_dedup_compares_sets(spark):
     assert sorted(r.doc_id for r in simhash_links.near_dedup(spark, df).collect()) == list(range(9))
 
 
-def test_copy_fingerprints_find_pairs_at_the_limit():
-    draw, found = np.random.default_rng(6), 0
-    for _ in range(500):  # 300 and 300 shingles, 267 shared: a similarity of 0.802
-        h = draw.integers(0, 1 << 63, 333).astype(np.uint64) << np.uint64(1)
-        a, b = (np.frombuffer(simhash_links.fingerprint(x, simhash_links.COPY_WORDS), np.uint8) for x in (h[:300], h[33:]))
+@pytest.mark.parametrize("rows", [20_000, 1_000_000, 64_000_000])
+@pytest.mark.parametrize(("shared", "least"), [(267, 0.93), (276, 0.97), (285, 0.99)])  # of 300: 0.80, 0.85, 0.90
+def test_copy_fingerprints_find_pairs(rows, shared, least):
+    """Bands and radius together, at any number of rows."""
+    draw, bands, found = np.random.default_rng(6), simhash_links.copy_bands(rows), 0
+    for _ in range(500):
+        h = draw.integers(0, 1 << 63, 600 - shared).astype(np.uint64) << np.uint64(1)
+        a, b = (np.frombuffer(simhash_links.fingerprint(x, simhash_links.COPY_WORDS), np.uint8) for x in (h[:300], h[300 - shared :]))
         apart = np.unpackbits(a ^ b)
-        bands = apart[: len(apart) // simhash_links.COPY_BAND_BITS * simhash_links.COPY_BAND_BITS].reshape(-1, simhash_links.COPY_BAND_BITS)
-        found += apart.sum() <= simhash_links.COPY_RADIUS and not bands.any(axis=1).all()
-    assert found >= 485
+        found += apart.sum() <= simhash_links.COPY_RADIUS and any(not apart[at].any() for at in bands)
+    assert found >= least * 500
+
+
+def test_distances_per_copy_stay_flat(monkeypatch):
+    """A band's shards hold as many strangers at any number of rows."""
+    draw, each = np.random.default_rng(7), []
+    for rows in (20_000, 80_000, 320_000):
+        bits = draw.integers(0, 2, (rows, 256), dtype=np.uint8)
+        at = simhash_links.copy_bands(rows)[0]
+        sizes = np.bincount(bits[:, at] @ (1 << np.arange(len(at))))
+        each.append((sizes * (sizes - 1)).sum() / rows)
+    assert max(each) <= 2.2 * simhash_links.STRANGERS and max(each) < 2.5 * min(each)
+
+
+@pytest.mark.parametrize("rows", [1_000, 1 << 30, 1 << 34, 1 << 40])
+def test_exact_bands_lose_no_link(rows):
+    draw, bands = np.random.default_rng(9), simhash_links.exact_bands(rows)
+    for _ in range(2000):
+        flipped = draw.choice(64, 3, replace=False)
+        assert any(not np.isin(flipped, at).any() for at in bands)
+
+
+def test_few_rows_shuffle_beyond_one_plane(spark, monkeypatch):
+    """With planes for 32,768 rows each: hardly more rows than those that repeat are held to be repeated."""
+    monkeypatch.setattr(bloom_dedup, "MOST_BITS", 1 << 19)
+    assert bloom_dedup.planes_for(100_000) == (4, 1 << 19)
+    docs = spark.range(100_000).selectExpr("id AS doc_id", "CAST(IF(id % 10 = 0, id % 1000, id) AS string) AS text").repartition(3)
+    tested, real = [], bloom_dedup._tested
+    monkeypatch.setattr(bloom_dedup, "_tested", lambda *a: tested.append(real(*a)) or tested[-1])
+    got = bloom_dedup.exact_dedup(spark, docs)
+    want = {str(k) for k in range(100_000) if k % 10 or k < 1000}
+    assert got.count() == 100_000 and {r.text for r in got.where("kept").collect()} == want
+    assert len(tested) == 4 and 10_000 <= sum(t.where("__maybe").count() for t in tested) <= 10_000 + 0.05 * 90_000
 
 
 @pytest.mark.parametrize("block", [2_000_000, 300])
@@ -174,9 +210,9 @@ def brute_removed(docs):
         yield len(x), int(flags.sum()), starts, np.frombuffer(x, np.uint8)[~flags].tobytes()
 
 
-@pytest.mark.parametrize("most", [suffix_dedup.MOST_SEGMENTS, 2])
+@pytest.mark.parametrize("most", [suffix_dedup.GROUP_BYTES, 800])
 def test_suffix_dedup_equals_brute_force(spark, odd, sf, most, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MOST_SEGMENTS", most)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", most)
     draw = np.random.default_rng(1)
     passage = bytes(draw.integers(97, 123, 700)).decode()
     extra = [(100, "x" * 450, None, None), (101, "ab" * 300, None, None), (102, passage, None, None), (103, "left " + passage[100:600] + " right", None, None), (104, passage[:199], None, None), (105, "é" * 130, None, None)]
@@ -196,6 +232,22 @@ def test_suffix_dedup_odd(spark, odd, none):
     assert kept.count() == odd.count() and kept.columns == [*odd.columns, "n_chars"]
 
 
+def test_blocks_of_a_hot_anchor(spark, monkeypatch):
+    """Thousands of distinct segments around one passage, some of which share windows across blocks; columns of any name stay."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1 << 18)
+    draw = np.random.default_rng(3)
+    word = lambda n: bytes(draw.integers(97, 123, n).astype(np.uint8)).decode()
+    core = word(150)
+    rows = [(k, word(60) + core + word(60)) for k in range(4_000)]
+    rows += [(4_000 + k, word(30) + rows[k * 37][1][20:250] + word(30)) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS __row", "1 AS r")
+    want = sorted((k, *x) for (k, _), x in zip(rows, brute_removed([t.encode() for _, t in rows]), strict=True))
+    out = suffix_dedup.remove_repeats(spark, df)
+    assert out.columns == ["doc_id", "text", "__row", "r", "n_bytes", "n_removed", "n_spans", "kept"]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out.collect()) == want
+    assert sum(x[2] > 0 for x in want) == 200
+
+
 def test_long_text_in_pieces():
     draw = np.random.default_rng(2)
     x = bytes(draw.integers(97, 100, 1_300_000).astype(np.uint8))
