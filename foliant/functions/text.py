@@ -89,8 +89,10 @@ def line_ending(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """The language with most function words; null for short texts and those without any."""
-    every = sorted({w for words in MARKERS.values() for w in words})
-    marks = F.filter(F.split(F.lower(text), TOKEN_BREAK), _among(every))
+    # one scan finds the function words of all languages, so that other tokens never become values
+    every = "|".join(sorted({w for words in MARKERS.values() for w in words}))
+    apart = TOKEN_BREAK.removesuffix("+").replace("[", "[^", 1)
+    marks = F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{apart})(?:{every})(?!{apart})"), F.lit(0))
 
     def most(score: Column) -> Column:
         best, guess = F.greatest(*[score[k] for k in MARKERS]), F.lit(None).cast("string")

@@ -46,7 +46,7 @@ SELECT {i}::INT AS position, '{c}' AS name, count(*) FILTER (trim(v) <> '') AS n
   min(try_cast(v AS BIGINT)) AS ln, max(try_cast(v AS BIGINT)) AS hn, min(v) FILTER (trim(v) <> '') AS ls, max(v) FILTER (trim(v) <> '') AS hs, min(length(v)) FILTER (trim(v) <> '') AS ll, max(length(v)) FILTER (trim(v) <> '') AS hl
 FROM (SELECT {c}::VARCHAR AS v FROM t)"""
     parts = " UNION ALL ".join(one(i, c) for i, c in enumerate(PROFILED[name]))
-    edge = lambda n, s, k: f"CASE inferred_type WHEN 'integer' THEN {n}::VARCHAR WHEN 'date' THEN {s} WHEN 'string' THEN {k}::VARCHAR END"
+    edge = lambda n, s, k: f"CASE inferred_type WHEN 'integer' THEN {n}::VARCHAR WHEN 'date' THEN {s} || 'T00:00:00' WHEN 'string' THEN {k}::VARCHAR END"
     return f"WITH t AS (SELECT *{extra.get(name, '')} FROM {name}) SELECT position, name, non_empty, empty, distinct_count, inferred_type, {edge('ln', 'ls', 'll')} AS min_value, {edge('hn', 'hs', 'hl')} AS max_value FROM ({parts})"
 
 
