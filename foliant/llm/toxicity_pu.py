@@ -7,6 +7,7 @@ pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1)), the risk corrected by the class p
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from itertools import chain
 
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import column_bytes, fold_of, replaced, slices, words_of
 
-#: Rows that the classifiers are fitted on, at most. Everything else covers all data.
+#: Ids whose texts the classifiers are fitted on, at most, one text of each. Everything else covers all data.
 MOST_POSITIVES, MOST_UNLABELLED = 6_000, 18_000
 #: Buckets that features are hashed into, features kept, rows a feature must be in, lengths of word
 #: beginnings, steps, classifiers, and bytes of text scored at once.
-BUCKETS, KEPT, LEAST_ROWS, BEGINNINGS, STEPS, MODELS, BYTES = 1 << 18, 3_000, 4, (4, 5, 6), 150, 3, 8 << 20
+BUCKETS, KEPT, LEAST_ROWS, BEGINNINGS, STEPS, MODELS, BYTES = 1 << 18, 3_000, 4, (4, 5, 6), 150, 5, 8 << 20
+#: Words whose weights a worker keeps from slice to slice.
+TABLE_WORDS = 300_000
 EDGES = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 
 
@@ -40,6 +43,20 @@ def word_weights(words: list[bytes], of_bucket: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(words)), sizes), of_bucket[flat], len(words))
 
 
+_tables: dict[str, dict[bytes, float]] = {}
+
+
+def kept_weights(words: list[bytes], of_bucket: np.ndarray, model: str) -> np.ndarray:
+    """The same by the worker's table of a model's words, which grows by the new ones."""
+    if model not in _tables or len(_tables[model]) > TABLE_WORDS:
+        _tables.clear()
+        _tables[model] = {}
+    table = _tables[model]
+    fresh = [w for w in words if w not in table]
+    table.update(zip(fresh, word_weights(fresh, of_bucket).tolist(), strict=True))
+    return np.fromiter(map(table.__getitem__, words), np.float64, len(words))
+
+
 def fit_pu(features: np.ndarray, row: np.ndarray, positive: np.ndarray, width: int, prior: float, seed: int, steps: int = STEPS) -> tuple[np.ndarray, float]:
     """Weights and bias under the non-negative risk. features, row: column and row number of each
     entry; positive: whether a row is a positive, else it is unlabelled."""
@@ -67,10 +84,24 @@ def fit_pu(features: np.ndarray, row: np.ndarray, positive: np.ndarray, width: i
 
 
 def _rows_of_features(batches):
-    """(positive, features of the row's distinct words) of rows (text, positive)."""
+    """(positive, features of the row's distinct words, place) of rows (text, positive, place)."""
     for batch in batches:
         found = [sorted(f for w in set(x.lower().split()) for f in word_features(w)) for x in column_bytes(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], ["positive", "features"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["positive", "features", "place"])
+
+
+def first_ids(ids: DataFrame, most: int) -> DataFrame:
+    """The distinct ids with the smallest hashes, at most so many. Only rows with small hashes shuffle: some more than
+    wanted at first, and more where ids repeat."""
+    count, wanted = ids.count(), 4 * most
+    while wanted < count:
+        small = ids.where(F.xxhash64("doc_id") <= -(1 << 63) + (wanted << 64) // count).distinct()
+        if small.count() >= most:
+            break
+        wanted *= 4
+    else:
+        small = ids.distinct()
+    return small.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
@@ -83,10 +114,11 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[np.nda
     # ids in the order of a hash: the same rows at any partitioning, as many as the bounds allow
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     some = known.where("toxic = 1").orderBy(*order).limit(MOST_POSITIVES).select("doc_id", F.lit(True).alias("positive"))
-    any_ = docs.where(F.col("doc_id").isNotNull() & (fold_of() != 0)).select("doc_id").distinct().orderBy(*order).limit(MOST_UNLABELLED).select("doc_id", F.lit(False).alias("positive"))
-    # at most MOST_POSITIVES + MOST_UNLABELLED ids are broadcast
-    sample = docs.select("doc_id", "text").join(F.broadcast(some.union(any_)), "doc_id").select("text", "positive")
-    rows = sample.mapInArrow(_rows_of_features, "positive boolean, features array<int>")
+    any_ = first_ids(docs.where(F.col("doc_id").isNotNull() & (fold_of() != 0)).select("doc_id"), MOST_UNLABELLED)
+    # at most MOST_POSITIVES + MOST_UNLABELLED ids are broadcast, and one text of each is taken
+    sample = docs.select("doc_id", "text").join(F.broadcast(some.union(any_.select("doc_id", F.lit(False)))), "doc_id")
+    sample = sample.groupBy("doc_id", "positive").agg(F.min("text").alias("text")).select("text", "positive", F.xxhash64("doc_id").alias("place"))
+    rows = sample.mapInArrow(_rows_of_features, "positive boolean, features array<int>, place long")
     rows = rows.persist()
     try:
         seen = rows.select("positive", F.explode(F.array_distinct("features")).alias("f")).groupBy("f")
@@ -109,9 +141,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> tuple[np.nda
                 row = np.repeat(np.arange(len(lengths)), lengths)[at >= 0]
                 counts = np.bincount(row, minlength=len(lengths))
                 cut = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cut, pa.array(at[at >= 0], pa.int32()))], ["positive", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cut, pa.array(at[at >= 0], pa.int32())), batch.column(2)], ["positive", "features", "place"])
 
-        found = rows.mapInArrow(only_kept, "positive boolean, features array<int>").toArrow()
+        found = rows.mapInArrow(only_kept, "positive boolean, features array<int>, place long").toArrow()
+        found = found.sort_by([("place", "ascending"), ("positive", "ascending")])  # alike at any partitioning
     finally:
         rows.unpersist()
     positive = found.column("positive").to_numpy(zero_copy_only=False).astype(bool)
@@ -132,10 +165,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
     Only the text is an input of a score: every distinct word of the whole text counts once. A null
     text counts as empty and gets the score of the bias alone. Labels that are null or without an id
     are left out, a document with several labels is toxic if one says so, and rows that repeat each
-    get their score. Without a positive label every score is low. Columns named like the results
-    are replaced."""
+    get their score. Without a positive label every score is low. An empty table gives an empty result.
+    Columns named like the results are replaced."""
     weights, bias = fit(spark, docs, labels)
-    shared = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
+    shared, model = spark.sparkContext.broadcast((weights.astype(np.float32), bias)), uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
@@ -145,7 +178,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
             words, index, counts = words_of(part.column(0))
             text = np.repeat(np.arange(len(counts)), counts)
             once = np.unique(text * max(len(words), 1) + index)
-            g = b + np.bincount(once // max(len(words), 1), word_weights(words, held)[once % max(len(words), 1)], len(counts))
+            g = b + np.bincount(once // max(len(words), 1), kept_weights(words, held, model)[once % max(len(words), 1)], len(counts))
             out.append(1 / (1 + np.exp(-np.clip(g, -30, 30))))
         return pa.array(np.concatenate(out) if out else np.zeros(0))
 

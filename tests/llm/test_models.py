@@ -103,3 +103,12 @@ def test_seating():
 
 def test_no_rows(spark, none):
     assert pitman_yor.score_texts(spark, none).count() == 0
+
+
+def test_sample_of_ids_is_bounded(spark):
+    """Ids that repeat many times are one each, and the sample is alike at any partitioning."""
+    ids = spark.range(5000).selectExpr("IF(id < 3000, 7, id) AS doc_id")
+    want = sorted(r.doc_id for r in ids.distinct().selectExpr("doc_id", "xxhash64(doc_id) AS h").orderBy("h", "doc_id").limit(50).collect())
+    for df in (ids, ids.repartition(7)):
+        assert sorted(r.doc_id for r in toxicity_pu.first_ids(df, 50).collect()) == want
+    assert toxicity_pu.first_ids(ids, 10_000).count() == 2001
