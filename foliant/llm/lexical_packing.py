@@ -1,16 +1,19 @@
 """Packing by lexical retrieval.
 
-Shards of documents have an inverted index each; idf and mean length cover all documents. The next
-unused document is the seed of a sequence; BM25 returns its unused neighbours, which fill the
-window greedily; the one that doesn't fit is cut and its rest stays in the pool. What remains of a
-shard becomes sequences of powers of two, so that nothing is padded.
+Documents are dealt to shards by the rare id that each holds most often, whatever file they come from,
+so that likely neighbours meet. Shards have an inverted index each; idf and mean length cover all
+documents. The next unused document is the seed of a sequence; BM25 returns its unused neighbours, then
+those of the documents that were put in, which fill the window greedily; the one that doesn't fit is cut
+and its rest stays in the pool. What remains of a shard becomes sequences of powers of two, so that
+nothing is padded.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,14 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm.common import Numbered, Scratch, ranges, slices, unsliced
+from foliant.llm.common import Numbered, Scratch, mix64, ranges, shards_for, slices, unsliced
 
 WINDOW, END = 2048, 1
 #: Tokens of a shard, terms of a query, BM25's constants, words that a worker's table holds, slices
 #: in which the counts of terms are summed, and bytes of text that are encoded at once.
-SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES = 3_000_000, 12, 1.2, 0.75, 300_000, 16, 8 << 20
+SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES = 1_500_000, 12, 1.2, 0.75, 600_000, 16, 8 << 20
 WORD_END, SPACER = "</w>", "\0"
+RARE = re.compile("[\u0180-\U0010ffff]")
 TAIL = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -62,23 +66,28 @@ class WordIds:
         if len(self.core) > TABLE_WORDS:
             self._clear()
         line = SPACER.join(words)
-        common = max(line, default="") < "\u0180"
-        rare = lambda w: not common and max(w, default="") >= "\u0180"
+        common = RARE.search(line) is None
+        rare = lambda w: not common and RARE.search(w) is not None
         low = line.lower().split(SPACER) if common else []
         if len(low) != len(words):  # word by word
             common = False
             low = [w if rare(w) else w.lower() for w in words]
         body = [w.rstrip(TAIL) for w in low]
         tail = [w[len(b) :] for w, b in zip(low, body, strict=True)]
-        for k, (b, w) in enumerate(zip(body, low, strict=True)):
-            if not b.isalpha() and ((self.mark in w and any(x in w for x in self.special)) or not b or not b[-1].isalnum()) or rare(w):
+        odd = [k for k, b in enumerate(body) if not b.isalpha() or not common and rare(low[k])]
+        for k in odd:
+            b, w = body[k], low[k]
+            if (self.mark in w and any(x in w for x in self.special)) or not b or not b[-1].isalnum() or rare(w):
                 body[k], tail[k] = words[k], ""
         core, known = self.core, len(self.core)
         parts = np.stack([np.fromiter(map(core.__getitem__, x), np.int32, len(x)) for x in (body, tail)], axis=1)
         fresh = list(islice(core, known, None))
         # U+0130 is a letter and a mark once it is lower case
-        letters = np.fromiter((w.isalpha() and not rare(w) and "\u0130" not in w for w in fresh), bool, len(fresh))
-        plain, others = [w for w, is_ in zip(fresh, letters, strict=True) if is_], [w for w, is_ in zip(fresh, letters, strict=True) if not is_]
+        if common and "\u0130" not in line:
+            letters = np.fromiter(map(str.isalpha, fresh), bool, len(fresh))
+        else:
+            letters = np.fromiter((w.isalpha() and not rare(w) and "\u0130" not in w for w in fresh), bool, len(fresh))
+        plain, others = list(compress(fresh, letters.tolist())), list(compress(fresh, (~letters).tolist()))
         lines = [" ".join(plain[k : k + 5000]) for k in range(0, len(plain), 5000)]
         ids = np.concatenate([np.zeros(0, np.int64), *[np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]])
         sizes = np.diff(np.r_[0, np.flatnonzero(self.last[ids]) + 1])
@@ -121,15 +130,29 @@ def _table(tokenizer_file: str) -> WordIds:
     return _tables[tokenizer_file]
 
 
+def rare_ids(ids: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
+    """Of each document the id from least on that it holds most often, the largest one of several; -1 without any."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    some = ids >= least
+    pair, count = np.unique(doc[some] << 16 | ids[some], return_counts=True)
+    order = np.lexsort((pair, count, pair >> 16))
+    last = np.flatnonzero(np.diff(np.append(pair[order] >> 16, -1)))
+    found = np.full(len(sizes), -1, np.int32)
+    found[pair[order[last]] >> 16] = pair[order[last]] & 0xFFFF
+    return found
+
+
 def _encoded(tokenizer_file: str, doc_id: str):
     def run(batches):
-        table = _table(tokenizer_file)
+        table, serial = _table(tokenizer_file), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, 1, BYTES):
                 ids, sizes = table.encode(part.column(1))
                 cut = np.r_[0, np.cumsum(2 * sizes)].astype(np.int32)
                 blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(cut), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(0), blobs], [doc_id, "ids"])
+                spread = (mix64(np.arange(serial, serial + len(sizes), dtype=np.uint64)) >> np.uint64(33)).astype(np.int32)
+                serial += len(sizes)
+                yield pa.RecordBatch.from_arrays([part.column(0), blobs, pa.array(rare_ids(ids, sizes, table.terms // 4)), pa.array(spread)], [doc_id, "ids", "topic", "spread"])
 
     return run
 
@@ -156,13 +179,13 @@ def _summed(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice").slice(0, 1), "df": pa.array([total.tobytes()], pa.binary()), "rows": add("rows"), "tokens": add("tokens")})
 
 
-def term_statistics(encoded: DataFrame, terms: int) -> tuple[np.ndarray, float]:
-    """idf of each id and mean length over all rows of encoded(ids): as many numbers as the vocabulary has."""
+def term_statistics(encoded: DataFrame, terms: int) -> tuple[np.ndarray, float, int]:
+    """idf of each id, mean length and number of tokens over all rows of encoded(ids): as many numbers as the vocabulary has."""
     schema = "slice int, df binary, rows long, tokens long"
     parts = encoded.select("ids").mapInArrow(_counts(terms), schema).groupBy("slice").applyInArrow(_summed, schema).collect()
     df = np.concatenate([np.frombuffer(r.df, np.int64) for r in sorted(parts, key=lambda r: r.slice)]) if parts else np.zeros(terms, np.int64)
-    n = sum(r.rows for r in parts)
-    return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), sum(r.tokens for r in parts) / max(n, 1)
+    n, tokens = sum(r.rows for r in parts), sum(r.tokens for r in parts)
+    return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), tokens / max(n, 1), tokens
 
 
 class Index:
@@ -179,7 +202,7 @@ class Index:
         cut = np.searchsorted(self.doc[order], np.arange(n + 1))
         top = np.minimum(np.diff(cut), QUERY_TERMS)
         self.query = np.split(term[order[ranges(cut[:-1], top)]], np.cumsum(top)[:-1]) if n else []
-        self.score = np.zeros(n, np.float32)
+        self.size = n
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a query term of the seed, the best first; ties in order of place."""
@@ -187,12 +210,9 @@ class Index:
         if not spans:
             return np.zeros(0, np.int64)
         docs = np.concatenate([self.doc[s] for s in spans])
-        np.add.at(self.score, docs, np.concatenate([self.weight[s] for s in spans]))
-        found = np.unique(docs)
-        found = found[unused[found]]
-        best = found[np.argsort(-self.score[found], kind="stable")]
-        self.score[docs] = 0
-        return best
+        score = np.bincount(docs, np.concatenate([self.weight[s] for s in spans]), self.size)
+        found = np.flatnonzero((score > 0) & unused)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack_shard(ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float):
@@ -225,18 +245,18 @@ def pack_shard(ids: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float)
         size = room = min(WINDOW, 1 << (total.bit_length() - 1))
         seed = next(rest())
         queue, k = [seed], 0
-        asked = False
+        placed, asked = [], 0
         while room:
             if k == len(queue):
-                if not asked:
-                    queue, k, asked = index.neighbours(seed, unused).tolist(), 0, True
-                    if not queue:
-                        continue
+                if asked < len(placed):  # the neighbours of the seed, then of each that was put in
+                    queue, k, asked = index.neighbours(placed[asked], unused).tolist(), 0, asked + 1
                 else:
                     queue, k = [next(rest())], 0
+                continue
             d, k = queue[k], k + 1
             if not unused[d]:
                 continue
+            placed.append(d)
             take = min(room, int(left[d]))
             out.append((int(pool[d]), int(begin[d]), take, sequence, size - room))
             begin[d] += take
@@ -252,14 +272,17 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_file: str, doc_id: str
     """Pieces of all rows of docs: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids.
 
     A null text counts as empty: it has the end id alone. Texts of more than a window are cut into
-    whole windows first. Rows that repeat are packed each; documents with equal scores follow in
-    the order of the input; an empty table gives no piece. Shards are runs of SHARD_TOKENS ids of a
-    partition and share nothing but the statistics, so that they pack side by side. Ids are written
-    to the shared folder once, for the statistics and for packing."""
+    whole windows first; a text of any length is encoded whole. Rows that repeat are packed each; documents
+    with equal scores follow in the order in which they reach the shard; an empty table gives no piece;
+    columns other than the id and the text are left out, whatever their names. Shards are runs of
+    SHARD_TOKENS ids of documents in order of their topics, a topic of very many documents in several of
+    them by chance. They share nothing but the statistics, so that they pack side by side. Ids are
+    written to the shared folder once, for the statistics and for packing."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    encoded = docs.select(doc_id, text).mapInArrow(_encoded(tokenizer_file, doc_id), f"`{doc_id}` {kind}, ids binary")
+    encoded = docs.select(doc_id, text).mapInArrow(_encoded(tokenizer_file, doc_id), f"`{doc_id}` {kind}, ids binary, topic int, spread int")
     encoded = Scratch(spark).save(encoded, "ids")
-    idf, mean = term_statistics(encoded, WordIds(tokenizer_file).terms)
+    idf, mean, tokens = term_statistics(encoded, WordIds(tokenizer_file).terms)
+    dealt = encoded.repartitionByRange(shards_for(tokens, SHARD_TOKENS), "topic", "spread").select(doc_id, "ids")
     shared = spark.sparkContext.broadcast((idf, mean))
     names = [doc_id, *(x.split()[0] for x in PIECES.split(", ")), *["ids"] * with_ids]
 
@@ -297,4 +320,4 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_file: str, doc_id: str
         if held:
             yield packed()
 
-    return encoded.mapInArrow(run, f"`{doc_id}` {kind}, {PIECES}" + ", ids array<int>" * with_ids)
+    return dealt.mapInArrow(run, f"`{doc_id}` {kind}, {PIECES}" + ", ids array<int>" * with_ids)
