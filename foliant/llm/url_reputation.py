@@ -26,6 +26,18 @@ RULES = (
 DEVIATIONS, BLOCK_FROM, LEAST_WEIGHT, MOST_WEIGHT = 1.2816, 0.5, 0.5, 1000.0
 
 
+#: A suffix in a pattern: a country behind one of these second labels, or the last label. Hosts that are numbers
+#: (IPv4) or in brackets (IPv6) are their own domain and suffix; ports don't count.
+SUFFIX, NUMBERS = r"(?:(?:ac|co|com|edu|gov|net|org)\.[a-z]{2}|[^.]*)", r"^[0-9.]+$|^\["
+
+
+def domain_and_suffix(host: Column) -> tuple[Column, Column]:
+    """The registered domain and the suffix of a host, by which hosts share their priors."""
+    bare = F.regexp_replace(host, r":[0-9]*$", "")
+    part = lambda pattern: F.when(bare.rlike(NUMBERS), bare).otherwise(F.regexp_extract(bare, rf"(?:^|\.)({pattern})$", 1))
+    return part(rf"(?:[^.]+\.)?{SUFFIX}"), part(SUFFIX)
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     pattern = "(?s)^.*?://([^/?#]*)([^?#]*)"
     url = F.coalesce(url, F.lit(""))
@@ -72,7 +84,8 @@ def url_verdicts(spark: SparkSession, pages: DataFrame, rules=RULES, url: str =
     host. Rules are tried from the longest to the shortest; rules of one length in the order of
     their text. A host without labelled pages has its domain's rate, and so on upwards; without any
     labelled page the rate is a half and every page is allowed. Repeated rows count as often as
-    they come. Columns named like the results are replaced."""
+    they come; urls of any length are judged whole. An empty table gives an empty result. Columns named
+    like the results are replaced."""
     outs = ("host", "path", "rule", "verdict", "bound")
     host, path = host_and_path(F.col(url))
     rows = pages.withColumns({"__host": host, "__path": path})
@@ -81,7 +94,8 @@ def url_verdicts(spark: SparkSession, pages: DataFrame, rules=RULES, url: str =
     rows = rows.withColumns({"rule": rule, "__said": said})
 
     hosts = rows.groupBy("host").agg(F.count("__said").alias("n"), F.count(F.when(F.col("__said") == "block", 1)).alias("bad"))
-    hosts = hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)})
+    domain, suffix = domain_and_suffix(F.col("host"))
+    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
     scratch = Scratch(spark)
     hosts = scratch.save(hosts, "hosts")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -121,7 +135,9 @@ def oracle(rules=RULES) -> str:
 WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 said AS (SELECT *, {case(1)} AS rule, {case(0)} AS said FROM parts),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(said) AS n, count(*) FILTER (said = 'block') AS bad FROM said GROUP BY host),
+bare AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS bare FROM said),
+hosts AS (SELECT host, CASE WHEN regexp_matches(any_value(bare), '{NUMBERS}') THEN any_value(bare) ELSE regexp_extract(any_value(bare), '(?:^|\\.)((?:[^.]+\\.)?{SUFFIX})$', 1) END AS domain,
+  CASE WHEN regexp_matches(any_value(bare), '{NUMBERS}') THEN any_value(bare) ELSE regexp_extract(any_value(bare), '(?:^|\\.)({SUFFIX})$', 1) END AS suffix, count(said) AS n, count(*) FILTER (said = 'block') AS bad FROM bare GROUP BY host),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 top AS (SELECT CASE WHEN sum(n) > 0 THEN sum(bad)::DOUBLE / sum(n) ELSE 0.5 END AS rate FROM suffixes),

@@ -79,3 +79,24 @@ def test_sql(spark, sf1, name):
     df = queries.QUERIES[name](spark, sf1)
     result = con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({queries.ORACLE_SQL[name]})")
     assert sorted(map(repr, result.fetchall())) == sorted(repr(tuple(r)) for r in df.select(*sorted(df.columns)).collect())
+
+
+@pytest.mark.parametrize(("host", "domain", "suffix"), [
+    ("a.b.example.com", "example.com", "com"), ("example.com", "example.com", "com"), ("com", "com", "com"), ("a.shop.co.uk:8080", "shop.co.uk", "co.uk"), ("shop.co.uk", "shop.co.uk", "co.uk"),
+    ("10.1.2.3", "10.1.2.3", "10.1.2.3"), ("10.1.2.3:80", "10.1.2.3", "10.1.2.3"), ("[::1]:80", "[::1]", "[::1]"), ("", "", ""), ("x.y.example.net:443", "example.net", "net"),
+])
+def test_domains(spark, host, domain, suffix):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(host,)], "host string")
+    assert tuple(df.select(*url_reputation.domain_and_suffix(F.col("host"))).first()) == (domain, suffix)
+
+
+def test_op1_equals_its_sql_on_hosts_of_every_kind(spark, tmp_path):
+    hosts = ("a.example.com", "b.example.com:80", "x.shop.co.uk", "y.shop.co.uk", "10.1.2.3", "10.1.2.3:8080", "[::1]:1", "org", "h.org", "")
+    rows = [(k, f"http://{hosts[k % 10]}/{('en', 'de', 'es', 'x')[k % 4]}/{k % 9}" + "p" * (100_000 * (k == 77))) for k in range(400)] + [(None, None), (7, "none"), (7, "none")]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(repr(tuple(r)) for r in queries.op1_url_reputation(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(repr(tuple(r)) for r in con.sql(url_reputation.oracle()).fetchall())
