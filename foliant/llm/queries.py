@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bloom_dedup, lattice_links, lexical_packing, piece_codec, pitman_yor, simhash_links, suffix_dedup, toxicity_pu, url_reputation, warc_zstd
+from foliant.llm import bloom_dedup, lattice_links, lexical_packing, piece_codec, pitman_yor, prefix_trie, reply_trees, simhash_links, suffix_dedup, toxicity_pu, turn_repair, url_reputation, warc_zstd
 
 
 def tokenizer(name: str) -> str:
@@ -60,7 +60,25 @@ def op10_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zstd.warc_round_trip(spark, table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_piece_codec, op3_simhash_links, op4_lexical_packing, op5_toxicity_pu, op6_pitman_yor, op7_bloom_dedup, op8_suffix_dedup, op9_lattice_links, op10_warc_zstd)}
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_trees.conversation_digests(spark, table(spark, sf_dir, "conversations"))
+
+
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.damage_and_repair(spark, table(spark, sf_dir, "conversations"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark, table(spark, sf_dir, "conversations"), rebuild=True)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_reputation, op2_piece_codec, op3_simhash_links, op4_lexical_packing, op5_toxicity_pu, op6_pitman_yor, op7_bloom_dedup, op8_suffix_dedup, op9_lattice_links, op10_warc_zstd,
+        op11_reply_trees, op12_turn_repair, op13_prefix_trie,
+    )
+}
 
 ORACLE_SQL = {
     "op1_url_reputation": url_reputation.oracle(),
@@ -68,4 +86,7 @@ ORACLE_SQL = {
     "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op9_lattice_links": lattice_links.ORACLE,
     "op10_warc_zstd": warc_zstd.ORACLE,
+    "op11_reply_trees": reply_trees.ORACLE,
+    "op12_turn_repair": turn_repair.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
