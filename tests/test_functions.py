@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +172,28 @@ def test_html_to_markdown(page, want):
     assert html.convert(page, True) == want
 
 
+@pytest.mark.parametrize("page", [
+    "<a " + "x" * 10**6 + ">b</a>", "<img " + "x " * 500_000 + ">", "<a " + "x='" * 300_000 + ">", "<!-- " * 200_000, "<!--" * 250_000 + "-->", "<" * 10**6, "<p" * 500_000, "<script>" * 125_000, "<script " * 125_000,
+    "<script>" + "</ script" * 110_000, "&#" + "9" * 10**6 + ";", "&#" + "0" * 10**6 + "65;", "&" * 10**6, "<ul><li>" * 125_000, "<blockquote>" * 80_000 + "x", "<table><tr><td>" * 60_000, "<b>" * 330_000, "<a href=x>y" * 90_000,
+    "<p>" + " " * 10**6 + "x", "<pre>" * 200_000, "<h1>" * 250_000 + "x", "<p title=\"" * 90_000, "<li>" * 250_000 + "x",
+])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html.convert(page, True)
+    assert time.process_time() - began < 4  # about a second; machines differ
+
+
+@pytest.mark.parametrize(("page", "plain", "marked"), [
+    ("<p>a</p><script>x <b>y</b> tail", "a\n\ntail", "a\n\ntail"), ("a<style>b<i", "a", "a"), ("<script>if (a<b && c) x='</p>'</script>ok", "ok", "ok"),  # text behind the last tag stays
+    ("<ol><li>one<ul><li>in</li></ul><p>more</p></li><li>two</ol>", "one\n\n  in\n\nmore\n\ntwo", "1. one\n\n  - in\n\nmore\n\n2. two"),
+    ("<ul><li><h3>t</h3>x", "t\n\nx", "### t\n\nx"), ("<h2><div>a</div><div>b</div></h2>c", "a\n\nb\n\nc", "## a\n\nb\n\nc"), ("<blockquote>a<ul><li>b</blockquote>c", "a\n\nb\n\nc", "> a\n\n> - b\n\nc"),
+    ("<table><tr><th>a<th>b|c</tr><tr><td></td><td><p>x</p>y</td><td> </td></tr></table>", "a\tb\\|c\nx y", "| a | b\\|c |\n| --- | --- |\n| x y |  |"), ("<pre>a<b>b</b><br>c</pre><p>d", "ab\nc\n\nd", "```\nab\nc\n```\n\nd"),
+    ('<img alt="a]b" src=x.png><img alt="only text"><a href="#n">n</a><a name=x href=\'u?a=1&amp;b\'>t</a>', "nt", "![a\\]b](x.png)only textn[t](u?a=1&b)"), ("a<hr/>b", "a\n\nb", "a\n\n---\n\nb"),
+])
+def test_html_blocks(page, plain, marked):
+    assert (html.convert(page, False), html.convert(page, True)) == (plain, marked)
+
+
 @pytest.mark.parametrize(("page", "want"), [
     ("<style>p{color:red}</style><script>alert('</p>')</script><p>real</p>", "real"), ("<p>Caf&eacute; &amp; cr&egrave;me &#8212; 5&nbsp;euros</p>", "Café & crème — 5 euros"),
     ("<p>compare &lt;p&gt; with &lt;div&gt;</p>", "compare <p> with <div>"), ('<p title="a > b">content</p>', "content"), ("<p>before</p><p>after", "before\n\nafter"),
