@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text
 
 #: Distinct values that a profile counts at most, and samples it keeps by default.
 MOST_DISTINCT, SAMPLES, MOST_SAMPLES = 10_000, 5, 20
-#: Lines among which samples are looked for.
-MOST_LINES = 1_000
+#: Logarithm of the smallest hashes that a sketch keeps of a column: fewer distinct values than 16,384 are counted exactly.
+KEPT_HASHES = 14
+#: Files whose first values a task holds before it hands them on.
+HELD_FILES = 10_000
 #: Supported numbers (thousands, brackets, exponent, sign before or behind, currency) and integers.
 NUMBER = r"^\s*[-+(]?\s*[$¤]?(\d{1,3}(,\d{3})+|\d+)?(\.\d*)?([eE][-+]?\d+)?\s*[-+)]?\s*$"
 INTEGER = r"^\s*[-+]?\d{1,18}\s*$"
@@ -56,20 +59,21 @@ def cells(df: DataFrame, *names: str) -> DataFrame:
 def profile(rows: DataFrame) -> DataFrame:
     """For rows (position, name, value): non_empty, empty, distinct_count, inferred_type, min and max.
 
-    Values are counted first, so that a value that fills a column is one row before the shuffle of the
-    second step. Numbers are compared as numbers, dates in ISO form, and of other text the
-    lengths count; booleans and empty columns have no range."""
-    value = F.coalesce("value", F.lit(""))
-    each = rows.select("position", "name", value.alias("value")).groupBy("position", "name", "value").agg(F.count(F.lit(1)).alias("n"))
+    One aggregate, in which a task sums a column up in a row with a sketch of its smallest hashes, so that what
+    is shuffled follows the columns and not their values. Below MOST_DISTINCT the sketch counts exactly. Numbers are
+    compared as doubles, so that ends beyond 2^53 are rounded, dates in ISO form, and of other text the lengths count;
+    booleans and empty columns have no range."""
     v = F.col("value")
+    each = rows.select("position", "name", F.coalesce("value", F.lit("")).alias("value"))
     full = F.trim(v) != ""
-    each = each.withColumns({"full": full, "number": F.when(full & is_number(v), to_number(v)), "int": full & v.rlike(INTEGER), "bool": full & v.rlike(BOOLEAN), "date": F.when(full, to_date(v))})
+    each = each.withColumns({"n": F.lit(1), "full": full, "number": F.when(full & is_number(v), to_number(v)), "int": full & v.rlike(INTEGER), "bool": full & v.rlike(BOOLEAN), "date": F.when(full, to_date(v))})
     every = lambda c: F.coalesce(F.every(F.when(F.col("full"), F.col(c).isNotNull() if c in ("number", "date") else F.col(c))), F.lit(False))
     of = lambda x: F.when(F.col("full"), x)
+    distinct = F.least(F.coalesce(F.theta_sketch_estimate(F.theta_sketch_agg(of(v), KEPT_HASHES)), F.lit(0)), F.lit(MOST_DISTINCT)).cast("long")
     got = each.groupBy("position", "name").agg(
         F.coalesce(F.sum(F.when(F.col("full"), F.col("n"))), F.lit(0)).alias("non_empty"),
         F.coalesce(F.sum(F.when(~F.col("full"), F.col("n"))), F.lit(0)).alias("empty"),
-        F.least(F.count(of(v)), F.lit(MOST_DISTINCT)).alias("distinct_count"),
+        distinct.alias("distinct_count"),
         every("number").alias("numbers"), every("int").alias("ints"), every("bool").alias("bools"), every("date").alias("dates"),
         F.min("number").alias("low"), F.max("number").alias("high"),
         F.min("date").alias("first"), F.max("date").alias("last"),
@@ -121,9 +125,12 @@ def inspect(rows: DataFrame, *file: str) -> DataFrame:
 
 def inspection(files: DataFrame, lines: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
     """Per file: what inspect tells, delimiter, line_ending, has_bom, and issues (check, severity, message): empty
-    files, ragged rows, blank or repeated headers, no header, mixed line ends."""
+    files, ragged rows, repeated headers, no header (a row with a blank cell is none), mixed line ends. files has either
+    the content or line_ending and has_bom."""
     raw = F.col(content)
-    bytes_ = files.select(key, text.line_ending(raw.cast("string")).alias("line_ending"), (F.hex(F.substring(raw, 1, 3)) == "EFBBBF").alias("has_bom"))
+    if content in files.columns:
+        files = files.select(key, text.line_ending(raw.cast("string")).alias("line_ending"), (F.hex(F.substring(raw, 1, 3)) == "EFBBBF").alias("has_bom"))
+    bytes_ = files.select(key, "line_ending", "has_bom")
     good = lines.where("problem IS NULL")
     told = bytes_.join(inspect(good, key), key, "left").join(good.groupBy(key).agg(F.max("delimiter").alias("delimiter")), key, "left")
     told = told.withColumns({"row_count": F.coalesce("row_count", F.lit(0)), "data_row_count": F.coalesce("data_row_count", F.lit(0))})
@@ -142,24 +149,57 @@ def inspection(files: DataFrame, lines: DataFrame, key: str = "path", content: s
     return told.withColumn("issues", F.array_compact(issues))
 
 
+def first_values(rows: DataFrame, key: str, samples: int) -> DataFrame:
+    """(key, position, samples): the first values of each column of rows (key, line, cells) that aren't blank, in order
+    of lines, wherever they are. A task keeps as many of each column as are asked for, and so does the aggregate."""
+    kind, line_kind = (rows.schema[c].dataType.simpleString() for c in (key, "line"))
+
+    def firsts(batches):
+        held: dict = {}
+        for batch in batches:
+            for name, line, cells in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                columns = held.setdefault(name, [])
+                columns += [[] for _ in range(len(cells) - len(columns))]
+                for best, value in zip(columns, cells, strict=False):
+                    if (len(best) < samples or line < best[-1][0]) and (value or "").strip(" "):
+                        del best[samples - 1 :]
+                        best.append((line, value))
+                        best.sort()
+            if len(held) > HELD_FILES:
+                yield from told(held, batch.schema)
+                held = {}
+        if held:
+            yield from told(held, batch.schema)
+
+    def told(held, schema):
+        found = [(name, position, *one) for name, columns in held.items() for position, best in enumerate(columns) for one in best]
+        if found:
+            types = (schema.field(0).type, pa.int32(), schema.field(1).type, pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], [key, "position", "line", "value"])
+
+    some = rows.select(key, "line", "cells").mapInArrow(firsts, f"`{key}` {kind}, position int, line {line_kind}, value string")
+    by = Window.partitionBy(key, "position").orderBy("line")
+    best = some.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= samples)
+    return best.groupBy(key, "position").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]).alias("samples"))
+
+
 def profile_files(lines: DataFrame, key: str = "path", samples: int = SAMPLES) -> DataFrame:
     """The columns of every file of lines (key, line, cells): what profile tells, and samples, the first values in
-    the order of lines (20 at most). Columns are as many as the widest row has; the first row names them if
-    it looks like a header and is as wide, else they are column1 and so on. Files without rows are left out."""
+    the order of lines (20 at most). Columns are as many as the widest row has. A first row that looks like a header
+    is none of the data; it names the columns if it is as wide, else they are column1 and so on. Files without rows
+    are left out."""
     good = lines.where("problem IS NULL")
     samples = min(max(samples, 0), MOST_SAMPLES)
     about = good.groupBy(key).agg(F.max(F.size("cells")).alias("width"), F.min_by("cells", "line").alias("first"))
-    about = about.withColumn("named", header_like(F.col("first")) & (F.size("first") == F.col("width"))).withColumn("first", F.when(F.col("named"), F.col("first")))
-    rows = good.join(about, key).where("line > 0 OR NOT named")
+    about = about.withColumn("headed", header_like(F.col("first"))).withColumn("first", F.when(F.col("headed") & (F.size("first") == F.col("width")), F.col("first")))
+    rows = good.join(about, key).where("line > 0 OR NOT headed")
     at = F.posexplode(F.concat("cells", F.array_repeat(F.lit(""), F.col("width") - F.size("cells")))).alias("position", "value")
-    cells_ = rows.select(key, "line", "first", at)
     name = F.coalesce(F.try_element_at("first", F.col("position") + 1), F.concat(F.lit("column"), (F.col("position") + 1).cast("string")))
-    cells_ = cells_.select(key, "line", "position", name.alias("name"), "value")
-    told = profile(cells_.select(F.struct(key, "position").alias("position"), "name", "value"))
-    # the first lines of each partition's values are enough for the first of all
-    shown = cells_.where((F.trim("value") != "")).groupBy(key, "position").agg(F.slice(F.array_sort(F.collect_list(F.when(F.col("line") <= MOST_LINES, F.struct("line", "value")))), 1, max(samples, 1)).alias("s"))
-    out = told.select(f"position.{key}", "position.position", *told.columns[1:]).join(shown, [key, "position"], "left")
-    return out.withColumn("samples", F.slice(F.transform("s", lambda x: x["value"]), F.lit(1), F.lit(samples)) if samples else F.array().cast("array<string>")).drop("s")
+    told = profile(rows.select(key, "first", at).select(F.struct(key, "position").alias("position"), name.alias("name"), "value"))
+    out = told.select(f"position.{key}", "position.position", *told.columns[1:])
+    if not samples:
+        return out.withColumn("samples", F.array().cast("array<string>"))
+    return out.join(first_values(rows, key, samples), [key, "position"], "left")
 
 
 def data_rows(lines: DataFrame, limit: int | None = None, key: str = "path") -> DataFrame:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from foliant.functions import content, pages
 from foliant.operators import profile
-from foliant.sources import files
-from foliant.sources.tables import table
+from foliant.sources import delimited, files
+from foliant.sources.tables import shared_folder, table
 
 
 #: Rows that a file is made from, at most.
@@ -114,6 +114,39 @@ n AS (SELECT file, (row_number() OVER (PARTITION BY file ORDER BY k) - 1)::INT A
 SELECT file, row, width::INT AS width, first, NULL::INT AS status FROM n WHERE row < 3 UNION ALL SELECT 'none', NULL, NULL, NULL, 422"""
 
 
+def _exported(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of documents written as delimited files, with quotes and line ends in cells, and read back by byte ranges."""
+    folder = shared_folder(spark)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "n_chars")] + [quoted(F.col(c)) for c in ("lang", "source", "text")]
+    table(spark, sf, "documents").select(F.concat_ws(",", *cells)).write.text(f"{folder}/documents")
+    return delimited.read_delimited(spark, f"{folder}/documents", glob="part-*").rows.where("problem IS NULL")
+
+
+def csv_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as its file's row gives it."""
+    cell = lambda n: F.element_at("cells", n)
+    return _exported(spark, sf).select(cell(1).cast("long").alias("doc_id"), F.size("cells").alias("width"), cell(3).alias("lang"), F.sha2(cell(5).cast("binary"), 256).alias("sha256"))
+
+
+CSV_RANGES = "SELECT doc_id, 5::INT AS width, coalesce(lang, '') AS lang, sha256(coalesce(text, '')) AS sha256 FROM documents"
+
+
+def csv_ranges_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of all files together."""
+    cells = _exported(spark, sf).select(F.posexplode("cells").alias("position", "value"))
+    told = profile.profile(cells.select("position", F.concat(F.lit("column"), (F.col("position") + 1).cast("string")).alias("name"), "value"))
+    return told.select("position", "non_empty", "empty", "distinct_count", "inferred_type", "min_value", "max_value")
+
+
+CSV_RANGES_PROFILE = """
+WITH v AS (SELECT 0 AS position, doc_id::VARCHAR AS value, doc_id AS n FROM documents UNION ALL SELECT 1, n_chars::VARCHAR, n_chars FROM documents
+  UNION ALL SELECT 2, lang, NULL FROM documents UNION ALL SELECT 3, source, NULL FROM documents UNION ALL SELECT 4, text, NULL FROM documents)
+SELECT position::INT AS position, count(*) FILTER (trim(value) <> '') AS non_empty, count(*) FILTER (trim(coalesce(value, '')) = '') AS empty, least(count(DISTINCT value) FILTER (trim(value) <> ''), 10000) AS distinct_count,
+  CASE WHEN position < 2 THEN 'integer' ELSE 'string' END AS inferred_type, CASE WHEN position < 2 THEN min(n) ELSE min(length(value)) FILTER (trim(value) <> '') END::VARCHAR AS min_value,
+  CASE WHEN position < 2 THEN max(n) ELSE max(length(value)) FILTER (trim(value) <> '') END::VARCHAR AS max_value FROM v GROUP BY position"""
+
+
 def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Documents cut into chunks and put together again."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
@@ -146,4 +179,4 @@ PAGE_SPLITS = f"""
 WITH t AS (SELECT {TURN_FILE} AS file, list(role ORDER BY turn) AS p FROM conversations GROUP BY 1)
 SELECT file, CASE WHEN len(p) >= 2 THEN p[1] || ';' || p[1] || ',' || p[2] END AS parts, array_to_string(list_concat(p, p), ',') AS merged, ',,' || array_to_string(p, ',') AS blanks FROM t"""
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (csv_rows, CSV_ROWS), (chunk_stream, CHUNK_STREAM), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (csv_rows, CSV_ROWS), (csv_ranges, CSV_RANGES), (csv_ranges_profile, CSV_RANGES_PROFILE), (chunk_stream, CHUNK_STREAM), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 from email.message import EmailMessage
 
@@ -7,7 +8,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from foliant.operators import profile
-from foliant.sources import files
+from foliant.sources import delimited, files
 
 M = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
@@ -215,8 +216,59 @@ def test_profiles_of_files(spark):
     assert [got["a", k].name for k in range(3)] == ["city", "country", "when"] and got["a", 0].samples == ["Rome", "Paris"]
     assert (got["a", 1].non_empty, got["a", 1].empty, got["a", 1].distinct_count) == (3, 1, 2)
     assert (got["a", 2].inferred_type, got["a", 2].min_value, got["a", 2].max_value) == ("date", "2024-01-02T00:00:00", "2024-03-04T10:30:00")
-    # the widest row has two cells, so that the first one names nothing and is data
-    assert [got["b", k].name for k in range(2)] == ["column1", "column2"] and got["b", 0].inferred_type == "string"
+    # the widest row has two cells, so that the first one names nothing; it is a header all the same
+    assert [got["b", k].name for k in range(2)] == ["column1", "column2"] and (got["b", 0].inferred_type, got["b", 0].non_empty) == ("integer", 3)
+
+
+def test_samples_and_distinct_values_of_long_files(spark):
+    lines = [(0, ["id", "late", "few"])] + [(n, [f"k{n}", "found" if n > 1500 else " ", f"v{n % 9_999}"]) for n in range(1, 20_002)]
+    df = spark.createDataFrame([("x", line, ",", cells, None) for line, cells in lines], "path string, line int, delimiter string, cells array<string>, problem string").repartition(5)
+    got = {r.name: r for r in profile.profile_files(df, samples=3).collect()}
+    assert [got[c].distinct_count for c in ("id", "late", "few")] == [10_000, 1, 9_999]
+    assert got["late"].samples == ["found"] * 3 and got["id"].samples == ["k1", "k2", "k3"] and got["few"].non_empty == 20_001
+    # what is shuffled follows columns, not values
+    plan = profile.profile(df.selectExpr("line % 2 AS position", "path AS name", "cells[0] AS value"))._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert dealt and not any("value" in x for x in dealt)
+
+
+RANGED = ['"', "a,", "b;", "\n", "\r\n", 'x"y', '""', ",", "é", "\r", "word ", '"q\n"']
+
+
+@pytest.mark.parametrize("size", [7, 64, None])
+def test_delimited_files_by_ranges(spark, tmp_path, size):
+    draw = random.Random(3)
+    raws = {f"{i}.csv": "".join(draw.choice(RANGED) for _ in range(draw.randrange(1, 120))).encode() for i in range(12)}
+    raws |= {"bom": b'\xef\xbb\xbfid;"a\n\nb"\n1;2', "bom2": b'\xef\xbb\xbfid,"a\n', "bom3": b'\xef\xbb\xbfid,"a', "bad": b'id,\xff\n"1,2\n\n\n', "blank": b'\n\r\n""\n', "crlf": b"a,b\r\n1,2\r\n", "cr": b"a,b\n1,2\r"}
+    for name, raw in raws.items():
+        (tmp_path / name).write_bytes(raw)
+    got = delimited.read_delimited(spark, str(tmp_path), range_bytes=size)
+    found = {}
+    for r in got.rows.collect():
+        found.setdefault(r.path.rpartition("/")[2], []).append((r.line, r.delimiter, r.cells, r.problem and r.problem.status))
+    for name, raw in raws.items():
+        try:
+            want = [(*x, None) for x in files.delimited(raw)]
+        except files.Refused:
+            want = [(None, None, None, 422)]
+        assert sorted(found[name], key=lambda x: x[0] or 0) == want
+    about = {r.path.rpartition("/")[2]: (r.length, r.line_ending, r.has_bom) for r in got.files.collect()}
+    assert about["bom"] == (16, "lf", True) and about["crlf"] == (10, "crlf", False) and about["cr"] == (8, "mixed", False) and about["blank"][1] == "mixed"
+
+
+def test_delimited_files_by_ranges_when_states_are_many(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(delimited, "MOST_RANGES", 1)
+    text = "\n".join(f'{n},"{"x" * (n % 50)}\n{n}"' for n in range(2000))
+    (tmp_path / "f").write_text(text)
+    rows = delimited.read_delimited(spark, str(tmp_path), range_bytes=5000).rows.orderBy("line").collect()
+    assert [r.line for r in rows] == list(range(2000)) and [r.cells for r in rows] == list(files.split_rows(text, ","))
+
+
+def test_inspection_of_files_by_ranges(spark, tmp_path):
+    (tmp_path / "f").write_bytes(b'id,note\n1,"a\nb"\n2\n')
+    got = delimited.read_delimited(spark, str(tmp_path), range_bytes=4)
+    r = profile.inspection(got.files, got.rows).collect()[0]
+    assert (r.row_count, r.column_count, r.ragged_rows, r.first_ragged, r.line_ending, [i.check for i in r.issues]) == (3, 2, 1, 3, "lf", ["ragged_rows"])
 
 
 def test_rows_of_delimited_files(spark):
