@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from foliant.llm.common import Scratch, mix64, replaced
+from foliant.llm.common import Scratch, free_names, mix64, replaced
 
 #: Bits of a plane for each row, number of probes, and the bits of a plane (64 MB), which is broadcast.
 BITS_PER_ROW, PROBES, MOST_BITS = 16, 4, 1 << 29
@@ -80,9 +80,9 @@ def planes_for(rows: int) -> tuple[int, int]:
     return ranges, 1 << max(16, (BITS_PER_ROW * max(-(-rows // ranges), 1) - 1).bit_length())
 
 
-def _tested(spark: SparkSession, scratch: Scratch, rows: DataFrame, bits: int, name: str) -> DataFrame:
-    """rows with __maybe, whether another row may have the same key; written, so that the plane can go."""
-    shared = spark.sparkContext.broadcast(repeated_plane(rows, bits).tobytes())
+def _tested(spark: SparkSession, scratch: Scratch, rows: DataFrame, bits: int, name: str, key: str, maybe: str) -> DataFrame:
+    """rows with maybe, whether another row may have the same key; written, so that the plane can go."""
+    shared = spark.sparkContext.broadcast(repeated_plane(rows.select(F.col(key).alias("key")), bits).tobytes())
 
     @F.pandas_udf(T.BooleanType())
     def maybe_repeated(key):
@@ -92,7 +92,7 @@ def _tested(spark: SparkSession, scratch: Scratch, rows: DataFrame, bits: int, n
         at = probes(key.to_numpy(), bits)
         return pd.Series(((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1))
 
-    tested = scratch.save(rows.withColumn("__maybe", maybe_repeated("key")).drop("key"), name)
+    tested = scratch.save(rows.withColumn(maybe, maybe_repeated(key)).drop(key), name)
     shared.destroy()
     return tested
 
@@ -108,27 +108,28 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", te
     A null text counts as empty, so null and empty texts are copies of each other; a text of any
     length is hashed whole, once. Of equal texts the row with the smallest id stays; null ids come
     after all others. Where rows repeat that id one of them is kept. Columns of docs named like the
-    results are replaced; an empty table gives an empty result."""
+    results are replaced, all others stay; an empty table gives an empty result."""
     scratch, (count, bits) = Scratch(spark), planes_for(docs.count())
-    rows = replaced(docs, "keep_id", "group_size", "kept", "text_sha256", "key", "__maybe").withColumn("text_sha256", F.sha2(normalised(text), 256))
-    rows = (rows if with_text else rows.drop(text)).withColumn("key", F.xxhash64("text_sha256"))
+    key, maybe, nth = free_names(docs, "__key", "__maybe", "__nth")
+    rows = replaced(docs, "keep_id", "group_size", "kept", "text_sha256").withColumn("text_sha256", F.sha2(normalised(text), 256))
+    rows = (rows if with_text else rows.drop(text)).withColumn(key, F.xxhash64("text_sha256"))
     # in order within each file, so that a range reads its own part of every file
-    rows = scratch.save(rows.sortWithinPartitions("key") if count > 1 else rows, "hashed")
+    rows = scratch.save(rows.sortWithinPartitions(key) if count > 1 else rows, "hashed")
     edges = [-(1 << 63) + (k << 64) // count for k in range(count + 1)]
-    parts = [rows.where(F.col("key").between(low, high - 1)) for low, high in zip(edges, edges[1:], strict=False)] if count > 1 else [rows]
-    tested = reduce(DataFrame.union, [_tested(spark, scratch, part, bits, f"tested{k}") for k, part in enumerate(parts)])
+    parts = [rows.where(F.col(key).between(low, high - 1)) for low, high in zip(edges, edges[1:], strict=False)] if count > 1 else [rows]
+    tested = reduce(DataFrame.union, [_tested(spark, scratch, part, bits, f"tested{k}", key, maybe) for k, part in enumerate(parts)])
     scratch.drop("hashed")
 
-    single = tested.where("NOT __maybe").drop("__maybe").withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-    again = tested.where("__maybe").drop("__maybe")
+    single = tested.where(~F.col(maybe)).drop(maybe).withColumns({"keep_id": F.col(doc_id), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    again = tested.where(F.col(maybe)).drop(maybe)
     # written first: a join of two plain shuffles is one that Spark splits where a text is hot
     groups = scratch.save(again.groupBy("text_sha256").agg(F.min(doc_id).alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     decided = again.join(groups, "text_sha256").withColumn("kept", F.col(doc_id).eqNullSafe(F.col("keep_id")))
     decided = scratch.save(decided, "decided")
     # rows that repeat the id that stays are few: one of them is kept
     same_id = Window.partitionBy("text_sha256", doc_id).orderBy(doc_id)
-    kept = decided.where("kept").withColumn("__nth", F.row_number().over(same_id))
-    kept = kept.withColumn("kept", F.col("__nth") == 1).drop("__nth")
+    kept = decided.where("kept").withColumn(nth, F.row_number().over(same_id))
+    kept = kept.withColumn("kept", F.col(nth) == 1).drop(nth)
     return single.unionByName(decided.where("NOT kept")).unionByName(kept)
 
 

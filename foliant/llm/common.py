@@ -52,6 +52,16 @@ def replaced(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*names)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like those asked for that no column of df has."""
+    known, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        found.append(name)
+    return found
+
+
 def shards_for(rows: int, per_shard: int) -> int:
     """Number of shards that holds each at about per_shard rows whatever the size of the input."""
     return max(1, -(-rows // per_shard))

@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from foliant.llm.common import Scratch, column_bytes, components, mix64, numbered, ranges, roots, shards_for, whole
+from foliant.llm.common import Scratch, column_bytes, components, free_names, mix64, numbered, ranges, roots, shards_for, whole
 
 SEED = 42
 #: The contract's fingerprint and links: 64 bits of three-word shingles, 3 differing bits.
@@ -334,7 +335,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     256-bit fingerprints of the sets bring candidates together, the sets themselves decide. Equal sets
     are one node; so are null texts and texts without words, whose set is empty: the one with the
     smallest id stays. Rows without an id stay and link nothing; rows that share the id that stays all
-    stay. A text of any length counts whole; an empty table gives an empty result; columns stay as they are."""
+    stay. Of rows that share another id but not their text each goes or stays by its own set. A text of any length counts whole; an empty table gives an empty result; columns stay as they are."""
     named, scratch = docs.where("doc_id IS NOT NULL"), Scratch(spark)
     rows = scratch.save(shingle_sets(named), "sets")
     nodes = rows.groupBy("h", "g").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
@@ -351,5 +352,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     scratch.drop("shingles")
     alone = nodes.where("copies > 1").join(linked.select("node"), "node", "left_anti").withColumn("component_id", F.col("least"))
     told = scratch.save(linked.select("h", "g", "component_id").union(alone.select("h", "g", "component_id")), "told")
-    gone = rows.join(told, ["h", "g"]).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(scratch.save(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    away = rows.join(told, ["h", "g"]).where("doc_id <> component_id").groupBy("doc_id", "h", "g").agg(F.count(F.lit(1)).alias("n"))
+    away = scratch.save(away, "gone")
+    gone = away.groupBy("doc_id").agg(F.sum("n").alias("n"))
+    shared = rows.select("doc_id").join(gone, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("all"), F.first("n").alias("n")).where("`all` > n")
+    shared = scratch.save(shared.select("doc_id"), "shared")
+    kept = docs.join(gone.select("doc_id").join(shared, "doc_id", "left_anti"), "doc_id", "left_anti").select(*docs.columns)
+    if shared.isEmpty():
+        return kept
+    # ids of several rows, of which some stay: each of these rows goes by its own set
+    own, h, g, same = free_names(docs, "own_set", "set_h", "set_g", "same_id")
+    asked = kept.join(shared, "doc_id", "left_semi").withColumn(own, set_hash(F.col("text")))
+    sets = away.select(F.col("doc_id").alias(same), F.col("h").alias(h), F.col("g").alias(g))
+    stays = asked.join(sets, (F.col("doc_id") == F.col(same)) & (F.col(own)["h"] == F.col(h)) & (F.col(own)["g"] == F.col(g)), "left_anti")
+    return kept.join(shared, "doc_id", "left_anti").select(*docs.columns).union(stays.select(*docs.columns))
+
+
+@F.arrow_udf(StructType([StructField("h", LongType()), StructField("g", LongType())]))
+def set_hash(text: pa.Array) -> pa.Array:
+    """The hash of a text's set of shingles, as shingle_sets gives it."""
+    found = np.array([node_of(np.unique(shingle_hashes(x, COPY_SHINGLE))) for x in column_bytes(text)], np.int64).reshape(-1, 2)
+    return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["h", "g"])

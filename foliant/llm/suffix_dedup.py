@@ -332,29 +332,51 @@ def _across_blocks(scratch: Scratch, settled: DataFrame) -> DataFrame:
     return hits.select("h", "seg", F.flatten(F.transform("at", lambda a: F.array(a, a + 1))).alias("runs"))
 
 
-def _remove(batches):
-    for batch in (part for full in batches for part in slices(full, 1, BATCH_BYTES)):
-        sizes, removed, spans, kept = [], [], [], []
-        for x, parts in zip(column_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            sizes.append(len(x))
-            if not parts:
-                removed.append(0)
-                spans.append(0)
-                kept.append(x)
-                continue
-            flat = np.array([(p["first"] + a, p["first"] + b + WINDOW - 1) for p in parts for a, b in zip(p["runs"][::2], p["runs"][1::2], strict=True)], np.int64)
-            flat = flat[np.argsort(flat[:, 0], kind="stable")]
-            reach = np.maximum.accumulate(flat[:, 1])
-            cut = np.flatnonzero(np.r_[True, flat[1:, 0] > reach[:-1]])
-            begins, ends = flat[cut, 0].tolist(), reach[np.r_[cut[1:] - 1, len(flat) - 1]].tolist()
-            kept.append(b"".join(x[a:b] for a, b in zip([0, *ends], [*begins, len(x)], strict=True)))
-            removed.append(len(x) - len(kept[-1]))
-            spans.append(len(begins))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["kept_row", "n_bytes", "n_removed", "n_spans", "kept"])
-
-
-def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with n_bytes, n_removed, n_spans and kept (the remaining bytes), a row for each row.
+def _whole_characters(x: bytes, begins: list[int], ends: list[int]) -> tuple[list[int], list[int]]:
+    """Cuts widened to the bounds of the UTF-8 characters that they split; cuts that then overlap become one."""
+    firsts, lasts = [], []
+    for a, b in zip(begins, ends, strict=True):
+        while a > 0 and x[a] & 0xC0 == 0x80:
+            a -= 1
+        while b < len(x) and x[b] & 0xC0 == 0x80:
+            b += 1
+        if lasts and a <= lasts[-1]:
+            lasts[-1] = b
+        else:
+            firsts.append(a)
+            lasts.append(b)
+    return firsts, lasts
+
+
+def _remove(characters: bool):
+    def run(batches):
+        for batch in (part for full in batches for part in slices(full, 1, BATCH_BYTES)):
+            sizes, removed, spans, kept = [], [], [], []
+            for x, parts in zip(column_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                sizes.append(len(x))
+                if not parts:
+                    removed.append(0)
+                    spans.append(0)
+                    kept.append(x)
+                    continue
+                flat = np.array([(p["first"] + a, p["first"] + b + WINDOW - 1) for p in parts for a, b in zip(p["runs"][::2], p["runs"][1::2], strict=True)], np.int64)
+                flat = flat[np.argsort(flat[:, 0], kind="stable")]
+                reach = np.maximum.accumulate(flat[:, 1])
+                cut = np.flatnonzero(np.r_[True, flat[1:, 0] > reach[:-1]])
+                begins, ends = flat[cut, 0].tolist(), reach[np.r_[cut[1:] - 1, len(flat) - 1]].tolist()
+                if characters:
+                    begins, ends = _whole_characters(x, begins, ends)
+                kept.append(b"".join(x[a:b] for a, b in zip([0, *ends], [*begins, len(x)], strict=True)))
+                removed.append(len(x) - len(kept[-1]))
+                spans.append(len(begins))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], ["kept_row", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
+
+
+def remove_repeats(spark: SparkSession, docs: DataFrame, characters: bool = False) -> DataFrame:
+    """docs with n_bytes, n_removed, n_spans and kept (the remaining bytes), a row for each row. If characters is set,
+    characters that a cut would split go as a whole.
 
     A null text counts as empty. Texts shorter than WINDOW bytes lose nothing; texts that come twice,
     repeated rows among them, lose all of their bytes; long texts are read whole, in pieces. Null and
@@ -393,14 +415,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
     spans = hits.groupBy("r", "q").agg(F.collect_set(F.struct("first", "runs")).alias("spans"))
     joined = rows.join(scratch.save(spans, "spans"), ["r", "q"], "left")
     schema = "kept_row " + rows.schema["kept_row"].dataType.simpleString() + ", n_bytes long, n_removed long, n_spans long, kept binary"
-    out = joined.select("kept_row", "text", "spans").mapInArrow(_remove, schema)
+    out = joined.select("kept_row", "text", "spans").mapInArrow(_remove(characters), schema)
     return out.select("kept_row.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """docs with what is left of their texts; characters that a cut splits go with it."""
-    out = remove_repeats(spark, docs)
-    text = F.when(F.col("text").isNull() | (F.col("n_removed") == 0), F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
+    """docs with what is left of their texts; characters that a cut splits go with it, all others stay, U+FFFD among
+    them. Null texts stay null, repeated rows and null ids keep their rows, an empty table stays empty, other columns
+    stay as they are; n_chars is counted anew."""
+    out = remove_repeats(spark, docs, characters=True)
+    text = F.when(F.col("text").isNull() | (F.col("n_removed") == 0), F.col("text")).otherwise(F.col("kept").cast("string"))
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))

@@ -5,6 +5,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from foliant.llm import bloom_dedup, simhash_links, suffix_dedup
 from foliant.llm import common, queries
@@ -33,6 +34,12 @@ def test_exact_odd(spark, odd, none):
     assert bloom_dedup.exact_dedup(spark, none).count() == 0
 
 
+def test_exact_keeps_every_column(spark):
+    docs = spark.createDataFrame([(1, "a", "k1", True, 5, "x"), (2, "a", "k2", False, 6, "y"), (2, "a", "k3", False, 7, "z")], "doc_id long, text string, key string, __maybe boolean, __nth int, __Key string")
+    got = bloom_dedup.exact_dedup(spark, docs).select(*docs.columns, "kept").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", "k1", True, 5, "x", True), (2, "a", "k2", False, 6, "y", False), (2, "a", "k3", False, 7, "z", False)]
+
+
 def test_bloom_has_no_false_negatives(spark):
     keys = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 5000)
     df = spark.createDataFrame([(int(k),) for k in np.r_[keys, keys[:300]]], "key long").repartition(7)
@@ -164,6 +171,14 @@ def test_few_rows_shuffle_beyond_one_plane(spark, monkeypatch):
     assert len(tested) == 4 and 10_000 <= sum(t.where("__maybe").count() for t in tested) <= 10_000 + 0.05 * 90_000
 
 
+def test_near_dedup_goes_by_rows_where_ids_repeat(spark):
+    words = " ".join(f"w{n}" for n in range(40))
+    rows = [(3, words), (5, words + " more"), (5, "a text of its own that nothing else is like"), (6, words), (6, words), (None, words)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' AS own_set", "1 AS h", "2 AS g")
+    got = sorted(map(repr, map(tuple, simhash_links.near_dedup(spark, docs).collect())))
+    assert got == sorted(repr((*r, "s", 1, 2)) for r in (rows[0], rows[2], rows[5]))
+
+
 @pytest.mark.parametrize("block", [2_000_000, 300])
 def test_near_dedup_equals_brute_force(spark, block, monkeypatch):
     """Groups whose members aren't all similar, in one block and in several."""
@@ -232,6 +247,15 @@ def test_suffix_dedup_odd(spark, odd, none):
     assert kept.count() == odd.count() and kept.columns == [*odd.columns, "n_chars"]
 
 
+def test_cuts_go_by_characters_and_leave_others(spark):
+    passage = "ä" * 99 + "é漢" + "".join(chr(0x4E00 + n) for n in range(80))
+    rows = [(1, f"keep \ufffd me {passage} and \ufffd me"), (2, f"{passage}"), (3, "短 \ufffd"), (4, None), (5, "ы" + passage[1:] + "ь")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.lit(0))
+    got = {r.doc_id: (r.text, r.n_chars) for r in suffix_dedup.without_repeats(spark, docs).collect()}
+    assert got == {1: ("keep \ufffd me  and \ufffd me", 19), 2: ("", 0), 3: (rows[2][1], 3), 4: (None, 0), 5: ("ыь", 2)}
+    assert suffix_dedup._whole_characters("aéb".encode(), [2], [4]) == ([1], [4]) and suffix_dedup._whole_characters("é漢".encode(), [1, 3], [2, 4]) == ([0], [5])
+
+
 def test_blocks_of_a_hot_anchor(spark, monkeypatch):
     """Thousands of distinct segments around one passage, some of which share windows across blocks; columns of any name stay."""
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1 << 18)
