@@ -3,7 +3,7 @@
 The matches and the gaps between them tell all offsets, so that no Python runs. Offsets are sums over
 the gaps and matches before; they are taken in blocks of about the square root of their number, and
 contexts are cut from pieces of the text, so that a text with very many matches costs little more than
-each of them. Patterns must not match the empty text.
+each of them. Patterns must not match the empty text. Patterns that aren't safe run in Arrow workers under a deadline.
 """
 
 from __future__ import annotations
@@ -12,10 +12,12 @@ import re
 from re import _constants as op
 from re import _parser
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions.text import bound
+from foliant.sources.files import PROBLEM, TITLES
 
 #: Characters of the pieces that contexts are cut from.
 PIECE = 1024
@@ -85,9 +87,31 @@ def search(text: Column, query: str | None = None, pattern: str | None = None, c
     return spans(text, wanted, context)
 
 
+#: Turns of repetitions that may be read in two ways, and endless repetitions side by side that may take the same
+#: characters: beyond these a pattern is refused.
+MOST_TURNS, MOST_SIDE_BY_SIDE = 8, 3
+#: What only Java reads, as something of the same width that Python reads.
+_JAVA_ONLY = ((r"\\Q(.*?)(?:\\E|\Z)", lambda m: re.escape(m[1])), (r"\\[pP](?:\{[^}]*\}|.)", r"\\w"), (r"\\[hH]", r"\\s"), (r"\\[RvVX]", r"\\s"), (r"\\z", r"\\Z"), (r"\(\?<([a-zA-Z])", r"(?P<\1"))
+
+
+def _parsed(pattern: str):
+    """The pattern as Python's parser sees it, None if it can't."""
+    for given in (pattern, None):
+        if given is None:
+            given = pattern
+            for java, python in _JAVA_ONLY:
+                given = re.sub(java, python, given, flags=re.DOTALL)
+        try:
+            return _parser.parse(given)
+        except (re.error, OverflowError, RecursionError):
+            continue
+    return None
+
+
 def check_pattern(pattern: str) -> None:
-    """Refuses patterns that don't compile, match the empty text, or may take exponential time: an endless
-    repetition whose turns a text can be dealt to in more than one way."""
+    """Refuses patterns that don't compile, may match the empty text anywhere, or may take very long: repetitions,
+    endless or not, whose turns a text can be dealt to in more than one way, or several endless ones side by side for
+    the same characters. What can't be judged is refused as well; search_within takes such patterns under a deadline."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
@@ -98,16 +122,48 @@ def check_pattern(pattern: str) -> None:
             empty = re.compile(pattern).search("") is not None
     except Exception as broken:
         raise ValueError(f"{pattern!r} is not a valid pattern: {broken}") from None
-    if empty:
-        raise ValueError(f"{pattern!r} matches the empty text")
-    try:
-        endless = _ambiguous(list(_parser.parse(pattern)))
-    except re.error:  # what only Java reads: any repetition of a repetition counts
-        endless = re.search(r"\([^()]*[+*][^()]*\)[+*{]", pattern) is not None
-    if endless:
+    parsed = _parsed(pattern)
+    if parsed is None:
+        raise ValueError(f"{pattern!r} can't be judged")
+    if empty or parsed.getwidth()[0] == 0:
+        raise ValueError(f"{pattern!r} may match the empty text")
+    if _ambiguous(list(parsed)) or _side_by_side(list(parsed)) > MOST_SIDE_BY_SIDE:
         raise ValueError(f"{pattern!r} repeats what can match in several ways and may never end")
 
 
+def search_within(text: Column, pattern: str, seconds: float = 2.0, context: int = 80) -> Column:
+    """struct(spans, problem): what search finds, for patterns that check_pattern refuses. Each row has a deadline of its
+    own; one that misses it has no spans but a problem (400), the others aren't harmed. Matches of no width count, once
+    at each place. Null texts have neither. Patterns are read by the regex library; what it can't read raises at once."""
+    import regex
+
+    if context < 0 or seconds <= 0:
+        raise ValueError("a context can't be negative, nor a deadline zero")
+    try:
+        regex.compile(pattern)
+    except regex.error as broken:
+        raise ValueError(f"{pattern!r} is not a valid pattern: {broken}") from None
+    late = {"status": 400, "title": TITLES[400], "detail": f"the pattern took more than {seconds:g} s"}
+
+    def one(value: str | None):
+        if value is None:
+            return None
+        try:
+            found = [(m[0], *m.span()) for m in regex.finditer(pattern, value, timeout=seconds)]
+        except TimeoutError:
+            return {"spans": None, "problem": late}
+        return {"spans": [{"match": t, "start": a, "end": b, "context": value[max(0, a - context) : b + context]} for t, a, b in found], "problem": None}
+
+    span = pa.struct([("match", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("context", pa.string())])
+    told = pa.struct([("spans", pa.list_(span)), ("problem", pa.struct([("status", pa.int32()), ("title", pa.string()), ("detail", pa.string())]))])
+
+    @F.arrow_udf(f"spans array<struct<match: string, start: int, end: int, context: string>>, problem {PROBLEM}")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([one(x) for x in texts.to_pylist()], told)
+
+    return run(text)
+
+
 # ---- whether a repetition is ambiguous, by the characters that may come first and next
 
 _ANY = frozenset(range(257))  # 256 stands for all characters beyond
@@ -184,26 +240,60 @@ def _whole(items: list) -> tuple[frozenset, bool]:
     return found - mark, bool(found & mark)
 
 
-def _ambiguous(items: list) -> bool:
-    """Whether some endless repetition in the sequence has turns that overlap."""
+def _ambiguous(items: list, times: int = 1) -> bool:
+    """Whether some repetition in the sequence, of more than a few turns with those around it, has turns that overlap."""
     for kind, value in items:
         inner = {op.SUBPATTERN: lambda v: [list(v[3])], op.ATOMIC_GROUP: lambda v: [list(v)], op.BRANCH: lambda v: [list(b) for b in v[1]]}.get(kind, lambda v: [list(v[2])] if kind in _REPEATS else [])(value)
-        if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[1] > 64:
+        turns = times * int(value[1]) if kind in _REPEATS else times
+        if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[1] > 1 and turns > MOST_TURNS:
             body = list(value[2])
             if _overlaps(body, _whole(body)[0]):
                 return True
-        if any(_ambiguous(x) for x in inner):
+        if any(_ambiguous(x, turns) for x in inner):
             return True
     return False
 
 
+def _side_by_side(items: list) -> int:
+    """The most endless repetitions in a row that may take the same characters, whatever lies between them may be too."""
+    most, count, taken = 0, 0, frozenset()
+
+    def walk(sequence: list) -> None:
+        nonlocal most, count, taken
+        for kind, value in sequence:
+            if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[1] > 64:
+                own = _whole(list(value[2]))[0]
+                count = count + 1 if own & taken else 1
+                taken, most = own, max(most, count)
+            elif kind in _REPEATS:
+                walk(list(value[2]))
+            elif kind is op.SUBPATTERN:
+                walk(list(value[3]))
+            elif kind is op.ATOMIC_GROUP:
+                walk(list(value))
+            elif kind is op.BRANCH:
+                begin, ends = (count, taken), []
+                for branch in value[1]:
+                    count, taken = begin
+                    walk(list(branch))
+                    ends.append((count, taken))
+                count, taken = max(c for c, _ in ends), frozenset().union(*(t for _, t in ends))
+            else:
+                own, empty = _begins(kind, value)
+                if not empty and not own & taken:
+                    count, taken = 0, frozenset()
+
+    walk(items)
+    return most
+
+
 def _overlaps(items: list, again: frozenset) -> bool:
     """Whether a sequence whose end may be followed by again can be read in two ways."""
     for k, (kind, value) in enumerate(items):
         after = _first(items[k + 1 :], again)
         if kind in (op.MAX_REPEAT, op.MIN_REPEAT) and value[1] > value[0]:
             body = list(value[2])
-            if _whole(body)[0] & after or (value[1] > 64 and _overlaps(body, _whole(body)[0] | after)):
+            if _whole(body)[0] & after or (value[1] > 1 and _overlaps(body, _whole(body)[0] | after)):
                 return True
         elif kind is op.BRANCH:
             starts = [_first(list(b), after) for b in value[1]]

@@ -193,6 +193,19 @@ def search_regex(spark: SparkSession, sf: str) -> DataFrame:
 SEARCH_REGEX = _found("documents", "doc_id", "text", r"[A-Z][a-z]+tion[,.]", 12)
 
 
+def search_deadline(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches of a pattern whose turns can be read in several ways, each document under a deadline."""
+    found = spans.search_within(F.col("text"), "(?:an|ana|in|ing)+[st]", seconds=60, context=5)
+    rows = table(spark, sf, "documents").select("doc_id", found.alias("f"))
+    texts = F.array_join(F.transform("f.spans", lambda m: m["match"]), " ")
+    return rows.select("doc_id", F.size("f.spans").cast("int").alias("matches"), F.sha2(texts, 256).alias("found_sha256"), F.col("f.problem.status").alias("status"))
+
+
+SEARCH_DEADLINE = """
+WITH m AS (SELECT doc_id, regexp_extract_all(text, '(?:an|ana|in|ing)+[st]') AS m FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(m)::INT AS matches, sha256(array_to_string(m, ' ')) AS found_sha256, NULL::INT AS status FROM m"""
+
+
 def search_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Turns as sections of conversations, searched one by one."""
     return _search(table(spark, sf, "conversations"), ["conv_id", "turn"], query="the th", context=20)
@@ -418,7 +431,7 @@ QUERIES = {
     for f, sql in (
         (text_metrics, TEXT_METRICS), (base_metrics, BASE_METRICS), (line_census, LINE_CENSUS), (language_confusion, LANGUAGE_CONFUSION), (readability, READABILITY), (readability_bands, READABILITY_BANDS),
         (readability_by_source, READABILITY_BY_SOURCE), (syllable_histogram, SYLLABLE_HISTOGRAM), (heading_lines, HEADING_LINES), (table_runs, TABLE_RUNS), (search_literal, SEARCH_LITERAL),
-        (search_regex, SEARCH_REGEX), (search_sections, SEARCH_SECTIONS), (search_counts, SEARCH_COUNTS), (pii_matches, PII_MATCHES), (pii_pages, PII_PAGES), (pii_conversations, PII_CONVERSATIONS),
+        (search_regex, SEARCH_REGEX), (search_deadline, SEARCH_DEADLINE), (search_sections, SEARCH_SECTIONS), (search_counts, SEARCH_COUNTS), (pii_matches, PII_MATCHES), (pii_pages, PII_PAGES), (pii_conversations, PII_CONVERSATIONS),
         (pii_by_type, PII_BY_TYPE), (pii_by_document, PII_BY_DOCUMENT), (content_hash, CONTENT_HASH), (exact_duplicates, EXACT_DUPLICATES), (encoding_detect, ENCODING_DETECT), (normalised, NORMALISED), (transliterated, TRANSLITERATED),
         (control_bytes, CONTROL_BYTES), (html_title, HTML_TITLE), (html_to_text, HTML_TO_TEXT), (html_to_markdown, HTML_TO_MARKDOWN), (page_ranges, PAGE_RANGES), (page_edits, PAGE_EDITS),
     )

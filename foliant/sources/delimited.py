@@ -20,6 +20,11 @@ from pyspark.sql import functions as F
 from foliant.sources.files import PROBLEM, problem, sniff_delimiter, split_rows
 from foliant.sources.tables import shared_folder
 
+# a worker gives freed buffers back to the system
+pa.set_memory_pool(pa.system_memory_pool())
+
+#: Bytes of lines that are parsed at once, and characters of rows that are handed on at once.
+PARSED_BYTES, GIVEN_CHARS = 1 << 20, 4 << 20
 #: Bytes of a file's beginning whose first rows tell its delimiter (lines from ranges that begin in them), and ranges
 #: whose states are broadcast at most.
 HEAD_BYTES, MOST_RANGES = 1 << 20, 1_000_000
@@ -38,12 +43,13 @@ class Delimited:
 
 
 def _ranges(batches) -> Iterator[tuple[tuple, pa.Array]]:
-    """((path, start, further columns), lines) of the stretches of a task's lines that lie in one range."""
+    """((path, start, further columns), lines) of stretches of a task's lines that lie in one range, of a bounded size."""
     for batch in batches:
         if not len(batch):
             continue
         path, start = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-        cuts = np.flatnonzero((np.diff(path) != 0) | (np.diff(start) != 0)) + 1
+        upto = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False).astype(np.int64)) // PARSED_BYTES
+        cuts = np.flatnonzero((np.diff(path) != 0) | (np.diff(start) != 0) | (np.diff(upto) != 0)) + 1
         for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
             part = batch.slice(a, b - a)
             yield tuple(c[0].as_py() for c in part.columns[:-1]), part.column(part.num_columns - 1)
@@ -134,15 +140,18 @@ def _parsed(batches):
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.string(), pa.binary()]
     names = [x.split()[0] for x in PARSED.split(", ")]
     give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-    at, part, rows = None, None, []
+    at, part, rows, chars = None, None, [], 0
 
     def told(found):
+        nonlocal chars
         path, start = at
         for nth, what, piece in found:
             rows.append((path, start, nth, part.delimiter, None if nth is None else what, what if nth is None else None, piece))
-            if len(rows) >= 5000:
+            chars += len(piece) if nth is None else sum(map(len, what))
+            if len(rows) >= 5000 or chars >= GIVEN_CHARS:
                 yield give(rows)
                 rows.clear()
+                chars = 0
 
     for (path, start, delimiter, inside), lines in _ranges(batches):
         if at != (path, start):

@@ -58,6 +58,34 @@ def test_search_refuses(spark, how):
         spans.search(F.lit("x"), **how)
 
 
+@pytest.mark.parametrize("pattern", [
+    r"\b", "(?=a)", "(?<=a)", "a|", "^", "(a|aa){1,60}c", "(a{1,2}){1,60}c", "(.*a){20}b", "a*a*a*a*a*b", "(a+)+b", "(?:a|a)*b", "((a|aa){1,4}){1,4}c", "(\\w+\\s?)+$", r"\p{L}*", r".*.*.*.*x", "(a|b|ab)*c",
+])
+def test_search_refuses_what_has_no_width_or_no_end(spark, pattern):
+    with pytest.raises(ValueError):
+        spans.check_pattern(pattern)
+
+
+@pytest.mark.parametrize("pattern", [r"[\w.+-]+@[\w-]+\.[\w.]+", r"(\d{1,3}\.){3}\d{1,3}", "(foo|bar)+x", "a.*b.*c", r"\p{Lu}\p{L}+tion", r"(?<year>\d{4})-\d\d", r"(\w+ )+x", "(?:ab|cd)*e", r"\bword\b", r"(a|ab){2}c", r"\Qa.b\E+", "x{2,5}y"])
+def test_search_takes_what_is_safe(spark, pattern):
+    spans.check_pattern(pattern)
+
+
+def test_search_under_a_deadline(spark):
+    slow = "a" * 40
+    df = spark.createDataFrame([(0, slow + "c"), (1, "xx aab b"), (2, None), (3, ""), (4, slow)], "id int, v string").repartition(2)
+    got = {r.id: r.r for r in df.select("id", spans.search_within(F.col("v"), "(a|a)+b", seconds=0.5, context=1).alias("r")).collect()}
+    assert [tuple(m) for m in got[1].spans] == [("aab", 3, 6, " aab ")] and got[1].problem is None
+    assert got[2] is None and got[3].spans == []
+    for n in (0, 4):
+        assert got[n].spans is None and (got[n].problem.status, got[n].problem.title) == (400, "Bad Request")
+    places = one(spark, "ab ab", lambda c: spans.search_within(c, r"\b"))
+    assert [m.start for m in places.spans] == [0, 2, 3, 5]
+    for how in ({"pattern": "("}, {"pattern": "a", "seconds": 0}, {"pattern": "a", "context": -1}):
+        with pytest.raises(ValueError):
+            spans.search_within(F.lit("x"), **how)
+
+
 @pytest.mark.parametrize(
     ("value", "kinds"),
     [
