@@ -11,6 +11,7 @@ from foliant.functions import spans
 from foliant.functions.content import hashes
 from foliant.functions.pii import pii
 from foliant.functions.text import base_metrics
+from foliant.operators import ordered
 
 
 def latest(events: DataFrame, key: str, *order: str) -> DataFrame:
@@ -53,6 +54,22 @@ def share_status(found: Column, now: Column, expires: Column, stored: Column, gi
     )
 
 
+def share_attempts(log: DataFrame, token: str, order: tuple[str, ...], at: str, given: str, recipient: str) -> DataFrame:
+    """The opens of a log of shares with code, what share_status says of the share as it was then, and access_count, how
+    many of them the share had let in by then, itself included (null unless the code is 200).
+
+    A create (with columns expires, stored and recipients) makes the share anew, so that it counts from none; a delete
+    ends it; an open of a share that isn't there is a 404. Tokens with very many rows are split in order."""
+    changes = log.where("action IN ('create', 'delete')").select(token, *order, "action", "expires", "stored", "recipients", F.struct(*order).alias("made"))
+    opens = log.where("action = 'open'").drop("action", "expires", "stored", "recipients")
+    seen = ordered.asof_join(opens, changes, [token], order, ["action", "expires", "stored", "recipients", "made"])
+    alive = F.col("found") & (F.col("action") == "create")
+    code = share_status(alive, F.col(at), F.col("expires"), F.col("stored"), F.col(given), F.col("recipients"), F.col(recipient))
+    told = seen.withColumn("code", code).drop("action", "expires", "stored", "recipients", "found")
+    let_in = ordered.running_count(told.where("code = 200"), [token, "made"], order, "access_count")
+    return let_in.drop("made").unionByName(told.where("code <> 200").drop("made").withColumn("access_count", F.lit(None).cast("long")))
+
+
 #: Operations that a batch of files may ask for.
 OPERATIONS = ("summarize", "classify", "pii", "hash", "text", "qa", "search")
 

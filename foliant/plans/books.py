@@ -203,6 +203,27 @@ SELECT l.token, l.event_id, l.expires_at, (SELECT count(*) FROM l o WHERE o.toke
 FROM m JOIN l ON l.token = m.token AND (l.ts, l.event_id) = m.made WHERE made IS NOT NULL AND (gone IS NULL OR gone < made) AND (l.expires IS NULL OR l.expires > TIMESTAMP '2024-01-15 12:00:00')"""
 
 
+def share_attempts(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a log of shares by their users: made, deleted and opened as they were at the time of each attempt."""
+    k = F.col("event_id")
+    action = F.expr("CASE WHEN event_id % 7 = 0 THEN 'create' WHEN event_id % 10 = 1 THEN 'delete' ELSE 'open' END")
+    word = lambda x: books.secret(F.col("user_id").cast("string"), x)
+    log = _events(spark, sf).select(
+        F.col("user_id").alias("token"), action.alias("action"), "ts", "event_id", F.when(k % 5 == 0, F.col("ts") + F.expr("INTERVAL 12 HOURS")).alias("expires"), F.when(k % 3 == 0, word(F.lit("open"))).alias("stored"),
+        F.when(k % 4 == 0, F.array(F.lit("a@x.org"))).alias("recipients"), F.when(k % 2 == 0, word(F.lit("open"))).alias("given"), F.expr("IF(event_id % 3 = 0, 'a@x.org', 'b@x.org')").alias("who"),
+    )
+    return books.share_attempts(log, "token", ("ts", "event_id"), "ts", "given", "who").select("event_id", "code", F.col("access_count").cast("long").alias("access_count"))
+
+
+SHARE_ATTEMPTS = """
+WITH l AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k, CASE WHEN event_id % 7 = 0 THEN 'create' WHEN event_id % 10 = 1 THEN 'delete' ELSE 'open' END AS action FROM events),
+j AS (SELECT o.event_id, o.ts, o.k, o.user_id, s.event_id AS made, s.action AS last, s.ts AS made_at
+  FROM (SELECT * FROM l WHERE action = 'open') o ASOF LEFT JOIN (SELECT * FROM l WHERE action <> 'open') s ON o.user_id = s.user_id AND o.k >= s.k),
+c AS (SELECT *, CASE WHEN coalesce(last, 'delete') = 'delete' THEN 404 WHEN made % 5 = 0 AND ts >= made_at + INTERVAL 12 HOUR THEN 410 WHEN made % 3 = 0 AND event_id % 2 <> 0 THEN 401
+  WHEN made % 4 = 0 AND event_id % 3 <> 0 THEN 403 ELSE 200 END::INT AS code FROM j)
+SELECT event_id, code, CASE WHEN code = 200 THEN row_number() OVER (PARTITION BY user_id, made, code ORDER BY k) END AS access_count FROM c"""
+
+
 def audit_log(spark: SparkSession, sf: str) -> DataFrame:
     """Events as requests: their records by method, and what failed."""
     e = _events(spark, sf)
@@ -291,6 +312,6 @@ QUERIES = {f"column_profile_{n}": (_profile_query(n), _profile_sql(n)) for n in
     f.__name__: (f, sql)
     for f, sql in (
         (header_checks, HEADER_CHECKS), (ragged_rows, RAGGED_ROWS), (markdown_table, MARKDOWN_TABLE), (csv_escape, CSV_ESCAPE), (json_rows, JSON_ROWS), (quota_daily, QUOTA_DAILY),
-        (quota_rejections, QUOTA_REJECTIONS), (job_latest, JOB_LATEST), (job_eviction, JOB_EVICTION), (share_access, SHARE_ACCESS), (share_counts, SHARE_COUNTS), (shares_list, SHARES_LIST), (audit_log, AUDIT_LOG), (batch_pending, BATCH_PENDING), (batch_hashes, BATCH_HASHES), (quota_stream, QUOTA_STREAM), (a1_columns, A1_COLUMNS), (format_sniff, FORMAT_SNIFF),
+        (quota_rejections, QUOTA_REJECTIONS), (job_latest, JOB_LATEST), (job_eviction, JOB_EVICTION), (share_access, SHARE_ACCESS), (share_counts, SHARE_COUNTS), (shares_list, SHARES_LIST), (share_attempts, SHARE_ATTEMPTS), (audit_log, AUDIT_LOG), (batch_pending, BATCH_PENDING), (batch_hashes, BATCH_HASHES), (quota_stream, QUOTA_STREAM), (a1_columns, A1_COLUMNS), (format_sniff, FORMAT_SNIFF),
     )
 }
