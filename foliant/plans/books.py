@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import content, pages
 from foliant.operators import books, profile, sinks
-from foliant.sources.tables import table
+from foliant.sources.tables import shared_folder, table
 
 # ---- profiles
 
@@ -262,7 +262,6 @@ BATCH_HASHES = """SELECT doc_id::VARCHAR AS file, '{"sha256":"' || sha256(text)
 
 def quota_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a stream of requests, counted with state and written to the shared folder."""
-    from foliant.sources.tables import shared_folder
     from foliant.streaming import flows
 
     kinds = table(spark, sf, "events").select("event_id", "user_id", "ts").schema
@@ -277,6 +276,53 @@ QUOTA_STREAM = """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, row_number()
 row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) <= 2 AS allowed FROM events"""
 
 
+def _in_bands(spark: SparkSession, sf: str, folder: str, days: int = 10):
+    """Appends events to a folder in bands of some days and yields after each; a row comes up to a day late, so that it may
+    come after rows of later days. The last band is a row of 2100, behind which nothing waits."""
+    e = _events(spark, sf).select("event_id", "user_id", "event_type", "ts")
+    comes = F.col("ts") + F.expr("make_dt_interval(0, CAST(event_id % 24 AS int))")
+    banded = e.withColumn("band", F.floor(F.unix_micros(comes) / (days * 86_400_000_000)))
+    first, last = banded.agg(F.min("band"), F.max("band")).first()
+    for band in range(first, last + 1) if first is not None else ():
+        banded.where(F.col("band") == band).drop("band").write.mode("append").parquet(folder)
+        yield
+    spark.range(1).selectExpr("-1L AS event_id", "-1L AS user_id", "'close' AS event_type", "TIMESTAMP '2100-01-01 00:00:00' AS ts").write.mode("append").parquet(folder)
+    yield
+
+
+def _band_stream(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.readStream.schema("event_id long, user_id long, event_type string, ts timestamp").parquet(folder)
+
+
+def quota_late(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests that come out of order over several micro-batches, numbered in order."""
+    from foliant.streaming import state
+
+    where = shared_folder(spark)
+    for _ in _in_bands(spark, sf, f"{where}/events"):
+        rows = state.written(state.quota_in_order(_band_stream(spark, f"{where}/events"), LIMIT, "25 hours"), where)
+    return spark.read.schema("event_id long, user_id long, day string, nth long, allowed boolean").parquet(rows)
+
+
+QUOTA_LATE = f"""SELECT event_id, user_id, strftime(day, '%Y-%m-%d') AS day, nth::BIGINT AS nth, nth <= {LIMIT} AS allowed FROM ({_QUOTA})"""
+
+
+def job_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The store of the 50 newest jobs, filled by a stream in several micro-batches and read from its state."""
+    from foliant.streaming import state
+
+    where = shared_folder(spark)
+    for _ in _in_bands(spark, sf, f"{where}/events"):
+        settings = _band_stream(spark, f"{where}/events").where("event_id >= 0").select(F.col("user_id").alias("job_id"), "ts", "event_id", F.when(F.col("event_type") == "click", "processing").otherwise(F.col("event_type")).alias("status"))
+        state.written(state.job_store(settings, 50), where)
+    return state.jobs_held(spark, f"{where}/state", 50).select("job_id", "event_id", books.poll(F.col("status")).alias("code"))
+
+
+JOB_STREAM = """
+WITH l AS (SELECT user_id AS job_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1 ORDER BY max((ts, event_id)) DESC LIMIT 50)
+SELECT job_id, event_id, CASE WHEN event_type IN ('click', 'processing') THEN 202 ELSE 200 END::INT AS code FROM l"""
+
+
 # ---- spreadsheets and formats
 
 
@@ -312,6 +358,6 @@ QUERIES = {f"column_profile_{n}": (_profile_query(n), _profile_sql(n)) for n in
     f.__name__: (f, sql)
     for f, sql in (
         (header_checks, HEADER_CHECKS), (ragged_rows, RAGGED_ROWS), (markdown_table, MARKDOWN_TABLE), (csv_escape, CSV_ESCAPE), (json_rows, JSON_ROWS), (quota_daily, QUOTA_DAILY),
-        (quota_rejections, QUOTA_REJECTIONS), (job_latest, JOB_LATEST), (job_eviction, JOB_EVICTION), (share_access, SHARE_ACCESS), (share_counts, SHARE_COUNTS), (shares_list, SHARES_LIST), (share_attempts, SHARE_ATTEMPTS), (audit_log, AUDIT_LOG), (batch_pending, BATCH_PENDING), (batch_hashes, BATCH_HASHES), (quota_stream, QUOTA_STREAM), (a1_columns, A1_COLUMNS), (format_sniff, FORMAT_SNIFF),
+        (quota_rejections, QUOTA_REJECTIONS), (job_latest, JOB_LATEST), (job_eviction, JOB_EVICTION), (share_access, SHARE_ACCESS), (share_counts, SHARE_COUNTS), (shares_list, SHARES_LIST), (share_attempts, SHARE_ATTEMPTS), (audit_log, AUDIT_LOG), (batch_pending, BATCH_PENDING), (batch_hashes, BATCH_HASHES), (quota_stream, QUOTA_STREAM), (quota_late, QUOTA_LATE), (job_stream, JOB_STREAM), (a1_columns, A1_COLUMNS), (format_sniff, FORMAT_SNIFF),
     )
 }

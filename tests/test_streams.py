@@ -1,5 +1,21 @@
+from datetime import datetime, timedelta
+
 from foliant.operators import books
-from foliant.streaming import flows
+from foliant.streaming import flows, state
+
+EVENT = "event_id long, user_id long, ts timestamp, status string"
+
+
+def at(hour, minute=0):
+    return datetime(2024, 1, 1) + timedelta(hours=hour, minutes=minute)
+
+
+def in_batches(spark, folder, batches, make):
+    """Appends each batch and runs the stream over what is new."""
+    for rows in batches:
+        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        state.written(make(spark.readStream.schema(EVENT).parquet(f"{folder}/in")), folder)
+    return spark.read.schema(make(spark.readStream.schema(EVENT).parquet(f"{folder}/in")).schema).parquet(f"{folder}/rows").collect()
 
 
 def run(query_df, name, mode="append"):
@@ -31,3 +47,30 @@ def test_file_stream(spark, tmp_path):
     (tmp_path / "x.bin").write_bytes(b"abc")
     run(flows.file_stream(spark, str(tmp_path)).select("file_name", "length"), "files")
     assert [tuple(r) for r in spark.table("files").collect()] == [("x.bin", 3)]
+
+
+def test_quota_in_order_with_late_rows(spark, tmp_path):
+    """Row 2 comes after row 3 and counts before it; row 9 comes when the watermark is past it and is dropped; each
+    day and user counts alone, and a day that is over is forgotten."""
+    batches = [
+        [(1, 7, at(1), "x"), (3, 7, at(3), "x"), (4, 8, at(3), "x"), (6, 7, at(23), "x")],
+        [(2, 7, at(2), "x"), (5, 7, at(3), "x"), (7, 7, at(25), "x")],
+        [(8, 7, at(26), "x"), (10, None, at(27), "x"), (11, 7, at(200), "x")],
+        [(9, 7, at(4), "x"), (12, 7, at(900), "x")],
+        [(99, 0, at(9000), "x")],
+    ]
+    got = in_batches(spark, str(tmp_path), batches, lambda s: state.quota_in_order(s, 2, "24 hours"))
+    by = {r.event_id: (r.user_id, r.day, r.nth, r.allowed) for r in got}
+    one, two = "2024-01-01", "2024-01-02"
+    want = {1: (7, one, 1, True), 2: (7, one, 2, True), 3: (7, one, 3, False), 5: (7, one, 4, False), 6: (7, one, 5, False), 4: (8, one, 1, True), 7: (7, two, 1, True), 8: (7, two, 2, True)}
+    assert {k: by[k] for k in want} == want and 9 not in by and 99 not in by and by[11][2] == by[12][2] == 1 and by[10][0] is None and len(got) == len(by)
+
+
+def test_job_store_evicts_and_refreshes(spark, tmp_path):
+    """With one shard of two jobs: 1 is set again and stays, 2 goes; an older setting of 1 changes nothing."""
+    batches = [[(1, 1, at(1), "a"), (2, 2, at(2), "a")], [(3, 1, at(3), "b"), (4, 3, at(4), "a")], [(0, 1, at(0), "old")]]
+    got = in_batches(spark, str(tmp_path), batches, lambda s: state.job_store(s.withColumnRenamed("user_id", "job_id"), 2, shards=1))
+    assert sorted((r.job_id, r.status, r.evicted) for r in got) == [(1, "a", False), (1, "b", False), (2, "a", False), (2, "a", True), (3, "a", False)]
+    held = state.jobs_held(spark, f"{tmp_path}/state", 2).collect()
+    assert [(r.job_id, r.event_id, r.status) for r in sorted(held)] == [(1, 3, "b"), (3, 4, "a")]
+    assert [r.job_id for r in state.jobs_held(spark, f"{tmp_path}/state", 1).collect()] == [3]
