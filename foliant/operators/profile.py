@@ -103,9 +103,14 @@ def header_like(first: Column) -> Column:
 
 def duplicate_headers(headers: Column) -> Column:
     """Names that come twice or more, in the spelling of their first place; case and blanks around don't count."""
-    trimmed = F.transform(headers, lambda h: F.trim(h))
-    low = F.transform(trimmed, lambda h: F.lower(h))
-    return F.filter(trimmed, lambda h, i: (h != "") & (F.array_position(low, F.lower(h)) == i + 1) & (F.size(F.filter(low, lambda x: x == F.lower(h))) > 1))
+    named = F.transform(headers, lambda h, i: F.struct(F.lower(F.trim(h)).alias("low"), i.alias("i"), F.trim(h).alias("h")))
+
+    def repeated(s: Column) -> Column:
+        low = lambda i: F.get(s, i)["low"]
+        first = F.filter(s, lambda x, i: (x["low"] != "") & ~F.coalesce(low(i - 1) == x["low"], F.lit(False)) & F.coalesce(low(i + 1) == x["low"], F.lit(False)))
+        return F.transform(F.array_sort(F.transform(first, lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h")))), lambda x: x["h"])
+
+    return text.bound(F.array_sort(named), repeated)
 
 
 def inspect(rows: DataFrame, *file: str) -> DataFrame:

@@ -50,15 +50,17 @@ FROM (SELECT {c}::VARCHAR AS v FROM t)"""
     return f"WITH t AS (SELECT *{extra.get(name, '')} FROM {name}) SELECT position, name, non_empty, empty, distinct_count, inferred_type, {edge('ln', 'ls', 'll')} AS min_value, {edge('hn', 'hs', 'hl')} AS max_value FROM ({parts})"
 
 
-HEADERS = (("a", "id,name,name"), ("b", "Id, ID ,x,,X"), ("c", "1,b"), ("d", "one,,two"), ("e", "plain,columns"))
-
-
 def header_checks(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(HEADERS, "file string, line string").select("file", F.split("line", ",").alias("c"))
-    return rows.select("file", profile.header_like(F.col("c")).alias("has_header"), F.array_join(profile.duplicate_headers(F.col("c")), ";").alias("duplicates"))
+    """The words of every document's first line as a header."""
+    rows = table(spark, sf, "documents").select("doc_id", F.split(F.regexp_extract("text", r"\A[^\n]*", 0), " ", -1).alias("c")).where("c IS NOT NULL")
+    return rows.select("doc_id", profile.header_like(F.col("c")).alias("has_header"), F.array_join(profile.duplicate_headers(F.col("c")), ";").alias("duplicates"))
 
 
-HEADER_CHECKS = "SELECT * FROM (VALUES ('a', true, 'name'), ('b', false, 'Id;x'), ('c', false, ''), ('d', false, ''), ('e', true, '')) AS v(file, has_header, duplicates)"
+HEADER_CHECKS = f"""
+WITH h AS (SELECT doc_id, string_split(regexp_extract(text, '^[^\n]*'), ' ') AS c FROM documents WHERE text IS NOT NULL),
+l AS (SELECT *, list_transform(c, lambda x: lower(x)) AS low FROM h)
+SELECT doc_id, len(list_filter(c, lambda x: x = '' OR (regexp_matches(x, '{profile.NUMBER}') AND regexp_matches(x, '[0-9]')))) = 0 AS has_header,
+  array_to_string(list_filter(c, lambda x, i: x <> '' AND list_position(low, lower(x)) = i AND len(list_filter(low, lambda y: y = lower(x))) > 1), ';') AS duplicates FROM l"""
 
 
 def ragged_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -336,23 +338,26 @@ WITH p AS (SELECT p_partkey, p_partkey + 1 AS n FROM part)
 SELECT p_partkey, CASE WHEN n <= 26 THEN chr((64 + n)::INT) WHEN n <= 702 THEN chr((64 + (n - 1) // 26)::INT) || chr((65 + (n - 1) % 26)::INT)
   ELSE chr((64 + (n - 703) // 676 + 1)::INT) || chr((65 + ((n - 703) // 26) % 26)::INT) || chr((65 + (n - 1) % 26)::INT) END AS letters, n AS back FROM p"""
 
-#: Name and leading bytes of files.
-FILES = (
-    ("a.pdf", "255044462D312E37"), ("b.doc", "D0CF11E0A1B11AE1"), ("c.rtf", "7B5C727466315C616E7369"), ("d.djvu", "41542654464F524D00000010444A56550000"),
-    ("e.zip", "504B030414000000"), ("f.txt", "68656C6C6F20776F726C64"), ("g.pdf", "504B030414000000"), ("h.pdf", "2550"),
+#: What stands before and behind a document's text, and what the whole is then.
+WRAPPED = (
+    ("%PDF-1.7\n", "", "pdf"), ("{\\rtf1 ", "", "rtf"), ("AT&TFORM\0\0\0\1DJVM", "", "djvu"), ("PK\3\4", "", "zip"), ("PK\3\4" + "\0" * 26 + "mimetypeapplication/epub+zip", "", "epub"), ("", "", "unknown"),
+    ("PK\3\4", "word/document.xml", "docx"), ("\0" * 60 + "BOOKMOBI" + "\0" * 10, "", "mobi"), ("PK\3\4", "META-INF/container.xml", "epub"), ("\0" * 60 + "TEXtREAd" + "\0" * 10, "", "palmdoc"),
 )
+ENDINGS = ("pdf", "doc", "docx", "epub", "mobi", "rtf", "txt")
 
 
 def format_sniff(spark: SparkSession, sf: str) -> DataFrame:
-    epub = "504B0304" + "00" * 26 + b"mimetypeapplication/epub+zip".hex()
-    palm = "00" * 60 + b"TEXtREAd".hex() + "00" * 12
-    files = spark.createDataFrame([*FILES, ("i.epub", epub), ("j.mobi", palm)], "file string, raw string").withColumn("raw", F.unhex("raw"))
-    told = files.select("file", content.sniff(F.col("raw")).alias("detected"), content.declared_format(F.col("file")).alias("declared"))
+    """Documents wrapped as files of every format, under names that often say another one."""
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("doc_id") % n + 1).cast("int"))
+    whole = F.concat(pick([w[0] for w in WRAPPED], 10), F.coalesce("text", F.lit("")), pick([w[1] for w in WRAPPED], 10)).cast("binary")
+    told = table(spark, sf, "documents").select("doc_id", content.sniff(whole).alias("detected"), content.declared_format(F.concat(F.lit("x."), pick(ENDINGS, 7))).alias("declared"))
     return told.withColumn("mismatch", content.is_mismatch(F.col("detected"), F.col("declared")))
 
 
-FORMAT_SNIFF = """SELECT * FROM (VALUES ('a.pdf', 'pdf', 'pdf', false), ('b.doc', 'ole2', 'doc', true), ('c.rtf', 'rtf', 'rtf', false), ('d.djvu', 'djvu', 'djvu', false), ('e.zip', 'zip', 'zip', false),
-('f.txt', 'unknown', 'unknown', false), ('g.pdf', 'zip', 'pdf', true), ('h.pdf', 'unknown', 'pdf', false), ('i.epub', 'epub', 'epub', false), ('j.mobi', 'palmdoc', 'mobi', false)) AS v(file, detected, declared, mismatch)"""
+FORMAT_SNIFF = f"""
+WITH d AS (SELECT doc_id, CASE WHEN octet_length(encode(coalesce(text, ''))) + {[len(w[0]) + len(w[1]) for w in WRAPPED]}[doc_id % 10 + 1] < 8 THEN 'unknown' ELSE {[w[2] for w in WRAPPED]}[doc_id % 10 + 1] END AS detected,
+  {[e if e != "txt" else "unknown" for e in ENDINGS]}[doc_id % 7 + 1] AS declared FROM documents)
+SELECT doc_id, detected, declared, detected <> 'unknown' AND declared <> 'unknown' AND detected <> declared AND NOT (detected = 'palmdoc' AND declared = 'mobi') AS mismatch FROM d"""
 
 QUERIES = {f"column_profile_{n}": (_profile_query(n), _profile_sql(n)) for n in PROFILED} | {
     f.__name__: (f, sql)

@@ -29,7 +29,7 @@ def by_turns(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return table(spark, sf, "conversations").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("turn", *columns))).alias("turns"))
 
 
-def _packed(batches):
+def packed(batches):
     """(file, content): an archive of turns."""
     for batch in batches:
         out = []
@@ -37,13 +37,13 @@ def _packed(batches):
             raw = io.BytesIO()
             with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
                 for t in turns:
-                    archive.writestr(zipfile.ZipInfo(f"turn-{t['turn']}.txt", (2024, 1, 2, 3, 4, 6)), t["text"].encode())
+                    archive.writestr(zipfile.ZipInfo(f"turn-{t['turn']}.txt", (2024, 1, 2, 3, 4, 6)), (t["text"] or "").encode())
             out.append(raw.getvalue())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["file", "content"])
 
 
 def zip_inspect(spark: SparkSession, sf: str) -> DataFrame:
-    archives = by_turns(spark, sf, "text").mapInArrow(_packed, "file string, content binary")
+    archives = by_turns(spark, sf, "text").mapInArrow(packed, "file string, content binary")
     rows = files.contents(archives, "zip", "file").where("problem IS NULL")
     return rows.groupBy("file").agg(F.count(F.lit(1)).alias("entries"), F.sum("size").alias("size"), F.min("modified").alias("modified"), F.max("entry").alias("last_entry"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import content
 from foliant.operators import office
-from foliant.plans.files import CUSTOMERS, NATION_FILE, TURN_FILE, by_turns
+from foliant.plans.files import CUSTOMERS, NATION_FILE, TURN_FILE, by_turns, packed
 from foliant.sources import files
 from foliant.sources.tables import table
 
@@ -338,29 +339,28 @@ BOOK_METADATA = f"""SELECT DISTINCT {TURN_FILE} AS file, 'Talk ' || {TURN_FILE}
 
 
 def file_problems(spark: SparkSession, sf: str) -> DataFrame:
-    """Customers' names as files of every kind, and what is said of them."""
-    kinds = ("xlsx", "pptx", "docx", "epub", "zip")
-    rows = table(spark, sf, "customer").select(F.col("c_name").alias("file"), (F.col("c_custkey") % 6).alias("kind"), F.col("c_name").cast("binary").alias("content"))
-    empty = F.lit(_zipped({"a.txt": "x"}))
-    parts = [files.contents(rows.where(F.col("kind") == k).withColumn("content", empty), name, "file").select("file", F.lit(name).alias("read_as"), "problem") for k, name in enumerate(kinds)]
-    parts.append(files.contents(rows.where("kind = 5"), "docx", "file").select("file", F.lit("docx").alias("read_as"), "problem"))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.union(p)
+    """Archives of turns, or bare turns, read as files of every kind, and what is said of them."""
+    kinds = ("xlsx", "pptx", "docx", "epub", "zip", "docx")
+    made = by_turns(spark, sf, "text")
+    bare = made.select("file", F.array_join(F.transform("turns", lambda t: t["text"]), "\n").cast("binary").alias("content"))
+    archives = made.mapInArrow(packed, "file string, content binary")
+    kind = lambda k: F.split("file", "-")[0].cast("long") % 6 == k
+    parts = [files.contents((bare if k == 5 else archives).where(kind(k)), name, "file").select("file", F.lit(name).alias("read_as"), "problem") for k, name in enumerate(kinds)]
+    every = reduce(DataFrame.union, parts).distinct()
     return every.groupBy("read_as", "problem.status", "problem.title").agg(F.count(F.lit(1)).alias("files"))
 
 
-FILE_PROBLEMS = """
-WITH c AS (SELECT c_custkey % 6 AS k, count(*) AS n FROM customer GROUP BY 1)
+FILE_PROBLEMS = f"""
+WITH c AS (SELECT conv_id % 6 AS k, count(DISTINCT {TURN_FILE}) AS n FROM conversations GROUP BY 1)
 SELECT read_as, status::INT AS status, title, n AS files FROM c JOIN (VALUES (0, 'xlsx', 422, 'Unprocessable Entity'), (2, 'docx', 415, 'Unsupported Media Type'), (3, 'epub', 422, 'Unprocessable Entity'),
   (4, 'zip', NULL, NULL), (5, 'docx', 422, 'Unprocessable Entity')) AS v(k, read_as, status, title) USING (k)"""
 
 
 def conversion_support(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents named by turns as books, PDFs and archives: whether they are converted, and why not."""
+    """Documents behind the head of a book, a PDF or an archive, named by turns as one of them: whether they are converted, and why not."""
     name = F.concat(F.lit("f."), F.element_at(F.array(*[F.lit(x) for x in ("epub", "pdf", "docx", "txt")]), (F.col("doc_id") % 4 + 1).cast("int")))
     head = F.unhex(F.element_at(F.array(F.lit(("PK\3\4" + "\0" * 26 + "mimetypeapplication/epub+zip").encode().hex()), F.lit(b"%PDF-1.7".hex()), F.lit("504B030400000000")), (F.col("doc_id") % 3 + 1).cast("int")))
-    rows = table(spark, sf, "documents").select(content.detection(name, F.concat(head, F.substring(F.col("text").cast("binary"), 1, 0))).alias("d"))
+    rows = table(spark, sf, "documents").select(content.detection(name, F.concat(head, F.coalesce("text", F.lit("")).cast("binary"))).alias("d"))
     return rows.groupBy("d.detected", "d.declared", "d.mismatch", "d.supported", "d.problem.status", "d.problem.detail").agg(F.count(F.lit(1)).alias("files"))
 
 

@@ -335,14 +335,14 @@ SELECT doc_id, length(t)::INT AS chars, md5(t) AS md5 FROM t"""
 
 
 def control_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole texts, with control characters put in. The SQL reads 60 characters: it gives the same while texts have none of their own."""
+    """The whole texts, with control characters put in."""
     dirty = F.concat(F.substring("text", 1, 40), F.lit("\x07\n\x1b\x07"), F.substring("text", 41, 20), F.lit("\x7f"), F.expr("substring(text, 61)"))
     rows = table(spark, sf, "documents").select("doc_id", dirty.alias("t"))
     return rows.select("doc_id", F.explode(content.control_census(F.col("t"))).alias("c")).select("doc_id", "c.*")
 
 
 CONTROL_BYTES = r"""
-WITH t AS (SELECT doc_id, substring(text, 1, 40) || chr(7) || chr(10) || chr(27) || chr(7) || substring(text, 41, 20) || chr(127) AS t FROM documents),
+WITH t AS (SELECT doc_id, substring(text, 1, 40) || chr(7) || chr(10) || chr(27) || chr(7) || substring(text, 41, 20) || chr(127) || substring(text, 61) AS t FROM documents),
 c AS (SELECT doc_id, t, code, name, instr(t, chr(code))::INT AS p FROM t, (VALUES (7, 'BEL'), (27, 'ESC'), (127, 'DEL')) AS v(code, name))
 SELECT doc_id, code::INT AS code, name, (p - 1)::INT AS "offset", len(string_split(substring(t, 1, p - 1), chr(10)))::INT AS line,
   (length(string_split(substring(t, 1, p - 1), chr(10))[-1]) + 1)::INT AS col, (len(string_split(t, chr(code))) - 1)::INT AS occurrences FROM c"""
