@@ -7,7 +7,7 @@ import io
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import content, pages
@@ -157,6 +157,43 @@ def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 CHUNK_STREAM = "SELECT doc_id, sha256(text) AS sha256 FROM documents"
 
+#: Documents of a call, and bytes of a chunk.
+CALL, CHUNK = 100, 4_000
+
+
+def chunk_islands(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files of calls, in chunks that come in three batches and out of order. Files of even numbers say where
+    they end, others end where the next one begins, and the last of a call may never end."""
+    from foliant.streaming import state
+
+    folder = shared_folder(spark)
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    pieces = F.posexplode(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("raw") / CHUNK).cast("int") - 1, F.lit(0)))).alias("k", "_")
+    cut = d.select("doc_id", "raw", F.greatest(F.ceil(F.octet_length("raw") / CHUNK), F.lit(1)).alias("n"), pieces)
+    call = F.floor(F.col("doc_id") / CALL)
+    seq = F.row_number().over(Window.partitionBy(call).orderBy("doc_id", "k")) - 1
+    rows = cut.select(
+        call.alias("call_id"), seq.cast("long").alias("seq"), F.col("doc_id").cast("string").alias("name"), F.substring("raw", F.col("k") * CHUNK + 1, F.lit(CHUNK)).alias("data"),
+        ((F.col("doc_id") % 2 == 0) & (F.col("k") == F.col("n") - 1)).alias("last"),
+    )
+    end = spark.range(1).selectExpr("-1L AS call_id", "0L AS seq", "'end' AS name", "CAST('' AS binary) AS data", "true AS last", "TIMESTAMP '2100-01-01 00:00:00' AS ts")
+    kept = rows.withColumns({"ts": F.lit("2024-01-01 00:00:00").cast("timestamp"), "batch": F.pmod(F.xxhash64("call_id", "seq"), F.lit(3))})
+    kept.write.partitionBy("batch").parquet(f"{folder}/chunks")
+    kept = spark.read.schema(kept.schema).parquet(f"{folder}/chunks")
+    schema = end.schema
+    for batch in (*[kept.where(F.col("batch") == k).drop("batch") for k in range(3)], end):
+        batch.write.mode("append").parquet(f"{folder}/in")
+        done = state.chunk_files(spark.readStream.schema(schema).parquet(f"{folder}/in"), "1 hour")
+        where = state.written(done, folder)
+    files_ = spark.read.schema(done.schema).parquet(where).where("call_id >= 0")
+    return files_.select(F.col("name").cast("long").alias("doc_id"), F.sha2("content", 256).alias("sha256"), F.col("problem.status").alias("status"))
+
+
+CHUNK_ISLANDS = f"""
+WITH d AS (SELECT doc_id, text, doc_id % 2 = 1 AND doc_id = max(doc_id) OVER (PARTITION BY doc_id // {CALL}) AS open FROM documents)
+SELECT doc_id, CASE WHEN NOT open THEN sha256(coalesce(text, '')) END AS sha256, CASE WHEN open THEN 408::INT END AS status FROM d"""
+
+
 def data_uris(spark: SparkSession, sf: str) -> DataFrame:
     png = F.concat(F.unhex(F.lit("89504E47")), F.col("c_name").cast("binary"))
     raw = F.when(F.col("c_custkey") % 2 == 0, png).otherwise(F.col("c_name").cast("binary"))
@@ -179,4 +216,4 @@ PAGE_SPLITS = f"""
 WITH t AS (SELECT {TURN_FILE} AS file, list(role ORDER BY turn) AS p FROM conversations GROUP BY 1)
 SELECT file, CASE WHEN len(p) >= 2 THEN p[1] || ';' || p[1] || ',' || p[2] END AS parts, array_to_string(list_concat(p, p), ',') AS merged, ',,' || array_to_string(p, ',') AS blanks FROM t"""
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (csv_rows, CSV_ROWS), (csv_ranges, CSV_RANGES), (csv_ranges_profile, CSV_RANGES_PROFILE), (chunk_stream, CHUNK_STREAM), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (csv_rows, CSV_ROWS), (csv_ranges, CSV_RANGES), (csv_ranges_profile, CSV_RANGES_PROFILE), (chunk_stream, CHUNK_STREAM), (chunk_islands, CHUNK_ISLANDS), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}

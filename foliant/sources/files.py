@@ -26,7 +26,7 @@ MOST_ENTRIES, MOST_INFLATED, MOST_RATIO = 8192, 64 << 20, 500
 #: What a problem is: the status that a service would answer with, its title, and what happened.
 PROBLEM = "struct<status:int,title:string,detail:string>"
 #: Titles of statuses.
-TITLES = {400: "Bad Request", 404: "Not Found", 413: "Payload Too Large", 415: "Unsupported Media Type", 422: "Unprocessable Entity", 501: "Not Implemented"}
+TITLES = {400: "Bad Request", 404: "Not Found", 408: "Request Timeout", 413: "Payload Too Large", 415: "Unsupported Media Type", 422: "Unprocessable Entity", 501: "Not Implemented"}
 
 
 class Refused(ValueError):

@@ -1,4 +1,4 @@
-"""Quotas and the job store as streams with named state (transformWithState): values, lists, maps and timers.
+"""Quotas, the job store and uploads as streams with named state (transformWithState): values, lists, maps and timers.
 
 The session needs the RocksDB state store, see STORE.
 """
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from foliant.sources.files import problem
+
 #: What a session's configuration must say for state of this kind.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 #: Shards of the job store, of which each holds as many jobs as the whole store may.
@@ -133,6 +135,95 @@ def jobs_held(spark: SparkSession, checkpoint: str, capacity: int) -> DataFrame:
     return jobs if capacity <= 0 else jobs.orderBy(F.desc("micros"), F.desc("event_id")).limit(capacity)
 
 
+class Regrouped(StatefulProcessor):
+    """Files of a call's chunks: a file ends with a chunk that says so, or before one of another name.
+
+    Chunks are taken in the order of their numbers, whichever batch they come in; those that come before their turn wait
+    in a list, those of the open file are in another one. A timer gives the open file up when the watermark has left
+    the call's latest chunk behind by the patience."""
+
+    def __init__(self, patience: int, most_bytes: int) -> None:
+        self.patience, self.most_bytes = patience, most_bytes
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.place = handle.getValueState("place", "next long, nth long, name string, chunks long, bytes long, latest long")
+        self.waiting = handle.getListState("waiting", "seq long, name string, data binary, last boolean")
+        self.parts = handle.getListState("parts", "data binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        step, nth, name, chunks, size, latest = self.place.get() if self.place.exists() else (0, 0, None, 0, 0, 0)
+        found = {x[0]: x[1:] for x in self.waiting.get()} if self.waiting.exists() else {}
+        had, parts, files = bool(found), None, []
+        for frame in rows:
+            latest = max(latest, int(frame["millis"].max()))
+            for seq, *chunk in zip(*[frame[c].tolist() for c in ("seq", "name", "data", "last")], strict=True):
+                if seq >= step:  # else it came before
+                    found.setdefault(seq, tuple(chunk))
+
+        def ended() -> tuple:
+            over = 0 < self.most_bytes < size
+            return nth, name, None if over else b"".join(parts), chunks, 413 if over else None
+
+        while step in found:
+            if parts is None:
+                parts = [x[0] for x in self.parts.get()] if chunks and self.parts.exists() else []
+            its_name, data, last = found.pop(step)
+            if chunks and its_name != name:
+                files.append(ended())
+                nth, chunks, size, parts = nth + 1, 0, 0, []
+            step, name, chunks, size = step + 1, its_name, chunks + 1, size + len(data or b"")
+            if not 0 < self.most_bytes < size:
+                parts.append(data or b"")
+            if last:
+                files.append(ended())
+                nth, chunks, size, parts = nth + 1, 0, 0, []
+        if parts is not None:
+            self.parts.put([(x,) for x in parts]) if parts else self.parts.clear()
+        if found:
+            self.waiting.put([(n, *x) for n, x in found.items()])
+        elif had:
+            self.waiting.clear()
+        self.place.update((step, nth, name, chunks, size, latest))
+        self.handle.registerTimer(latest + self.patience)
+        if files:
+            yield self._rows(key, files)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        step, nth, name, chunks, _, latest = self.place.get() if self.place.exists() else (0, 0, None, 0, 0, 0)
+        if expiredTimerInfo.getExpiryTimeInMs() < latest + self.patience:
+            return  # chunks have come since
+        late = sorted(self.waiting.get()) if self.waiting.exists() else []
+        if chunks or late:
+            yield self._rows(key, [(nth, name if chunks else late[0][1], None, chunks + len(late), 408)])
+        self.parts.clear()
+        self.waiting.clear()
+        self.place.clear()
+
+    def _rows(self, key, files: list[tuple]) -> pd.DataFrame:
+        made = pd.DataFrame(files, columns=["nth", "name", "content", "chunks", "status"])
+        made["status"] = made["status"].astype("Int32")
+        made.insert(0, "call_id", key[0])
+        return made
+
+    def close(self) -> None:
+        pass
+
+
+def chunk_files(chunks: DataFrame, patience: str = "1 minute", most_bytes: int = 0) -> DataFrame:
+    """Files (call_id, nth, name, content, chunks, problem) of a stream of chunks(call_id long, seq from 0, name, data,
+    last, ts). Chunks that come twice count once, those that are later than the patience are dropped. A file that doesn't end within the patience has a problem (408) and no
+    content, as has one of over most_bytes (413; none or less: no limit), whose further chunks aren't kept."""
+    seconds = pd.Timedelta(patience)
+    rows = chunks.withWatermark("ts", patience).select(F.col("call_id").cast("long").alias("call_id"), F.col("seq").cast("long").alias("seq"), "name", "data", F.coalesce("last", F.lit(False)).alias("last"), F.unix_millis("ts").alias("millis"), "ts")
+    made = rows.groupBy("call_id").transformWithStateInPandas(
+        statefulProcessor=Regrouped(int(seconds.total_seconds() * 1000), most_bytes), outputStructType="call_id long, nth long, name string, content binary, chunks long, status int", outputMode="Append", timeMode="EventTime"
+    )
+    said = {408: f"no chunk came for {patience}, and none ended the file", 413: f"the file is over the limit of {most_bytes} bytes"}
+    told = F.coalesce(*[F.when(F.col("status") == code, problem(code, F.lit(text))) for code, text in said.items()])
+    return made.select("call_id", "nth", "name", "content", "chunks", told.alias("problem"))
+
+
 @contextmanager
 def stored(spark: SparkSession) -> Iterator[None]:
     """A session with the state store that streams of this kind need, for as long as they run."""

@@ -74,3 +74,29 @@ def test_job_store_evicts_and_refreshes(spark, tmp_path):
     held = state.jobs_held(spark, f"{tmp_path}/state", 2).collect()
     assert [(r.job_id, r.event_id, r.status) for r in sorted(held)] == [(1, 3, "b"), (3, 4, "a")]
     assert [r.job_id for r in state.jobs_held(spark, f"{tmp_path}/state", 1).collect()] == [3]
+
+
+CHUNK = "call_id long, seq long, name string, data binary, last boolean, ts timestamp"
+
+
+def test_chunks_become_files(spark, tmp_path):
+    """Call 1: a file that says it ends, one that the next name ends, one of the same name again, one that never ends.
+    Call 2 comes out of order and twice; call 3 is too large; call 4 never has its first chunk."""
+    c = lambda call, seq, name, data, last=False, hour=0: (call, seq, name, bytearray(data), last, at(hour))
+    batches = [
+        [c(1, 0, "a", b"x"), c(2, 2, "c", b"3"), c(3, 0, "big", b"12345"), c(4, 1, "lost", b"?"), c(5, 0, "e", b"", True)],
+        [c(1, 1, "a", b"y", True), c(1, 2, "a", b"z"), c(2, 0, "b", b"1"), c(2, 2, "c", b"again"), c(3, 1, "big", b"6789"), c(3, 2, "big", b"0", True)],
+        [c(1, 3, "b", b"w"), c(2, 1, "b", b"2"), c(2, 3, "c", b"4", True), c(2, 0, "b", b"again")],
+        [c(9, 0, "end", b"", True, 50)],
+        [c(9, 1, "end", b"", True, 51)],
+    ]
+    folder = str(tmp_path)
+    for rows in batches:
+        spark.createDataFrame(rows, CHUNK).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        made = state.chunk_files(spark.readStream.schema(CHUNK).parquet(f"{folder}/in"), "1 hour", most_bytes=8)
+        state.written(made, folder)
+    got = sorted((r.call_id, r.nth, r.name, r.content and bytes(r.content), r.chunks, r.problem and r.problem.status) for r in spark.read.schema(made.schema).parquet(f"{folder}/rows").where("call_id < 9").collect())
+    assert got == [
+        (1, 0, "a", b"xy", 2, None), (1, 1, "a", b"z", 1, None), (1, 2, "b", None, 1, 408), (2, 0, "b", b"12", 2, None), (2, 1, "c", b"34", 2, None), (3, 0, "big", None, 3, 413), (4, 0, "lost", None, 1, 408),
+        (5, 0, "e", bytearray(b""), 1, None),
+    ]
