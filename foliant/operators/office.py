@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from foliant.functions import html, spans, text
 from foliant.sources import files
@@ -200,6 +207,74 @@ def search_office(kind: str, rows: DataFrame, key: str = "path", **how) -> DataF
     return hits.select(key, "place", "m.match", "m.start", "m.end", "m.context")
 
 
+#: Characters of a match over the rows of a file, at most.
+REACH = 10_000
+
+
+def search_joined(rows: DataFrame, key: str = "path", query: str | None = None, pattern: str | None = None, context: int = 80, reach: int = REACH) -> DataFrame:
+    """A row for each match in the text of each file, its rows (key, place, text) joined by line ends in order of place:
+    key, place (of the row where the match begins), match, start, end and context, with offsets in the file. A match may
+    go over rows, for as many characters as reach says; what is longer isn't found.
+
+    A file passes through a task row by row; of its text no more is held than a few times the reach and its longest
+    row. Arguments are checked as in spans.search; patterns are read by Python. Null texts are empty rows."""
+    spans.search(F.lit(""), query=query, pattern=pattern, context=context)
+    wanted = re.compile(re.escape(query), re.IGNORECASE) if pattern is None else re.compile(pattern)
+    kinds = [rows.schema[c].dataType.simpleString() for c in (key, "place")]
+
+    def found(texts):
+        """Matches of one file's (place, text)."""
+        held, base, at, rest = "", 0, 0, iter(texts)  # the text from offset base on; what is before at is done
+        starts: list[int] = []
+        places: list = []
+        ended = False
+        while not ended:
+            size, more = len(held), []
+            while size < len(held) + 3 * reach:
+                row = next(rest, None)
+                if row is None:
+                    ended = True
+                    break
+                gap = "\n" if starts else ""
+                starts.append(base + size + len(gap))
+                places.append(row[0])
+                more.append(gap + (row[1] or ""))
+                size += len(more[-1])
+            held = "".join([held, *more])
+            sure = len(held) if ended else len(held) - reach  # a match that begins before it ends in held
+            for m in wanted.finditer(held, at - base):
+                if m.end() - m.start() > reach:
+                    continue
+                if m.start() >= sure:
+                    break
+                if not ended and m.end() + context > len(held):
+                    sure = m.start()
+                    break
+                at = base + m.end()
+                yield places[bisect_right(starts, base + m.start()) - 1], m[0], base + m.start(), at, held[max(0, m.start() - context) : m.end() + context]
+            at = max(at, base + sure)
+            cut = max(0, at - base - context - reach)
+            gone = max(0, bisect_right(starts, base + cut) - 1)
+            held, base = held[cut:], base + cut
+            del starts[:gone], places[:gone]
+
+    def run(batches):
+        out = []
+        for name, group in groupby((r for b in batches for r in zip(*[c.to_pylist() for c in b.columns], strict=True)), key=lambda r: r[0]):
+            for hit in found((r[1:] for r in group)):
+                out.append((name, *hit))
+                if len(out) >= 2000:
+                    yield batch(out)
+                    out = []
+        if out:
+            yield batch(out)
+
+    schema = f"`{key}` {kinds[0]}, place {kinds[1]}, match string, start long, end long, context string"
+    types = to_arrow_schema(StructType.fromDDL(schema))
+    batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), types, strict=True)], schema=types)
+    return rows.select(key, "place", "text").repartition(key).sortWithinPartitions(key, "place").mapInArrow(run, schema)
+
+
 def book_health(facts: DataFrame, key: str = "path") -> DataFrame:
     """Of each book's facts: issues (in order of check), their counts, and valid, which errors and problems spoil."""
     broken = F.when(F.col("problem").isNotNull(), F.struct(F.lit("corruption").alias("check"), F.lit("error").alias("severity"), F.col("problem.detail").alias("message")))

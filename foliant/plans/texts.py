@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import content, html, pages, pii, spans, text
+from foliant.operators import office
 from foliant.sources.files import decode
 from foliant.sources.tables import table
 
@@ -214,6 +215,18 @@ def search_sections(spark: SparkSession, sf: str) -> DataFrame:
 SEARCH_SECTIONS = _found("conversations", "conv_id, turn", "text", "(?i)the th", 20)
 
 
+def search_joined(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations as files, turns as their rows: the end of a sentence and the first word of the next line, which may be
+    in the next turn."""
+    turns = table(spark, sf, "conversations").select("conv_id", F.col("turn").alias("place"), "text")
+    return office.search_joined(turns, "conv_id", pattern=r"[a-z]+\.\n[A-Z][a-z]+", context=8).select("conv_id", "match", "start", "end", "context")
+
+
+SEARCH_JOINED = f"""
+SELECT conv_id, "match", "start"::BIGINT AS "start", "end"::BIGINT AS "end", context FROM
+({_found("(SELECT conv_id, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)", "conv_id", "text", "[a-z]+\\.\\n[A-Z][a-z]+", 8)})"""
+
+
 def search_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Matches per document under a file name's label, as the search over files of any kind reports them."""
     ext = F.element_at(F.array(*[F.lit(x) for x in ("pdf", "docx", "xlsx", "pptx", "txt")]), (F.col("doc_id") % 5 + 1).cast("int"))
@@ -431,7 +444,7 @@ QUERIES = {
     for f, sql in (
         (text_metrics, TEXT_METRICS), (base_metrics, BASE_METRICS), (line_census, LINE_CENSUS), (language_confusion, LANGUAGE_CONFUSION), (readability, READABILITY), (readability_bands, READABILITY_BANDS),
         (readability_by_source, READABILITY_BY_SOURCE), (syllable_histogram, SYLLABLE_HISTOGRAM), (heading_lines, HEADING_LINES), (table_runs, TABLE_RUNS), (search_literal, SEARCH_LITERAL),
-        (search_regex, SEARCH_REGEX), (search_deadline, SEARCH_DEADLINE), (search_sections, SEARCH_SECTIONS), (search_counts, SEARCH_COUNTS), (pii_matches, PII_MATCHES), (pii_pages, PII_PAGES), (pii_conversations, PII_CONVERSATIONS),
+        (search_regex, SEARCH_REGEX), (search_deadline, SEARCH_DEADLINE), (search_sections, SEARCH_SECTIONS), (search_counts, SEARCH_COUNTS), (search_joined, SEARCH_JOINED), (pii_matches, PII_MATCHES), (pii_pages, PII_PAGES), (pii_conversations, PII_CONVERSATIONS),
         (pii_by_type, PII_BY_TYPE), (pii_by_document, PII_BY_DOCUMENT), (content_hash, CONTENT_HASH), (exact_duplicates, EXACT_DUPLICATES), (encoding_detect, ENCODING_DETECT), (normalised, NORMALISED), (transliterated, TRANSLITERATED),
         (control_bytes, CONTROL_BYTES), (html_title, HTML_TITLE), (html_to_text, HTML_TO_TEXT), (html_to_markdown, HTML_TO_MARKDOWN), (page_ranges, PAGE_RANGES), (page_edits, PAGE_EDITS),
     )

@@ -1,5 +1,6 @@
 import io
 import random
+import re
 import zipfile
 from email.message import EmailMessage
 
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from foliant.operators import profile
+from foliant.operators import office, profile
 from foliant.sources import delimited, files
 
 M = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -285,3 +286,27 @@ def test_books_that_are_not_valid(spark):
     bad = facts(epub(mimetype="text/plain", **{"META-INF__encryption_x_xml": "x"}))
     assert {("error", "mimetype"), ("error", "drm"), ("error", "spine"), ("warning", "metadata")} <= bad
     assert ("error", "limits") in facts(zipped(mimetype="application/epub+zip", big="0" * 3_000_000))
+
+
+def test_search_over_joined_rows(spark):
+    """A match over two paragraphs and one over four, offsets in the file, every size of reach."""
+    draw = random.Random(6)
+    rows = [(f, n, "".join(draw.choice("ab \n") for _ in range(draw.randrange(0, 30))) if draw.random() < 0.9 else None) for f in ("x", "y") for n in range(150)]
+    rows += [("z", 0, "one two"), ("z", 1, "three"), ("z", 2, ""), ("z", 3, None), ("z", 4, "End"), ("w", 0, "")]
+    df = spark.createDataFrame(rows, "path string, place int, text string").repartition(3)
+    for pattern, reach in (("a+b\n?a", 40), ("(?<=b)a[ab \n]{3}", 12), ("b a", 3), ("aa", 2)):
+        got = sorted(tuple(r) for r in office.search_joined(df, pattern=pattern, context=5, reach=reach).collect())
+        want = []
+        for f in ("x", "y", "z", "w"):
+            mine = [(n, t or "") for k, n, t in sorted(rows, key=lambda r: r[:2]) if k == f]
+            whole = "\n".join(t for _, t in mine)
+            for m in re.finditer(pattern, whole):
+                if len(m[0]) <= reach:
+                    place = mine[0][0] + whole.count("\n", 0, m.start()) if f == "z" else None
+                    want.append((f, place, m[0], m.start(), m.end(), whole[max(0, m.start() - 5) : m.end() + 5]))
+        assert sorted((g[0], *g[2:]) for g in got) == sorted((w[0], *w[2:]) for w in want)
+    hit = office.search_joined(df.where("path = 'z'"), query="THREE\n\n\nend", context=2, reach=20).collect()
+    assert [tuple(h) for h in hit] == [("z", 1, "three\n\n\nEnd", 8, 19, "o\nthree\n\n\nEnd")]
+    assert office.search_joined(df.where("false"), query="a").count() == 0
+    with pytest.raises(ValueError):
+        office.search_joined(df, query="a", pattern="b")
