@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import content, pages
-from foliant.operators import books, profile, sinks
+from foliant.operators import books, profile, runlog, sinks
 from foliant.sources.tables import shared_folder, table
 
 # ---- profiles
@@ -325,6 +325,72 @@ WITH l AS (SELECT user_id AS job_id, arg_max(event_id, (ts, event_id)) AS event_
 SELECT job_id, event_id, CASE WHEN event_type IN ('click', 'processing') THEN 202 ELSE 200 END::INT AS code FROM l"""
 
 
+def _over_bands(spark: SparkSession, sf: str, make, schema: str) -> DataFrame:
+    """What a stream over the bands of events has given when nothing waits any more."""
+    from foliant.streaming import state
+
+    where = shared_folder(spark)
+    for _ in _in_bands(spark, sf, f"{where}/events"):
+        rows = state.written(make(_band_stream(spark, f"{where}/events")), where)
+    return spark.read.schema(schema).parquet(rows)
+
+
+def request_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests joined with their ends within five minutes, as two streams; some never end, some too late."""
+    from foliant.streaming import flows
+
+    k = F.col("event_id")
+    ends = lambda e: e.where(k % 5 != 0).select("event_id", (F.col("ts") + F.expr("make_dt_interval(0, 0, CAST(event_id % 7 AS int))")).alias("ended"), F.when(k % 3 == 0, 422).otherwise(200).alias("status"))
+    log = _over_bands(spark, sf, lambda e: flows.request_log(e.select("event_id", "user_id", "ts"), ends(e), late="25 hours"), "event_id long, user_id long, ts timestamp, status int, elapsed_ms double")
+    return log.where("event_id >= 0").select("event_id", "user_id", "status", "elapsed_ms")
+
+
+REQUEST_STREAM = """
+SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 AND event_id % 7 <= 5 THEN CASE WHEN event_id % 3 = 0 THEN 422 ELSE 200 END END::INT AS status,
+  CASE WHEN event_id % 5 <> 0 AND event_id % 7 <= 5 THEN (event_id % 7) * 60000.0 END::DOUBLE AS elapsed_ms FROM events"""
+
+
+def session_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of users in a stream whose rows come late."""
+    from foliant.streaming import flows
+
+    made = _over_bands(spark, sf, lambda e: flows.sessions(e.where("event_id >= 0 OR event_type = 'close'"), "6 hours", "25 hours"), "user_id long, started timestamp, ended timestamp, requests long")
+    return made.where("user_id >= 0").select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "requests")
+
+
+SESSION_STREAM = """
+WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+s AS (SELECT user_id, t, sum(CASE WHEN p IS NULL OR t - p >= 21600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS n FROM e)
+SELECT user_id, min(t) AS started, max(t) + 21600000000 AS ended, count(*) AS requests FROM s GROUP BY user_id, n"""
+
+
+def sliding_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Events of each type in windows of a day, two of which overlap at any time, in a stream whose rows come late."""
+    from foliant.streaming import flows
+
+    made = _over_bands(spark, sf, lambda e: flows.sliding_counts(e, "event_type", late="25 hours"), "started timestamp, event_type string, requests long")
+    return made.where("event_type <> 'close'").select(F.unix_micros("started").alias("started"), "event_type", "requests")
+
+
+SLIDING_STREAM = """
+WITH e AS (SELECT event_type, (epoch_us(ts) // 43200000000) * 43200000000 AS t FROM events)
+SELECT started, event_type, count(*) AS requests FROM (SELECT unnest([t, t - 43200000000]) AS started, event_type FROM e) GROUP BY ALL"""
+
+
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows and bytes that operators have read and given, observed while their results were written."""
+    log, folder = runlog.RunLog(spark), shared_folder(spark)
+    docs = log.watch(table(spark, sf, "documents"), "documents", "text")
+    log.write(docs.select("doc_id", content.hashes(F.col("text").cast("binary")).alias("h")), "hashes", f"{folder}/hashes")
+    log.write(table(spark, sf, "pages").select("page_id", F.upper("url").alias("url")), "urls", f"{folder}/urls", "url")
+    return log.records().select("operator", "rows", "bytes", (F.col("elapsed_ms") >= 0).alias("timed"))
+
+
+RUN_LOG = """
+SELECT 'documents' AS operator, count(*) AS rows, sum(octet_length(encode(text)))::BIGINT AS bytes, true AS timed FROM documents
+UNION ALL SELECT 'hashes', count(*), NULL, true FROM documents UNION ALL SELECT 'urls', count(*), sum(octet_length(encode(upper(url))))::BIGINT, true FROM pages"""
+
+
 # ---- spreadsheets and formats
 
 
@@ -363,6 +429,6 @@ QUERIES = {f"column_profile_{n}": (_profile_query(n), _profile_sql(n)) for n in
     f.__name__: (f, sql)
     for f, sql in (
         (header_checks, HEADER_CHECKS), (ragged_rows, RAGGED_ROWS), (markdown_table, MARKDOWN_TABLE), (csv_escape, CSV_ESCAPE), (json_rows, JSON_ROWS), (quota_daily, QUOTA_DAILY),
-        (quota_rejections, QUOTA_REJECTIONS), (job_latest, JOB_LATEST), (job_eviction, JOB_EVICTION), (share_access, SHARE_ACCESS), (share_counts, SHARE_COUNTS), (shares_list, SHARES_LIST), (share_attempts, SHARE_ATTEMPTS), (audit_log, AUDIT_LOG), (batch_pending, BATCH_PENDING), (batch_hashes, BATCH_HASHES), (quota_stream, QUOTA_STREAM), (quota_late, QUOTA_LATE), (job_stream, JOB_STREAM), (a1_columns, A1_COLUMNS), (format_sniff, FORMAT_SNIFF),
+        (quota_rejections, QUOTA_REJECTIONS), (job_latest, JOB_LATEST), (job_eviction, JOB_EVICTION), (share_access, SHARE_ACCESS), (share_counts, SHARE_COUNTS), (shares_list, SHARES_LIST), (share_attempts, SHARE_ATTEMPTS), (audit_log, AUDIT_LOG), (batch_pending, BATCH_PENDING), (batch_hashes, BATCH_HASHES), (quota_stream, QUOTA_STREAM), (quota_late, QUOTA_LATE), (job_stream, JOB_STREAM), (request_stream, REQUEST_STREAM), (session_stream, SESSION_STREAM), (sliding_stream, SLIDING_STREAM), (run_log, RUN_LOG), (a1_columns, A1_COLUMNS), (format_sniff, FORMAT_SNIFF),
     )
 }

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant import sql
 from foliant.functions import content, pages
 from foliant.operators import profile
 from foliant.sources import delimited, files
@@ -194,6 +195,32 @@ WITH d AS (SELECT doc_id, text, doc_id % 2 = 1 AND doc_id = max(doc_id) OVER (PA
 SELECT doc_id, CASE WHEN NOT open THEN sha256(coalesce(text, '')) END AS sha256, CASE WHEN open THEN 408::INT END AS status FROM d"""
 
 
+def sql_archive(spark: SparkSession, sf: str) -> DataFrame:
+    """In SQL: the second turn of each conversation's archive, by a table function that reads the entry asked for."""
+    sql.register(spark)
+    archives = by_turns(spark, sf, "text").mapInArrow(packed, "file string, content binary")
+    return spark.sql("SELECT a.file, e.entry, e.size FROM {archives} a, LATERAL archive_entries(a.content, 'turn-1.txt') e WHERE e.problem IS NULL", archives=archives)
+
+
+SQL_ARCHIVE = f"SELECT {TURN_FILE} AS file, 'turn-' || turn || '.txt' AS entry, octet_length(encode(coalesce(text, '')))::BIGINT AS size FROM conversations WHERE turn = 1"
+
+
+def sql_csv_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """In SQL: the cells of delimited files, summed up by what they look like."""
+    sql.register(spark)
+    made = _csv_files(spark, sf)
+    return spark.sql(
+        """SELECT file, count(*) AS lines, sum(CAST(is_integer(cells[0]) AS INT)) AS numbered, count_if(size(cells) <> 3) AS ragged
+        FROM (SELECT f.file, l.* FROM {files} f, LATERAL csv_lines(f.content) l) GROUP BY file""",
+        files=made,
+    )
+
+
+SQL_CSV_LINES = f"""
+WITH c AS (SELECT {NATION_FILE} AS file, c_nationkey % 5 AS kind, count(*) AS n FROM customer GROUP BY ALL)
+SELECT file, n + (CASE kind WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END) AS lines, n + (kind = 2)::INT AS numbered, (kind = 2)::BIGINT AS ragged FROM c"""
+
+
 def data_uris(spark: SparkSession, sf: str) -> DataFrame:
     png = F.concat(F.unhex(F.lit("89504E47")), F.col("c_name").cast("binary"))
     raw = F.when(F.col("c_custkey") % 2 == 0, png).otherwise(F.col("c_name").cast("binary"))
@@ -216,4 +243,4 @@ PAGE_SPLITS = f"""
 WITH t AS (SELECT {TURN_FILE} AS file, list(role ORDER BY turn) AS p FROM conversations GROUP BY 1)
 SELECT file, CASE WHEN len(p) >= 2 THEN p[1] || ';' || p[1] || ',' || p[2] END AS parts, array_to_string(list_concat(p, p), ',') AS merged, ',,' || array_to_string(p, ',') AS blanks FROM t"""
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (csv_rows, CSV_ROWS), (csv_ranges, CSV_RANGES), (csv_ranges_profile, CSV_RANGES_PROFILE), (chunk_stream, CHUNK_STREAM), (chunk_islands, CHUNK_ISLANDS), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (csv_rows, CSV_ROWS), (csv_ranges, CSV_RANGES), (csv_ranges_profile, CSV_RANGES_PROFILE), (chunk_stream, CHUNK_STREAM), (chunk_islands, CHUNK_ISLANDS), (sql_archive, SQL_ARCHIVE), (sql_csv_lines, SQL_CSV_LINES), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}

@@ -257,6 +257,19 @@ def _pii(source: str, key: str, column: str = "text") -> str:
 PII_MATCHES = f"""SELECT * FROM {_pii('documents', 'doc_id')}"""
 
 
+def pii_cube(spark: SparkSession, sf: str) -> DataFrame:
+    """Matches and documents by type, country and language, with all subtotals, from one scan; grouping tells which
+    columns a subtotal leaves open."""
+    hits = pii.pii_matches(table(spark, sf, "documents"), "doc_id", "lang")
+    sums = hits.cube("pii_type", "country", "lang").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("doc_id").alias("documents"), F.grouping_id().alias("grouping"))
+    return sums.select("pii_type", "country", "lang", "grouping", "matches", "documents")
+
+
+PII_CUBE = f"""
+SELECT pii_type, country, lang, grouping(pii_type, country, lang)::BIGINT AS "grouping", count(*) AS matches, count(DISTINCT doc_id) AS documents
+FROM {_pii('documents', 'doc_id')} JOIN documents USING (doc_id) GROUP BY CUBE (pii_type, country, lang)"""
+
+
 def pii_pages(spark: SparkSession, sf: str) -> DataFrame:
     return pii.pii_matches(table(spark, sf, "pages"), "page_id", text="html")
 
@@ -444,7 +457,7 @@ QUERIES = {
     for f, sql in (
         (text_metrics, TEXT_METRICS), (base_metrics, BASE_METRICS), (line_census, LINE_CENSUS), (language_confusion, LANGUAGE_CONFUSION), (readability, READABILITY), (readability_bands, READABILITY_BANDS),
         (readability_by_source, READABILITY_BY_SOURCE), (syllable_histogram, SYLLABLE_HISTOGRAM), (heading_lines, HEADING_LINES), (table_runs, TABLE_RUNS), (search_literal, SEARCH_LITERAL),
-        (search_regex, SEARCH_REGEX), (search_deadline, SEARCH_DEADLINE), (search_sections, SEARCH_SECTIONS), (search_counts, SEARCH_COUNTS), (search_joined, SEARCH_JOINED), (pii_matches, PII_MATCHES), (pii_pages, PII_PAGES), (pii_conversations, PII_CONVERSATIONS),
+        (search_regex, SEARCH_REGEX), (search_deadline, SEARCH_DEADLINE), (search_sections, SEARCH_SECTIONS), (search_counts, SEARCH_COUNTS), (search_joined, SEARCH_JOINED), (pii_matches, PII_MATCHES), (pii_cube, PII_CUBE), (pii_pages, PII_PAGES), (pii_conversations, PII_CONVERSATIONS),
         (pii_by_type, PII_BY_TYPE), (pii_by_document, PII_BY_DOCUMENT), (content_hash, CONTENT_HASH), (exact_duplicates, EXACT_DUPLICATES), (encoding_detect, ENCODING_DETECT), (normalised, NORMALISED), (transliterated, TRANSLITERATED),
         (control_bytes, CONTROL_BYTES), (html_title, HTML_TITLE), (html_to_text, HTML_TO_TEXT), (html_to_markdown, HTML_TO_MARKDOWN), (page_ranges, PAGE_RANGES), (page_edits, PAGE_EDITS),
     )

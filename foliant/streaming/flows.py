@@ -44,6 +44,29 @@ def pii_stream(texts: DataFrame, at: str = "ts", window: str = "1 hour", late: s
     return counts.select(F.col("w.start").alias("window_start"), "pii_type", "matches")
 
 
+def request_log(starts: DataFrame, ends: DataFrame, within: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """Requests of a stream (event_id, user_id, ts) with what another stream (event_id, ended, status) says of their ends:
+    status and elapsed_ms, both null where no end came within the time. Rows may be late by as much as told; state goes
+    when the watermark has passed."""
+    ends = ends.withColumnRenamed("event_id", "of").withWatermark("ended", late)
+    met = F.expr(f"event_id = of AND ended >= ts AND ended <= ts + INTERVAL {within}")
+    joined = starts.withWatermark("ts", late).join(ends, met, "left")
+    return joined.select("event_id", "user_id", "ts", "status", ((F.unix_micros("ended") - F.unix_micros("ts")) / 1000).alias("elapsed_ms"))
+
+
+def sessions(requests: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions (user_id, started, ended, requests) of a stream (user_id, ts): requests of a user with less than the gap
+    between them; ended is the last request's time and the gap."""
+    w = F.session_window("ts", gap).alias("w")
+    return requests.withWatermark("ts", late).groupBy("user_id", w).agg(F.count(F.lit(1)).alias("requests")).select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "requests")
+
+
+def sliding_counts(requests: DataFrame, kind: str, width: str = "1 day", slide: str = "12 hours", late: str = "1 hour") -> DataFrame:
+    """Requests (started, kind, requests) of a stream (ts, kind) in windows that overlap."""
+    w = F.window("ts", width, slide).alias("w")
+    return requests.withWatermark("ts", late).groupBy(w, kind).agg(F.count(F.lit(1)).alias("requests")).select(F.col("w.start").alias("started"), kind, "requests")
+
+
 def file_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """New files below path, as the file source of this library has them."""
     stream = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).schema("path string, modificationTime timestamp, length bigint, content binary").load(path)

@@ -100,3 +100,17 @@ def test_chunks_become_files(spark, tmp_path):
         (1, 0, "a", b"xy", 2, None), (1, 1, "a", b"z", 1, None), (1, 2, "b", None, 1, 408), (2, 0, "b", b"12", 2, None), (2, 1, "c", b"34", 2, None), (3, 0, "big", None, 3, 413), (4, 0, "lost", None, 1, 408),
         (5, 0, "e", bytearray(b""), 1, None),
     ]
+
+
+def test_requests_meet_their_ends(spark, tmp_path):
+    """Request 1 ends in time, 2 too late, 3 never, 4 before it begins; the end of 1 comes in a later batch."""
+    starts = [[(1, 7, at(1)), (2, 7, at(1)), (3, None, at(1))], [(4, 8, at(2))], [(9, 9, at(90))], [(9, 9, at(91))]]
+    ends = [[(2, at(1, 6), 200)], [(1, at(1, 5), 422), (4, at(1, 59), 200)], [(8, at(90), 200)], [(8, at(91), 200)]]
+    folder = str(tmp_path)
+    for a, b in zip(starts, ends, strict=True):
+        spark.createDataFrame(a, "event_id long, user_id long, ts timestamp").coalesce(1).write.mode("append").parquet(f"{folder}/starts")
+        spark.createDataFrame(b, "event_id long, ended timestamp, status int").coalesce(1).write.mode("append").parquet(f"{folder}/ends")
+        made = flows.request_log(spark.readStream.schema("event_id long, user_id long, ts timestamp").parquet(f"{folder}/starts"), spark.readStream.schema("event_id long, ended timestamp, status int").parquet(f"{folder}/ends"))
+        state.written(made, folder)
+    got = sorted((r.event_id, r.status, r.elapsed_ms) for r in spark.read.schema(made.schema).parquet(f"{folder}/rows").where("event_id < 9").collect())
+    assert got == [(1, 422, 300_000.0), (2, None, None), (3, None, None), (4, None, None)]
