@@ -25,6 +25,52 @@ def test_toxicity_on_held_out_rows(spark, sf1):
     assert caught >= 0.6 and wrong <= 0.05
 
 
+def pu_risk(w, rows, positive, prior, share_p, share_u):
+    """The non-negative risk row by row, as it is defined, and the part that is held at zero."""
+    say = lambda g, y: math.log1p(math.exp(-y * g))
+    as_positive = as_negative = unlabelled = 0.0
+    for features, is_positive, p, u in zip(rows, positive, share_p, share_u, strict=True):
+        g = w[-1] + sum(w[f] for f in features)
+        as_positive += p * say(g, 1)
+        as_negative += p * say(g, -1)
+        unlabelled += u * say(g, -1)
+    return prior * as_positive + max(0.0, unlabelled - prior * as_negative), unlabelled - prior * as_negative
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_pu_weights_minimise_the_risk(seed):
+    """At the weights that are fitted no step lowers the risk, and its numerical gradient is small."""
+    draw, width, prior = np.random.default_rng(seed + 10), 6, 0.3
+    positive = np.arange(300) < 60
+    truth = positive | ((np.arange(300) >= 60) & (draw.random(300) < prior))
+    rows = [[f for f in range(width) if draw.random() < (0.6 if (f < 2) == bool(t) else 0.2)] for t in truth]
+    features, row = np.array([f for r in rows for f in r]), np.repeat(np.arange(300), [len(r) for r in rows])
+    w, b = toxicity_pu.fit_pu(features, row, positive, width, prior, seed, steps=3000)
+    share = np.random.default_rng(seed).poisson(1.0, 300).astype(float)  # its bootstrap
+    share_p, share_u = np.where(positive, share, 0), np.where(positive, 0, share)
+    given = (rows, positive, prior, share_p / share_p.sum(), share_u / share_u.sum())
+    at = np.append(w, b)
+    least, slack = pu_risk(at, *given)
+    assert slack > 0.01  # the risk is smooth here
+    for k in range(width + 1):
+        step = np.zeros(width + 1)
+        step[k] = 1e-4
+        assert abs(pu_risk(at + step, *given)[0] - pu_risk(at - step, *given)[0]) / 2e-4 < 2e-3
+    for _ in range(30):
+        assert pu_risk(at + draw.normal(0, 0.3, width + 1), *given)[0] >= least - 1e-6
+    assert w[:2].min() > 0 and w[:2].mean() > w[2:].mean()
+
+
+def test_pu_risk_is_held_at_zero():
+    """Where unlabelled rows are fitted too well the classifier steps back from that: what is held at zero stays near it."""
+    positive = np.arange(40) < 20
+    features, row = np.arange(40), np.arange(40)  # each row has a feature of its own
+    w, b = toxicity_pu.fit_pu(features, row, positive, 40, 0.5, 0, steps=500)
+    share = np.random.default_rng(0).poisson(1.0, 40).astype(float)
+    share_p, share_u = np.where(positive, share, 0), np.where(positive, 0, share)
+    assert pu_risk(np.append(w, b), [[k] for k in range(40)], positive, 0.5, share_p / share_p.sum(), share_u / share_u.sum())[1] > -0.3
+
+
 def test_toxicity_odd(spark, odd, none):
     labels = spark.createDataFrame([(5, 0), (9, 1), (9, 0), (None, 1), (8, None), (2, 1)], "doc_id long, toxic int")
     got = toxicity_pu.toxicity(spark, odd, labels).collect()
