@@ -83,7 +83,8 @@ def normalise(text: Column, ending: str = "lf", strip_bom: bool = True, strip_co
 
 def control_census(text: Column) -> Column:
     """Array of structs (code, name, offset, line, col, occurrences) of the control characters but tab and
-    line ends, at most 32 kinds, in order of first offset; lines and columns from 1."""
+    line ends, at most 32 kinds, in order of first offset; lines and columns from 1. Offsets and columns count bytes of
+    UTF-8, and a CR is in no column."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"([\x00-\x08\x0B\x0C\x0E-\x1F\x7F])"), F.lit(1)))
     names = F.create_map(*[F.lit(x) for pair in CONTROL_NAMES.items() for x in pair])
 
@@ -94,9 +95,9 @@ def control_census(text: Column) -> Column:
         return F.struct(
             code.alias("code"),
             F.element_at(names, code).alias("name"),
-            (at - 1).alias("offset"),
+            F.octet_length(before).alias("offset"),
             (F.size(F.split(before, "\n"))).alias("line"),
-            (F.length(F.replace(F.element_at(F.split(before, "\n"), -1), F.lit("\r"), F.lit(""))) + 1).alias("col"),
+            (F.octet_length(F.replace(F.element_at(F.split(before, "\n"), -1), F.lit("\r"), F.lit(""))) + 1).alias("col"),
             (F.length(text) - F.length(F.replace(text, c, F.lit("")))).alias("occurrences"),
         )
 

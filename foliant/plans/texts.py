@@ -370,8 +370,8 @@ def control_bytes(spark: SparkSession, sf: str) -> DataFrame:
 CONTROL_BYTES = r"""
 WITH t AS (SELECT doc_id, substring(text, 1, 40) || chr(7) || chr(10) || chr(27) || chr(7) || substring(text, 41, 20) || chr(127) || substring(text, 61) AS t FROM documents),
 c AS (SELECT doc_id, t, code, name, instr(t, chr(code))::INT AS p FROM t, (VALUES (7, 'BEL'), (27, 'ESC'), (127, 'DEL')) AS v(code, name))
-SELECT doc_id, code::INT AS code, name, (p - 1)::INT AS "offset", len(string_split(substring(t, 1, p - 1), chr(10)))::INT AS line,
-  (length(string_split(substring(t, 1, p - 1), chr(10))[-1]) + 1)::INT AS col, (len(string_split(t, chr(code))) - 1)::INT AS occurrences FROM c"""
+SELECT doc_id, code::INT AS code, name, octet_length(encode(substring(t, 1, p - 1)))::INT AS "offset", len(string_split(substring(t, 1, p - 1), chr(10)))::INT AS line,
+  (octet_length(encode(string_split(substring(t, 1, p - 1), chr(10))[-1])) + 1)::INT AS col, (len(string_split(t, chr(code))) - 1)::INT AS occurrences FROM c"""
 
 
 # ---- HTML

@@ -168,6 +168,8 @@ def test_normalise(spark):
 def test_control_census(spark):
     found = one(spark, "ab\x07\nc\x1bd\x07", content.control_census)
     assert [(c.code, c.name, c.offset, c.line, c.col, c.occurrences) for c in found] == [(7, "BEL", 2, 1, 3, 2), (27, "ESC", 5, 2, 2, 1)]
+    found = one(spark, "é漢\r\n\r😀\x07", content.control_census)  # bytes count, and a CR is in no column
+    assert [(c.offset, c.line, c.col) for c in found] == [(12, 2, 5)]
 
 
 def test_control_bytes_reads_whole_texts(spark, tmp_path):
