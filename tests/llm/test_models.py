@@ -40,13 +40,13 @@ def pu_risk(w, rows, positive, prior, share_p, share_u):
 @pytest.mark.parametrize("seed", [0, 1, 2])
 def test_pu_weights_minimise_the_risk(seed):
     """At the weights that are fitted no step lowers the risk, and its numerical gradient is small."""
-    draw, width, prior = np.random.default_rng(seed + 10), 6, 0.3
-    positive = np.arange(300) < 60
-    truth = positive | ((np.arange(300) >= 60) & (draw.random(300) < prior))
-    rows = [[f for f in range(width) if draw.random() < (0.6 if (f < 2) == bool(t) else 0.2)] for t in truth]
-    features, row = np.array([f for r in rows for f in r]), np.repeat(np.arange(300), [len(r) for r in rows])
+    draw, width, prior, n = np.random.default_rng(seed + 10), 6, 0.3, 1200
+    positive = np.arange(n) < 300
+    truth = positive | ((np.arange(n) >= 300) & (draw.random(n) < prior))
+    rows = [[f for f in range(width) if draw.random() < (0.5 if (f < 2) == bool(t) else 0.25)] for t in truth]  # classes overlap
+    features, row = np.array([f for r in rows for f in r]), np.repeat(np.arange(n), [len(r) for r in rows])
     w, b = toxicity_pu.fit_pu(features, row, positive, width, prior, seed, steps=3000)
-    share = np.random.default_rng(seed).poisson(1.0, 300).astype(float)  # its bootstrap
+    share = np.random.default_rng(seed).poisson(1.0, n).astype(float)  # its bootstrap
     share_p, share_u = np.where(positive, share, 0), np.where(positive, 0, share)
     given = (rows, positive, prior, share_p / share_p.sum(), share_u / share_u.sum())
     at = np.append(w, b)
