@@ -87,22 +87,27 @@ def line_ending(text: Column) -> Column:
     return F.when(kinds == 0, "none").when(kinds > 1, "mixed").when(n["crlf"] > 0, "crlf").when(n["lf"] > 0, "lf").otherwise("cr")
 
 
-def language(text: Column) -> Column:
-    """The language with most function words; null for short texts and those without any."""
+def marker_counts(text: Column) -> Column:
+    """struct of the numbers of function words of each language; sums over parts of a text tell the text's language."""
     # one scan finds the function words of all languages, so that other tokens never become values
     every = "|".join(sorted({w for words in MARKERS.values() for w in words}))
     apart = TOKEN_BREAK.removesuffix("+").replace("[", "[^", 1)
     marks = F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{apart})(?:{every})(?!{apart})"), F.lit(0))
+    return bound(marks, lambda found: F.struct(*[F.size(F.filter(found, _among(words))).alias(k) for k, words in MARKERS.items()]))
+
 
-    def most(score: Column) -> Column:
-        best, guess = F.greatest(*[score[k] for k in MARKERS]), F.lit(None).cast("string")
-        for k in reversed(MARKERS):
-            guess = F.when(score[k] == best, k).otherwise(guess)
-        return F.when(best > 0, guess)
+def most_marked(counts: Column) -> Column:
+    """The language with most function words, the first of several; null without any."""
+    best, guess = F.greatest(*[counts[k] for k in MARKERS]), F.lit(None).cast("string")
+    for k in reversed(MARKERS):
+        guess = F.when(counts[k] == best, k).otherwise(guess)
+    return F.when(best > 0, guess)
 
-    scores = bound(marks, lambda found: F.struct(*[F.size(F.filter(found, _among(words))).alias(k) for k, words in MARKERS.items()]))
+
+def language(text: Column) -> Column:
+    """The language with most function words; null for short texts and those without any."""
     long_enough = text.rlike(f"(?s)[^{SPACE}].{{{LEAST_LENGTH - 2},}}[^{SPACE}]")
-    return F.when(long_enough, bound(scores, most))
+    return F.when(long_enough, bound(marker_counts(text), most_marked))
 
 
 def _among(words):

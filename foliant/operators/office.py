@@ -150,6 +150,41 @@ def document_metrics(paragraphs: DataFrame, facts: DataFrame, key: str = "path")
     return some.join(pages, key, "left")
 
 
+def _languages(rows: DataFrame, key: str, said: Column) -> DataFrame:
+    """(key, language) by the function words of all rows, summed up, so that no file's text is put together."""
+    marks = rows.where("problem IS NULL").select(key, said.alias("said")).select(key, F.length(F.trim("said")).alias("n"), text.marker_counts(F.col("said")).alias("m"))
+    sums = marks.groupBy(key).agg(F.sum(F.col("n") + 1).alias("n"), F.struct(*[F.sum(F.coalesce(F.col("m")[k], F.lit(0))).alias(k) for k in text.MARKERS]).alias("m"))
+    return sums.select(key, F.when(F.col("n") > text.LEAST_LENGTH, text.bound(F.col("m"), text.most_marked)).alias("language"))
+
+
+def _dates(properties: DataFrame, key: str) -> DataFrame:
+    """(key, created, modified) as the file's properties (key, name, value) tell them."""
+    told = lambda n: F.max(F.when(F.col("name") == n, F.col("value"))).alias(n)
+    return properties.groupBy(key).agg(told("created"), told("modified"))
+
+
+def document_details(paragraphs: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
+    """Of each document: all_paragraphs (those in tables and blank ones too), tables, images, language, created, modified."""
+    n = lambda name: F.coalesce(F.max(F.when((F.col("kind") == "count") & (F.col("name") == name), F.col("value").try_cast("long"))), F.lit(0))
+    good = facts.where("problem IS NULL")
+    counts = good.groupBy(key).agg(n("paragraphs").alias("all_paragraphs"), n("tables").alias("tables"), F.count(F.when(F.col("kind") == "image", 1)).alias("images"))
+    return counts.join(_languages(paragraphs, key, F.col("text")), key, "left").join(_dates(good.where("kind = 'property'"), key), key, "left")
+
+
+def slide_details(slides: DataFrame, properties: DataFrame, key: str = "path") -> DataFrame:
+    """Of each presentation: shapes, pictures, tables, language, created, modified. properties are those of files' contents."""
+    counts = slides.where("problem IS NULL").groupBy(key).agg(*[F.sum(c).alias(c) for c in ("shapes", "pictures", "tables")])
+    said = _languages(slides, key, F.concat_ws("\n", "text", "notes"))
+    return counts.join(said, key).join(_dates(properties.where("problem IS NULL"), key), key, "left")
+
+
+def workbook_details(rows: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
+    """Of each workbook: language of all cells, created, modified."""
+    said = F.array_join("cells", " ")
+    dates = _dates(facts.where("problem IS NULL AND kind = 'property'"), key)
+    return _languages(rows, key, F.coalesce(said, F.lit(""))).join(dates, key, "left")
+
+
 def document_markdown(paragraphs: DataFrame, key: str = "path") -> DataFrame:
     """Markdown of each document: blocks parted by a blank line, rows of a table by a line end."""
     parts = F.array_sort(F.collect_list(F.when(F.trim("markdown") != "", F.struct("paragraph", (F.col("style") == "Table").alias("row"), "markdown"))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from functools import reduce
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from foliant.functions import content
 from foliant.operators import office
 from foliant.plans.files import CUSTOMERS, NATION_FILE, TURN_FILE, by_turns, packed
+from foliant.plans.texts import _language as language_sql
 from foliant.sources import files
 from foliant.sources.tables import table
 
@@ -260,6 +262,26 @@ def document_metrics(spark: SparkSession, sf: str) -> DataFrame:
 DOCUMENT_METRICS = f"""SELECT file, n + 3 + odd::INT AS paragraphs, 1::BIGINT AS headings, 2::BIGINT AS table_rows, 4 * n + 5 + odd::INT AS words, (l + length(file) + 8 + 3 * odd::INT)::BIGINT AS chars, n::INT AS pages FROM {_DOCS}"""
 
 
+def _letter(name: str, turns: list[dict]) -> dict[str, str]:
+    """The turns' own texts as paragraphs, those with even numbers in a table of one cell, and an image in every third file."""
+    run = lambda t: f"<w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p>"
+    said = [run(t["text"] or "") for t in turns]
+    body = "".join(f"<w:tbl><w:tr><w:tc>{x}</w:tc></w:tr></w:tbl>" if t["turn"] % 2 == 0 else x for x, t in zip(said, turns, strict=True))
+    parts = {"docProps/core.xml": f"<p><created>2024-01-0{1 + len(turns) % 9}</created><modified>{name}</modified></p>", "word/document.xml": f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>'}
+    return parts | ({"word/media/image1.png": "x"} if int(name.split("-")[0]) % 3 == 0 else {})
+
+
+def document_details(spark: SparkSession, sf: str) -> DataFrame:
+    """What documents of whole turns hold, and in which language."""
+    made = _made(by_turns(spark, sf, "text"), _letter)
+    return office.document_details(files.contents(made, "docx", "file"), files.contents(made, "docx facts", "file"), "file")
+
+
+DOCUMENT_DETAILS = f"""
+WITH t AS (SELECT {TURN_FILE} AS file, conv_id, count(*) AS n, count(*) FILTER (turn % 2 = 0) AS tables, string_agg(coalesce(text, ''), chr(10) ORDER BY turn) AS text FROM conversations GROUP BY ALL)
+SELECT file, n AS all_paragraphs, tables, (conv_id % 3 = 0)::BIGINT AS images, {language_sql("text")} AS language, '2024-01-0' || (1 + n % 9) AS created, file AS modified FROM t"""
+
+
 def document_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return office.document_markdown(_documents(spark, sf)[0], "file")
 
@@ -376,7 +398,7 @@ QUERIES = {
     for f, sql in (
         (workbook_sheets, WORKBOOK_SHEETS), (workbook_metrics, WORKBOOK_METRICS), (workbook_health, WORKBOOK_HEALTH), (workbook_hidden, WORKBOOK_HIDDEN), (workbook_links, WORKBOOK_LINKS),
         (workbook_properties, WORKBOOK_PROPERTIES), (sheet_read, SHEET_READ), (sheet_markdown, SHEET_MARKDOWN), (workbook_search, WORKBOOK_SEARCH), (slide_metrics, SLIDE_METRICS), (slide_outline, SLIDE_OUTLINE),
-        (slide_notes, SLIDE_NOTES), (slide_search, SLIDE_SEARCH), (document_metrics, DOCUMENT_METRICS), (document_markdown, DOCUMENT_MARKDOWN), (document_health, DOCUMENT_HEALTH),
+        (slide_notes, SLIDE_NOTES), (slide_search, SLIDE_SEARCH), (document_metrics, DOCUMENT_METRICS), (document_details, DOCUMENT_DETAILS), (document_markdown, DOCUMENT_MARKDOWN), (document_health, DOCUMENT_HEALTH),
         (document_search, DOCUMENT_SEARCH), (book_text, BOOK_TEXT), (book_health, BOOK_HEALTH), (book_metadata, BOOK_METADATA), (file_problems, FILE_PROBLEMS), (conversion_support, CONVERSION_SUPPORT),
     )
 }

@@ -266,7 +266,7 @@ def properties(raw: bytes) -> Iterator[tuple]:
         yield from _properties(archive)
 
 
-SLIDES = "slide int, hidden boolean, title string, text string, notes string"
+SLIDES = "slide int, hidden boolean, title string, text string, notes string, shapes int, pictures int, tables int"
 
 
 def slides(raw: bytes) -> Iterator[tuple]:
@@ -285,7 +285,7 @@ def slides(raw: bytes) -> Iterator[tuple]:
             heading = next((text_of(s).strip() for s in shapes if kind(s) in ("title", "ctrTitle")), None) or text.split("\n")[0].strip() or None
             notes = next((_xml(archive, p) for p in _related(archive, part).values() if "notesSlide" in p), None)
             said = "\n".join(x for x in (text_of(s) for s in _all(notes, "sp") if kind(s) not in ("sldImg", "sldNum")) if x.strip())
-            yield n, tree.get("show") == "0", heading, text, said or None
+            yield n, tree.get("show") == "0", heading, text, said or None, len(shapes), len(_all(tree, "pic")), len(_all(tree, "tbl"))
 
 
 PARAGRAPHS = "paragraph int, style string, text string, markdown string, tracked boolean, drawings int"
@@ -338,10 +338,13 @@ DOCUMENTS = "kind string, name string, value string"
 
 
 def document_facts(raw: bytes) -> Iterator[tuple]:
-    """What isn't a paragraph: kinds property, package (embedded), image."""
+    """What isn't a paragraph: kinds property, package (embedded), image, and count, of all paragraphs and tables
+    wherever they are."""
     with _open(raw) as archive:
         if "word/document.xml" not in archive.namelist():
             raise Refused("no word/document.xml", 415)
+        body = next(iter(_all(_xml(archive, "word/document.xml"), "body")), None)
+        yield from (("count", name, str(len(_all(body, tag)))) for name, tag in (("paragraphs", "p"), ("tables", "tbl")))
         yield from (("property", k, v) for k, v in _properties(archive))
         for name in archive.namelist():
             if name.startswith("word/embeddings/") or name.endswith("vbaProject.bin"):

@@ -310,3 +310,22 @@ def test_search_over_joined_rows(spark):
     assert office.search_joined(df.where("false"), query="a").count() == 0
     with pytest.raises(ValueError):
         office.search_joined(df, query="a", pattern="b")
+
+
+def test_details_of_office_files(spark):
+    p = lambda t: f"<p><r><t>{t}</t></r></p>"
+    core = "<p><created>2024-01-02T03:04:05Z</created><modified>2024-02-02</modified></p>"
+    doc = zipped(word__document_x_xml=f"<document><body>{p('the cat and the dog')}{p('')}<tbl><tr><tc>{p('of the house')}<tbl><tr><tc>{p('in')}</tc></tr></tbl></tc></tr></tbl></body></document>", word__media__a_x_png="x", docProps__core_x_xml=core)
+    made = spark.createDataFrame([("d", bytearray(doc)), ("bad", bytearray(b"x"))], "path string, content binary")
+    got = office.document_details(files.contents(made, "docx"), files.contents(made, "docx facts")).collect()
+    assert [(r.path, r.all_paragraphs, r.tables, r.images, r.language, r.created, r.modified) for r in got] == [("d", 4, 2, 1, "en", "2024-01-02T03:04:05Z", "2024-02-02")]
+    slide = f"<sld><sp>{p('der Hund und die Katze')}</sp><sp>{p('im Haus und das')}</sp><pic/><pic/><graphic><tbl/></graphic></sld>"
+    rel = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    deck = zipped(ppt__presentation_x_xml=f'<p {rel}><sldIdLst><sldId r:id="r1"/></sldIdLst></p>', ppt___rels__presentation_x_xml_x_rels='<R><Relationship Id="r1" Target="slides/1.xml"/></R>', ppt__slides__1_x_xml=slide)
+    made = spark.createDataFrame([("p", bytearray(deck))], "path string, content binary")
+    r = office.slide_details(files.contents(made, "pptx"), files.contents(made, "properties")).collect()[0]
+    assert (r.shapes, r.pictures, r.tables, r.language, r.created, r.modified) == (2, 2, 1, "de", None, None)
+    rows_ = spark.createDataFrame([("w", ["the cat", "and the"], None), ("w", ["dog of the house"], None), ("e", None, None)], "path string, cells array<string>, problem string")
+    facts = spark.createDataFrame([("w", "property", "created", "2020", None)], "path string, kind string, name string, value string, problem string")
+    got = {r.path: (r.language, r.created, r.modified) for r in office.workbook_details(rows_, facts).collect()}
+    assert got == {"w": ("en", "2020", None), "e": (None, None, None)}
