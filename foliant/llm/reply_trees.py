@@ -169,13 +169,14 @@ def format_trees(spark: SparkSession, messages: DataFrame, tree: str, message: s
     return format_paths(branch_paths(scratch, links, best), rows.select("node", "role", "text"), template)
 
 
-def format_conversations(spark: SparkSession, conversations: DataFrame, template: Template = Template()) -> DataFrame:
+def format_conversations(spark: SparkSession, conversations: DataFrame, template: Template = Template(), scratch: Scratch | None = None) -> DataFrame:
     """Parts (tree, PARTS) of conversations(conv_id, turn, role, text): each turn answers the one before it.
 
     Rows go by turn, nulls first, those of one turn by role and text; repeated rows are turns of their own. A null
     conv_id is a conversation of its own. Null roles and texts count as empty; texts of any length stay whole; an empty
-    table gives no part. Other columns are left out, whatever their names."""
-    scratch = Scratch(spark)
+    table gives no part. Other columns are left out, whatever their names. scratch may be given by who drops its table
+    of turns when the parts are stored."""
+    scratch = scratch or Scratch(spark)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")])
     kept = ordered(scratch, rows.withColumn("tie", F.substring("text", 1, TIE)), "turns", "text")
     up = F.when(F.col("place") > F.col("first"), F.col("place") - 1).otherwise(F.col("behind"))
@@ -192,7 +193,9 @@ def conversation_digests(spark: SparkSession, conversations: DataFrame) -> DataF
     template = Template()
     columns = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")]
     rows = conversations.select(*columns).union(spark.createDataFrame(TRICKY, "conv_id long, turn long, role string, text string"))
-    parts = Scratch(spark).save(format_conversations(spark, rows, template), "formatted")
+    scratch = Scratch(spark)
+    parts = scratch.save(format_conversations(spark, rows, template, scratch), "formatted")
+    scratch.drop("turns")
     return digests(parts, template).select(F.col("tree").alias("conv_id"), *[x.split()[0] for x in DIGESTS.split(", ")])
 
 
