@@ -8,6 +8,8 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+
+from foliant.sources.files import problem
 from pyspark.sql.types import IntegerType
 
 #: Unicode white space, in a form that Java and RE2 read alike.
@@ -171,6 +173,12 @@ def readability(text: Column, lang: str = "en") -> Column:
     return bound(bound(F.transform(letters(text), syllables), counts), indices)
 
 
+def readability_or_problem(text: Column, lang: str = "en") -> Column:
+    """struct(readability, problem): a text without anything but white space has no indices but a problem (400)."""
+    none = text.isNull() | is_blank(text)
+    return F.struct(F.when(~none, readability(text, lang)).alias("readability"), F.when(none, problem(400, F.lit("there is no text"))).alias("problem"))
+
+
 def base_metrics(text: Column, tokens: Column | None = None) -> Column:
     """A struct of words, characters, tokens (null unless a count is given), lines and language."""
     tokens = F.lit(None).cast("int") if tokens is None else tokens

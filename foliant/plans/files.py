@@ -148,6 +148,23 @@ SELECT position::INT AS position, count(*) FILTER (trim(value) <> '') AS non_emp
   CASE WHEN position < 2 THEN max(n) ELSE max(length(value)) FILTER (trim(value) <> '') END::VARCHAR AS max_value FROM v GROUP BY position"""
 
 
+def file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents written as files in a folder for each language, scanned with all folders below and read as text; the
+    names, endings and sizes are those that the scan tells."""
+    folder = shared_folder(spark)
+    table(spark, sf, "documents").select(F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("lang").option("lineSep", "\x1e").text(f"{folder}/texts")
+    found = files.scan(spark, f"{folder}/texts", glob="part-*").where("problem IS NULL")
+    lang = F.regexp_extract("path", "/lang=([^/]*)/", 1).alias("lang")
+    told = found.groupBy(lang, "ext").agg(F.sum("length").alias("bytes"), F.sum(F.length(files.decode(F.col("content")))).alias("chars"), F.bool_and(F.startswith("file_name", F.lit("part-"))).alias("named"))
+    over = files.scan(spark, f"{folder}/texts", most_bytes=1, glob="part-*").groupBy(lang).agg(F.max("problem.status").alias("over"), F.count("content").alias("read"))
+    return told.join(over, "lang").select("lang", "ext", "bytes", "chars", "named", "over", "read")
+
+
+FILE_SCAN = """
+SELECT coalesce(lang, 'none') AS lang, 'txt' AS ext, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS bytes, sum(length(coalesce(text, '')) + 1)::BIGINT AS chars, true AS named, 413::INT AS over, 0::BIGINT AS read
+FROM documents GROUP BY 1"""
+
+
 def chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Documents cut into chunks and put together again."""
     d = table(spark, sf, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
@@ -243,4 +260,4 @@ PAGE_SPLITS = f"""
 WITH t AS (SELECT {TURN_FILE} AS file, list(role ORDER BY turn) AS p FROM conversations GROUP BY 1)
 SELECT file, CASE WHEN len(p) >= 2 THEN p[1] || ';' || p[1] || ',' || p[2] END AS parts, array_to_string(list_concat(p, p), ',') AS merged, ',,' || array_to_string(p, ',') AS blanks FROM t"""
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (csv_rows, CSV_ROWS), (csv_ranges, CSV_RANGES), (csv_ranges_profile, CSV_RANGES_PROFILE), (chunk_stream, CHUNK_STREAM), (chunk_islands, CHUNK_ISLANDS), (sql_archive, SQL_ARCHIVE), (sql_csv_lines, SQL_CSV_LINES), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((zip_inspect, ZIP_INSPECT), (csv_inspect, CSV_INSPECT), (csv_profile, CSV_PROFILE), (csv_rows, CSV_ROWS), (csv_ranges, CSV_RANGES), (csv_ranges_profile, CSV_RANGES_PROFILE), (file_scan, FILE_SCAN), (chunk_stream, CHUNK_STREAM), (chunk_islands, CHUNK_ISLANDS), (sql_archive, SQL_ARCHIVE), (sql_csv_lines, SQL_CSV_LINES), (data_uris, DATA_URIS), (page_splits, PAGE_SPLITS))}

@@ -100,6 +100,18 @@ r AS (SELECT {keys}, word_count, CASE WHEN word_count > 0 THEN n ELSE 0 END::INT
 READABILITY = _readability("doc_id") + "SELECT * FROM r"
 
 
+def readability_checked(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, every seventh of which has lost all but its white space, and what is refused."""
+    given = F.when(F.col("doc_id") % 7 == 3, F.regexp_replace("text", r"[^ \n\t]", " ")).otherwise(F.col("text"))
+    rows = table(spark, sf, "documents").select("doc_id", text.readability_or_problem(given).alias("r"))
+    return rows.select("doc_id", F.col("r.readability.word_count").alias("word_count"), F.col("r.problem.status").alias("status"))
+
+
+READABILITY_CHECKED = f"""
+WITH b AS (SELECT doc_id, text, text IS NULL OR doc_id % 7 = 3 OR regexp_matches(text, '{text.BLANK}') AS none FROM documents)
+SELECT doc_id, CASE WHEN NOT none THEN len(regexp_extract_all(text, '[a-zA-Z]+'))::INT END AS word_count, CASE WHEN none THEN 400::INT END AS status FROM b"""
+
+
 def readability_bands(spark: SparkSession, sf: str) -> DataFrame:
     band = text.readability(F.col("text"), "es")["interpretation"].alias("interpretation")
     return table(spark, sf, "documents").select("lang", band).groupBy("lang", "interpretation").agg(F.count(F.lit(1)).alias("documents"))
@@ -455,7 +467,7 @@ SELECT file, '90' || repeat(',270', len(p)::INT - 1) AS angles, CASE WHEN len(p)
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (text_metrics, TEXT_METRICS), (base_metrics, BASE_METRICS), (line_census, LINE_CENSUS), (language_confusion, LANGUAGE_CONFUSION), (readability, READABILITY), (readability_bands, READABILITY_BANDS),
+        (text_metrics, TEXT_METRICS), (base_metrics, BASE_METRICS), (line_census, LINE_CENSUS), (language_confusion, LANGUAGE_CONFUSION), (readability, READABILITY), (readability_bands, READABILITY_BANDS), (readability_checked, READABILITY_CHECKED),
         (readability_by_source, READABILITY_BY_SOURCE), (syllable_histogram, SYLLABLE_HISTOGRAM), (heading_lines, HEADING_LINES), (table_runs, TABLE_RUNS), (search_literal, SEARCH_LITERAL),
         (search_regex, SEARCH_REGEX), (search_deadline, SEARCH_DEADLINE), (search_sections, SEARCH_SECTIONS), (search_counts, SEARCH_COUNTS), (search_joined, SEARCH_JOINED), (pii_matches, PII_MATCHES), (pii_cube, PII_CUBE), (pii_pages, PII_PAGES), (pii_conversations, PII_CONVERSATIONS),
         (pii_by_type, PII_BY_TYPE), (pii_by_document, PII_BY_DOCUMENT), (content_hash, CONTENT_HASH), (exact_duplicates, EXACT_DUPLICATES), (encoding_detect, ENCODING_DETECT), (normalised, NORMALISED), (transliterated, TRANSLITERATED),
