@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliant.functions import pii
+from foliant.operators.books import utc_day
 
 
 def quota_stream(requests: DataFrame, limit: int, user: str = "user_id", at: str = "ts", event: str = "event_id", late: str = "1 day") -> DataFrame:
@@ -32,7 +33,7 @@ def quota_stream(requests: DataFrame, limit: int, user: str = "user_id", at: str
             state.setTimeoutTimestamp(ends)
         yield pd.DataFrame({event: rows[event], user: rows[user], "day": key[1], "nth": nth, "allowed": [limit <= 0 or n <= limit for n in nth]})
 
-    keyed = requests.withWatermark(at, late).withColumn("day", F.date_format(at, "yyyy-MM-dd"))
+    keyed = requests.withWatermark(at, late).withColumn("day", utc_day(F.col(at)).cast("string"))
     schema = f"{event} {kinds[event]}, {user} {kinds[user]}, day string, nth long, allowed boolean"
     return keyed.groupBy(user, "day").applyInPandasWithState(count, schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
 

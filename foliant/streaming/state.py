@@ -13,13 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from foliant.operators.books import utc_day
 from foliant.sources.files import problem
 
 #: What a session's configuration must say for state of this kind.
 STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 #: Shards of the job store, of which each holds as many jobs as the whole store may.
 SHARDS = 16
-MICROS = 1_000_000
 
 
 class InOrder(StatefulProcessor):
@@ -71,7 +71,7 @@ def quota_in_order(requests: DataFrame, limit: int, late: str = "1 day") -> Data
     them, though they may come late by as much as told; those that come later still are dropped by the watermark. A
     request is answered when the watermark has passed it. Days are those of UTC; a limit of none or less allows all."""
     micros = F.unix_micros("ts").alias("micros")
-    day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.unix_micros("ts") / (86_400 * MICROS)).cast("int")), "yyyy-MM-dd").alias("day")
+    day = utc_day(F.col("ts")).cast("string").alias("day")
     keyed = requests.withWatermark("ts", late).select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "ts", micros, day)
     return keyed.groupBy("user_id", "day").transformWithStateInPandas(
         statefulProcessor=InOrder(limit), outputStructType="event_id long, user_id long, day string, nth long, allowed boolean", outputMode="Append", timeMode="EventTime"

@@ -36,6 +36,17 @@ def test_quota_stream_equals_batch(spark, sf, tmp_path):
     assert got == want
 
 
+def test_days_are_those_of_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        df = spark.sql("SELECT timestamp_micros(x * 1000000L) AS ts, x AS id, 1 AS u FROM VALUES (0L), (86399L), (86400L), (-1L) AS t(x)")
+        got = {r.id: (str(r.day), r.nth) for r in books.quota(df, 1, "u", "ts", "id").collect()}
+        assert got == {0: ("1970-01-01", 1), 86399: ("1970-01-01", 2), 86400: ("1970-01-02", 1), -1: ("1969-12-31", 1)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_pii_stream(spark, tmp_path):
     rows = spark.sql("SELECT TIMESTAMP '2024-01-01 00:10:00' AS ts, 'a@b.org c@d.org' AS text UNION ALL SELECT TIMESTAMP '2024-01-02 00:00:00', 'none'")
     rows.write.parquet(str(tmp_path / "in"))
