@@ -237,7 +237,8 @@ def shard_repeats(group: np.ndarray, segments: list[bytes]) -> list[np.ndarray]:
     """For each segment, whether each of its windows is also in another place of its group's segments.
 
     Windows whose hash is alone in the group can't repeat: what is left of each segment is cut to the
-    runs of the others, equal runs become one, and suffix arrays of SHARD_BYTES settle the rest."""
+    runs of the others, equal runs become one, and suffix arrays of SHARD_BYTES settle the rest. A group of more has
+    several arrays; what two of them share is told by 128-bit hashes, as it is between blocks."""
     sizes = np.array([len(x) for x in segments], np.int64)
     first = np.cumsum(sizes) - sizes
     windows = np.maximum(sizes - WINDOW + 1, 0)
@@ -258,27 +259,56 @@ def shard_repeats(group: np.ndarray, segments: list[bytes]) -> list[np.ndarray]:
         by_group.setdefault(place[0], []).append(place)
     shard, held = [], 0
 
-    def settle():
-        for place, flags in zip(shard, repeated_windows([x for _, x in shard]), strict=True):
+    def settle(places: list[tuple[int, bytes]]) -> None:
+        for place, flags in zip(places, repeated_windows([x for _, x in places]), strict=True):
             for k, a in runs[place]:
                 hits[k][a : a + len(flags)] |= flags
 
+    def across(parts: list[list[tuple[int, bytes]]]) -> None:
+        own = [own_windows([x for _, x in part]) for part in parts]
+        of, w, v = np.repeat(np.arange(len(parts)), [len(x[0]) for x in own]), *(np.concatenate([x[n] for x in own]) for n in (2, 3))
+        order = np.lexsort((v, w))
+        same = (w[order[1:]] == w[order[:-1]]) & (v[order[1:]] == v[order[:-1]])
+        shared = np.zeros(len(of), bool)
+        shared[order[1:][same]] = shared[order[:-1][same]] = True
+        segment, place = (np.concatenate([x[n] for x in own]) for n in (0, 1))
+        for n in np.flatnonzero(shared).tolist():
+            for k, a in runs[parts[of[n]][segment[n]]]:
+                hits[k][a + place[n]] = True
+
     for places in by_group.values():
         for place in places:
             if len(runs[place]) > 1:
                 for k, a in runs[place]:
                     hits[k][a : a + len(place[1]) - WINDOW + 1] = True
-        if len(places) > 1:
+        parts = _in_parts(places)
+        if len(parts) > 1:
+            for part in parts:
+                settle(part)
+            across(parts)
+        elif len(places) > 1:
             shard += places
             held += sum(len(x) for _, x in places)
         if held >= SHARD_BYTES:
-            settle()
+            settle(shard)
             shard, held = [], 0
     if shard:
-        settle()
+        settle(shard)
     return hits
 
 
+def _in_parts(places: list[tuple[int, bytes]]) -> list[list[tuple[int, bytes]]]:
+    """Runs in parts of SHARD_BYTES, or of one longer run."""
+    parts, held = [[]], 0
+    for place in places:
+        if parts[-1] and held + len(place[1]) > SHARD_BYTES:
+            parts.append([])
+            held = 0
+        parts[-1].append(place)
+        held += len(place[1])
+    return parts
+
+
 def own_windows(segments: list[bytes]) -> tuple[np.ndarray, ...]:
     """Segment, place and 128-bit hash (two numbers) of every distinct window of the segments, at its first place."""
     sizes = np.array([len(x) for x in segments], np.int64)

@@ -256,6 +256,25 @@ def test_cuts_go_by_characters_and_leave_others(spark):
     assert suffix_dedup._whole_characters("aéb".encode(), [2], [4]) == ([1], [4]) and suffix_dedup._whole_characters("é漢".encode(), [1, 3], [2, 4]) == ([0], [5])
 
 
+@pytest.mark.parametrize("most", [suffix_dedup.SHARD_BYTES, 3000, 900, 1])
+def test_groups_of_several_arrays(most, monkeypatch):
+    """Repeats within an array, between two of them, and of a segment with itself, at every size of arrays."""
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", most)
+    draw = np.random.default_rng(3)
+    pool = [bytes(draw.integers(97, 100, n).astype(np.uint8)) for n in (220, 260, 400, 199)]
+    noise = lambda: bytes(draw.integers(97, 123, int(draw.integers(0, 300))).astype(np.uint8))
+    segments = [noise() + pool[draw.integers(4)] + noise() + pool[draw.integers(4)] + noise() for _ in range(24)]
+    segments[5] = b"x" * 700
+    group = np.repeat([0, 1], 12)
+    window = suffix_dedup.WINDOW
+    for g in (0, 1):
+        mine = [k for k in range(24) if group[k] == g]
+        count = collections.Counter(segments[k][i : i + window] for k in mine for i in range(len(segments[k]) - window + 1))
+        got = suffix_dedup.shard_repeats(group, segments)
+        for k in mine:
+            assert got[k].tolist() == [count[segments[k][i : i + window]] > 1 for i in range(len(segments[k]) - window + 1)]
+
+
 def test_blocks_of_a_hot_anchor(spark, monkeypatch):
     """Thousands of distinct segments around one passage, some of which share windows across blocks; columns of any name stay."""
     monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 1 << 18)
