@@ -74,7 +74,7 @@ def test_reader_checks_what_it_reads():
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, sf1, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf1}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf1)
     result = con.execute(f"SELECT {', '.join(sorted(df.columns))} FROM ({queries.ORACLE_SQL[name]})")
