@@ -298,3 +298,17 @@ def test_batches(spark):
     for bad in (lambda: books.batch(df, "dance"), lambda: books.batch(df.where("false"), "pii"), lambda: books.run_batch(df, "qa")):
         with pytest.raises(ValueError):
             bad()
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("a &amp b", "a &amp b"), ("x&amp", "x&amp"), ("&ampx;", "&ampx;"), ("&amp;amp;&amp", "&amp;&amp"), ("&apos;&#39;&#x27;&#0065;", "'''A"), ("&copy &copy;", "&copy ©"),
+    ("&#150;", "\x96"), ("&#xD800;&#1114112;&#99999999999;", "&#xD800;&#1114112;&#99999999999;"), ("&nope;&&lt;", "&nope;&<"), ("&#" + "0" * 9000 + "65;", "A"),
+])
+def test_entities_end_with_a_semicolon(text, want):
+    assert html.decoded(text) == want
+
+
+def test_cut_entities_stay(spark):
+    page = "<head><title>a &amp</title></head><p>b&amp</p>"
+    assert one(spark, page, html.title) == "a &amp"
+    assert (one(spark, page, html.to_text), one(spark, page, html.to_markdown)) == ("b&amp", "b&amp")
