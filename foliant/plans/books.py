@@ -262,16 +262,23 @@ def batch_hashes(spark: SparkSession, sf: str) -> DataFrame:
 BATCH_HASHES = """SELECT doc_id::VARCHAR AS file, '{"sha256":"' || sha256(text) || '","md5":"' || md5(text) || '","sha1":"' || sha1(text) || '"}' AS result FROM documents"""
 
 
+#: Events that a shard of users has.
+SHARD_EVENTS = 500_000
+
+
+def _user_shards(spark: SparkSession, sf: str) -> int:
+    return max(16, -(-table(spark, sf, "events").count() // SHARD_EVENTS))
+
+
 def quota_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Events as a stream of requests, counted with state and written to the shared folder."""
-    from foliant.streaming import flows
+    from foliant.streaming import flows, state
 
     kinds = table(spark, sf, "events").select("event_id", "user_id", "ts").schema
     stream = spark.readStream.schema(kinds).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events*.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
     where = shared_folder(spark)
-    counted = flows.quota_stream(stream, 2)
-    counted.writeStream.format("parquet").option("path", f"{where}/rows").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(counted.schema).parquet(f"{where}/rows").select("event_id", "day", "nth", "allowed")
+    counted = flows.quota_stream(stream, 2, shards=_user_shards(spark, sf))
+    return spark.read.schema(counted.schema).parquet(state.written(counted, where)).select("event_id", "day", "nth", "allowed")
 
 
 QUOTA_STREAM = """SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS nth,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -13,8 +13,18 @@ from foliant.functions import pii
 from foliant.operators.books import utc_day
 
 
-def quota_stream(requests: DataFrame, limit: int, user: str = "user_id", at: str = "ts", event: str = "event_id", late: str = "1 day") -> DataFrame:
-    """event, user, day, nth and allowed of a stream of requests; the state is one count for a user and UTC day.
+#: Shards of users that quotas are counted in.
+SHARDS = 64
+
+
+def user_shard(user: str, shards: int) -> Column:
+    """The shard of a row's user; rows without one have their own, -1."""
+    return F.when(F.col(user).isNull(), -1).otherwise(F.pmod(F.xxhash64(user), F.lit(shards))).cast("int")
+
+
+def quota_stream(requests: DataFrame, limit: int, user: str = "user_id", at: str = "ts", event: str = "event_id", late: str = "1 day", shards: int = SHARDS) -> DataFrame:
+    """event, user, day, nth and allowed of a stream of requests; the state holds a count for each user and UTC day, those
+    of a shard's users together, so that a batch has a call for each shard and day and not for each user.
 
     Counts go once the watermark has left the day behind. Within a batch, requests count in the order of
     their time and event; a limit of none or less allows all."""
@@ -24,18 +34,24 @@ def quota_stream(requests: DataFrame, limit: int, user: str = "user_id", at: str
         if state.hasTimedOut:
             state.remove()
             return
-        seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values([at, event])
-        nth = range(seen + 1, seen + 1 + len(rows))
-        state.update((seen + len(rows),))
+        rows = pd.concat(list(frames), ignore_index=True).sort_values([at, "no_event", event], ignore_index=True)
+        who = rows[user] if key[0] >= 0 else pd.Series(0, rows.index)
+        users, counts = state.get if state.exists else ([], [])
+        seen = pd.Series(counts, users if key[0] >= 0 else [0] * len(users), dtype="int64")
+        nth = who.groupby(who, sort=False).cumcount() + 1 + who.map(seen).fillna(0).astype("int64")
+        seen = seen.add(who.value_counts(), fill_value=0).astype("int64")
+        state.update((seen.index.tolist() if key[0] >= 0 else [None], seen.tolist()))
         ends = int((pd.Timestamp(key[1]) + pd.Timedelta(days=1)).timestamp() * 1000)
         if ends > state.getCurrentWatermarkMs():
             state.setTimeoutTimestamp(ends)
-        yield pd.DataFrame({event: rows[event], user: rows[user], "day": key[1], "nth": nth, "allowed": [limit <= 0 or n <= limit for n in nth]})
+        told = rows[event].astype(object).mask(rows["no_event"], None)
+        yield pd.DataFrame({event: told, user: who if key[0] >= 0 else None, "day": key[1], "nth": nth, "allowed": (nth <= limit) | (limit <= 0)})
 
-    keyed = requests.withWatermark(at, late).withColumn("day", utc_day(F.col(at)).cast("string"))
+    # without nulls, since pandas would make doubles of whole numbers beside them
+    filled = {"no_event": F.col(event).isNull(), event: F.coalesce(event, F.lit(0).cast(kinds[event]))}
+    keyed = requests.withWatermark(at, late).withColumns(filled | {"day": utc_day(F.col(at)).cast("string"), "shard": user_shard(user, shards)})
     schema = f"{event} {kinds[event]}, {user} {kinds[user]}, day string, nth long, allowed boolean"
-    return keyed.groupBy(user, "day").applyInPandasWithState(count, schema, "seen long", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("shard", "day").applyInPandasWithState(count, schema, f"users array<{kinds[user]}>, seen array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def pii_stream(texts: DataFrame, at: str = "ts", window: str = "1 hour", late: str = "2 hours") -> DataFrame:

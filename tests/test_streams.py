@@ -125,3 +125,33 @@ def test_requests_meet_their_ends(spark, tmp_path):
         state.written(made, folder)
     got = sorted((r.event_id, r.status, r.elapsed_ms) for r in spark.read.schema(made.schema).parquet(f"{folder}/rows").where("event_id < 9").collect())
     assert got == [(1, 422, 300_000.0), (2, None, None), (3, None, None), (4, None, None)]
+
+
+def quota_rows(users):
+    return [(k, None if u % 50 == 3 else u, at(0) + timedelta(seconds=(k * 7919) % 80_000), "x") for k, u in enumerate(users)]
+
+
+def by_user(rows):
+    """nth of each event, counted in Python."""
+    order, seen, nth = sorted(rows, key=lambda r: (r[2], r[0])), {}, {}
+    for event, user, _, _ in order:
+        nth[event] = seen[user] = seen.get(user, 0) + 1
+    return nth
+
+
+def test_quota_calls_are_shards_and_not_users(spark, tmp_path):
+    """Many users of a day share a few rows of state; those without an id count as one."""
+    rows = quota_rows([k % 400 for k in range(1200)])
+    got = in_batches(spark, f"{tmp_path}/a", [rows], lambda s: flows.quota_stream(s.select("event_id", "user_id", "ts"), 2, shards=3))
+    assert {r.event_id: r.nth for r in got} == by_user(rows) and {r.event_id: r.user_id for r in got} == {r[0]: r[1] for r in rows} and all(r.allowed == (r.nth <= 2) for r in got)
+    assert spark.read.format("statestore").load(f"{tmp_path}/a/state").count() <= 4
+    got = in_batches(spark, f"{tmp_path}/b", [rows[:700], rows[700:], [(-1, 0, at(9000), "x")], [(-2, 0, at(9001), "x")]], lambda s: state.quota_in_order(s, 2, "2 days", shards=3))
+    assert {r.event_id: r.nth for r in got if r.event_id >= 0} == by_user(rows) and {r.event_id: r.user_id for r in got if r.event_id >= 0} == {r[0]: r[1] for r in rows}
+
+
+def test_quota_stream_goes_on_and_keeps_ids(spark, tmp_path):
+    """Counts go on in a later batch; an event without an id leaves large ids beside it as they are."""
+    big = 2**62 + 1
+    batches = [[(big, 1, at(1), "x"), (None, 1, at(2), "x"), (7, 2, at(3), "x")], [(big + 1, 1, at(4), "x"), (8, None, at(4), "x")], [(9, None, at(5), "x")]]
+    got = in_batches(spark, str(tmp_path), batches, lambda s: flows.quota_stream(s.select("event_id", "user_id", "ts"), 2, shards=1))
+    assert {(r.event_id, r.user_id, r.nth, r.allowed) for r in got} == {(big, 1, 1, True), (None, 1, 2, True), (7, 2, 1, True), (big + 1, 1, 3, False), (8, None, 1, True), (9, None, 2, True)}
