@@ -307,9 +307,9 @@ def quota_late(spark: SparkSession, sf: str) -> DataFrame:
     """Requests that come out of order over several micro-batches, numbered in order."""
     from foliant.streaming import state
 
-    where = shared_folder(spark)
+    where, shards = shared_folder(spark), _user_shards(spark, sf)
     for _ in _in_bands(spark, sf, f"{where}/events"):
-        rows = state.written(state.quota_in_order(_band_stream(spark, f"{where}/events"), LIMIT, "25 hours"), where)
+        rows = state.written(state.quota_in_order(_band_stream(spark, f"{where}/events"), LIMIT, "25 hours", shards), where)
     return spark.read.schema("event_id long, user_id long, day string, nth long, allowed boolean").parquet(rows)
 
 
