@@ -22,6 +22,10 @@ SHOWN = 500
 
 def sheets(rows: DataFrame, key: str = "path") -> DataFrame:
     """Of each sheet, those without rows too: position, visibility, row, cell and formula counts, and the most cells of a row."""
+    return _sheets(rows, key)
+
+
+def _sheets(rows: DataFrame, key: str, *more: Column) -> DataFrame:
     formulas = F.size(F.filter("formulas", lambda f: f.isNotNull()))
     return rows.where("problem IS NULL").groupBy(key, "sheet").agg(
         F.min("position").alias("position"),
@@ -30,20 +34,20 @@ def sheets(rows: DataFrame, key: str = "path") -> DataFrame:
         F.sum(F.size("cells")).alias("cell_count"),
         F.sum(formulas).alias("formula_count"),
         F.max(F.size("cells")).alias("column_count"),
+        *more,
     )
 
 
 def workbook_metrics(rows: DataFrame, facts: DataFrame, key: str = "path") -> DataFrame:
     """Of each workbook: sheets, visible and hidden ones, rows, cells, formulas, defined names, and the words and
-    characters of all cells. Sums over rows and facts, so that no workbook's text is put together."""
-    some = sheets(rows, key).groupBy(key).agg(
+    characters of all cells. Sums over rows and facts, each read once, so that no workbook's text is put together."""
+    said = [F.sum(text.word_count(F.array_join("cells", " "))).alias("words"), F.sum(F.length(F.array_join("cells", ""))).alias("chars")]
+    some = _sheets(rows, key, *said).groupBy(key).agg(
         F.count(F.lit(1)).alias("sheets"), F.count(F.when(F.col("visibility") != "visible", 1)).alias("hidden_sheets"),
-        F.sum("row_count").alias("rows"), F.sum("cell_count").alias("cells"), F.sum("formula_count").alias("formulas"),
+        F.sum("row_count").alias("rows"), F.sum("cell_count").alias("cells"), F.sum("formula_count").alias("formulas"), F.sum("words").alias("words"), F.sum("chars").alias("chars"),
     )
-    said = F.array_join("cells", " ")
-    words = rows.where("problem IS NULL").groupBy(key).agg(F.sum(text.word_count(said)).alias("words"), F.sum(F.length(F.array_join("cells", ""))).alias("chars"))
     names = facts.groupBy(key).agg(F.count(F.when(F.col("kind") == "defined_name", 1)).alias("defined_names"))
-    return some.join(words, key).join(names, key, "left").withColumns({"defined_names": F.coalesce("defined_names", F.lit(0)), "visible_sheets": F.col("sheets") - F.col("hidden_sheets")})
+    return some.join(names, key, "left").withColumns({"defined_names": F.coalesce("defined_names", F.lit(0)), "visible_sheets": F.col("sheets") - F.col("hidden_sheets")})
 
 
 def read_sheet(rows: DataFrame, sheet: str | int | None = None, limit: int = 10_000, key: str = "path") -> DataFrame:

@@ -7,7 +7,7 @@ import io
 import zipfile
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant import sql
@@ -19,20 +19,35 @@ from foliant.sources.tables import shared_folder, table
 
 #: Rows that a file is made from, at most.
 CUSTOMERS, TURNS = 10_000, 200
+#: Rows whose files a task makes, about, and files that are made at once.
+TASK_ROWS, AT_ONCE = 20_000, 16
 #: The files' names in SQL.
 NATION_FILE = f"(c_nationkey || '-' || (c_custkey // {CUSTOMERS}))"
 TURN_FILE = f"(conv_id || '-' || (turn // {TURNS}))"
 
 
+def by_file(rows: DataFrame, file: Column) -> DataFrame:
+    """rows with the name of their file, dealt by it to as many tasks as the rows ask for: those of a file are small, so
+    that an adaptive plan would leave all the making and reading of files to a few tasks."""
+    return rows.withColumn("file", file).repartition(max(1, -(-rows.count() // TASK_ROWS)), "file")
+
+
 def by_turns(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """(file, turns): the turns of conversations, at most TURNS in a file."""
-    name = F.concat_ws("-", "conv_id", F.floor(F.col("turn") / TURNS).cast("string")).alias("file")
-    return table(spark, sf, "conversations").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("turn", *columns))).alias("turns"))
+    rows = by_file(table(spark, sf, "conversations"), F.concat_ws("-", "conv_id", F.floor(F.col("turn") / TURNS).cast("string")))
+    return rows.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("turn", *columns))).alias("turns"))
+
+
+def some_at_once(batches):
+    """Batches of AT_ONCE rows at most."""
+    for batch in batches:
+        for at in range(0, len(batch), AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
 
 
 def packed(batches):
     """(file, content): an archive of turns."""
-    for batch in batches:
+    for batch in some_at_once(batches):
         out = []
         for turns in batch.column(1).to_pylist():
             raw = io.BytesIO()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import content
 from foliant.operators import office
-from foliant.plans.files import CUSTOMERS, NATION_FILE, TURN_FILE, by_turns, packed
+from foliant.plans.files import CUSTOMERS, NATION_FILE, TURN_FILE, by_file, by_turns, packed, some_at_once
 from foliant.plans.texts import _language as language_sql
 from foliant.sources import files
 from foliant.sources.tables import table
@@ -33,7 +33,7 @@ def _made(rows: DataFrame, build) -> DataFrame:
     """(file, content): build's archive of each row (file, parts)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in some_at_once(batches):
             out = [_zipped(build(name, parts)) for name, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["file", "content"])
 
@@ -75,8 +75,8 @@ def _workbook(name: str, rows: list[dict]) -> dict[str, str]:
 
 
 def _workbooks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    name = F.concat_ws("-", "c_nationkey", F.floor(F.col("c_custkey") / CUSTOMERS).cast("string")).alias("file")
-    rows = table(spark, sf, "customer").groupBy(name).agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
+    named = by_file(table(spark, sf, "customer"), F.concat_ws("-", "c_nationkey", F.floor(F.col("c_custkey") / CUSTOMERS).cast("string")))
+    rows = named.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("rows"))
     made = _made(rows, _workbook)
     return files.contents(made, "xlsx", "file"), files.contents(made, "xlsx facts", "file")
 

@@ -4,9 +4,11 @@ import re
 import zipfile
 from email.message import EmailMessage
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliant.operators import office, profile
 from foliant.sources import delimited, files
@@ -329,3 +331,16 @@ def test_details_of_office_files(spark):
     facts = spark.createDataFrame([("w", "property", "created", "2020", None)], "path string, kind string, name string, value string, problem string")
     got = {r.path: (r.language, r.created, r.modified) for r in office.workbook_details(rows_, facts).collect()}
     assert got == {"w": ("en", "2020", None), "e": (None, None, None)}
+
+
+def test_files_are_made_by_several_tasks_a_few_at_once(spark, tmp_path):
+    """Files of small rows are dealt to as many tasks as the rows ask for, and a task makes few of them at a time."""
+    from foliant.plans import files as plans
+
+    rows = spark.range(2 * plans.TASK_ROWS + 1).selectExpr("id", "id % 500 AS conv_id", "CAST(id AS int) AS turn")
+    dealt = plans.by_file(rows, F.col("conv_id").cast("string"))
+    made = dealt.groupBy("file").agg(F.count(F.lit(1)).alias("n")).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in made}) == 3 and sum(r.n for r in made) == 2 * plans.TASK_ROWS + 1 and len(made) == 500
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100))], ["x"])
+    parts = list(plans.some_at_once([batch]))
+    assert max(map(len, parts)) <= plans.AT_ONCE and pa.Table.from_batches(parts).column(0).to_pylist() == list(range(100))
