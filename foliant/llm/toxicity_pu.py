@@ -23,6 +23,8 @@ MOST_POSITIVES, MOST_UNLABELLED = 6_000, 18_000
 #: Buckets that features are hashed into, features kept, rows a feature must be in, lengths of word
 #: beginnings, steps, classifiers, and bytes of text scored at once.
 BUCKETS, KEPT, LEAST_ROWS, BEGINNINGS, STEPS, MODELS, BYTES = 1 << 18, 3_000, 4, (4, 5, 6), 150, 5, 8 << 20
+#: Bytes of text whose features are found at once for the fit.
+FITTED_BYTES = 1 << 20
 #: Words whose weights a worker keeps from slice to slice.
 TABLE_WORDS = 300_000
 EDGES = bytes(x for x in range(33, 127) if not chr(x).isalnum())
@@ -86,8 +88,10 @@ def fit_pu(features: np.ndarray, row: np.ndarray, positive: np.ndarray, width: i
 def _rows_of_features(batches):
     """(positive, features of the row's distinct words, place) of rows (text, positive, place)."""
     for batch in batches:
-        found = [sorted(f for w in set(x.lower().split()) for f in word_features(w)) for x in column_bytes(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["positive", "features", "place"])
+        for part in slices(batch, 0, FITTED_BYTES):  # a row's numbers become an array before the next row's are made
+            found = [np.array(sorted(f for w in set(x.lower().split()) for f in word_features(w)), np.int32) for x in column_bytes(part.column(0))]
+            cut = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(found))), part.column(2)], ["positive", "features", "place"])
 
 
 def first_ids(ids: DataFrame, most: int) -> DataFrame:

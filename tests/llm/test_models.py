@@ -3,6 +3,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliant.llm import pitman_yor, toxicity_pu
@@ -158,3 +159,14 @@ def test_sample_of_ids_is_bounded(spark):
     for df in (ids, ids.repartition(7)):
         assert sorted(r.doc_id for r in toxicity_pu.first_ids(df, 50).collect()) == want
     assert toxicity_pu.first_ids(ids, 10_000).count() == 2001
+
+
+def test_features_of_rows_come_in_small_parts():
+    """A batch of many texts doesn't become one list of numbers, and the parts hold what the whole would."""
+    texts = [None, "", *(f"Word{k} and {'filler ' * 20_000}" for k in range(40))]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([k % 2 == 0 for k in range(42)]), pa.array(range(42), pa.int64())], ["text", "positive", "place"])
+    parts = list(toxicity_pu._rows_of_features([batch]))
+    table = pa.Table.from_batches(parts)
+    assert len(parts) > 3 and table.column("place").to_pylist() == list(range(42)) and table.column("positive").to_pylist() == batch.column(1).to_pylist()
+    want = [sorted(f for w in set((t or "").lower().encode().split()) for f in toxicity_pu.word_features(w)) for t in texts]
+    assert table.column("features").to_pylist() == want
