@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm.common import Numbered, Scratch, mix64, ranges, shards_for, slices, unsliced
+from foliant.llm.common import Numbered, Scratch, mix64, ranges, shards_for, slices, unsliced, worker_kept
 
 WINDOW, END = 2048, 1
 #: Tokens of a shard, terms of a query, BM25's constants, words that a worker's table holds, slices
@@ -120,16 +120,6 @@ class WordIds:
         return ids, sizes + 1
 
 
-_tables: dict[str, WordIds] = {}
-
-
-def _table(tokenizer_file: str) -> WordIds:
-    """The worker's table, kept from task to task."""
-    if tokenizer_file not in _tables:
-        _tables[tokenizer_file] = WordIds(tokenizer_file)
-    return _tables[tokenizer_file]
-
-
 def rare_ids(ids: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
     """Of each document the id from least on that it holds most often, the largest one of several; -1 without any."""
     doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -144,7 +134,7 @@ def rare_ids(ids: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
 
 def _encoded(tokenizer_file: str, doc_id: str):
     def run(batches):
-        table, serial = _table(tokenizer_file), TaskContext.get().partitionId() << 32
+        table, serial = worker_kept(tokenizer_file, lambda: WordIds(tokenizer_file)), TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in slices(batch, 1, BYTES):
                 ids, sizes = table.encode(part.column(1))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foliant.llm.common import Scratch, column_bytes, components, free_names, mix64, numbered, ranges, roots, shards_for, whole
+from foliant.llm.common import Scratch, column_bytes, components, free_names, fresh, mix64, numbered, ranges, roots, shards_for, whole
 
 SEED = 42
 #: The contract's fingerprint and links: 64 bits of three-word shingles, 3 differing bits.
@@ -247,7 +247,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """Of every row's set of five-word shingles: doc_id, h and g (its hash of 128 bits), fp and n (its size)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in fresh(batches):
             hashes, fps, sizes = [], [], []
             for x in column_bytes(batch.column(1)):
                 own = np.unique(shingle_hashes(x, COPY_SHINGLE))
@@ -292,7 +292,7 @@ def copies(sets: list[np.ndarray]) -> np.ndarray:
 
 def _sets(batches):
     """(root, node, n, shingles) of candidates (root, node, h, g, text). Ids may repeat: texts of another node are left out."""
-    for batch in batches:
+    for batch in fresh(batches):
         out = []
         for root, node, h, g, text in zip(*(batch.column(k).to_pylist() for k in range(4)), column_bytes(batch.column(4)), strict=True):
             own = np.unique(shingle_hashes(text, COPY_SHINGLE))
@@ -312,7 +312,7 @@ def _dealt(rows: list[tuple]) -> pa.RecordBatch:
 
 def _checked(batches):
     """(a, b): links between candidates whose sets are similar."""
-    table = whole(batches)  # SET_BLOCK * 2 shingles or so
+    table = whole(fresh(batches))  # SET_BLOCK * 2 shingles or so
     if table is None:
         return
     root, low, high, node = (table.column(k).to_numpy() for k in ("root", "low", "high", "node"))

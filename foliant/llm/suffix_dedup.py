@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, column_bytes, mix64, ranges, shards_for, slices, whole
+from foliant.llm.common import Scratch, column_bytes, fresh, mix64, ranges, shards_for, slices, whole
 
 WINDOW, GRAM = 200, 40
 #: Bytes whose anchors are found at once, bytes of a shard's suffix array, bytes of segments that a
@@ -211,7 +211,7 @@ def repeated_windows(segments: list[bytes], least: int = WINDOW) -> list[np.ndar
 
 
 def _anchor_rows(batches):
-    for batch in (part for full in batches for part in slices(full, 2, BATCH_BYTES)):
+    for batch in (part for full in fresh(batches) for part in slices(full, 2, BATCH_BYTES)):
         texts, r, q = column_bytes(batch.column(2)), *(batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         which, h, first, last = anchors(texts)
         digest = xxhash.xxh3_64_intdigest
@@ -221,7 +221,7 @@ def _anchor_rows(batches):
 
 def _cut_rows(batches):
     """(h, seg, block, copies, many, bytes) of the segments that each text is asked for."""
-    for batch in (part for full in batches for part in slices(full, 0, BATCH_BYTES)):
+    for batch in (part for full in fresh(batches) for part in slices(full, 0, BATCH_BYTES)):
         out = [(p["h"], p["seg"], p["block"], p["copies"], p["many"], x[p["first"] : p["first"] + p["windows"] + WINDOW - 1]) for x, asked in zip(column_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True) for p in asked]
         for at in range(0, len(out), 20_000):
             h, seg, block, copies, many, raw = zip(*out[at : at + 20_000], strict=True)
@@ -325,7 +325,7 @@ def own_windows(segments: list[bytes]) -> tuple[np.ndarray, ...]:
 def _shard_rows(batches):
     """(h, seg, copies, runs) tells which windows of a segment repeat in its block; where a hash has several blocks,
     (h, seg, copies, at, w, v) tells place and hash of each window that the block has."""
-    table = whole(batches)  # TASK_BYTES or so
+    table = whole(fresh(batches))  # TASK_BYTES or so
     if table is None:
         return
     h, seg, block, copies, many = (table.column(k).to_numpy(zero_copy_only=False) for k in ("h", "seg", "block", "copies", "many"))
@@ -380,7 +380,7 @@ def _whole_characters(x: bytes, begins: list[int], ends: list[int]) -> tuple[lis
 
 def _remove(characters: bool):
     def run(batches):
-        for batch in (part for full in batches for part in slices(full, 1, BATCH_BYTES)):
+        for batch in (part for full in fresh(batches) for part in slices(full, 1, BATCH_BYTES)):
             sizes, removed, spans, kept = [], [], [], []
             for x, parts in zip(column_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 sizes.append(len(x))

@@ -16,13 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import column_bytes, fold_of, replaced, slices, words_of
+from foliant.llm.common import column_bytes, fold_of, fresh, replaced, slices, words_of, worker_kept
 
 #: Ids whose texts the classifiers are fitted on, at most, one text of each. Everything else covers all data.
 MOST_POSITIVES, MOST_UNLABELLED = 6_000, 18_000
 #: Buckets that features are hashed into, features kept, rows a feature must be in, lengths of word
 #: beginnings, steps, classifiers, and bytes of text scored at once.
-BUCKETS, KEPT, LEAST_ROWS, BEGINNINGS, STEPS, MODELS, BYTES = 1 << 18, 3_000, 4, (4, 5, 6), 150, 5, 8 << 20
+BUCKETS, KEPT, LEAST_ROWS, BEGINNINGS, STEPS, MODELS, BYTES = 1 << 18, 3_000, 4, (4, 5, 6), 150, 5, 2 << 20
 #: Bytes of text whose features are found at once for the fit.
 FITTED_BYTES = 1 << 20
 #: Words whose weights a worker keeps from slice to slice.
@@ -45,17 +45,13 @@ def word_weights(words: list[bytes], of_bucket: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(words)), sizes), of_bucket[flat], len(words))
 
 
-_tables: dict[str, dict[bytes, float]] = {}
-
-
 def kept_weights(words: list[bytes], of_bucket: np.ndarray, model: str) -> np.ndarray:
     """The same by the worker's table of a model's words, which grows by the new ones."""
-    if model not in _tables or len(_tables[model]) > TABLE_WORDS:
-        _tables.clear()
-        _tables[model] = {}
-    table = _tables[model]
-    fresh = [w for w in words if w not in table]
-    table.update(zip(fresh, word_weights(fresh, of_bucket).tolist(), strict=True))
+    table = worker_kept(model, dict)
+    if len(table) > TABLE_WORDS:
+        table.clear()
+    new = [w for w in words if w not in table]
+    table.update(zip(new, word_weights(new, of_bucket).tolist(), strict=True))
     return np.fromiter(map(table.__getitem__, words), np.float64, len(words))
 
 
@@ -87,7 +83,7 @@ def fit_pu(features: np.ndarray, row: np.ndarray, positive: np.ndarray, width: i
 
 def _rows_of_features(batches):
     """(positive, features of the row's distinct words, place) of rows (text, positive, place)."""
-    for batch in batches:
+    for batch in fresh(batches):
         for part in slices(batch, 0, FITTED_BYTES):  # a row's numbers become an array before the next row's are made
             found = [np.array(sorted(f for w in set(x.lower().split()) for f in word_features(w)), np.int32) for x in column_bytes(part.column(0))]
             cut = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from foliant.llm import pitman_yor, toxicity_pu
+from foliant.llm import common, pitman_yor, suffix_dedup, toxicity_pu
 
 
 def fold(i):
@@ -170,3 +170,17 @@ def test_features_of_rows_come_in_small_parts():
     assert len(parts) > 3 and table.column("place").to_pylist() == list(range(42)) and table.column("positive").to_pylist() == batch.column(1).to_pylist()
     want = [sorted(f for w in set((t or "").lower().encode().split()) for f in toxicity_pu.word_features(w)) for t in texts]
     assert table.column("features").to_pylist() == want
+
+
+def test_workers_carry_no_table_into_other_tasks():
+    """What a task of one operator keeps goes when a task of another one begins, as does the table of an earlier model."""
+    one = common.worker_kept("one", dict)
+    assert common.worker_kept("one", dict) is one and list(common._kept) == ["one"]
+    of_bucket = np.arange(toxicity_pu.BUCKETS, dtype=np.float32)
+    want = [sum(of_bucket[f] for f in toxicity_pu.word_features(w)) for w in (b"these", b"words")]
+    for model in ("first", "second"):
+        assert toxicity_pu.kept_weights([b"these", b"words"], of_bucket, model).tolist() == want
+        assert list(common._kept) == [model]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array(["x " * 300])], ["r", "q", "text"])
+    list(suffix_dedup._anchor_rows([batch]))
+    assert not common._kept
