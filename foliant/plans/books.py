@@ -348,7 +348,8 @@ def request_stream(spark: SparkSession, sf: str) -> DataFrame:
 
     k = F.col("event_id")
     ends = lambda e: e.where(k % 5 != 0).select("event_id", (F.col("ts") + F.expr("make_dt_interval(0, 0, CAST(event_id % 7 AS int))")).alias("ended"), F.when(k % 3 == 0, 422).otherwise(200).alias("status"))
-    log = _over_bands(spark, sf, lambda e: flows.request_log(e.select("event_id", "user_id", "ts"), ends(e), late="25 hours"), "event_id long, user_id long, ts timestamp, status int, elapsed_ms double")
+    shards = _user_shards(spark, sf)
+    log = _over_bands(spark, sf, lambda e: flows.request_log(e.select("event_id", "user_id", "ts"), ends(e), late="25 hours", shards=shards), "event_id long, user_id long, ts timestamp, status int, elapsed_ms double")
     return log.where("event_id >= 0").select("event_id", "user_id", "status", "elapsed_ms")
 
 

@@ -61,14 +61,14 @@ def pii_stream(texts: DataFrame, at: str = "ts", window: str = "1 hour", late: s
     return counts.select(F.col("w.start").alias("window_start"), "pii_type", "matches")
 
 
-def request_log(starts: DataFrame, ends: DataFrame, within: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+def request_log(starts: DataFrame, ends: DataFrame, within: str = "5 minutes", late: str = "1 hour", shards: int = SHARDS) -> DataFrame:
     """Requests of a stream (event_id, user_id, ts) with what another stream (event_id, ended, status) says of their ends:
     status and elapsed_ms, both null where no end came within the time. Rows may be late by as much as told; state goes
-    when the watermark has passed."""
-    ends = ends.withColumnRenamed("event_id", "of").withWatermark("ended", late)
-    met = F.expr(f"event_id = of AND ended >= ts AND ended <= ts + INTERVAL {within}")
-    joined = starts.withWatermark("ts", late).join(ends, met, "left")
-    return joined.select("event_id", "user_id", "ts", "status", ((F.unix_micros("ended") - F.unix_micros("ts")) / 1000).alias("elapsed_ms"))
+    when the watermark has passed. The state is that of shards of ids, see state.Ended: a join of the two streams would
+    write and remove several values of state for each row."""
+    from foliant.streaming import state
+
+    return state.requests_ended(starts, ends, within, late, shards)
 
 
 def sessions(requests: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

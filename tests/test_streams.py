@@ -155,3 +155,25 @@ def test_quota_stream_goes_on_and_keeps_ids(spark, tmp_path):
     batches = [[(big, 1, at(1), "x"), (None, 1, at(2), "x"), (7, 2, at(3), "x")], [(big + 1, 1, at(4), "x"), (8, None, at(4), "x")], [(9, None, at(5), "x")]]
     got = in_batches(spark, str(tmp_path), batches, lambda s: flows.quota_stream(s.select("event_id", "user_id", "ts"), 2, shards=1))
     assert {(r.event_id, r.user_id, r.nth, r.allowed) for r in got} == {(big, 1, 1, True), (None, 1, 2, True), (7, 2, 1, True), (big + 1, 1, 3, False), (8, None, 1, True), (9, None, 2, True)}
+
+
+def test_requests_wait_as_shards(spark, tmp_path):
+    """Requests and ends, repeated or without an id, meet as in a join; while they wait, a shard of ids is a value of state."""
+    starts = [(k % 150 if k % 40 else None, k if k % 9 else None, at(1) + timedelta(seconds=(k * 7919) % 4000)) for k in range(300)]
+    ends = [(k % 200 if k % 30 else None, at(1) + timedelta(seconds=(k * 6007) % 4300), k if k % 4 else None) for k in range(600)]
+    batches = [(starts[::2], ends[1::2]), (starts[1::2], ends[::2]), ([(-1, 0, at(99))], [(-1, at(99, 30), 0)]), ([(-1, 0, at(100))], [(-1, at(100, 30), 0)])]
+    folder, kinds = str(tmp_path), {"starts": "event_id long, user_id long, ts timestamp", "ends": "event_id long, ended timestamp, status int"}
+    for n, pair in enumerate(batches):
+        for (name, kind), rows in zip(kinds.items(), pair, strict=True):
+            spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+        made = flows.request_log(*[spark.readStream.schema(kind).parquet(f"{folder}/{name}") for name, kind in kinds.items()], "5 minutes", "3 hours", shards=3)
+        state.written(made, folder)
+        if n == 1:
+            for name in kinds:
+                assert 0 < spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/state").count() <= 4
+    want = []
+    for i, user, ts in starts:
+        met = [(s, (e - ts).total_seconds() * 1000) for j, e, s in ends if i is not None and i == j and timedelta(0) <= e - ts <= timedelta(minutes=5)]
+        want += [(i, user, ts, *m) for m in met or [(None, None)]]
+    got = [tuple(r) for r in spark.read.schema(made.schema).parquet(f"{folder}/rows").where("event_id IS NULL OR event_id >= 0").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr) and any(w[4] is not None for w in want)
