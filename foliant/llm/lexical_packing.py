@@ -21,12 +21,13 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm.common import Numbered, Scratch, mix64, ranges, shards_for, slices, unsliced, worker_kept
+from foliant.llm.common import Numbered, Scratch, fresh, mix64, ranges, shards_for, slices, small_batches, unsliced, worker_kept
 
 WINDOW, END = 2048, 1
 #: Tokens of a shard, terms of a query, BM25's constants, words that a worker's table holds, slices
-#: in which the counts of terms are summed, and bytes of text that are encoded at once.
-SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES = 1_500_000, 12, 1.2, 0.75, 600_000, 16, 8 << 20
+#: in which the counts of terms are summed, bytes of text that are encoded at once, words that the
+#: tokenizer gets at once (what it returns for a word is many times as large as the word), and parts of words whose ids are gathered at once.
+SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES, WORDS, PARTS = 1_500_000, 12, 1.2, 0.75, 300_000, 16, 4 << 20, 5_000, 1 << 18
 WORD_END, SPACER = "</w>", "\0"
 RARE = re.compile("[\u0180-\U0010ffff]")
 TAIL = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
@@ -60,6 +61,15 @@ class WordIds:
         self.lengths = np.append(self.lengths, lengths.astype(np.int32))
         self.flat = np.append(self.flat, coded.astype(np.uint16))
 
+    def _coded(self, lines: list[str], at_once: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the lines one after the other, and each line's number of ids."""
+        ids, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        for k in range(0, len(lines), at_once):
+            coded = [x.ids for x in self.tokenizer.encode_batch_fast(lines[k : k + at_once], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+            ids.append(np.fromiter(chain.from_iterable(coded), np.uint16, int(sizes[-1].sum())))
+        return np.concatenate(ids), np.concatenate(sizes)
+
     def _parts(self, words: list[str]) -> np.ndarray:
         """Numbers of each word's body and tail. The body, in lower case, and the punctuation behind it
         are tokens of their own, so that each is encoded once, bodies of letters alone many at a time."""
@@ -88,16 +98,14 @@ class WordIds:
         else:
             letters = np.fromiter((w.isalpha() and not rare(w) and "\u0130" not in w for w in fresh), bool, len(fresh))
         plain, others = list(compress(fresh, letters.tolist())), list(compress(fresh, (~letters).tolist()))
-        lines = [" ".join(plain[k : k + 5000]) for k in range(0, len(plain), 5000)]
-        ids = np.concatenate([np.zeros(0, np.int64), *[np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]])
+        ids, _ = self._coded([" ".join(plain[k : k + WORDS]) for k in range(0, len(plain), WORDS)], 1)
         sizes = np.diff(np.r_[0, np.flatnonzero(self.last[ids]) + 1])
         if len(sizes) != len(plain):
             raise ValueError("this tokenizer doesn't mark the ends of words")
-        coded = [x.ids for x in self.tokenizer.encode_batch_fast(others, add_special_tokens=False)]
+        other_ids, other_sizes = self._coded(others, WORDS)
         number = np.empty(len(fresh), np.int64)  # of each new core among plain and others
         number[letters], number[~letters] = np.arange(len(plain)), len(plain) + np.arange(len(others))
-        all_sizes = np.r_[sizes, np.fromiter(map(len, coded), np.int64, len(coded))]
-        all_ids = np.r_[ids, np.fromiter(chain.from_iterable(coded), np.int64)]
+        all_sizes, all_ids = np.r_[sizes, other_sizes], np.r_[ids, other_ids]
         begin = np.cumsum(all_sizes) - all_sizes
         self._add(all_ids[ranges(begin[number], all_sizes[number])], all_sizes[number])
         return parts
@@ -114,17 +122,20 @@ class WordIds:
         lengths = self.lengths[k]
         upto = np.r_[0, np.cumsum(lengths)]
         cut = 2 * np.r_[0, np.cumsum(split.value_lengths().to_numpy())]
-        sizes = np.diff(upto[cut])
-        ids = np.full(int(upto[-1]) + len(sizes), END, np.uint16)
-        ids[np.arange(int(upto[-1])) + np.repeat(np.arange(len(sizes)), sizes)] = self.flat[ranges(self.starts[k], lengths)]
-        return ids, sizes + 1
+        sizes = np.diff(upto[cut]) + 1
+        ids = np.full(int(sizes.sum()), END, np.uint16)
+        inner = np.ones(len(ids), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        parts = [slice(at, at + PARTS) for at in range(0, len(k), PARTS)]
+        ids[inner] = np.concatenate([np.zeros(0, np.uint16), *[self.flat[ranges(self.starts[k[x]], lengths[x])] for x in parts]])
+        return ids, sizes
 
 
 def rare_ids(ids: np.ndarray, sizes: np.ndarray, least: int) -> np.ndarray:
     """Of each document the id from least on that it holds most often, the largest one of several; -1 without any."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     some = ids >= least
-    pair, count = np.unique(doc[some] << 16 | ids[some], return_counts=True)
+    pair, count = np.unique(doc[some].astype(np.int64) << 16 | ids[some], return_counts=True)
     order = np.lexsort((pair, count, pair >> 16))
     last = np.flatnonzero(np.diff(np.append(pair[order] >> 16, -1)))
     found = np.full(len(sizes), -1, np.int32)
@@ -150,7 +161,7 @@ def _encoded(tokenizer_file: str, doc_id: str):
 def _counts(terms: int):
     def run(batches):
         df, rows, tokens = np.zeros(terms, np.int64), 0, 0
-        for batch in batches:
+        for batch in fresh(batches):
             for blob in batch.column(0).to_pylist():
                 ids = np.frombuffer(blob, np.uint16)
                 df[np.unique(ids)] += 1
@@ -270,8 +281,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_file: str, doc_id: str
     written to the shared folder once, for the statistics and for packing."""
     kind = docs.schema[doc_id].dataType.simpleString()
     encoded = docs.select(doc_id, text).mapInArrow(_encoded(tokenizer_file, doc_id), f"`{doc_id}` {kind}, ids binary, topic int, spread int")
-    encoded = Scratch(spark).save(encoded, "ids")
-    idf, mean, tokens = term_statistics(encoded, WordIds(tokenizer_file).terms)
+    with small_batches(spark):
+        encoded = Scratch(spark).save(encoded, "ids")
+        idf, mean, tokens = term_statistics(encoded, WordIds(tokenizer_file).terms)
     dealt = encoded.repartitionByRange(shards_for(tokens, SHARD_TOKENS), "topic", "spread").select(doc_id, "ids")
     shared = spark.sparkContext.broadcast((idf, mean))
     names = [doc_id, *(x.split()[0] for x in PIECES.split(", ")), *["ids"] * with_ids]
@@ -297,7 +309,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer_file: str, doc_id: str
             sequence += int(pieces[:, 3].max()) + 1
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
+        for batch in fresh(batches):  # the words that a worker keeps for encoding go before it packs
             blobs, at = batch.column(1).to_pylist(), 0
             for i, x in enumerate(blobs):
                 size += len(x) // 2

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foliant.llm.common import Scratch, column_bytes, components, free_names, fresh, mix64, numbered, ranges, roots, shards_for, whole
+from foliant.llm.common import Scratch, column_bytes, components, free_names, fresh, mix64, numbered, ranges, roots, shards_for, small_batches, whole
 
 SEED = 42
 #: The contract's fingerprint and links: 64 bits of three-word shingles, 3 differing bits.
@@ -337,7 +337,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     smallest id stays. Rows without an id stay and link nothing; rows that share the id that stays all
     stay. Of rows that share another id but not their text each goes or stays by its own set. A text of any length counts whole; an empty table gives an empty result; columns stay as they are."""
     named, scratch = docs.where("doc_id IS NOT NULL"), Scratch(spark)
-    rows = scratch.save(shingle_sets(named), "sets")
+    with small_batches(spark):
+        rows = scratch.save(shingle_sets(named), "sets")
     nodes = rows.groupBy("h", "g").agg(F.first("fp").alias("fp"), F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     nodes = numbered(scratch, nodes, "nodes")
     found = _candidates(spark, scratch, nodes, COPY_WORDS, COPY_RADIUS, copy_bands)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, column_bytes, fresh, mix64, ranges, shards_for, slices, whole
+from foliant.llm.common import Scratch, column_bytes, fresh, mix64, ranges, shards_for, slices, small_batches, whole
 
 WINDOW, GRAM = 200, 40
 #: Bytes whose anchors are found at once, bytes of a shard's suffix array, bytes of segments that a
@@ -416,7 +416,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, characters: bool = Fals
     names = [c for c in docs.columns if c not in ("n_bytes", "n_removed", "n_spans", "kept")]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("kept_row"), "text", F.xxhash64("doc_id", "text").alias("r"), F.xxhash64(F.lit(1), "text", "doc_id").alias("q"))
     found = rows.select("r", "q", "text").mapInArrow(_anchor_rows, "h long, seg long, r long, q long, first int, windows int")
-    found = scratch.save(found, "anchors")
+    with small_batches(spark):
+        found = scratch.save(found, "anchors")
     # written first, here and below: a join of two plain shuffles is one that Spark splits where a passage is hot
     again = scratch.save(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "again")
     found = scratch.save(found.join(again, "h"), "repeated")
@@ -435,7 +436,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, characters: bool = Fals
     cut = rows.select("r", "q", "text").join(asked, ["r", "q"]).select("text", "asked").mapInArrow(_cut_rows, "h long, seg long, block int, copies long, many boolean, bytes binary")
     shards = shards_for(mixed.agg(F.sum("size")).first()[0] or 0, TASK_BYTES)
     settled = cut.repartition(shards, "h", "block").mapInArrow(_shard_rows, "h long, seg long, copies long, runs array<int>, at int, w long, v long")
-    settled = scratch.save(settled, "settled")
+    with small_batches(spark):
+        settled = scratch.save(settled, "settled")
     runs = settled.where("runs IS NOT NULL").select("h", "seg", "runs")
     if not mixed.where("blocks > 1").isEmpty():
         runs = runs.union(scratch.save(_across_blocks(scratch, settled), "across"))

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from foliant.llm import lexical_packing, piece_codec, queries
+from foliant.llm import common, lexical_packing, piece_codec, queries
 
 PIECES, WORDS = queries.tokenizer("piece_bpe_32k.model"), queries.tokenizer("word_bpe_49k.json")
 
@@ -57,6 +57,51 @@ def test_word_ids_equal_library():
         assert [ids[a:b].tolist() for a, b in zip(cut, cut[1:], strict=False)] == library_ids(texts)
 
 
+def test_tokenizer_gets_few_words_at_once(monkeypatch):
+    """What it returns for all distinct words of a slice took more memory than the slice and the table."""
+    monkeypatch.setattr(lexical_packing, "WORDS", 50)
+    table, most = lexical_packing.WordIds(WORDS), []
+
+    class Counted:
+        def encode_batch_fast(self, lines, **how):
+            most.append(sum(len(x.split()) for x in lines))
+            return real.encode_batch_fast(lines, **how)
+
+    real, table.tokenizer = table.tokenizer, Counted()
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefgh" + "0123" * odd, k=9)) for odd in (0, 1) for _ in range(400)]
+    texts = [" ".join(words[:500]), "", " ".join(words[300:]), "\n\t "]
+    ids, sizes = table.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library_ids(texts)
+    assert len(most) > 10 and max(most) <= 50
+
+
+def test_encoding_has_small_batches(spark, monkeypatch):
+    """Arrow batches follow the bytes of texts while documents are encoded, and the session is left as it was."""
+    key, seen, save = "spark.sql.execution.arrow.maxBytesPerBatch", [], lexical_packing.Scratch.save
+    before = spark.conf.get(key)
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 16)
+
+    def rows_of_batches(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    def watched(self, df, name):
+        texts = spark.range(400, numPartitions=1).selectExpr("repeat('a b ', 500) AS text")
+        seen.extend(r.n for r in texts.mapInArrow(rows_of_batches, "n long").collect())
+        return save(self, df, name)
+
+    monkeypatch.setattr(lexical_packing.Scratch, "save", watched)
+    assert lexical_packing.pack(spark, spark.createDataFrame([(1, "a b")], "doc_id long, text string"), WORDS).count() > 0
+    assert sum(seen) == 400 and max(seen) < 60
+    assert spark.conf.get(key) == before
+
+
+def test_words_go_before_packing():
+    common.worker_kept("words of another task", dict)
+    assert list(lexical_packing._counts(4)(iter([]))) == [] and not common._kept
+
+
 @pytest.mark.parametrize("which", ["odd", "table"])
 def test_packing_holds_every_id_once(spark, odd, sf, which, monkeypatch):
     monkeypatch.setattr(lexical_packing, "BYTES", 20_000)
