@@ -13,7 +13,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from itertools import chain, compress, islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +28,8 @@ WINDOW, END = 2048, 1
 #: in which the counts of terms are summed, bytes of text that are encoded at once, words that the
 #: tokenizer gets at once (what it returns for a word is many times as large as the word), and parts of words whose ids are gathered at once.
 SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES, WORDS, PARTS = 1_500_000, 12, 1.2, 0.75, 300_000, 16, 4 << 20, 5_000, 1 << 18
-WORD_END, SPACER = "</w>", "\0"
-RARE = re.compile("[\u0180-\U0010ffff]")
+WORD_END, LINES = "</w>", 10
+RARE = re.compile("[\u0130\u0180-\U0010ffff]")  # what changes its length in lower case, may compose, or is seldom met
 TAIL = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -50,6 +50,8 @@ class WordIds:
         self.last[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.mark = os.path.commonprefix(self.special)
+        self.steps = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.quick = self._quick_steps()
         self._clear()
 
     def _clear(self) -> None:
@@ -70,44 +72,66 @@ class WordIds:
             ids.append(np.fromiter(chain.from_iterable(coded), np.uint16, int(sizes[-1].sum())))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _parts(self, words: list[str]) -> np.ndarray:
+    def _letters(self, words: list[str], steps: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of letters below U+0180, many in a line, and each word's number of ids."""
+        many = max(1, WORDS // LINES)
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        try:
+            ids, _ = self._coded([" ".join(words[k : k + many]) for k in range(0, len(words), many)], LINES)
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps
+        sizes = np.diff(np.r_[0, np.flatnonzero(self.last[ids]) + 1])
+        if len(sizes) != len(words):
+            raise ValueError("this tokenizer doesn't mark the ends of words")
+        return ids, sizes
+
+    def _quick_steps(self) -> tuple:
+        """Steps before the merges that do for lower-case words of letters: these are normal already and hold no
+        border but spaces. The tokenizer's own steps if it says otherwise of any letter."""
+        from tokenizers import normalizers, pre_tokenizers
+
+        quick = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        probe = [w for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower() for w in (c, f"a{c}", f"{c}{c}e")]
+        same = [np.array_equal(x, y) for x, y in zip(self._letters(probe, quick), self._letters(probe, self.steps), strict=True)]
+        return quick if all(same) else self.steps
+
+    def _numbers(self, column: pa.Array) -> tuple[np.ndarray, list[str]]:
+        """The number of each core of the column, and those that are new to the table."""
+        coded, known = column.dictionary_encode(), len(self.core)
+        cores = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        number = np.fromiter(map(self.core.__getitem__, cores), np.int32, len(cores))
+        return number[coded.indices.to_numpy()], list(islice(self.core, known, None))
+
+    def _parts(self, words: pa.Array) -> np.ndarray:
         """Numbers of each word's body and tail. The body, in lower case, and the punctuation behind it
         are tokens of their own, so that each is encoded once, bodies of letters alone many at a time."""
         if len(self.core) > TABLE_WORDS:
             self._clear()
-        line = SPACER.join(words)
-        common = RARE.search(line) is None
-        rare = lambda w: not common and RARE.search(w) is not None
-        low = line.lower().split(SPACER) if common else []
-        if len(low) != len(words):  # word by word
-            common = False
-            low = [w if rare(w) else w.lower() for w in words]
-        body = [w.rstrip(TAIL) for w in low]
-        tail = [w[len(b) :] for w, b in zip(low, body, strict=True)]
-        odd = [k for k, b in enumerate(body) if not b.isalpha() or not common and rare(low[k])]
-        for k in odd:
-            b, w = body[k], low[k]
-            if (self.mark in w and any(x in w for x in self.special)) or not b or not b[-1].isalnum() or rare(w):
-                body[k], tail[k] = words[k], ""
-        core, known = self.core, len(self.core)
-        parts = np.stack([np.fromiter(map(core.__getitem__, x), np.int32, len(x)) for x in (body, tail)], axis=1)
-        fresh = list(islice(core, known, None))
-        # U+0130 is a letter and a mark once it is lower case
-        if common and "\u0130" not in line:
-            letters = np.fromiter(map(str.isalpha, fresh), bool, len(fresh))
-        else:
-            letters = np.fromiter((w.isalpha() and not rare(w) and "\u0130" not in w for w in fresh), bool, len(fresh))
-        plain, others = list(compress(fresh, letters.tolist())), list(compress(fresh, (~letters).tolist()))
-        ids, _ = self._coded([" ".join(plain[k : k + WORDS]) for k in range(0, len(plain), WORDS)], 1)
-        sizes = np.diff(np.r_[0, np.flatnonzero(self.last[ids]) + 1])
-        if len(sizes) != len(plain):
-            raise ValueError("this tokenizer doesn't mark the ends of words")
-        other_ids, other_sizes = self._coded(others, WORDS)
-        number = np.empty(len(fresh), np.int64)  # of each new core among plain and others
-        number[letters], number[~letters] = np.arange(len(plain)), len(plain) + np.arange(len(others))
-        all_sizes, all_ids = np.r_[sizes, other_sizes], np.r_[ids, other_ids]
-        begin = np.cumsum(all_sizes) - all_sizes
-        self._add(all_ids[ranges(begin[number], all_sizes[number])], all_sizes[number])
+        low = pc.utf8_lower(words)
+        body = pc.ascii_rtrim(low, characters=TAIL)
+        common = pc.string_is_ascii(words).to_numpy(zero_copy_only=False).copy()
+        far = np.flatnonzero(~common)
+        common[far] = ~pc.match_substring_regex(words.take(pa.array(far)), RARE.pattern).to_numpy(zero_copy_only=False)
+        letters = common & pc.utf8_is_alpha(body).to_numpy(zero_copy_only=False)
+        parts = np.zeros((len(words), 2), np.int32)  # 0 is the empty core
+        parts[letters, 0], fresh = self._numbers(body.filter(pa.array(letters)))
+        self._add(*self._letters(fresh, self.quick))
+        ends = np.where(letters, pc.binary_length(low).to_numpy() - pc.binary_length(body).to_numpy(), 0)
+        tailed = np.flatnonzero(ends)
+        sizes, stops = ends[tailed], np.frombuffer(low.buffers()[1], np.int64, len(low) + 1)[tailed + 1]
+        tails = np.frombuffer(low.buffers()[2] or b"", np.uint8)[ranges(stops - sizes, sizes)]
+        cut = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        parts[tailed, 1], fresh = self._numbers(pa.Array.from_buffers(pa.large_string(), len(tailed), [None, pa.py_buffer(cut), pa.py_buffer(tails)]))
+        self._add(*self._coded(fresh, WORDS))
+        odd, bodies, tails = np.flatnonzero(~letters), [], []
+        for w in words.take(pa.array(odd)).to_numpy(zero_copy_only=False).tolist():
+            b = "" if RARE.search(w) else w.lower().rstrip(TAIL)
+            whole = not b or not b[-1].isalnum() or (self.mark in w.lower() and any(x in w.lower() for x in self.special))
+            bodies.append(w if whole else b)
+            tails.append("" if whole else w[len(b) :])
+        numbers, fresh = self._numbers(pa.array(bodies + tails, pa.large_string()))
+        parts[odd] = numbers.reshape(2, -1).T
+        self._add(*self._coded(fresh, WORDS))
         return parts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +141,7 @@ class WordIds:
             line = pc.replace_substring(line, space, " ")
         split = pc.split_pattern(line, " ")
         coded = split.flatten().dictionary_encode()
-        parts = self._parts(coded.dictionary.to_pylist())
+        parts = self._parts(coded.dictionary)
         k = parts[coded.indices.to_numpy()].ravel()
         lengths = self.lengths[k]
         upto = np.r_[0, np.cumsum(lengths)]
@@ -161,10 +185,15 @@ def _encoded(tokenizer_file: str, doc_id: str):
 def _counts(terms: int):
     def run(batches):
         df, rows, tokens = np.zeros(terms, np.int64), 0, 0
+        last, place = np.zeros(terms, np.int32), np.zeros(0, np.int32)
         for batch in fresh(batches):
-            for blob in batch.column(0).to_pylist():
-                ids = np.frombuffer(blob, np.uint16)
-                df[np.unique(ids)] += 1
+            for blob in batch.column(0).to_numpy(zero_copy_only=False).tolist():
+                ids = np.frombuffer(blob, np.uint16).astype(np.intp)
+                if len(ids) > len(place):
+                    place = np.arange(2 * len(ids), dtype=np.int32)
+                at = place[: len(ids)]
+                last[ids] = at
+                df[ids[last[ids] == at]] += 1  # one place of each id
                 rows, tokens = rows + 1, tokens + len(ids)
         if rows:
             blobs = [x.tobytes() for x in np.array_split(df, SLICES)]

@@ -76,6 +76,55 @@ def test_tokenizer_gets_few_words_at_once(monkeypatch):
     assert len(most) > 10 and max(most) <= 50
 
 
+def test_letters_skip_the_tokenizers_steps():
+    """Lower-case words of letters need neither its normaliser nor its patterns, which took more time than the merges."""
+    table, seen = lexical_packing.WordIds(WORDS), []
+    full = str(table.tokenizer.normalizer)
+
+    class Watched:
+        def encode_batch_fast(self, lines, **how):
+            seen.extend((w, str(self.normalizer) == full) for x in lines for w in x.split())
+            return real.encode_batch_fast(lines, **how)
+
+    real, table.tokenizer = table.tokenizer, Watched()
+    table.tokenizer.normalizer = real.normalizer
+    texts = ["One two, é two's x1 œuvre THREE!? naïve", "two One. Ünder x1"]
+    ids, sizes = table.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library_ids(texts)
+    assert sorted(w for w, whole in seen if not whole) == sorted(["one", "two", "é", "œuvre", "three", "naïve", "ünder"])
+    assert sorted(w for w, whole in seen if whole) == sorted([",", "!?", ".", "two's", "x1"])
+
+
+def test_words_of_every_low_character_equal_library():
+    places = "{c}", "a{c}", "{c}a", "A{c}B,", "{c}{c}.", ".{c}!", "x1{c}", "{c}'s", "e\u0301{c}", "{c}\u0301"
+    texts = [x.format(c=chr(c)) for c in [*range(0x250), 0x3A3, 0x1E9E, 0x2019, 0x212B, 0xFB01] for x in places]
+    texts += [" ".join(texts[k : k + 50]) for k in range(0, len(texts), 50)]
+    ids, sizes = lexical_packing.WordIds(WORDS).encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library_ids(texts)
+
+
+def test_letters_of_a_tokenizer_that_changes_them(tmp_path):
+    """A normaliser that changes letters is asked for every word."""
+    from tokenizers import Tokenizer, normalizers
+
+    t = Tokenizer.from_file(WORDS)
+    t.normalizer = normalizers.Sequence([normalizers.NFD(), normalizers.StripAccents(), normalizers.Lowercase()])
+    t.save(str(tmp_path / "words.json"))
+    ids, _ = lexical_packing.WordIds(str(tmp_path / "words.json")).encode(pa.array(["Déjà vu, naïve"]))
+    assert ids.tolist() == [*t.encode("Déjà vu, naïve", add_special_tokens=False).ids, 1]
+    assert ids.tolist() != library_ids(["Déjà vu, naïve"])[0]
+
+
+def test_counts_of_documents():
+    draw = np.random.default_rng(3)
+    docs = [draw.integers(0, 90, n).astype(np.uint16) for n in (0, 1, 500, 3, 40, 2000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([d.tobytes() for d in part], pa.binary())], ["ids"]) for part in (docs[:4], docs[4:])]
+    (found,) = lexical_packing._counts(100)(iter(batches))
+    df = np.concatenate([np.frombuffer(x, np.int64) for x in found.column("df").to_pylist()])
+    assert df.tolist() == [sum(i in d for d in docs) for i in range(100)]
+    assert sum(found.column("rows").to_pylist()) == 6 and sum(found.column("tokens").to_pylist()) == 2544
+
+
 def test_encoding_has_small_batches(spark, monkeypatch):
     """Arrow batches follow the bytes of texts while documents are encoded, and the session is left as it was."""
     key, seen, save = "spark.sql.execution.arrow.maxBytesPerBatch", [], lexical_packing.Scratch.save
