@@ -57,11 +57,25 @@ class WordIds:
     def _clear(self) -> None:
         self.core = Numbered({"": 0})
         self.starts, self.lengths, self.flat = np.zeros(1, np.int32), np.zeros(1, np.int32), np.zeros(0, np.uint16)
+        self.slices = np.zeros(1, np.int32)  # of text that had each core
+
+    def _forget(self) -> None:
+        """Leaves half a table at most: the cores that came again, in the most slices since the last time."""
+        least = 2
+        while np.count_nonzero(self.slices >= least) > TABLE_WORDS // 2:
+            least *= 2
+        keep = 1 + np.flatnonzero(self.slices[1:] >= least)  # behind the empty core
+        cores, starts, lengths, flat = list(self.core), self.starts[keep], self.lengths[keep], self.flat
+        self._clear()
+        for k in keep.tolist():
+            self.core[cores[k]]
+        self._add(flat[ranges(starts, lengths)], lengths)
 
     def _add(self, coded: np.ndarray, lengths: np.ndarray) -> None:
         self.starts = np.append(self.starts, (len(self.flat) + np.cumsum(lengths) - lengths).astype(np.int32))
         self.lengths = np.append(self.lengths, lengths.astype(np.int32))
         self.flat = np.append(self.flat, coded.astype(np.uint16))
+        self.slices = np.append(self.slices, np.zeros(len(lengths), np.int32))
 
     def _coded(self, lines: list[str], at_once: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the lines one after the other, and each line's number of ids."""
@@ -106,7 +120,7 @@ class WordIds:
         """Numbers of each word's body and tail. The body, in lower case, and the punctuation behind it
         are tokens of their own, so that each is encoded once, bodies of letters alone many at a time."""
         if len(self.core) > TABLE_WORDS:
-            self._clear()
+            self._forget()
         low = pc.utf8_lower(words)
         body = pc.ascii_rtrim(low, characters=TAIL)
         common = pc.string_is_ascii(words).to_numpy(zero_copy_only=False).copy()
@@ -132,6 +146,9 @@ class WordIds:
         numbers, fresh = self._numbers(pa.array(bodies + tails, pa.large_string()))
         parts[odd] = numbers.reshape(2, -1).T
         self._add(*self._coded(fresh, WORDS))
+        there = np.zeros(len(self.core), bool)
+        there[parts] = True
+        self.slices += there
         return parts
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -218,17 +235,23 @@ def term_statistics(encoded: DataFrame, terms: int) -> tuple[np.ndarray, float,
     return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), tokens / max(n, 1), tokens
 
 
+def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower and upper 16 bits of 32."""
+    return x.astype(np.uint16), (x >> np.uint32(16)).astype(np.uint16)
+
+
 class Index:
     """BM25's inverted index of a shard: weights of documents by term, and each document's heaviest terms."""
 
     def __init__(self, ids: np.ndarray, lengths: np.ndarray, idf: np.ndarray, mean: float) -> None:
-        n = len(lengths)
-        doc = np.repeat(np.arange(n, dtype=np.int64), lengths)
-        pair, tf = np.unique(ids.astype(np.int64) * n + doc, return_counts=True)
-        term, self.doc = pair // n, (pair % n).astype(np.int32)
+        n, bits = len(lengths), len(lengths).bit_length()
+        kind = np.uint32 if bits <= 16 else np.uint64
+        pair, tf = np.unique(ids.astype(kind) << kind(bits) | np.repeat(np.arange(n, dtype=kind), lengths), return_counts=True)
+        term, self.doc = (pair >> kind(bits)).astype(np.int64), (pair & kind((1 << bits) - 1)).astype(np.int32)
         self.weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[self.doc] / mean))).astype(np.float32)
         self.start = np.searchsorted(term, np.arange(len(idf) + 1))
-        order = np.lexsort((-self.weight, self.doc))
+        # by document, the heaviest first: weights aren't negative, so that their bits are in order, and 16 bits are sorted by counting
+        order = np.lexsort((*_halves(~self.weight.view(np.uint32)), *_halves(self.doc.view(np.uint32))))
         cut = np.searchsorted(self.doc[order], np.arange(n + 1))
         top = np.minimum(np.diff(cut), QUERY_TERMS)
         self.query = np.split(term[order[ranges(cut[:-1], top)]], np.cumsum(top)[:-1]) if n else []

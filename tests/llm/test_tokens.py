@@ -125,6 +125,54 @@ def test_counts_of_documents():
     assert sum(found.column("rows").to_pylist()) == 6 and sum(found.column("tokens").to_pylist()) == 2544
 
 
+def test_words_that_come_again_are_encoded_once(monkeypatch):
+    """A full table let all words go, those of every text too."""
+    monkeypatch.setattr(lexical_packing, "TABLE_WORDS", 60)
+    table, seen = lexical_packing.WordIds(WORDS), collections.Counter()
+
+    class Counted:
+        def encode_batch_fast(self, lines, **how):
+            seen.update(w for x in lines for w in x.split())
+            return real.encode_batch_fast(lines, **how)
+
+    real, table.tokenizer = table.tokenizer, Counted()
+    draw, often = random.Random(6), ["often", "again", "met.", "1st"]
+    for _ in range(40):
+        texts = [" ".join([*often, "".join(draw.choices("bcdfg", k=8))]) for _ in range(9)]
+        ids, sizes = table.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library_ids(texts)
+        assert len(table.core) <= 80
+    assert {w: seen[w] for w in ("often", "again", "met", "1st", ".")} == {"often": 1, "again": 1, "met": 1, "1st": 1, ".": 1}
+
+
+def test_table_of_words_that_all_come_again(monkeypatch):
+    """Words that would fill half the table or more don't stay for having come twice."""
+    monkeypatch.setattr(lexical_packing, "TABLE_WORDS", 60)
+    table, draw = lexical_packing.WordIds(WORDS), random.Random(7)
+    for _ in range(12):
+        words = ["".join(draw.choices("bcdfg", k=8)) for _ in range(20)]
+        for texts in ([" ".join(words)], ["", " ".join(reversed(words)) + "."]):
+            ids, sizes = table.encode(pa.array(texts))
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == library_ids(texts)
+            assert len(table.core) <= 60 + 21
+
+
+@pytest.mark.parametrize("n", [0, 1, 300, 70_000])
+def test_index_in_order(n):
+    """Pairs by term and document, and each document's heaviest terms, ties by term, for few documents and for more than 16 bits count."""
+    draw = np.random.default_rng(4)
+    lengths = draw.integers(1, 4 if n > 1000 else 60, n)
+    ids, idf = draw.integers(0, 50, int(lengths.sum())).astype(np.uint16), draw.integers(1, 4, 50).astype(np.float32)
+    index = lexical_packing.Index(ids, lengths, idf, 2.5)
+    pair, tf = np.unique(ids.astype(np.int64) * max(n, 1) + np.repeat(np.arange(n), lengths), return_counts=True)
+    term, doc = pair // max(n, 1), pair % max(n, 1)
+    weight = (idf[term] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[doc] / 2.5))).astype(np.float32)
+    assert index.doc.tolist() == doc.tolist() and np.allclose(index.weight, weight) and index.start.tolist() == np.searchsorted(term, np.arange(51)).tolist()
+    order = np.lexsort((-index.weight, doc))
+    by_doc = np.split(term[order], np.flatnonzero(np.diff(doc[order])) + 1) if n else []
+    assert len(index.query) == n and all(q.tolist() == x[:12].tolist() for q, x in zip(index.query, by_doc, strict=True))
+
+
 def test_encoding_has_small_batches(spark, monkeypatch):
     """Arrow batches follow the bytes of texts while documents are encoded, and the session is left as it was."""
     key, seen, save = "spark.sql.execution.arrow.maxBytesPerBatch", [], lexical_packing.Scratch.save
