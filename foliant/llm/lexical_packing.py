@@ -26,9 +26,10 @@ from foliant.llm.common import Numbered, Scratch, fresh, mix64, ranges, shards_f
 WINDOW, END = 2048, 1
 #: Tokens of a shard, terms of a query, BM25's constants, words that a worker's table holds, slices
 #: in which the counts of terms are summed, bytes of text that are encoded at once, words that the
-#: tokenizer gets at once (what it returns for a word is many times as large as the word), and parts of words whose ids are gathered at once.
-SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES, WORDS, PARTS = 1_500_000, 12, 1.2, 0.75, 300_000, 16, 4 << 20, 5_000, 1 << 18
-WORD_END, LINES = "</w>", 10
+#: tokenizer gets at once (what it returns for a word is many times as large as the word), parts of words whose ids are gathered at once, and lines that
+#: the words for the tokenizer are dealt to where a line may hold several.
+SHARD_TOKENS, QUERY_TERMS, K1, B, TABLE_WORDS, SLICES, BYTES, WORDS, PARTS, LINES = 1_500_000, 12, 1.2, 0.75, 300_000, 16, 4 << 20, 5_000, 1 << 18, 10
+WORD_END = "</w>"
 RARE = re.compile("[\u0130\u0180-\U0010ffff]")  # what changes its length in lower case, may compose, or is seldom met
 TAIL = "".join(chr(x) for x in range(33, 127) if not chr(x).isalnum())
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -86,14 +87,18 @@ class WordIds:
             ids.append(np.fromiter(chain.from_iterable(coded), np.uint16, int(sizes[-1].sum())))
         return np.concatenate(ids), np.concatenate(sizes)
 
-    def _letters(self, words: list[str], steps: tuple) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of lower-case words of letters below U+0180, many in a line, and each word's number of ids."""
+    def _lines(self, words: list[str], steps: tuple) -> np.ndarray:
+        """Ids of the words, many in a line, with these steps before the merges."""
         many = max(1, WORDS // LINES)
         self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
         try:
-            ids, _ = self._coded([" ".join(words[k : k + many]) for k in range(0, len(words), many)], LINES)
+            return self._coded([" ".join(words[k : k + many]) for k in range(0, len(words), many)], LINES)[0]
         finally:
             self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of lower-case words of letters below U+0180, and each word's number of ids."""
+        ids = self._lines(words, self.quick)
         sizes = np.diff(np.r_[0, np.flatnonzero(self.last[ids]) + 1])
         if len(sizes) != len(words):
             raise ValueError("this tokenizer doesn't mark the ends of words")
@@ -105,9 +110,9 @@ class WordIds:
         from tokenizers import normalizers, pre_tokenizers
 
         quick = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        probe = [w for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower() for w in (c, f"a{c}", f"{c}{c}e")]
-        same = [np.array_equal(x, y) for x, y in zip(self._letters(probe, quick), self._letters(probe, self.steps), strict=True)]
-        return quick if all(same) else self.steps
+        letters = [c for c in map(chr, range(0x180)) if c.isalpha() and c == c.lower()]
+        probe = ["".join(letters), *(w for c in letters for w in (c, f"a{c}", f"{c}{c}e"))]
+        return quick if np.array_equal(self._lines(probe, quick), self._lines(probe, self.steps)) else self.steps
 
     def _numbers(self, column: pa.Array) -> tuple[np.ndarray, list[str]]:
         """The number of each core of the column, and those that are new to the table."""
@@ -129,7 +134,7 @@ class WordIds:
         letters = common & pc.utf8_is_alpha(body).to_numpy(zero_copy_only=False)
         parts = np.zeros((len(words), 2), np.int32)  # 0 is the empty core
         parts[letters, 0], fresh = self._numbers(body.filter(pa.array(letters)))
-        self._add(*self._letters(fresh, self.quick))
+        self._add(*self._letters(fresh))
         ends = np.where(letters, pc.binary_length(low).to_numpy() - pc.binary_length(body).to_numpy(), 0)
         tailed = np.flatnonzero(ends)
         sizes, stops = ends[tailed], np.frombuffer(low.buffers()[1], np.int64, len(low) + 1)[tailed + 1]
